@@ -1,6 +1,13 @@
 """The queries of this subpackage, and the SQL that checks them, by name."""
 
-from lodestone.llm import decontam
+from lodestone.llm import decontam, licenses, simhash
 
-QUERIES = {"op6_benchmark_decontamination": decontam.query}
-ORACLES = {"op6_benchmark_decontamination": decontam.ORACLE_SQL}
+QUERIES = {
+    "op4_license_scan": licenses.query,
+    "op6_benchmark_decontamination": decontam.query,
+    "op10_simhash_near_dedup": simhash.query,
+}
+ORACLES = {
+    "op4_license_scan": licenses.ORACLE_SQL,
+    "op6_benchmark_decontamination": decontam.ORACLE_SQL,
+}
