@@ -1,10 +1,13 @@
 """The queries of this subpackage, and the SQL that checks them, by name."""
 
-from lodestone.llm import decontam, licenses, simhash
+from lodestone.llm import crf, decontam, licenses, mixing, quality, simhash
 
 QUERIES = {
+    "op1_language_id": crf.query,
     "op4_license_scan": licenses.query,
     "op6_benchmark_decontamination": decontam.query,
+    "op7_quality_rules": quality.query,
+    "op9_source_mixing": mixing.query,
     "op10_simhash_near_dedup": simhash.query,
 }
 ORACLES = {
