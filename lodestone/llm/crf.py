@@ -15,6 +15,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -298,3 +299,23 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_remainder(F.col("doc_id"), 3) == 1
     field = train(docs.where(~held_out))
     return identify(docs, field).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, field: Field | None, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose text is in a known language at a mean posterior of ``least``, with all their columns.
+
+    Without a field nothing can be rejected for its score: the texts without a letter go.
+    """
+
+    def run(batches):
+        score = Scorer(field) if field else None
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            if score:
+                mean, has = score(texts)
+                has &= mean.max(1) >= least
+            else:
+                has = np.array([any(map(str.isalpha, t or "")) for t in texts], bool)
+            yield batch.filter(pa.array(has))
+
+    return docs.mapInArrow(run, docs.schema)

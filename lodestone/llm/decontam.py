@@ -35,7 +35,7 @@ def _blocks(df: DataFrame, size: int, *by: str) -> int:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", window: int = WINDOW, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """Per row of ``docs``: ``id_col``, n_words, hits (array of start, length, item), n_hit, n_items, items_sha256, contaminated.
+    """Per row of ``docs``: ``id_col``, n_words, hits (array of start, length, item), n_hit, n_items, items_sha256, contaminated, text_hash.
 
     Null or empty texts have no words and no hits; items without words match nothing; a null item id is the empty name.
     Repeated rows each get their row. No other columns of either table are read.
@@ -120,7 +120,7 @@ def _summary(found: DataFrame, id_col: str) -> DataFrame:
         .withColumn("again", F.explode(F.sequence(F.lit(1), F.greatest(F.col("repeats"), F.lit(1)))))
         .select(
             F.col("key").alias(id_col), "n_words", "n_hit", F.size("names").cast("long").alias("n_items"),
-            F.sha2(F.concat_ws(",", "names").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "hits",
+            F.sha2(F.concat_ws(",", "names").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "hits", F.col("h").alias("text_hash"),
         )
     )
 
@@ -143,4 +143,11 @@ FROM d LEFT JOIN h USING (r) LEFT JOIN i USING (r)
 def query(spark, sf_dir):
     from lodestone.llm.common import table
 
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hits")
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hits", "text_hash")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
+    """The rows of ``docs`` without a benchmark window, with all their columns."""
+    hit = stash(decontaminate(docs, benchmark, id_col, item_col).where("contaminated").select(F.col(id_col).alias("hit_id"), "text_hash").distinct(), "contaminated")
+    same = docs[id_col].eqNullSafe(hit["hit_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == hit["text_hash"])
+    return docs.join(hit, same, "left_anti")

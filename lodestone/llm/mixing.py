@@ -58,11 +58,30 @@ def pivot(size: np.ndarray, part: np.ndarray, rng: np.random.Generator) -> np.nd
     return part
 
 
-def _play(level: int, seed: int):
+def settle(size: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Rounds what is left of ``after`` to the nearer whole number and hands the words so won or lost to shorter documents.
+
+    From long to short, each document that is no longer than the words still owed flips its copy if that pays them back.
+    """
+    out = np.round(after)
+    owed = float((before * size).sum() - (out * size).sum())
+    if np.abs(after - out).max(initial=0) < 1e-9:
+        return out
+    for i in np.argsort(-size, kind="stable"):
+        if 0 < size[i] <= abs(owed) and 0 < before[i] < 1 and out[i] == (owed < 0):
+            out[i] = 1 - out[i]
+            owed += size[i] if owed < 0 else -size[i]
+    return out
+
+
+def _play(level: int, seed: int, last: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["order", "key", "size"], kind="stable", na_position="first")
+        # Long documents play first: they meet their like and become whole, and a short one is left.
+        pdf = pdf.sort_values(["size", "order", "key"], ascending=[False, True, True], kind="stable", na_position="first")
         rng = np.random.default_rng([seed, level, int(pdf["bucket"].iloc[0]), int(pdf["rank"].iloc[0])])
-        return pdf.assign(part=pivot(pdf["size"].to_numpy(float), pdf["part"].to_numpy(float), rng))
+        size, before = pdf["size"].to_numpy(float), pdf["part"].to_numpy(float)
+        after = pivot(size, before, rng)
+        return pdf.assign(part=settle(size, before, after) if last else after)
 
     return run
 
@@ -101,11 +120,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", see
     settled = (F.col("part") <= 1e-12) | (F.col("part") >= 1 - 1e-12)
     while True:
         now = now.select(*keep)
-        played = stash(now.groupBy("rank", "bucket").applyInPandas(_play(level, seed), now.schema), "played")
+        played = stash(now.groupBy("rank", "bucket").applyInPandas(_play(level, seed, most == 1), now.schema), "played")
         if most == 1:
-            # the last document of a source has nobody left to play against: its words go to the nearer whole number
-            final = played.withColumn("part", F.when(settled, F.round("part")).otherwise((F.xxhash64("order", F.lit(seed)).bitwiseAND(F.lit(0xFFFFF)) / 0x100000 < F.col("part")).cast("double")))
-            done = final if done is None else done.unionByName(final)
+            done = played if done is None else done.unionByName(played)
             break
         over = played.where(settled).withColumn("part", F.round("part"))
         done = over if done is None else done.unionByName(over)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -204,3 +205,19 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", ke
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", keep: float = KEEP) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns; rows never leave their partition."""
+    model = train(docs, labels, id_col)
+
+    def run(batches):
+        for batch in batches:
+            known: dict = {}
+            rows = [statistics(t, known) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            n, rep = (np.array([r[0][i] for r in rows], np.int64) for i in (0, 4))
+            p = model.probability(np.array([r[1] for r in rows], float).reshape(-1, len(FEATURES)))
+            good = (n >= LEAST_WORDS) & (100 * rep <= MOST_REPEATED * n) & (p >= keep)
+            yield batch.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)

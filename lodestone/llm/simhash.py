@@ -190,3 +190,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", radius: int = RADIU
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", radius: int = RADIUS) -> DataFrame:
+    """The row of ``docs`` with the smallest id of each near-duplicate group, with all its columns."""
+    found = stash(near_duplicates(docs, id_col, radius), "near-duplicates")
+    firsts = stash(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("first_id")).count(), "firsts")
+    kept = docs.join(firsts, docs[id_col].eqNullSafe(firsts["first_id"]), "left_semi")
+    repeated = not firsts.where("count > 1").isEmpty()  # rows of one id: any of them stands for the group
+    return kept.dropDuplicates([id_col]) if repeated else kept
