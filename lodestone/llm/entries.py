@@ -1,16 +1,21 @@
 """The queries of this subpackage, and the SQL that checks them, by name."""
 
-from lodestone.llm import crf, decontam, licenses, mixing, quality, simhash
+from lodestone.llm import crf, decontam, licenses, mixing, quality, simhash, urls, warc
 
 QUERIES = {
     "op1_language_id": crf.query,
+    "op3_warc_boundary_chain": warc.query,
     "op4_license_scan": licenses.query,
     "op6_benchmark_decontamination": decontam.query,
     "op7_quality_rules": quality.query,
+    "op8_url_filter": urls.query,
     "op9_source_mixing": mixing.query,
     "op10_simhash_near_dedup": simhash.query,
 }
+#: Operators without an entry here have no SQL form; tests hold them against plain Python or held-out rows.
 ORACLES = {
+    "op3_warc_boundary_chain": warc.ORACLE_SQL,
     "op4_license_scan": licenses.ORACLE_SQL,
     "op6_benchmark_decontamination": decontam.ORACLE_SQL,
+    "op8_url_filter": urls.ORACLE_SQL,
 }
