@@ -1,11 +1,13 @@
 """The queries of this subpackage, and the SQL that checks them, by name."""
 
-from lodestone.llm import crf, decontam, licenses, mixing, quality, simhash, urls, warc
+from lodestone.llm import cotrain, crf, decontam, kneser_ney, licenses, mixing, quality, simhash, urls, warc
 
 QUERIES = {
     "op1_language_id": crf.query,
+    "op2_quality_cotraining": cotrain.query,
     "op3_warc_boundary_chain": warc.query,
     "op4_license_scan": licenses.query,
+    "op5_kneser_ney_scoring": kneser_ney.query,
     "op6_benchmark_decontamination": decontam.query,
     "op7_quality_rules": quality.query,
     "op8_url_filter": urls.query,
