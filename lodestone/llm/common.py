@@ -1,13 +1,14 @@
-"""Helpers shared by the training-data operators: the shared folder, word splitting, row keys."""
+"""Helpers shared by the training-data operators: word splitting, hashes of ids; storage is the library's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestone.storage import new_path, stash, table
+
+__all__ = ["SPACE_GAP", "WORD_GAP", "crc_remainder", "lower_ascii", "new_path", "split_words", "stash", "table"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words of letters and digits: every ASCII character that is neither a lower-case letter nor a digit.
 WORD_GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -15,30 +16,6 @@ WORD_GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 SPACE_GAP = "[\\x20\\x09-\\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one made here where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="lodestone-")
-        spark.sparkContext.setCheckpointDir(found)
-    return f"{found.rstrip('/')}/lodestone-{spark.sparkContext.applicationId}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage is cut and Catalyst knows its size."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def lower_ascii(text: Column) -> Column:
     """``text`` with A-Z lower-cased and all else as it is; pure ASCII takes the fast path."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

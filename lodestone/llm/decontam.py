@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD_GAP, lower_ascii, split_words, stash
+from lodestone.llm.common import WORD_GAP, lower_ascii, split_words, stash, table
 
 #: Words of a window, words of a shingle, entries of a broadcast block (each holds at most two windows of words).
 WINDOW, SHINGLE, BLOCK = 10, 3, 50_000
@@ -141,8 +141,6 @@ FROM d LEFT JOIN h USING (r) LEFT JOIN i USING (r)
 
 
 def query(spark, sf_dir):
-    from lodestone.llm.common import table
-
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hits", "text_hash")
 
 
