@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.storage import new_path, stash, table
 
-__all__ = ["SPACE_GAP", "WORD_GAP", "crc_remainder", "lower_ascii", "new_path", "split_words", "stash", "table"]
+__all__ = ["SPACE_GAP", "WORD_GAP", "as_key", "crc_remainder", "from_key", "lower_ascii", "new_path", "split_words", "stash", "table"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words of letters and digits: every ASCII character that is neither a lower-case letter nor a digit.
@@ -29,3 +29,13 @@ def split_words(text: Column, gap: str) -> Column:
 def crc_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def as_key(id_col: str) -> Column:
+    """The id as text, as it travels through pandas: a column of numbers with nulls would become floats there."""
+    return F.col(id_col).cast("string").alias("key")
+
+
+def from_key(out: DataFrame, docs: DataFrame, id_col: str, name: str | None = None) -> DataFrame:
+    """``out`` with its text key turned back into the id of ``docs``, under ``name`` (the id's own)."""
+    return out.withColumn("key", F.col("key").cast(docs.schema[id_col].dataType)).withColumnRenamed("key", name or id_col)

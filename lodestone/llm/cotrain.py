@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import table
+from lodestone.llm.common import as_key, from_key, table
 
 #: At most about so many labelled rows, and as many unlabelled ones, by hash of the id.
 SAMPLE = 4000
@@ -234,7 +234,7 @@ def classify(docs: DataFrame, models: dict, id_col: str = "doc_id", keep: float
     first reaches ``keep`` and the second stays below ``toxic``. Null texts count as empty, null lang and source as values
     of their own. A target without a model scores 1 (quality) or 0 (toxicity). Repeated rows each get their row.
     """
-    cols = docs.select(F.col(id_col).alias("key"), "text", "lang", "source")
+    cols = docs.select(as_key(id_col), "text", "lang", "source")
 
     def scores(model, content, meta, default):
         if model is None:
@@ -251,8 +251,7 @@ def classify(docs: DataFrame, models: dict, id_col: str = "doc_id", keep: float
             bad = scores(models["toxic"], content, meta, 0.0)[2]
             yield pd.DataFrame({"key": pdf["key"], "content_score": a, "metadata_score": b, "score": good, "toxic_score": bad, "kept": (good >= keep) & (bad < toxic)})
 
-    kind = dict(cols.dtypes)["key"]
-    return cols.mapInPandas(run, f"key {kind}, content_score double, metadata_score double, score double, toxic_score double, kept boolean").withColumnRenamed("key", id_col)
+    return from_key(cols.mapInPandas(run, "key string, content_score double, metadata_score double, score double, toxic_score double, kept boolean"), docs, id_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

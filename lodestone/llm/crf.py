@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import crc_remainder, table
+from lodestone.llm.common import as_key, crc_remainder, from_key, table
 
 #: Labelled documents a language that fit the field (about so many, by hash of the id); words of a training segment.
 SAMPLE, SEGMENT = 600, 48
@@ -276,7 +276,7 @@ def identify(docs: DataFrame, field: Field | None, id_col: str = "doc_id") -> Da
     Texts that are null or have no letter get ``und`` and score 0, as all do without a field. Ties go to the first
     language by name. Repeated rows each get their row; other columns are not read.
     """
-    cols = docs.select(F.col(id_col).alias("key"), "text")
+    cols = docs.select(as_key(id_col), "text")
 
     def run(batches):
         score = Scorer(field) if field else None
@@ -290,8 +290,7 @@ def identify(docs: DataFrame, field: Field | None, id_col: str = "doc_id") -> Da
                 shares = [dict(zip(field.langs, map(float, m))) if h else {} for m, h in zip(mean, has)]
             yield pd.DataFrame({"key": pdf["key"], "lang_pred": langs, "score": scores, "shares": shares})
 
-    kind = dict(cols.dtypes)["key"]
-    return cols.mapInPandas(run, f"key {kind}, lang_pred string, score double, shares map<string,double>").withColumnRenamed("key", id_col)
+    return from_key(cols.mapInPandas(run, "key string, lang_pred string, score double, shares map<string,double>"), docs, id_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,22 +93,21 @@ def _prefixes(places: DataFrame, df: DataFrame, k: int) -> DataFrame:
 def _probe(d: DataFrame, prefix: DataFrame, k: int, mark: bool) -> DataFrame:
     """Verified windows of the corpus; with ``mark``, also one row of each document, to count its words and its repeats."""
     first = F.col("pos").isNull() | (F.col("pos") == 0) if mark else F.lit(False)
-
-    def windows(e: Column) -> Column:
-        begin = lambda s: F.col("pos") - e["q"] + s
-        fits = lambda s: (begin(s) >= 0) & (begin(s) + e["length"] <= F.size("words"))
-        same = lambda s: F.slice("words", begin(s) + 1, e["length"]) == F.slice(e["near"], s - e["off"] + 1, e["length"])
-        kept = F.filter(e["starts"], lambda s: F.when(fits(s), same(s)).otherwise(F.lit(False)))
-        return F.transform(kept, lambda s: F.struct(begin(s).alias("start"), e["length"].alias("length"), e["item"].alias("item")))
-
     joined = _grams(d, k).join(F.broadcast(prefix), "g", "left" if mark else "inner").where(first | F.col("entries").isNotNull())
-    hits = F.when(F.col("entries").isNotNull(), F.flatten(F.transform("entries", windows)))
-    # No filter on the verified hits here: it would join the filter above, and the words of all places would be copied.
-    return joined.select("key", "h", F.greatest(F.size("words"), F.lit(0)).cast("long").alias("n_words"), first.cast("int").alias("mark"), hits.alias("hits"))
+    # No higher-order function here: Spark would leave generated code for it, and copy all words of a text for each hit.
+    each = joined.select("key", "h", "words", "pos", first.alias("first"), F.posexplode_outer("entries").alias("i", "e"))
+    each = each.select("key", "h", "words", "pos", "first", "i", "e", F.posexplode_outer("e.starts").alias("j", "s"))
+    begin, length = F.col("pos") - F.col("e.q") + F.col("s"), F.col("e.length")
+    fits = (begin >= 0) & (begin + length <= F.size("words"))
+    same = F.when(fits, F.slice("words", begin + 1, length) == F.slice("e.near", F.col("s") - F.col("e.off") + 1, length)).otherwise(F.lit(False))
+    n_words = F.greatest(F.size("words"), F.lit(0)).cast("long")
+    hit = F.when(same, F.struct(begin.alias("start"), length.alias("length"), F.col("e.item").alias("item")))
+    mark_here = F.col("first") & (F.coalesce("i", F.lit(0)) + F.coalesce("j", F.lit(0)) == 0)
+    return each.where(mark_here | same).select("key", "h", n_words.alias("n_words"), mark_here.cast("int").alias("mark"), hit.alias("hit"))
 
 
 def _summary(found: DataFrame, id_col: str) -> DataFrame:
-    per = found.groupBy("key", "h", "n_words").agg(F.sum("mark").cast("int").alias("repeats"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"))
+    per = found.groupBy("key", "h", "n_words").agg(F.sum("mark").cast("int").alias("repeats"), F.array_sort(F.collect_set("hit")).alias("hits"))
     zero = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).alias("reach"))
     step = lambda a, x: F.struct(
         (a["total"] + F.greatest(F.lit(0), x["start"] + x["length"] - F.greatest(x["start"], a["reach"]))).cast("long").alias("total"),

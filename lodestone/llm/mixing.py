@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import SPACE_GAP, split_words, stash, table
+from lodestone.llm.common import SPACE_GAP, as_key, from_key, split_words, stash, table
 
 #: Fixed values of the contract: weights in turn, the share of all sizes to take, the most copies.
 WEIGHTS, TOTAL, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
@@ -105,7 +105,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", see
     last. Repeated rows are documents of their own. Other columns are not read. Ids order the play, so that reruns agree.
     """
     size = F.size(split_words(F.col("text"), SPACE_GAP)).cast("long")
-    sized = stash(docs.select(F.col(id_col).alias("key"), F.col(source_col).cast("string").alias("source"), size.alias("size")), "sizes")
+    sized = stash(docs.select(as_key(id_col), F.col(source_col).cast("string").alias("source"), size.alias("size")), "sizes")
     aims = source_targets(sized)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     small = F.broadcast(aims)  # one row a source, at most SOURCES
@@ -129,7 +129,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", see
         now = played.where(~settled).withColumn("buckets", F.ceil(F.col("buckets") / FAN)).withColumn("bucket", F.floor(F.col("bucket") / FAN))
         level, most = level + 1, -(-most // FAN)
     copies = (F.col("copies") + F.col("part")).cast("long")
-    return done.select(F.col("key").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return from_key(done, docs, id_col, "key").select(F.col("key").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

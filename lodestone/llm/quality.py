@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import table
+from lodestone.llm.common import as_key, from_key, table
 
 #: Fixed values of the contract: the symbols counted, the words of a repeated window, the base limits.
 SYMBOLS, RUN, LEAST_WORDS, MOST_REPEATED = "#*$%&|<>", 5, 10, 20
@@ -188,7 +188,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", ke
     Repeated rows each get their row; other columns of either table are not read.
     """
     model = train(docs, labels, id_col)
-    cols = docs.select(F.col(id_col).alias("key"), "text")
+    cols = docs.select(as_key(id_col), "text")
 
     def score(batches):
         for pdf in _stats(batches):
@@ -198,9 +198,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", ke
             p = model.probability(x)
             yield pdf.assign(base_failed=failed, score=p, kept=~failed & (p >= keep))
 
-    kind = dict(cols.dtypes)["key"]
-    out = cols.mapInPandas(score, f"key {kind}, {', '.join(f'{c} long' for c in COUNTS)}, base_failed boolean, score double, kept boolean")
-    return out.withColumnRenamed("key", id_col)
+    out = cols.mapInPandas(score, f"key string, {', '.join(f'{c} long' for c in COUNTS)}, base_failed boolean, score double, kept boolean")
+    return from_key(out, docs, id_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

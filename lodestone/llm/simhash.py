@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import stash, table
+from lodestone.llm.common import as_key, from_key, stash, table
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 #: Fingerprints of a tile; above how many fingerprints two bands must agree.
@@ -179,9 +179,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", radius: int = RADIU
     Null, empty and wordless texts have fingerprint zero and are linked like any other. A null id is never the smallest
     unless all ids of its component are null. Repeated rows each get their row; other columns are not read.
     """
-    cols = docs.select(F.col(id_col).alias("key"), "text")
-    kind = dict(cols.dtypes)["key"]
-    prints = stash(cols.mapInPandas(_fingerprint, f"key {kind}, fp long"), "fingerprints")
+    cols = docs.select(as_key(id_col), "text")
+    prints = stash(from_key(cols.mapInPandas(_fingerprint, "key string, fp long"), docs, id_col, "key"), "fingerprints")
     nodes = stash(prints.groupBy("fp").agg(F.min("key").alias("low")), "nodes")
     labels = components(stash(links(nodes, radius, tile), "links"), nodes)
     named = stash(nodes.join(labels, "fp", "left").select("fp", F.coalesce("component", "low").alias("component_id")), "named")
