@@ -67,7 +67,7 @@ def pieces(text: str, most_bytes: int, most_tokens: int) -> list[str]:
 def split_parts(most_bytes: int = MOST_BYTES, most_tokens: int = MOST_TOKENS):
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: pieces(t, most_bytes, most_tokens))
+        return text.map(lambda t: None if t is None else pieces(t, most_bytes, most_tokens))
 
     return run
 

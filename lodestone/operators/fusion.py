@@ -58,7 +58,9 @@ def _all(by: Sequence[str]):
 
 
 def _per_query(rows: DataFrame, by: Sequence[str], run) -> DataFrame:
-    return rows.groupBy(*(by or [F.lit(0)])).applyInPandas(run, rows.schema)
+    if by:
+        return rows.groupBy(*by).applyInPandas(run, rows.schema)
+    return rows.withColumn("_query", F.lit(0)).groupBy("_query").applyInPandas(lambda pdf: run(pdf.drop(columns="_query")), rows.schema)
 
 
 def diversify(ranked: DataFrame, per_symbol: int = PER_SYMBOL, per_file: int = PER_FILE, limit: int = LIMIT, by: Sequence[str] = ()) -> DataFrame:

@@ -146,7 +146,7 @@ def _annotations(texts: pd.Series) -> pd.Series:
                 else:
                     specifiers.append(f"{name}={plain(value)}" if value else name)
             line = lambda at: text.count("\n", 0, at) + 1
-            rows.append({"macro": m[1], "macro_line": line(m.start(1)), "declaration_line": line(target.start(1)), "symbol_name": target[1], "specifiers": specifiers, "metadata": list(metadata.items())})
+            rows.append({"macro": m[1], "macro_line": line(m.start(1)), "declaration_line": line(target.start(1)), "symbol_name": target[1], "specifiers": specifiers, "metadata": metadata})
         return rows
 
     return texts.map(one)
