@@ -6,7 +6,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -195,3 +195,22 @@ def documentation_records(files: DataFrame, text: str = "text") -> DataFrame:
     block = F.regexp_extract(text, "(?m)^Description:[ \\t]*\\n((?:[ \\t-].*\\n?)*)", 1)
     said = F.array_join(F.regexp_extract_all(block, F.lit("(?m)^[ \\t-]*Text:[ \\t]*['\"]?([^'\"\\n]*)"), F.lit(1)), "\n")
     return files.select(F.upper(scalar("USR")).alias("documentation_id"), scalar("Name").alias("name"), said.alias("text"))
+
+
+#: The build files of a corpus, by the end of their name.
+FILE_KINDS = {".Build.cs": "module", ".Target.cs": "target", ".uproject": "project", ".uplugin": "plugin"}
+
+
+def walk(spark: SparkSession, *roots: str) -> DataFrame:
+    """(path, kind, text) of the build files below ``roots``."""
+    kind = F.coalesce(*[F.when(F.col("path").endswith(end), F.lit(k)) for end, k in FILE_KINDS.items()])
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{cs,uproject,uplugin}").load(list(roots))
+    return found.withColumn("kind", kind).where("kind is not null").select("path", "kind", F.decode("content", "UTF-8").alias("text"))
+
+
+def corpus_audit(files: DataFrame) -> DataFrame:
+    """(kind, parsed, n): how many of the walked files the scans understand."""
+    rules = lambda base: F.col("text").rlike(f"\\bclass\\s+[A-Za-z][A-Za-z0-9_]*\\s*:\\s*{base}\\b")
+    strict = F.try_parse_json(lenient_json(F.col("text"))).isNotNull()
+    parsed = F.when(F.col("kind") == "module", rules("ModuleRules")).when(F.col("kind") == "target", rules("TargetRules")).otherwise(strict)
+    return files.withColumn("parsed", parsed).groupBy("kind", "parsed").agg(F.count(F.lit(1)).alias("n"))

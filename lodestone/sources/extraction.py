@@ -99,6 +99,27 @@ def from_status_xml(rows: DataFrame, column: str = "xml") -> DataFrame:
     return entries.select(F.col("e._path").alias("path"), F.col("e.wc-status._item").alias("item"), F.col("e.wc-status._props").alias("props"), F.col("e.wc-status._revision").alias("revision"))
 
 
+INFO = "_kind string, _path string, _revision long, url string, repository struct<root:string,uuid:string>, commit struct<_revision:long,author:string,date:string>"
+DIFF = "_VALUE string, _item string, _kind string"
+
+
+def from_info_xml(rows: DataFrame, column: str = "xml") -> DataFrame:
+    """(kind, path, revision, url, root, uuid, commit_revision, author, date) from info documents."""
+    safe = require(rows, {"no DTD or entity": ~F.col(column).rlike("(?i)<!(DOCTYPE|ENTITY)")})
+    e = safe.select(F.explode(F.from_xml(column, f"entry array<struct<{_struct(INFO)}>>").getField("entry")).alias("e"))
+    return e.select(
+        F.col("e._kind").alias("kind"), F.col("e._path").alias("path"), F.col("e._revision").alias("revision"), "e.url", "e.repository.root", "e.repository.uuid",
+        F.col("e.commit._revision").alias("commit_revision"), "e.commit.author", F.to_timestamp("e.commit.date").alias("date"),
+    )
+
+
+def from_diff_xml(rows: DataFrame, column: str = "xml") -> DataFrame:
+    """(path, item, kind) from documents of changed paths."""
+    safe = require(rows, {"no DTD or entity": ~F.col(column).rlike("(?i)<!(DOCTYPE|ENTITY)")})
+    p = safe.select(F.explode(F.from_xml(column, f"paths struct<path: array<struct<{_struct(DIFF)}>>>").getField("paths").getField("path")).alias("p"))
+    return p.select(F.col("p._VALUE").alias("path"), F.col("p._item").alias("item"), F.col("p._kind").alias("kind"))
+
+
 def _struct(ddl: str) -> str:
     """Column DDL as fields of a struct."""
     schema = T.StructType.fromDDL(ddl)
