@@ -2,9 +2,10 @@
 
 Fingerprints that are equal are one node from the start. Two fingerprints within ``radius`` bits agree in at least one
 of ``radius + 1`` bit bands (for very many fingerprints: in two of ``radius + 2``), so the tiles are laid within groups
-of equal bands: nothing is lost, and the work doesn't grow with the square of the table. A group is cut into tiles by
-population count; a task compares one pair of tiles with numpy exclusive-or and bit counts, tile pairs whose population
-counts differ beyond the radius are skipped, and only a spanning forest of the links it finds leaves the task. The
+of equal bands: nothing is lost, and the work doesn't grow with the square of the table. A group of more than ``TILE``
+fingerprints is cut by hash, and a task gets pairs of such parts; there it sorts them by population count, cuts them into
+tiles and compares these with numpy exclusive-or and bit counts. Tile pairs whose population counts differ beyond the
+radius are skipped, and only a spanning forest of the links found leaves the task. The
 components are then joined by min-label hooking and pointer jumping in Spark.
 """
 
@@ -119,7 +120,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame
     masks = _band_keys(nodes.count(), radius)
     keyed = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("band", "part"))
     sizes = stash(keyed.groupBy("band", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "groups")
-    # A group of more than one tile is cut by population count and place; its rows go to each pair of tiles that they are in.
+    # A group of more than one tile is cut by hash; its rows go to each pair of tiles that they are in.
     tiles = F.ceil(F.col("n") / tile).cast("int")
     placed = keyed.join(sizes, ["band", "part"]).select("fp", "band", "part", tiles.alias("tiles"), F.pmod(F.xxhash64("fp"), tiles).cast("int").alias("mine"))
     pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -192,9 +193,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """The row of ``docs`` with the smallest id of each near-duplicate group, with all its columns."""
-    found = stash(near_duplicates(docs, id_col, radius), "near-duplicates")
-    firsts = stash(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("first_id")).count(), "firsts")
-    kept = docs.join(firsts, docs[id_col].eqNullSafe(firsts["first_id"]), "left_semi")
-    repeated = not firsts.where("count > 1").isEmpty()  # rows of one id: any of them stands for the group
+    """The row of ``docs`` with the smallest id of each near-duplicate group, with all its columns.
+
+    The ids that go are fewer than those that stay, so texts meet the former: where these are few, no text is shuffled.
+    """
+    found = near_duplicates(docs, id_col, radius)
+    mine = F.col(id_col).eqNullSafe(F.col("component_id"))
+    others = stash(found.groupBy(F.col(id_col).alias("other_id")).agg(F.count_if(mine).alias("wins")).where("wins <> 1"), "others")
+    gone = others.where("wins = 0").select("other_id")
+    kept = docs.join(gone, docs[id_col].eqNullSafe(gone["other_id"]), "left_anti")
+    repeated = not others.where("wins > 1").isEmpty()  # rows of one id: any of them stands for the group
     return kept.dropDuplicates([id_col]) if repeated else kept
