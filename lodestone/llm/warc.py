@@ -105,17 +105,16 @@ def _walk(batches):
         for path, entry, end in zip(pdf["path"], pdf["entry"], pdf["end"]):
             rows = []
             with _open(path) as f:
-                size, at = f.size(), entry
-                while at < end and at < size:
-                    f.seek(at)
-                    data = f.read(HEADER)
-                    found = _header(data, 0)
+                f.seek(entry)
+                held, at = f.read(end - entry + HEADER), entry  # one read: each header that begins in the range is whole
+                while at < end:
+                    found = _header(held, at - entry)
                     if found is None:
                         break
                     fields, head, whole = found
-                    data = data[:whole]
-                    while len(data) < whole and (more := f.read(whole - len(data))):
-                        data += more
+                    while at - entry + whole > len(held) and (more := f.read(at - entry + whole - len(held))):
+                        held += more  # the last record of the range
+                    data = held[at - entry : at - entry + whole]
                     cut = data.find(END, head)
                     payload = data[cut + len(END) : whole - len(END)] if cut >= 0 else b""
                     kind = fields[b"warc-type"].decode()
