@@ -52,7 +52,7 @@ def fingerprints(texts: pd.Series, shingle: int = SHINGLE) -> np.ndarray:
 
 def _fingerprint(batches):
     for pdf in batches:
-        yield pd.DataFrame({"key": pdf["key"], "fp": fingerprints(pdf["text"]).view(np.int64)})
+        yield pdf.drop(columns="text").assign(fp=fingerprints(pdf["text"]).view(np.int64))
 
 
 def _roots(parent: np.ndarray) -> np.ndarray:
@@ -159,17 +159,28 @@ def _each(one, pdf, starts):
         yield pd.concat(out, ignore_index=True)
 
 
+def _label(nodes: DataFrame):
+    """What the smallest of a component is found by: its id (nulls last), its text hash if there is one, its fingerprint."""
+    more = [c for c in nodes.columns if c == "hash"]
+    return F.struct(F.col("low").isNull().alias("none"), "low", *more, F.col("fp").alias("at"))
+
+
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(fp, component) for the nodes (fp, low) that have links: the smallest ``low`` reachable. Null lows count as largest."""
+    return _labels(edges, nodes).select("fp", F.col("label.low").alias("component"))
+
+
+def _labels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(fp, label) for the nodes that have links: the smallest label reachable."""
     both = stash(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct(), "edges")
-    first = both.select(F.col("u").alias("fp")).distinct().join(nodes, "fp").select("fp", F.struct(F.col("low").isNull().alias("none"), "low", F.col("fp").alias("at")).alias("label"))
+    first = both.select(F.col("u").alias("fp")).distinct().join(nodes, "fp").select("fp", _label(nodes).alias("label"))
     labels = stash(first, "labels")
     while True:
         # hook: each node takes the smallest label around it; jump: then the label of the node that its label names
         around = both.join(labels.select(F.col("fp").alias("v"), "label"), "v").groupBy(F.col("u").alias("fp")).agg(F.min("label").alias("near"))
         hooked = stash(labels.join(around, "fp").select("fp", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("moved")), "hooked")
         if hooked.where("moved").isEmpty():
-            return labels.select("fp", F.col("label.low").alias("component"))
+            return labels
         jump = hooked.select(F.col("fp").alias("at"), F.col("label").alias("further"))
         labels = stash(hooked.withColumn("at", F.col("label.at")).join(jump, "at").select("fp", F.least("label", "further").alias("label")), "labels")
 
@@ -192,15 +203,31 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """The row of ``docs`` with the smallest id of each near-duplicate group, with all its columns.
+def _text_hash(docs: DataFrame):
+    return F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """One row of ``docs`` of each near-duplicate group, with all its columns: that of the smallest id, null ids last.
 
-    The ids that go are fewer than those that stay, so texts meet the former: where these are few, no text is shuffled.
+    Ids may be null or come with several texts, so (id, hash of the text) decides; of several texts of a group's smallest
+    id, the one with the smallest hash stays, of rows that repeat both the first by their other columns. What goes or is
+    repeated is less than what stays, so texts meet the former: where it is little, no text is shuffled.
     """
-    found = near_duplicates(docs, id_col, radius)
-    mine = F.col(id_col).eqNullSafe(F.col("component_id"))
-    others = stash(found.groupBy(F.col(id_col).alias("other_id")).agg(F.count_if(mine).alias("wins")).where("wins <> 1"), "others")
-    gone = others.where("wins = 0").select("other_id")
-    kept = docs.join(gone, docs[id_col].eqNullSafe(gone["other_id"]), "left_anti")
-    repeated = not others.where("wins > 1").isEmpty()  # rows of one id: any of them stands for the group
-    return kept.dropDuplicates([id_col]) if repeated else kept
+    cols = docs.select(as_key(id_col), _text_hash(docs).alias("hash"), "text")
+    prints = stash(from_key(cols.mapInPandas(_fingerprint, "key string, hash long, fp long"), docs, id_col, "key"), "fingerprints")
+    low = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "hash"))
+    nodes = stash(prints.groupBy("fp").agg(low.alias("low")).select("fp", F.col("low.key").alias("low"), F.col("low.hash").alias("hash")), "nodes")
+    labels = _labels(stash(links(nodes, radius, tile), "links"), nodes)
+    named = stash(nodes.join(labels, "fp", "left").select("fp", F.coalesce("label", _label(nodes)).alias("label")), "named")
+    stays = F.col("key").eqNullSafe(F.col("label.low")) & (F.col("hash") == F.col("label.hash"))
+    pairs = prints.join(named, "fp").select(F.col("key").alias("other_id"), F.col("hash").alias("other_hash"), stays.alias("stays"))
+    others = stash(pairs.groupBy("other_id", "other_hash", "stays").agg(F.count(F.lit(1)).alias("n")).where("not stays or n > 1"), "others")
+    same = lambda these: docs[id_col].eqNullSafe(these["other_id"]) & (_text_hash(docs) == these["other_hash"])
+    kept, repeated = docs.join(others, same(others), "left_anti"), others.where("stays")
+    if repeated.isEmpty():
+        return kept
+    again = docs.join(repeated, same(repeated), "left_semi")
+    rest = F.struct(*[again[f"`{c}`"] for c in again.columns if c != "text"])
+    first = F.min_by(F.struct(*[again[f"`{c}`"] for c in again.columns]), F.struct(again["text"].isNull(), F.to_json(rest)))
+    return kept.unionByName(again.groupBy(again[id_col].alias("_id"), _text_hash(again).alias("_hash")).agg(first.alias("_row")).select("_row.*"))
