@@ -20,7 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or without a language that holds half of their words' posterior, go."""
+    """Documents without letters, or whose words are not identified (in whatever languages) with half their posterior, go."""
     return crf.keep_identified(docs, crf.train(docs))
 
 

@@ -154,6 +154,11 @@ def fit(sample: list[tuple[str, list[str]]], steps: int = STEPS, seed: int = 1)
 
 def posterior_means(scores: np.ndarray, sizes: np.ndarray, moves: np.ndarray, start: np.ndarray, block: int = BLOCK) -> np.ndarray:
     """Mean word posterior (documents, k) of chains that lie one after another in ``scores``; ``sizes`` are positive."""
+    return _posteriors(scores, sizes, moves, start, block)[0]
+
+
+def _posteriors(scores: np.ndarray, sizes: np.ndarray, moves: np.ndarray, start: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """The means of ``posterior_means``, and the posteriors (words, k) themselves."""
     k, a = scores.shape[1], np.exp(moves)
     blocks = -(-sizes // block)
     first = np.concatenate([[0], np.cumsum(blocks)[:-1]])
@@ -194,10 +199,11 @@ def posterior_means(scores: np.ndarray, sizes: np.ndarray, moves: np.ndarray, st
     total, now = np.zeros((nb, k)), back
     for t in range(block - 1, -1, -1):
         p = alpha[t] * now
-        total += np.where(here[t], p / p.sum(1, keepdims=True), 0)
+        alpha[t] = p / p.sum(1, keepdims=True)
+        total += np.where(here[t], alpha[t], 0)
         m = (psi[t] * now) @ a.T
         now = np.where(here[t], m / m.sum(1, keepdims=True), now)
-    return np.add.reduceat(total, first, axis=0) / sizes[:, None]
+    return np.add.reduceat(total, first, axis=0) / sizes[:, None], alpha[col, row]
 
 
 class Scorer:
@@ -208,8 +214,26 @@ class Scorer:
 
     def __call__(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """(posterior means, whether the text has a letter) of the texts."""
+        return self.scored(texts)[:2]
+
+    def scored(self, texts: list, words: bool = False) -> tuple:
+        """(posterior means, whether the text has a letter, mean of each word's largest posterior, labels) of the texts.
+
+        ``labels`` has the posteriors (words, k) of each text, None where it has no letter or ``words`` isn't set.
+        """
         k = len(self.field.langs)
         out, has = np.zeros((len(texts), k)), np.zeros(len(texts), bool)
+        sure, labels = np.zeros(len(texts)), [None] * len(texts)
+
+        def put(some: list[int], held: list[list[str]]) -> None:
+            sizes = np.fromiter(map(len, held), np.int64, len(held))
+            out[some], each = self._score(held, sizes)
+            begins = np.cumsum(sizes) - sizes
+            has[some], sure[some] = True, np.add.reduceat(each.max(1), begins) / sizes
+            if words:
+                for i, part in zip(some, np.split(each, begins[1:])):
+                    labels[i] = part
+
         some, held, n = [], [], 0
         for i, text in enumerate(texts):
             words = words_of(text)
@@ -219,12 +243,13 @@ class Scorer:
                 some.append(i), held.append(words)
                 n += len(words)
             if held and (n >= AT_ONCE or i == len(texts) - 1):
-                out[some], has[some], some, held, n = self._score(held), True, [], [], 0
+                put(some, held)
+                some, held, n = [], [], 0
         if held:
-            out[some], has[some] = self._score(held), True
-        return out, has
+            put(some, held)
+        return out, has, sure, labels
 
-    def _score(self, held: list[list[str]]) -> np.ndarray:
+    def _score(self, held: list[list[str]], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(self.ids) > KNOWN:
             self.ids, self.table = {}, self.table[:0]
         ids, fresh = [], []
@@ -238,8 +263,7 @@ class Scorer:
                 ids.append(i)
         if fresh:
             self.table = np.concatenate([self.table, self.field.emissions(fresh)])
-        sizes = np.fromiter(map(len, held), np.int64, len(held))
-        return posterior_means(self.table[np.array(ids, np.int64)], sizes, self.field.moves, self.field.start)
+        return _posteriors(self.table[np.array(ids, np.int64)], sizes, self.field.moves, self.field.start)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", per_lang: int = SAMPLE) -> Field | None:
@@ -270,8 +294,22 @@ def hash_of(key) -> int:
     return int(np.frombuffer(hashlib.blake2b(str(key).encode(), digest_size=4).digest(), "<u4")[0])
 
 
-def identify(docs: DataFrame, field: Field | None, id_col: str = "doc_id") -> DataFrame:
-    """Per row of ``docs``: ``id_col``, lang_pred, score, shares (mean posterior by language).
+SPANS = "array<struct<first:int,last:int,lang:string,posterior:double>>"
+
+
+def spans_of(post: np.ndarray, langs: list[str]) -> list[tuple[int, int, str, float]]:
+    """Runs of words whose largest posterior names one language: first and last word, language, mean posterior."""
+    label, top = post.argmax(1), post.max(1)
+    begins = np.concatenate([[0], np.nonzero(np.diff(label))[0] + 1])
+    ends = np.append(begins[1:], len(label))
+    means = np.add.reduceat(top, begins) / (ends - begins)
+    return [(int(a), int(b) - 1, langs[label[a]], float(min(1.0, m))) for a, b, m in zip(begins, ends, means)]
+
+
+def identify(docs: DataFrame, field: Field | None, id_col: str = "doc_id", spans: bool = False) -> DataFrame:
+    """Per row of ``docs``: ``id_col``, lang_pred, score, shares (mean posterior by language); if asked, ``spans``.
+
+    ``spans`` are the runs of words of one language: first and last of the words with a letter, language, mean posterior.
 
     Texts that are null or have no letter get ``und`` and score 0, as all do without a field. Ties go to the first
     language by name. Repeated rows each get their row; other columns are not read.
@@ -281,16 +319,19 @@ def identify(docs: DataFrame, field: Field | None, id_col: str = "doc_id") -> Da
     def run(batches):
         score = Scorer(field) if field else None
         for pdf in batches:
-            langs, scores, shares = ["und"] * len(pdf), np.zeros(len(pdf)), [{}] * len(pdf)
+            langs, scores, shares, runs = ["und"] * len(pdf), np.zeros(len(pdf)), [{}] * len(pdf), [[]] * len(pdf)
             if score:
-                mean, has = score(list(pdf["text"]))
+                mean, has, _, labels = score.scored(list(pdf["text"]), spans)
                 best = mean.argmax(1)
                 langs = [field.langs[b] if h else "und" for b, h in zip(best, has)]
                 scores = np.where(has, np.clip(mean.max(1), 0, 1), 0.0)
                 shares = [dict(zip(field.langs, map(float, m))) if h else {} for m, h in zip(mean, has)]
-            yield pd.DataFrame({"key": pdf["key"], "lang_pred": langs, "score": scores, "shares": shares})
+                runs = [[] if post is None else spans_of(post, field.langs) for post in labels] if spans else runs
+            out = pd.DataFrame({"key": pdf["key"], "lang_pred": langs, "score": scores, "shares": shares})
+            yield out.assign(spans=runs) if spans else out
 
-    return from_key(cols.mapInPandas(run, "key string, lang_pred string, score double, shares map<string,double>"), docs, id_col)
+    kinds = "key string, lang_pred string, score double, shares map<string,double>" + (f", spans {SPANS}" if spans else "")
+    return from_key(cols.mapInPandas(run, kinds), docs, id_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,9 +342,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, field: Field | None, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose text is in a known language at a mean posterior of ``least``, with all their columns.
+    """The rows of ``docs`` whose words are in known languages, with all their columns.
 
-    Without a field nothing can be rejected for its score: the texts without a letter go.
+    The mean of each word's largest posterior is ``least`` at least: a text may switch between languages as often as it
+    likes. Without a field nothing can be rejected for its score: the texts without a letter go.
     """
 
     def run(batches):
@@ -311,8 +353,8 @@ def keep_identified(docs: DataFrame, field: Field | None, least: float = 0.5) ->
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             if score:
-                mean, has = score(texts)
-                has &= mean.max(1) >= least
+                _, has, sure, _ = score.scored(texts)
+                has &= sure >= least
             else:
                 has = np.array([any(map(str.isalpha, t or "")) for t in texts], bool)
             yield batch.filter(pa.array(has))
