@@ -9,12 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone import schemas
+from lodestone.storage import stash
 from lodestone.validate import ValidationError
 
 #: The default weight of each signal, the rank constant, and the caps of the diversity pass.
 WEIGHTS, RANK_CONSTANT = {"exact": 1.0, "fts": 0.8, "vector": 0.7, "graph": 0.5}, 60
 PER_SYMBOL, PER_FILE, LIMIT = 3, 5, 20
 RERANK_WEIGHT, BUDGET = 0.7, 1 << 20
+#: Rows of a query that a round of packing looks at.
+AT_ONCE = 500
 
 
 def identity_conflicts(candidates: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -96,15 +99,52 @@ def rerank(ranked: DataFrame, scores: DataFrame, weight: float = RERANK_WEIGHT,
 
 def pack(ranked: DataFrame, budget: int = BUDGET, limit: int = LIMIT, by: Sequence[str] = (), text: str = "text") -> DataFrame:
     """Takes rows in rank order while their UTF-8 text fits what is left of ``budget``; one that doesn't fit is skipped."""
+    sized = ranked.withColumn("utf8_bytes", F.octet_length(text).cast("long"))
+    taken = packed(sized, budget, limit, by).drop("utf8_bytes").select("chunk_key", F.col("rank").alias("_place"), F.col("before").alias("_rank"), *[F.col(c).alias(f"_by_{c}") for c in by])
+    same = (sized["chunk_key"] == taken["chunk_key"]) & (sized["rank"] == taken["_rank"])
+    for c in by:
+        same &= sized[c].eqNullSafe(taken[f"_by_{c}"])
+    place = F.col("_place").cast(sized.schema["rank"].dataType).alias("rank")
+    return sized.join(taken, same).select(*[place if c == "rank" else sized[c] for c in sized.columns])
+
+
+def packed(sized: DataFrame, budget: int = BUDGET, limit: int = LIMIT, by: Sequence[str] = (), at_once: int = AT_ONCE) -> DataFrame:
+    """What ``pack`` takes, from (by, chunk_key, rank, utf8_bytes) alone: these, rank anew, and ``before``: the rank it had.
+
+    No task holds all rows of a query. A round takes from the first ``at_once`` rows that fit what is left by themselves;
+    so the first of them is always taken, and there are ``limit`` rounds at most, as a rule one or two.
+    """
     if not 1 << 10 <= budget <= 4 << 20:
         raise ValueError("a budget of 1 KiB to 4 MiB")
+    keys = [f"k{i}" for i in range(len(by))] or ["k"]
+    named = [F.col(c).alias(k) for c, k in zip(by, keys)] or [F.lit(0).alias("k")]
+    rows = stash(sized.select(*named, "chunk_key", F.col("rank").cast("long").alias("before"), "utf8_bytes").where(F.col("utf8_bytes") <= budget), "sizes")
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys) + ", chunk_key string, before long, utf8_bytes long, rank long, left long, more boolean"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, taken = budget, []
-        for i, n in enumerate((pdf := pdf.sort_values("rank"))["utf8_bytes"]):
-            if n <= left and len(taken) < limit:
-                left -= n
+        pdf = pdf.sort_values("before", kind="stable")
+        left, n, taken, places = int(pdf["left"].iloc[0]), int(pdf["n"].iloc[0]), [], []
+        for i, size in enumerate(pdf["utf8_bytes"]):
+            if size <= left and n < limit:
+                left, n = left - int(size), n + 1
                 taken.append(i)
-        return pdf.iloc[taken].assign(rank=range(1, len(taken) + 1))
-
-    return _per_query(ranked.withColumn("utf8_bytes", F.octet_length(text).cast("long")), by, run)
+                places.append(n)
+        out = pdf.iloc[taken].assign(rank=places, left=left, more=False)
+        # the state after these rows: how many are taken, up to which rank, what is left
+        state = pdf.iloc[-1:].assign(chunk_key=None, utf8_bytes=0, rank=n, left=left, more=len(pdf) >= at_once and n < limit)
+        return pd.concat([out, state])[[*keys, "chunk_key", "before", "utf8_bytes", "rank", "left", "more"]]
+
+    first = F.rank().over(Window.partitionBy(*keys).orderBy("before"))
+    now, done = rows.withColumns({"left": F.lit(budget).cast("long"), "n": F.lit(0).cast("long")}), None
+    while True:
+        out = stash(now.withColumn("first", first).where(F.col("first") <= at_once).drop("first").groupBy(*keys).applyInPandas(run, kinds), "packed")
+        new = out.where("chunk_key is not null")
+        done = new if done is None else done.unionByName(new)
+        state = out.where("more").select(*[F.col(k).alias(f"s_{k}") for k in keys], F.col("before").alias("upto"), "left", F.col("rank").alias("n"))
+        if state.isEmpty():
+            break
+        same = (rows["before"] > state["upto"]) & (rows["utf8_bytes"] <= state["left"])
+        for k in keys:
+            same &= rows[k].eqNullSafe(state[f"s_{k}"])
+        now = rows.join(state, same).select(*[rows[c] for c in rows.columns], "left", "n")
+    return done.select(*[F.col(k).alias(c) for c, k in zip(by, keys)], "chunk_key", "utf8_bytes", "before", "rank")

@@ -168,9 +168,9 @@ def diversity_two_caps(spark, sf):
 
 @query()
 def budget_packing(spark, sf):
-    ranked = fusion.rrf(_signals(spark, sf), by=["lang"], check=False).where("rank <= 200")
-    texts = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("chunk_key"), "text")
-    return fusion.pack(ranked.join(texts, "chunk_key"), 1 << 16, by=["lang"]).select("lang", "chunk_key", "utf8_bytes", "rank")
+    ranked = fusion.rrf(_signals(spark, sf), by=["lang"], check=False).select("lang", "chunk_key", "rank")
+    sizes = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("chunk_key"), F.octet_length("text").cast("long").alias("utf8_bytes"))
+    return fusion.packed(ranked.join(sizes, "chunk_key"), 1 << 16, by=["lang"]).select("lang", "chunk_key", "utf8_bytes", F.col("rank").cast("int").alias("rank"))
 
 
 def _edges(spark, sf):
