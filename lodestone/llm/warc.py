@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import new_path, stash, table
 
 MAGIC, END = b"WARC/1.0\r\n", b"\r\n\r\n"
-#: Least bytes of a payload that is written once; bytes of a range that one task scans; longest header; fixed date.
+#: Least bytes of a payload that is written once; bytes of a range that one task scans; bytes read beyond it at first; fixed date.
 LEAST, RANGE, HEADER, DATE = 1000, 32 << 20, 1 << 16, "2024-01-01T00:00:00Z"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 FIELD = re.compile(rb"^([A-Za-z-]+):[ \t]*([^\r\n]*)\r\n", re.M)
@@ -60,12 +60,44 @@ def _open(path: str):
     return where.open_input_file(name)
 
 
-def _header(data: bytes, at: int):
+class _Held:
+    """The bytes of an archive from ``begin`` on: ``size`` at first, and more where a header or a record goes on."""
+
+    def __init__(self, f, begin: int, size: int):
+        f.seek(begin)
+        self.f, self.data, self.end = f, f.read(size), -1
+
+    def reach(self, size: int) -> bool:
+        """Holds ``size`` bytes at least, if there are so many."""
+        parts, n = [self.data], len(self.data)
+        while n < size and (more := self.f.read(size - n)):
+            parts.append(more)
+            n += len(more)
+        if len(parts) > 1:
+            self.data = b"".join(parts)
+        return n >= size
+
+    def find_end(self, at: int) -> int:
+        """Where the first END from ``at`` on is, or the file's end; ``at`` doesn't fall from call to call."""
+        if self.end < at:
+            look = at
+            while (end := self.data.find(END, look)) < 0:
+                look, n = max(at, len(self.data) - len(END) + 1), len(self.data)
+                self.reach(n + max(HEADER, n - at))  # twice as much each time
+                if len(self.data) == n:
+                    end = n
+                    break
+            self.end = end
+        return self.end
+
+
+def _header(held: _Held, at: int):
     """(fields, bytes of the header, bytes of the record) of what looks like a record at ``at``, or None."""
-    if not data.startswith(MAGIC, at):
+    if not held.data.startswith(MAGIC, at):
         return None
-    end = data.find(END, at, at + HEADER)
-    if end < 0:
+    end = held.find_end(at)
+    data = held.data
+    if end == len(data) or (end - at > HEADER and data.find(b"\r\n" + MAGIC, at, end) >= 0):  # no header has a line of magic
         return None
     fields = {k.lower(): v for k, v in FIELD.findall(data[at + len(MAGIC) : end + 2])}
     length = fields.get(b"content-length", b"")
@@ -80,15 +112,13 @@ def _scan(batches):
     for pdf in batches:
         for path, begin, end in zip(pdf["path"], pdf["begin"], pdf["end"]):
             with _open(path) as f:
-                f.seek(begin)
-                data = f.read(end - begin + HEADER)
-            at, after = [], []
-            for m in re.finditer(re.escape(MAGIC), data):
-                if m.start() >= end - begin:
-                    break
-                if found := _header(data, m.start()):
-                    at.append(m.start())
-                    after.append(m.start() + found[2])
+                held, at, after = _Held(f, begin, end - begin + HEADER), [], []
+                for m in re.finditer(re.escape(MAGIC), held.data):
+                    if m.start() >= end - begin:
+                        break
+                    if found := _header(held, m.start()):
+                        at.append(m.start())
+                        after.append(m.start() + found[2])
             off, nxt = np.array(at, np.int64), np.array(after, np.int64)
             n = len(off)
             k = np.searchsorted(off, nxt)
@@ -105,16 +135,14 @@ def _walk(batches):
         for path, entry, end in zip(pdf["path"], pdf["entry"], pdf["end"]):
             rows = []
             with _open(path) as f:
-                f.seek(entry)
-                held, at = f.read(end - entry + HEADER), entry  # one read: each header that begins in the range is whole
+                held, at = _Held(f, entry, end - entry + HEADER), entry  # one read, but for what goes on beyond the range
                 while at < end:
                     found = _header(held, at - entry)
                     if found is None:
                         break
                     fields, head, whole = found
-                    while at - entry + whole > len(held) and (more := f.read(at - entry + whole - len(held))):
-                        held += more  # the last record of the range
-                    data = held[at - entry : at - entry + whole]
+                    held.reach(at - entry + whole)  # the last record of the range
+                    data = held.data[at - entry : at - entry + whole]
                     cut = data.find(END, head)
                     payload = data[cut + len(END) : whole - len(END)] if cut >= 0 else b""
                     kind = fields[b"warc-type"].decode()
@@ -181,11 +209,13 @@ def round_trip(pages: DataFrame, path: str, id_col: str = "page_id") -> DataFram
     """Writes ``pages`` to archives at ``path`` and reads them back: id, payload_bytes, payload_digest, record_type, refers_to.
 
     Null html is an empty payload. Of equal payloads of at least ``LEAST`` bytes, the row with the largest id is the
-    response; rows that repeat this id are responses too. Other columns are not read.
+    response; rows that repeat this id are responses too. Other columns are not read. Fails unless each row comes back.
     """
     write_archives(pages, path, id_col)
     kind = dict(pages.dtypes)[id_col]
-    rows = read_archives(pages.sparkSession, path)
+    rows = stash(read_archives(pages.sparkSession, path).drop("url"), "records")
+    if (n := rows.count()) != (written := pages.count()):
+        raise RuntimeError(f"{n} records read of {written} written")
     return rows.select(F.col("id").cast(kind).alias(id_col), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
 
