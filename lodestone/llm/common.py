@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.storage import new_path, stash, table
 
-__all__ = ["SPACE_GAP", "WORD_GAP", "as_key", "crc_remainder", "from_key", "lower_ascii", "new_path", "split_words", "stash", "table"]
+__all__ = ["SPACE_GAP", "WORD_GAP", "again", "as_key", "crc_remainder", "from_key", "lower_ascii", "new_path", "split_words", "stash", "table"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words of letters and digits: every ASCII character that is neither a lower-case letter nor a digit.
@@ -39,3 +39,14 @@ def as_key(id_col: str) -> Column:
 def from_key(out: DataFrame, docs: DataFrame, id_col: str, name: str | None = None) -> DataFrame:
     """``out`` with its text key turned back into the id of ``docs``, under ``name`` (the id's own)."""
     return out.withColumn("key", F.col("key").cast(docs.schema[id_col].dataType)).withColumnRenamed("key", name or id_col)
+
+
+#: Rows that are made of one row at once where it stands for many.
+AT_ONCE = 10_000
+
+
+def again(df: DataFrame, times: str) -> DataFrame:
+    """Each row as often as ``times`` says (at least once), in steps that no row's array outgrows."""
+    n = F.greatest(F.col(times), F.lit(1))
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / AT_ONCE)))
+    return df.withColumn("_part", parts).withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(AT_ONCE).cast("long"), n - F.col("_part") * AT_ONCE)))).drop("_part", "_again")
