@@ -1,12 +1,14 @@
 """SimHash near-duplicate groups by tiled exact comparison.
 
-Fingerprints that are equal are one node from the start. Two fingerprints within ``radius`` bits agree in at least one
-of ``radius + 1`` bit bands (for very many fingerprints: in two of ``radius + 2``), so the tiles are laid within groups
-of equal bands: nothing is lost, and the work doesn't grow with the square of the table. A group of more than ``TILE``
+Fingerprints that are equal are one node from the start. Two fingerprints within ``radius`` bits agree in at least
+``n - radius`` of ``n`` bit bands, whatever ``n`` is, so the tiles are laid within groups that agree in so many bands:
+nothing is lost. The number of bands follows the table: more bands make more, but far smaller groups, and the groups are
+counted before anything is compared, so that a fingerprint meets ``GROUP`` others a band set at most on average. Only
+where more bands don't part them, as in a dense cloud of near copies, are groups larger. A group of more than ``TILE``
 fingerprints is cut by hash, and a task gets pairs of such parts; there it sorts them by population count, cuts them into
 tiles and compares these with numpy exclusive-or and bit counts. Tile pairs whose population counts differ beyond the
-radius are skipped, and only a spanning forest of the links found leaves the task. The
-components are then joined by min-label hooking and pointer jumping in Spark.
+radius are skipped, and only a spanning forest of the links found leaves the task. The components are then joined by
+min-label hooking and pointer jumping in Spark.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import as_key, from_key, stash, table
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
-#: Fingerprints of a tile; above how many fingerprints two bands must agree.
-TILE, MANY = 4096, 30_000_000
+#: Fingerprints of a tile; how many others a fingerprint may meet in a group on average; most bands (70 sets of 4 of 8).
+TILE, GROUP, BANDS = 4096, 256, 8
 
 
 def fingerprints(texts: pd.Series, shingle: int = SHINGLE) -> np.ndarray:
@@ -106,20 +108,45 @@ def _compare(radius: int):
     return run
 
 
-def _band_keys(n: int, radius: int):
-    """Masks of the bits that a group shares: single bands of radius + 1, or pairs of radius + 2 bands."""
-    bands = radius + (1 if n <= MANY else 2)
+def band_sets(bands: int, radius: int = RADIUS) -> list[int]:
+    """Masks of the bits that a group shares: all sets of ``bands - radius`` of the bands that 64 bits are cut into."""
     cuts = [64 * i // bands for i in range(bands + 1)]
     masks = [((1 << cuts[i + 1]) - 1) ^ ((1 << cuts[i]) - 1) for i in range(bands)]
-    chosen = masks if n <= MANY else [x | y for x, y in combinations(masks, 2)]
+    chosen = [sum(some) for some in combinations(masks, bands - radius)]
     return [m - (1 << 64) if m >= 1 << 63 else m for m in chosen]
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Links (a, b) between distinct fingerprints ``fp`` that connect exactly what lies within ``radius`` bits."""
-    masks = _band_keys(nodes.count(), radius)
+def _grouped(nodes: DataFrame, bands: int, radius: int):
+    """(rows by band set, the groups of more than one of them)."""
+    masks = band_sets(bands, radius)
     keyed = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("band", "part"))
-    sizes = stash(keyed.groupBy("band", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "groups")
+    return keyed, stash(keyed.groupBy("band", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "groups")
+
+
+def groups(nodes: DataFrame, radius: int = RADIUS, group: int = GROUP, most: int = BANDS):
+    """Rows by band set, and their groups: of so many bands that the comparisons are in proportion to the fingerprints.
+
+    From the number of bands that evenly spread fingerprints would need, it goes on to more while their groups are larger
+    than that and another band still saves half of the comparisons.
+    """
+    n, bands = nodes.count(), radius + 1
+    while bands < most and n >> (64 * (bands - radius) // bands) > group:
+        bands += 1
+    met = F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0))
+    now = _grouped(nodes, bands, radius)
+    pairs = now[1].agg(met).first()[0]
+    while bands < most and pairs > group / 2 * n * len(band_sets(bands, radius)):
+        further = _grouped(nodes, bands + 1, radius)
+        fewer = further[1].agg(met).first()[0]
+        if 2 * fewer > pairs:
+            break
+        bands, now, pairs = bands + 1, further, fewer
+    return now
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE, group: int = GROUP) -> DataFrame:
+    """Links (a, b) between distinct fingerprints ``fp`` that connect exactly what lies within ``radius`` bits."""
+    keyed, sizes = groups(nodes, radius, group)
     # A group of more than one tile is cut by hash; its rows go to each pair of tiles that they are in.
     tiles = F.ceil(F.col("n") / tile).cast("int")
     placed = keyed.join(sizes, ["band", "part"]).select("fp", "band", "part", tiles.alias("tiles"), F.pmod(F.xxhash64("fp"), tiles).cast("int").alias("mine"))
