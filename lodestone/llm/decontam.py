@@ -3,7 +3,9 @@
 Windows of ``window`` consecutive item words are sets of word shingles that a contaminated text holds whole, so the
 necessary prefix of a window is its one rarest shingle. Shingles are ordered by how often the corpus holds them; the
 corpus joins the prefix shingles only, start positions and lengths bound the candidates, and the words of every
-candidate window are compared. The prefix table is broadcast in blocks of a bounded number of entries.
+candidate window are compared. The corpus is read twice, to count the shingles of the items and to look for prefixes. A
+prefix table of bounded size is broadcast; a larger one meets the hashes of the corpus in a shuffle that carries no text,
+and only the texts that have candidates are read for the verification.
 """
 
 from __future__ import annotations
@@ -11,9 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD_GAP, lower_ascii, split_words, stash, table
+from lodestone.llm.common import WORD_GAP, again, lower_ascii, split_words, stash, table
 
-#: Words of a window, words of a shingle, entries of a broadcast block (each holds at most two windows of words).
+#: Words of a window, words of a shingle, entries that are broadcast at most (each holds at most two windows of words).
 WINDOW, SHINGLE, BLOCK = 10, 3, 50_000
 
 
@@ -22,16 +24,18 @@ def _words(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.col(key).alias("key"), F.xxhash64(text).alias("h"), split_words(lower_ascii(text), WORD_GAP).alias("words"))
 
 
-def _grams(docs: DataFrame, k: int) -> DataFrame:
-    """A row per word place (one of null place for no words), with the hash of the shingle that starts there."""
+def _grams(docs: DataFrame, ks: list[int]) -> DataFrame:
+    """A row per word place (one of null place for no words), with the hash of the shingle that starts there; for several
+    lengths ``ks`` a row for each that fits (the first: always)."""
     placed = docs.select("key", "h", "words", F.posexplode_outer("words").alias("pos", "w"))
-    rest = [F.get("words", F.col("pos") + j) for j in range(1, k)]
-    whole = F.col("pos") + k <= F.size("words")
-    return placed.withColumn("g", F.when(whole, F.xxhash64("w", *rest)))
+    hashes = [F.when(F.col("pos") + k <= F.size("words"), _hash(k, F.col("w"), *[F.get("words", F.col("pos") + j) for j in range(1, k)])) for k in ks]
+    if len(ks) == 1:
+        return placed.withColumn("g", hashes[0]).withColumn("nth", F.lit(0))
+    return placed.select("*", F.posexplode(F.array(*hashes)).alias("nth", "g")).where("nth = 0 or g is not null")
 
 
-def _blocks(df: DataFrame, size: int, *by: str) -> int:
-    return max(1, -(-df.count() // size))
+def _hash(k: int, *words: Column) -> Column:
+    return F.xxhash64(F.lit(k), *words)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", window: int = WINDOW, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
@@ -48,66 +52,83 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         .dropDuplicates(["item", "h"]),
         "items",
     )
-    ks = sorted(r.k for r in items.select("k").distinct().collect())  # at most `shingle` values
-    found = None
-    for k in ks or [shingle]:
-        own = items.where(F.col("k") == k)
-        places = stash(_places(own, k), "places")
-        prefix = stash(_prefixes(places, _frequencies(d, places, k, block), k), "prefixes")
-        for i in range(n := _blocks(prefix, block)):
-            part = prefix if n == 1 else prefix.where(F.pmod(F.xxhash64("g", "item", "q"), F.lit(n)) == i)
-            hits = _probe(d, part.groupBy("g").agg(F.collect_list(F.struct("item", "q", "off", "length", "starts", "near")).alias("entries")), k, found is None)
-            found = hits if found is None else found.unionByName(hits)
-    return _summary(found, id_col)
-
-
-def _frequencies(d: DataFrame, places: DataFrame, k: int, block: int) -> DataFrame:
+    ks = sorted(r.k for r in items.select("k").distinct().collect()) or [shingle]  # at most `shingle` values
+    places = stash(_places(items, shingle), "places")
+    prefix = stash(_prefixes(places, _frequencies(d, places, ks, block)), "prefixes")
+    if prefix.count() <= block:
+        return _summary(_probe(d, prefix, ks), id_col)
+    return _summary(_probe_apart(d, prefix, ks), id_col)
+
+
+def _frequencies(d: DataFrame, places: DataFrame, ks: list[int], block: int) -> DataFrame:
     """How often the corpus holds each shingle of the items."""
     own = stash(places.select("g").distinct(), "shingles")
-    n = _blocks(own, block * 20)
-    counts = None
-    for i in range(n):
-        part = own if n == 1 else own.where(F.pmod("g", F.lit(n)) == i)
-        now = _grams(d, k).join(F.broadcast(part), "g").groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-        counts = now if counts is None else counts.unionByName(now)
-    return stash(counts, "frequencies")
+    grams = _grams(d, ks).select("g").where("g is not null")
+    few = own.count() <= 20 * block  # only a hash each
+    return stash(grams.join(F.broadcast(own) if few else own, "g").groupBy("g").agg(F.count(F.lit(1)).alias("df")), "frequencies")
 
 
-def _places(items: DataFrame, k: int) -> DataFrame:
+def _places(items: DataFrame, shingle: int) -> DataFrame:
     """The shingles of the items by place, each with the words that its windows can reach."""
-    placed = items.select("item", "h", "words", "n", "length", F.explode(F.sequence(F.lit(0), F.col("n") - k)).alias("q"))
+    k = F.col("k")
+    placed = items.select("item", "h", "words", "n", "length", "k", F.explode(F.sequence(F.lit(0), F.col("n") - k)).alias("q"))
     lo = F.greatest(F.lit(0), F.col("q") + k - F.col("length"))
     hi = F.least(F.col("n"), F.col("q") + F.col("length"))
-    g = F.xxhash64(*[F.get("words", F.col("q") + j) for j in range(k)])
+    word = [F.get("words", F.col("q") + j) for j in range(shingle)]
+    g = F.coalesce(*[F.when(k == n, _hash(n, *word[:n])) for n in range(1, shingle + 1)])
     return placed.select("item", "h", "n", "length", "q", g.alias("g"), lo.alias("off"), F.slice("words", lo + 1, hi - lo).alias("near"))
 
 
-def _prefixes(places: DataFrame, df: DataFrame, k: int) -> DataFrame:
-    """Each window's rarest shingle: per item and place of it the starts of the windows, and the words around it."""
+def _prefixes(places: DataFrame, df: DataFrame) -> DataFrame:
+    """Each window's rarest shingle: per item and place of it the starts of the windows, and the words around it.
+
+    A window with a shingle that the corpus never holds can't occur and has no prefix.
+    """
     rare = places.join(df, "g", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     of_window = rare.withColumn("s", F.explode(F.sequence(F.col("off"), F.least(F.col("q"), F.col("n") - F.col("length")))))
-    best = of_window.groupBy("item", "h", "length", "s").agg(F.min(F.struct("df", "g", "q", "off", "near")).alias("m"))
+    best = of_window.groupBy("item", "h", "length", "s").agg(F.min(F.struct("df", "g", "q", "off", "near")).alias("m")).where("m.df > 0")
     return best.groupBy("m.g", "item", "h", "m.q", "m.off", "length", "m.near").agg(F.collect_set("s").alias("starts"))
 
 
-def _probe(d: DataFrame, prefix: DataFrame, k: int, mark: bool) -> DataFrame:
-    """Verified windows of the corpus; with ``mark``, also one row of each document, to count its words and its repeats."""
-    first = F.col("pos").isNull() | (F.col("pos") == 0) if mark else F.lit(False)
-    joined = _grams(d, k).join(F.broadcast(prefix), "g", "left" if mark else "inner").where(first | F.col("entries").isNotNull())
+ENTRY = ["item", "q", "off", "length", "starts", "near"]
+
+
+def _probe(d: DataFrame, prefix: DataFrame, ks: list[int]) -> DataFrame:
+    """Verified windows of the corpus, and one row of each document, to count its words and its repeats."""
+    entries = prefix.groupBy("g").agg(F.collect_list(F.struct(*ENTRY)).alias("entries"))
+    first = (F.col("pos").isNull() | (F.col("pos") == 0)) & (F.col("nth") == 0)
+    joined = _grams(d, ks).join(F.broadcast(entries), "g", "left").where(first | F.col("entries").isNotNull())
     # No higher-order function here: Spark would leave generated code for it, and copy all words of a text for each hit.
     each = joined.select("key", "h", "words", "pos", first.alias("first"), F.posexplode_outer("entries").alias("i", "e"))
-    each = each.select("key", "h", "words", "pos", "first", "i", "e", F.posexplode_outer("e.starts").alias("j", "s"))
-    begin, length = F.col("pos") - F.col("e.q") + F.col("s"), F.col("e.length")
+    return _verified(each.select("key", "h", "words", "pos", "e.*", (F.col("first") & (F.coalesce("i", F.lit(0)) == 0)).alias("first")))
+
+
+def _probe_apart(d: DataFrame, prefix: DataFrame, ks: list[int]) -> DataFrame:
+    """The same for any number of prefixes: places join them by hash, and the candidates meet their texts afterwards."""
+    places = _grams(d, ks).where("g is not null").select("key", "h", "pos", "g").distinct()  # copies of a row have the same
+    found = stash(places.join(prefix.select("g", *ENTRY), "g").select(F.col("key").alias("_key"), F.col("h").alias("_h"), "pos", *ENTRY), "candidates")
+    # A text that comes with one id again and again is verified once: hits are a set, and the marks count the rows.
+    texts = d.join(found.select("_key", "_h").distinct(), d["key"].eqNullSafe(F.col("_key")) & (d["h"] == F.col("_h")), "left_semi").dropDuplicates(["key", "h"])
+    with_texts = texts.join(found, texts["key"].eqNullSafe(found["_key"]) & (texts["h"] == found["_h"])).drop("_key", "_h")
+    marks = d.select("key", "h", F.greatest(F.size("words"), F.lit(0)).cast("long").alias("n_words"), F.lit(1).cast("long").alias("mark"))
+    hits = _verified(with_texts.select("key", "h", "words", "pos", *ENTRY, F.lit(False).alias("first")))
+    return hits.unionByName(marks, allowMissingColumns=True)
+
+
+def _verified(each: DataFrame) -> DataFrame:
+    """(key, h, n_words, mark, hit): the windows of the candidates that stand in their texts, and the marks."""
+    each = each.select("key", "h", "words", "pos", "item", "q", "off", "length", "near", "first", F.posexplode_outer("starts").alias("j", "s"))
+    begin, length = F.col("pos") - F.col("q") + F.col("s"), F.col("length")
     fits = (begin >= 0) & (begin + length <= F.size("words"))
-    same = F.when(fits, F.slice("words", begin + 1, length) == F.slice("e.near", F.col("s") - F.col("e.off") + 1, length)).otherwise(F.lit(False))
+    same = F.when(fits, F.slice("words", begin + 1, length) == F.slice("near", F.col("s") - F.col("off") + 1, length)).otherwise(F.lit(False))
     n_words = F.greatest(F.size("words"), F.lit(0)).cast("long")
-    hit = F.when(same, F.struct(begin.alias("start"), length.alias("length"), F.col("e.item").alias("item")))
-    mark_here = F.col("first") & (F.coalesce("i", F.lit(0)) + F.coalesce("j", F.lit(0)) == 0)
-    return each.where(mark_here | same).select("key", "h", n_words.alias("n_words"), mark_here.cast("int").alias("mark"), hit.alias("hit"))
+    hit = F.when(same, F.struct(begin.alias("start"), length.alias("length"), F.col("item").alias("item")))
+    mark_here = F.col("first") & (F.coalesce("j", F.lit(0)) == 0)
+    return each.where(mark_here | same).select("key", "h", n_words.alias("n_words"), mark_here.cast("long").alias("mark"), hit.alias("hit"))
 
 
 def _summary(found: DataFrame, id_col: str) -> DataFrame:
-    per = found.groupBy("key", "h", "n_words").agg(F.sum("mark").cast("int").alias("repeats"), F.array_sort(F.collect_set("hit")).alias("hits"))
+    per = found.groupBy("key", "h", "n_words").agg(F.sum("mark").alias("repeats"), F.array_sort(F.collect_set("hit")).alias("hits"))
     zero = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).alias("reach"))
     step = lambda a, x: F.struct(
         (a["total"] + F.greatest(F.lit(0), x["start"] + x["length"] - F.greatest(x["start"], a["reach"]))).cast("long").alias("total"),
@@ -115,8 +136,7 @@ def _summary(found: DataFrame, id_col: str) -> DataFrame:
     )
     names = F.array_sort(F.array_distinct(F.transform("hits", lambda x: x["item"])))
     return (
-        per.withColumn("n_hit", F.aggregate("hits", zero, step)["total"]).withColumn("names", names)
-        .withColumn("again", F.explode(F.sequence(F.lit(1), F.greatest(F.col("repeats"), F.lit(1)))))
+        again(per.withColumn("n_hit", F.aggregate("hits", zero, step)["total"]).withColumn("names", names), "repeats")
         .select(
             F.col("key").alias(id_col), "n_words", "n_hit", F.size("names").cast("long").alias("n_items"),
             F.sha2(F.concat_ws(",", "names").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "hits", F.col("h").alias("text_hash"),
