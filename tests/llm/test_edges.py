@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,12 +169,31 @@ def test_urls(spark):
     assert urls.judge(pages.limit(0), good).count() == 0 and urls.judge(pages, good.limit(0)).count() == len(rows)
 
 
+def templates_of(spark, paths_and_marks, rules=None):
+    rows = [(i, f"http://h.net/{p}") for i, (p, _) in enumerate(paths_and_marks)]
+    good = [(i, g) for i, (_, g) in enumerate(paths_and_marks) if g is not None]
+    out = urls.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(good, "page_id long, good int"), rules=rules or {})
+    return {(r.template, r.verdict) for r in out.select("template", "verdict").distinct().collect()}
+
+
 def test_bad_branches_are_rejected_and_good_ones_left(spark):
-    rows = [(i, f"http://h.net/{'spam' if i % 4 == 0 else 'news'}/{i}") for i in range(400)]
-    pages = spark.createDataFrame(rows, "page_id long, url string")
-    good = spark.createDataFrame([(i, int(i % 4 != 0)) for i in range(0, 400, 2)] + [(i, 1) for i in range(1, 400, 2)], "page_id long, good int")
-    out = urls.judge(pages, good, rules={})
-    assert {(r.template, r.verdict) for r in out.select("template", "verdict").distinct().collect()} == {("h.net/spam/*", "block"), ("h.net/news/*", "allow")}
+    assert templates_of(spark, [(f"{'spam' if i % 4 == 0 else 'news'}/{i}", int(i % 4 != 0)) for i in range(400)]) == {("h.net/spam/**", "block"), ("h.net/news/**", "allow")}
+
+
+def test_branches_that_differ_below_the_fifth_segment(spark):
+    deep = [(f"a/b/2024/05/12/x/{'spam' if i % 2 else 'news'}/{i}", i % 2 ^ 1) for i in range(200)]
+    assert templates_of(spark, deep) == {("h.net/*/*/*/*/*/*/spam/**", "block"), ("h.net/*/*/*/*/*/*/news/**", "allow")}
+
+
+def test_similar_siblings_are_merged_and_their_differing_grandchildren_are_not(spark):
+    """Four sections, bad ones in two of each kind: the like are one branch; under the merged branch two children differ."""
+    rows = []
+    for i in range(400):
+        section = ("ads", "casino", "blog", "wiki")[i % 4]
+        rows.append((f"{section}/{i}", int(section in ("blog", "wiki"))))
+    assert templates_of(spark, rows) == {("h.net/{ads|casino}/**", "block"), ("h.net/{blog|wiki}/**", "allow")}
+    rows = [(f"{('en', 'fr')[i % 2]}/{('good', 'bad')[i // 2 % 2]}/{i}", 1 - i // 2 % 2) for i in range(400)]
+    assert templates_of(spark, rows) == {("h.net/*/good/**", "allow"), ("h.net/*/bad/**", "block")}
 
 
 def test_warc_rejects_magic_inside_payloads(spark):
@@ -281,16 +301,32 @@ def test_chains_of_links_are_one_component(spark):
         assert [got[v] for v in signed] == [100] * 21 + [121] * 2
 
 
-def test_bands_of_many_fingerprints_lose_nothing():
+def test_band_sets_lose_nothing():
     rng = random.Random(3)
-    for n in (10, simhash.MANY + 1):
-        masks = simhash._band_keys(n, 4)
+    for bands in range(5, simhash.BANDS + 1):
+        masks = [m & (1 << 64) - 1 for m in simhash.band_sets(bands)]
         for _ in range(300):
             a = rng.getrandbits(64)
             b = a
             for bit in rng.sample(range(64), 4):
                 b ^= 1 << bit
-            assert any((a & m) == (b & m) for m in (m & (1 << 64) - 1 for m in masks))
+            assert any((a & m) == (b & m) for m in masks)
+
+
+def test_comparisons_follow_the_number_of_fingerprints(spark):
+    """Unevenly drawn fingerprints: the same bound a fingerprint at any number of them; more bands find the same components."""
+    rng = np.random.default_rng(4)
+    met = {}
+    for n in (2000, 20_000):
+        fp = rng.integers(0, 1 << 63, n, dtype=np.int64) & rng.integers(0, 1 << 63, n, dtype=np.int64)  # a quarter of the bits
+        nodes = spark.createDataFrame(pd.DataFrame({"fp": np.unique(fp)}))
+        _, sizes = simhash.groups(nodes, group=2)
+        met[n] = sizes.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+    assert all(m <= n * 70 for n, m in met.items())  # half of `group` for each of 70 band sets, whatever n is
+    near = np.unique(np.concatenate([np.array([7, 9, 1 << 40]) ^ (1 << b) for b in range(30)]))
+    nodes = spark.createDataFrame(pd.DataFrame({"fp": near, "low": np.arange(len(near))}))
+    few, many = (sorted(map(tuple, simhash.components(simhash.links(nodes, group=g), nodes).collect())) for g in (256, 0.01))
+    assert few == many and len(few) == len(near)
 
 
 def test_pipeline_keeps_columns_and_counts(spark, sf):
