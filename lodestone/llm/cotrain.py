@@ -1,10 +1,11 @@
 """Quality classifier by co-training of a text-content view and a page-metadata view.
 
 Each view turns a document into a set of hashed features and has a classifier of its own: a regression on the features whose
-association with the label is significant, calibrated by a logistic curve. Over rounds, each view labels the documents
-of a pool that it is most sure of, and the other learns from them. At last the calibrated views are combined by a
-logistic curve fitted on held-back labels, and score all documents. Fitting happens on the driver, on bounded samples of
-labelled and unlabelled rows (``SAMPLE``); scoring is one pass over whole texts.
+association with the label is significant, calibrated by a logistic curve. The content view sees the text alone, the
+metadata view only stored columns: source, language, their pair and the stored length. One pass over whole texts turns
+all documents into features. Over rounds, each view scores all unlabelled documents in Spark, and the few that it is
+most sure of, of the whole table, teach the other. At last the calibrated views are combined by a logistic curve fitted
+on held-back labels, and score all documents. Only the labelled rows that fit the views are sampled (``SAMPLE``).
 """
 
 from __future__ import annotations
@@ -14,17 +15,19 @@ import re
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import as_key, from_key, table
+from lodestone.llm.common import as_key, from_key, stash, table
 
-#: At most about so many labelled rows, and as many unlabelled ones, by hash of the id.
+#: At most about so many labelled rows, by hash of the id.
 SAMPLE = 4000
 #: Hash slots; least |z| of a feature's association; rounds; pseudo-labels a view gives in a round; how sure it must be.
-SLOTS, LEAST_Z, ROUNDS, GIVEN, SURE = 1 << 20, 4.0, 4, 200, 0.98
+SLOTS, LEAST_Z, ROUNDS, GIVEN, SURE = 1 << 20, 4.0, 3, 400, 0.95
+#: Parts in which the surest documents are sought before they are sought among all.
+PARTS = 64
 #: Steps of a view's regression, their size, and its ridge.
-STEPS, RATE, RIDGE = 150, 0.3, 0.5
+STEPS, RATE, RIDGE = 120, 0.3, 0.5
 #: The score below which a document is rejected, and the toxicity above which it is.
 KEEP, TOXIC = 0.5, 0.5
 WORD = re.compile(r"[^\W\d_]+")
@@ -38,8 +41,8 @@ SHARES = (0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.7)
 
 
 def content_view(text: str) -> list[str]:
-    """Distinct words and their first letters, and binned shares of symbols, capitals, repeats and variety."""
-    tokens = text.split()
+    """Distinct words and their first letters; binned layout, and shares of symbols, capitals, repeats and variety."""
+    tokens, lines = text.split(), text.split("\n")
     words = WORD.findall(text.lower())
     n, chars = max(1, len(tokens)), max(1, len(text))
     seen = set(words)
@@ -49,19 +52,15 @@ def content_view(text: str) -> list[str]:
     out += [_bin("again", again, SHARES), _bin("symbols", symbols, (0.005, *SHARES)), _bin("loud", (text.count("!") + text.count("?")) / chars, (0.005, *SHARES))]
     out += [_bin("upper", sum(map(str.isupper, text)) / chars, (0.05, 0.1, 0.2, 0.4, 0.6)), _bin("variety", len(seen) / max(1, len(words)), (0.1, 0.2, 0.3, 0.4, 0.5, 0.7))]
     out += [_bin("letters", sum(map(len, words)) / chars, (0.3, 0.5, 0.6, 0.7, 0.8)), _bin("stops", text.count(".") / n, (0.005, 0.02, 0.05, 0.1, 0.2, 0.4))]
+    out += [_bin("lines", np.log2(len(lines)), tuple(range(1, 12))), _bin("line", np.log2(1 + len(text) / len(lines)), tuple(range(3, 16)))]
+    out += [_bin("token", chars / n, (3, 4, 5, 6, 7, 8, 10, 15)), _bin("same", 1 - len(set(lines)) / len(lines), SHARES), _bin("blank", sum(not x.strip() for x in lines) / len(lines), SHARES)]
     return out
 
 
-def metadata_view(text: str, lang, source) -> list[str]:
-    """Source, language, and binned length and layout."""
-    lines = text.split("\n")
-    tokens = text.count(" ") + len(lines)
-    return [
-        f"source {source}", f"lang {lang}", f"both {source} {lang}", _bin("chars", np.log2(1 + len(text)), tuple(range(3, 20))),
-        _bin("lines", np.log2(len(lines)), tuple(range(1, 12))), _bin("line", np.log2(1 + len(text) / len(lines)), tuple(range(3, 16))),
-        _bin("token", len(text) / max(1, tokens), (3, 4, 5, 6, 7, 8, 10, 15)), _bin("same", 1 - len(set(lines)) / len(lines), SHARES),
-        _bin("blank", sum(not x.strip() for x in lines) / len(lines), SHARES),
-    ]
+def metadata_view(lang, source, n_chars) -> list[str]:
+    """Source, language, both, and the binned stored length, by itself and with each; missing values are values."""
+    long = "none" if n_chars is None or n_chars != n_chars else str(int(np.log2(1 + max(0, int(n_chars))) * 2))
+    return [f"source {source}", f"lang {lang}", f"both {source} {lang}", f"long {long}", f"source {source} long {long}", f"lang {lang} long {long}"]
 
 
 class Hasher:
@@ -80,14 +79,7 @@ class Hasher:
             if h is None:
                 h = known[f] = xxhash.xxh64_intdigest(f) % SLOTS
             out.append(h)
-        return np.array(sorted(set(out)), np.int64)
-
-
-def views(texts, langs, sources, hasher: Hasher) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    clean = lambda t: t if isinstance(t, str) else ""
-    content = [hasher(content_view(clean(t))) for t in texts]
-    meta = [hasher(metadata_view(clean(t), lang, source)) for t, lang, source in zip(texts, langs, sources)]
-    return content, meta
+        return np.array(sorted(set(out)), np.int32)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1e-3, steps: int = 50) -> np.ndarray:
@@ -149,41 +141,33 @@ class View:
         return 1 / (1 + np.exp(-np.clip(self.sums(rows) * self.curve[0] + self.curve[1], -30, 30)))
 
 
-def co_train(content: list, meta: list, y: np.ndarray, pool_content: list, pool_meta: list, rounds: int = ROUNDS) -> tuple[View, View, np.ndarray] | None:
-    """The two views and the curve that combines their logits; None if the labels don't show both classes."""
-    if len(y) < 10 or y.min() == y.max():
-        return None
-    held = np.arange(len(y)) % 4 == 3  # for the last curve
-    if y[held].min() == y[held].max() or y[~held].min() == y[~held].max():
-        held[:] = False
-    own = np.nonzero(~held)[0]
-    taught = [dict(), dict()]  # pool row -> label, for each view
-    pools, sets = (pool_content, pool_meta), (content, meta)
-
-    def learn(v: int) -> View:
-        rows = [sets[v][i] for i in own] + [pools[v][i] for i in taught[v]]
-        return View().fit(rows, np.concatenate([y[own], np.array(list(taught[v].values()), float)]))
-
-    pair = [learn(0), learn(1)]
-    for _ in range(rounds):
-        told = 0
+class Pair:
+    """Both views of one target, taught by labelled rows and by what the other view has told them."""
+
+    def __init__(self, content: list, meta: list, y: np.ndarray):
+        self.sets, self.y = (content, meta), y
+        held = np.arange(len(y)) % 4 == 3  # for the last curve
+        if y[held].min() == y[held].max() or y[~held].min() == y[~held].max():
+            held[:] = False
+        self.held, self.own = held, np.nonzero(~held)[0]
+        self.told: tuple[dict, dict] = ({}, {})  # for each view: features of a pool row as bytes -> label
+        self.learn()
+
+    def learn(self) -> None:
+        self.views = []
         for v in (0, 1):
-            p = pair[v].probability(pools[v])
-            rate = y[own].mean()
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                most = max(1, round(GIVEN * (rate if label else 1 - rate)))
-                order = [i for i in np.argsort(-sure, kind="stable") if i not in taught[1 - v]][:most]
-                for i in order:
-                    if sure[i] >= SURE:
-                        taught[1 - v][int(i)] = label
-                        told += 1
-        if not told:
-            break
-        pair = [learn(0), learn(1)]
-    last = held if held.any() else ~held
-    rows = np.nonzero(last)[0]
-    logits = np.column_stack([_logit(pair[v].probability([sets[v][i] for i in rows])) for v in (0, 1)])
-    return pair[0], pair[1], _logistic(logits, y[rows], ridge=1.0)
+            rows = [self.sets[v][i] for i in self.own] + [np.frombuffer(k, np.int64) for k in self.told[v]]
+            self.views.append(View().fit(rows, np.concatenate([self.y[self.own], np.array(list(self.told[v].values()), float)])))
+
+    def wanted(self, label: int) -> int:
+        """Pseudo-labels of this kind that a view gives in a round: in the proportion of the labels."""
+        rate = self.y[self.own].mean()
+        return max(1, round(GIVEN * (rate if label else 1 - rate)))
+
+    def finish(self) -> tuple[View, View, np.ndarray]:
+        rows = np.nonzero(self.held if self.held.any() else ~self.held)[0]
+        logits = np.column_stack([_logit(self.views[v].probability([self.sets[v][i] for i in rows])) for v in (0, 1)])
+        return self.views[0], self.views[1], _logistic(logits, self.y[rows], ridge=1.0)
 
 
 def _logit(p: np.ndarray) -> np.ndarray:
@@ -191,69 +175,135 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def _sample(docs: DataFrame, labels: DataFrame, id_col: str, bound: int):
-    """Labelled and unlabelled sample rows as pandas: key, quality, toxic, content, meta (slots)."""
-    marks = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("key")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    cols = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("key"), "text", "lang", "source")
-    n, whole = marks.count(), cols.count()
-    lot = F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1_000_000))
-    some = F.broadcast(marks.where(lot < int(1_000_000 * min(1, bound / max(1, n)))))
-    labelled = cols.join(some, "key")
-    free = cols.where(lot >= 1_000_000 - int(1_000_000 * min(1, bound / max(1, whole))))
-    kind = dict(cols.dtypes)["key"]
+FEATURES = "content array<int>, meta array<int>"
+
+
+def _hashed(batches):
+    hasher = Hasher()
+    for pdf in batches:
+        content = [hasher(content_view(t if isinstance(t, str) else "")) for t in pdf["text"]]
+        meta = [hasher(metadata_view(*row)) for row in zip(pdf["lang"], pdf["source"], pdf["n_chars"])]
+        yield pdf[["key"]].assign(content=content, meta=meta)
+
+
+def features(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(key, content, meta) per row of ``docs``: the id as text, and the feature slots of both views, written to the shared folder."""
+    n_chars = F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
+    cols = docs.select(as_key(id_col), "text", F.col("lang").cast("string"), F.col("source").cast("string"), n_chars.alias("n_chars"))
+    return stash(cols.mapInPandas(_hashed, f"key string, {FEATURES}"), "features")
+
+
+def labelled(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", bound: int = SAMPLE):
+    """(labelled sample as pandas, rows without a label). Several labels of an id count as the worst; repeated rows as one."""
+    marks = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("string").alias("id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    marks = stash(marks, "marks")
+    lot = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000))
+    some = marks.where(lot < int(1_000_000 * min(1, bound / max(1, marks.count()))))
+    known = rows.join(some, rows["key"] == some["id"]).groupBy("key").agg(F.min(F.struct("quality", "toxic", "content", "meta")).alias("row"))
+    return known.select("key", "row.*").toPandas().sort_values("key", kind="stable"), rows.join(marks, rows["key"] == marks["id"], "left_anti")
+
+
+def surest(pool: DataFrame, views: dict, wanted: dict, done: dict, sure: float = SURE) -> list:
+    """The rows of the whole ``pool`` that each view is most sure of: (target, view, label, content, meta), one per content.
+
+    ``views`` and ``done`` (hashes of contents that the view has told already) are by (target, view), ``wanted`` by (target,
+    label). A task sends on its best only, and these are sorted in ``PARTS`` parts before they are sorted as a whole; ties
+    go by the hash of the content, then by the key.
+    """
 
     def run(batches):
-        hasher = Hasher()
+        held = {}
         for pdf in batches:
-            content, meta = views(pdf["text"], pdf["lang"], pdf["source"], hasher)
-            yield pd.DataFrame({"key": pdf["key"], "quality": pdf.get("quality"), "toxic": pdf.get("toxic"), "content": content, "meta": meta})
-
-    out = f"key {kind}, quality double, toxic double, content array<long>, meta array<long>"
-    frames = []
-    for part in (labelled, free.withColumns({"quality": F.lit(None).cast("double"), "toxic": F.lit(None).cast("double")})):
-        rows = part.mapInPandas(run, out).groupBy("key").agg(F.min(F.struct("quality", "toxic", "content", "meta")).alias("row"))  # repeated rows count once
-        frames.append(rows.select("key", "row.*").toPandas().sort_values("key", kind="stable"))
-    known, free = frames
-    return known, free[~free["key"].isin(known["key"])]
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", bound: int = SAMPLE) -> dict:
-    """Co-trained views for good quality and for toxicity (None where labels don't suffice)."""
-    known, free = _sample(docs, labels, id_col, bound)
-    out = {}
+            for (target, v), view in views.items():
+                p = view.probability(list(pdf["meta" if v else "content"]))
+                for label, q in ((1, p), (0, 1 - p)):
+                    rows = _tied(pdf[q >= sure].assign(target=target, view=v, label=label, sure=q[q >= sure]))
+                    rows = rows[~rows["tie"].isin(done[target, v])]
+                    before = held.get((target, v, label))
+                    rows = rows if before is None else pd.concat([before, rows])
+                    if len(rows) > 4 * wanted[target, label]:
+                        rows = _best(rows, wanted[target, label])
+                    held[target, v, label] = rows
+        for (target, _, label), rows in held.items():
+            yield _best(rows, wanted[target, label])
+
+    kinds = f"key string, target string, view int, label int, sure double, tie long, {FEATURES}"
+    found = pool.mapInPandas(run, kinds)
+    by = ["target", "view", "label"]
+    order = [F.desc("sure"), F.col("tie"), F.col("key").asc_nulls_last()]
+    most = F.coalesce(*[F.when((F.col("target") == t) & (F.col("label") == k), F.lit(n)) for (t, k), n in wanted.items()])
+    for parts in ([*by, F.pmod("tie", F.lit(PARTS))], by):
+        first = F.row_number().over(Window.partitionBy(*parts, "tie").orderBy(*order))
+        found = found.withColumn("first", first).where("first = 1").withColumn("place", F.row_number().over(Window.partitionBy(*parts).orderBy(*order))).where(F.col("place") <= most)
+    return found.select(*by, "content", "meta", "sure", "tie").orderBy(*by, F.desc("sure"), "tie").collect()  # GIVEN rows a view and target at most
+
+
+def _tied(rows: pd.DataFrame) -> pd.DataFrame:
+    return rows.assign(tie=np.array([xxhash.xxh64_intdigest(np.asarray(c, np.int32).tobytes()) >> 1 for c in rows["content"]], np.int64))
+
+
+def _best(rows: pd.DataFrame, n: int) -> pd.DataFrame:
+    rows = rows.sort_values(["sure", "tie", "key"], ascending=[False, True, True], kind="stable")
+    return rows.drop_duplicates("tie").head(n)[["key", "target", "view", "label", "sure", "tie", "content", "meta"]]
+
+
+def train(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", bound: int = SAMPLE, rounds: int = ROUNDS) -> dict:
+    """Co-trained views for good quality and for toxicity (None where labels don't suffice) from the ``features`` of all rows."""
+    known, pool = labelled(rows, labels, id_col, bound)
+    pairs = {}
     for target in ("quality", "toxic"):
-        rows = known[known[target].notna()]
-        out[target] = co_train(list(rows["content"]), list(rows["meta"]), rows[target].to_numpy(float), list(free["content"]), list(free["meta"]))
-    return out
+        own = known[known[target].notna()]
+        y = own[target].to_numpy(float)
+        if len(y) >= 10 and y.min() != y.max():
+            slots = lambda c: [np.asarray(x, np.int64) for x in own[c]]  # noqa: E731, B023
+            pairs[target] = Pair(slots("content"), slots("meta"), y)
+    done = {(t, v): [] for t in pairs for v in (0, 1)}
+    for _ in range(rounds if pairs else 0):
+        views = {(t, v): pair.views[v] for t, pair in pairs.items() for v in (0, 1)}
+        new = surest(pool, views, {(t, k): pair.wanted(k) for t, pair in pairs.items() for k in (0, 1)}, done)
+        if not new:
+            break
+        for r in new:
+            other = 1 - r["view"]
+            row = np.array(r["meta"] if other else r["content"], np.int64).tobytes()
+            pairs[r["target"]].told[other].setdefault(row, float(r["label"]))
+            done[r["target"], r["view"]].append(r["tie"])
+        for pair in pairs.values():
+            pair.learn()
+    return {target: pairs[target].finish() if target in pairs else None for target in ("quality", "toxic")}
 
 
-def classify(docs: DataFrame, models: dict, id_col: str = "doc_id", keep: float = KEEP, toxic: float = TOXIC) -> DataFrame:
-    """Per row of ``docs``: ``id_col``, content_score, metadata_score, score, toxic_score, kept.
+def classify(rows: DataFrame, models: dict, keep: float = KEEP, toxic: float = TOXIC) -> DataFrame:
+    """Per row of ``features``: key, content_score, metadata_score, score, toxic_score, kept.
 
     ``score`` is the combined probability of good quality, ``toxic_score`` that of toxicity; a document is kept if the
-    first reaches ``keep`` and the second stays below ``toxic``. Null texts count as empty, null lang and source as values
-    of their own. A target without a model scores 1 (quality) or 0 (toxicity). Repeated rows each get their row.
+    first reaches ``keep`` and the second stays below ``toxic``. A target without a model scores 1 (quality) or 0 (toxicity).
     """
-    cols = docs.select(as_key(id_col), "text", "lang", "source")
 
-    def scores(model, content, meta, default):
+    def scores(model, pdf, default):
         if model is None:
-            return (np.full(len(content), default),) * 3
-        a, b = model[0].probability(content), model[1].probability(meta)
-        w = model[2]
+            return (np.full(len(pdf), default),) * 3
+        a, b, w = model[0].probability(list(pdf["content"])), model[1].probability(list(pdf["meta"])), model[2]
         return a, b, 1 / (1 + np.exp(-np.clip(_logit(a) * w[0] + _logit(b) * w[1] + w[2], -30, 30)))
 
     def run(batches):
-        hasher = Hasher()
         for pdf in batches:
-            content, meta = views(pdf["text"], pdf["lang"], pdf["source"], hasher)
-            a, b, good = scores(models["quality"], content, meta, 1.0)
-            bad = scores(models["toxic"], content, meta, 0.0)[2]
+            a, b, good = scores(models["quality"], pdf, 1.0)
+            bad = scores(models["toxic"], pdf, 0.0)[2]
             yield pd.DataFrame({"key": pdf["key"], "content_score": a, "metadata_score": b, "score": good, "toxic_score": bad, "kept": (good >= keep) & (bad < toxic)})
 
-    return from_key(cols.mapInPandas(run, "key string, content_score double, metadata_score double, score double, toxic_score double, kept boolean"), docs, id_col)
+    return rows.mapInPandas(run, "key string, content_score double, metadata_score double, score double, toxic_score double, kept boolean")
+
+
+def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Per row of ``docs``: ``id_col`` and what ``classify`` finds.
+
+    Null texts count as empty, null lang, source and n_chars (or none such column) as values of their own. Repeated rows
+    each get their row; of the other columns none is read.
+    """
+    rows = features(docs, id_col)
+    return from_key(classify(rows, train(rows, labels, id_col)), docs, id_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return classify(docs, train(docs, table(spark, sf_dir, "labels")))
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

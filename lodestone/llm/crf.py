@@ -23,6 +23,8 @@ from lodestone.llm.common import as_key, crc_remainder, from_key, table
 
 #: Labelled documents a language that fit the field (about so many, by hash of the id); words of a training segment.
 SAMPLE, SEGMENT = 600, 48
+#: Languages that are learned at most: those with the most labelled rows; documents that fit the field in all.
+LANGS, MOST = 50, 4000
 #: Hash slots of the n-grams, longest n-gram, entries of the lexicon at most.
 SLOTS, NGRAM, LEXICON = 1 << 17, 4, 50_000
 #: Steps of the fit, its step size and its ridge; words of a block; words scored at once; words whose emissions are kept.
@@ -242,7 +244,7 @@ class Scorer:
             if words:
                 some.append(i), held.append(words)
                 n += len(words)
-            if held and (n >= AT_ONCE or i == len(texts) - 1):
+            if held and (n >= AT_ONCE * 16 // max(16, k * k) or i == len(texts) - 1):  # transfer matrices have k x k numbers
                 put(some, held)
                 some, held, n = [], [], 0
         if held:
@@ -269,11 +271,11 @@ class Scorer:
 def train(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", per_lang: int = SAMPLE) -> Field | None:
     """Fits the field on labelled rows of ``docs``; a row gives one segment of its words, at a place set by its id."""
     labelled = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("key"), F.col(lang_col).alias("lang"), "text")
-    sizes = labelled.groupBy("lang").count().collect()  # one row a language
-    share = F.lit(0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], min(1_000_000, 1_000_000 * per_lang // r["count"])).otherwise(share)
-    chosen = labelled.where(F.pmod(F.xxhash64("key", F.lit(11)), F.lit(1_000_000)) < share)
+    # A column of dirty labels may hold any number of values: the most frequent ones are learned.
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()
+    per_lang = min(per_lang, MOST // max(1, len(sizes)))
+    share = docs.sparkSession.createDataFrame([(r["lang"], min(1_000_000, 1_000_000 * per_lang // r["n"])) for r in sizes], f"of {dict(docs.dtypes)[lang_col]}, share long")
+    chosen = labelled.join(F.broadcast(share), F.col("lang") == F.col("of")).where(F.pmod(F.xxhash64("key", F.lit(11)), F.lit(1_000_000)) < F.col("share"))
 
     def segments(batches):
         for pdf in batches:
@@ -284,7 +286,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", per_l
                 rows.append((str(key), lang, " ".join(words[begin : begin + 2 * SEGMENT])))
             yield pd.DataFrame(rows, columns=["key", "lang", "text"])
 
-    rows = chosen.mapInPandas(segments, "key string, lang string, text string").dropDuplicates(["key", "lang"]).toPandas()
+    rows = chosen.select("key", "lang", "text").mapInPandas(segments, "key string, lang string, text string").groupBy("key", "lang").agg(F.min("text").alias("text")).toPandas()
     rows = rows.sort_values(["key", "lang", "text"])
     return fit([(lang, text.split()[i : i + SEGMENT]) for lang, text in zip(rows["lang"], rows["text"]) for i in (0, SEGMENT)])
 

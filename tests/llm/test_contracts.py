@@ -41,14 +41,6 @@ def test_language_id_on_held_out_rows(spark, sf):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
-def test_quality_cotraining_separates(spark, sf):
-    marks = {d: (q, t) for d, q, t in rows_of("SELECT doc_id, quality, toxic FROM labels", sf)[1]}
-    rows = {r.doc_id: r for r in entries.QUERIES["op2_quality_cotraining"](spark, sf).collect()}
-    good = [rows[d].score for d, (q, t) in marks.items() if q == 1 and d in rows]
-    bad = [rows[d].score for d, (q, t) in marks.items() if q == 0 and d in rows]
-    assert np.mean(good) > np.mean(bad) + 0.2
-
-
 def test_language_model_against_plain_python(spark, sf, texts):
     docs = {i: tokens(lower(t)) for i, t in texts.items()}
     learned = [w for i, w in docs.items() if zlib.crc32(str(i).encode()) % 7 != 2]

@@ -76,21 +76,13 @@ def test_code_switched_words_change_with_the_text():
 
 
 def test_cotraining(odd, none, marks):
-    assert ids(cotrain.classify(odd, cotrain.train(odd, marks))) == ALL
+    out = cotrain.quality(odd, marks)
+    assert ids(out) == ALL and ids(cotrain.quality(odd.drop("n_chars"), marks)) == ALL
     blank = {"quality": None, "toxic": None}
-    assert cotrain.train(none, marks) == blank and cotrain.train(odd, marks.limit(0)) == blank
-    assert {(r.score, r.toxic_score, r.kept) for r in cotrain.classify(odd, blank).collect()} == {(1.0, 0.0, True)}
-    assert cotrain.classify(none, blank).count() == 0
-
-
-def test_cotraining_teaches_across_views():
-    rng = np.random.default_rng(0)
-    y = rng.integers(0, 2, 400).astype(float)
-    view = lambda base, marks: [np.array(sorted({base + int(m), *rng.integers(5000, 6000, 5)})) for m in marks]
-    noisy = np.where(rng.random(400) < 0.1, 1 - y, y)
-    a, b, curve = cotrain.co_train(view(10, y), view(20, noisy), y, view(10, y), view(20, noisy))
-    assert ((a.probability(view(10, y)) > 0.5) == y).mean() > 0.95 and ((b.probability(view(20, y)) > 0.5) == y).mean() > 0.8 and len(curve) == 3
-    assert cotrain.co_train([], [], np.zeros(0), [], []) is None
+    rows, no_rows = cotrain.features(odd), cotrain.features(none)
+    assert cotrain.train(no_rows, marks) == blank and cotrain.train(rows, marks.limit(0)) == blank
+    assert {(r.score, r.toxic_score, r.kept) for r in cotrain.classify(rows, blank).collect()} == {(1.0, 0.0, True)}
+    assert cotrain.classify(no_rows, blank).count() == 0
 
 
 def test_quality_rules(odd, none, marks):
@@ -376,5 +368,31 @@ def test_pipeline_against_plain_python(spark, sf):
         windows |= {tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9))}
     held = lambda t: any(tuple(w[k : k + n]) in windows for w in [words(t)] for n in {len(x) for x in windows} for k in range(len(w) - n + 1))
     docs = docs[[not held(t) for t in docs["text"]]]
-    want = mixing.mix(table(docs)).where("copies > 0")
-    assert sorted(map(repr, corpus_pipeline.run(spark, sf).collect())) == sorted(map(repr, want.collect()))
+    ran = corpus_pipeline.run(spark, sf).collect()
+    sizes, source, words = {}, docs["source"].to_dict(), Counter()
+    for i, t in docs["text"].items():
+        sizes[i] = len(re.findall("[^\x20\x09-\x0d]+", t))
+        words[source[i]] += sizes[i]
+    names = sorted(words)
+    full, aim = set(), {}
+    while True:
+        left, weight = 1.5 * sum(words.values()) - sum(2 * words[s] for s in full), {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+        aim = {s: 2 * words[s] if s in full else left * weight[s] / sum(weight[x] for x in names if x not in full) for s in names}
+        if not (above := {s for s in names if s not in full and aim[s] > 2 * words[s]}):
+            break
+        full |= above
+    taken = Counter()
+    for r in ran:
+        assert r.text == docs["text"][r.doc_id] and r.taken == r.copies * sizes[r.doc_id] and r.copies in (1, 2)
+        taken[r.source] += r.taken
+    assert len({r.doc_id for r in ran}) == len(ran)
+    assert all(abs(taken[s] - aim[s]) <= max(n for i, n in sizes.items() if source[i] == s) for s in names)
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_on_odd_and_empty_tables(spark, odd, none, marks, items, empty):
+    where = new_path(spark, "odd")
+    for name, df in (("documents", none if empty else odd), ("labels", marks.limit(0) if empty else marks), ("benchmark", items.limit(0) if empty else items)):
+        df.write.parquet(f"{where}/{name}.parquet")
+    out = corpus_pipeline.run(spark, where)
+    assert out.columns == [*odd.columns, "copies", "taken"] and (out.count() == 0) == (empty or not out.count())
