@@ -1,14 +1,13 @@
 """A training corpus from raw documents: good, identified, distinct, uncontaminated and mixed to target weights.
 
 Each stage takes (spark, docs, sf_dir), works on all rows of ``docs`` and returns the rows it keeps with the columns of
-``documents``; the last returns the mix: a row per document taken, with its copies and the words they take. Stages are
+``documents``; the last returns the corpus: the documents taken, whole, with their copies and the words they take. Stages are
 written as Parquet to the folder that the cluster shares and read back, so that a lost executor repeats one stage only.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lodestone.llm import crf, decontam, mixing, quality, simhash
 from lodestone.llm.common import stash, table
@@ -35,8 +34,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes: doc_id, source, size, source_size, target, copies, taken."""
-    return mixing.mix(docs).where(F.col("copies") > 0)
+    """The documents that the mix takes, with all their columns, ``copies`` and ``taken`` (words)."""
+    return mixing.take(docs)
 
 
 STAGES = [
