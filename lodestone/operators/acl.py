@@ -63,7 +63,7 @@ def strongest_role(permissions: DataFrame, memberships: DataFrame) -> DataFrame:
 
 def fresh(snapshots: DataFrame, now: Column, most_age_s: int) -> DataFrame:
     """Snapshots that are neither expired nor older than ``most_age_s`` at ``now``."""
-    return snapshots.where((F.col("expires_at") > now) & (F.col("captured_at") <= now) & (F.unix_seconds(now) - F.unix_seconds("captured_at") <= most_age_s))
+    return snapshots.where((F.col("expires_at") > now) & (F.col("captured_at") <= now) & (F.unix_seconds(now) - F.unix_seconds(F.col("captured_at").cast("timestamp")) <= most_age_s))
 
 
 def captured_access(probes: DataFrame) -> DataFrame:

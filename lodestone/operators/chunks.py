@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions import text as tx
+from lodestone.storage import stash
+from lodestone.validate import require_unique
 
 MOST_BYTES, MOST_TOKENS = 16 * 1024, 2_000
 _SPACE = "\t\n\x0b\x0c\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
@@ -53,14 +55,24 @@ def pieces(text: str, most_bytes: int, most_tokens: int) -> list[str]:
         return [text]
     parts, now, size, count = [], [], 0, 0
     for f, b in zip(found, blank):
-        long = len(f.encode()) > most_bytes
-        for i, unit in enumerate(f if long else [f]):
-            n, t = len(unit.encode()), 0 if b or (long and i) else 1
-            if now and (size + n > most_bytes or (not long and count + t > most_tokens) or (long and i == 0)):
+        n, t = len(f.encode()), 0 if b else 1
+        if n <= most_bytes:
+            if now and (size + n > most_bytes or count + t > most_tokens):
                 parts.append("".join(now))
                 now, size, count = [], 0, 0
-            now.append(unit)
+            now.append(f)
             size, count = size + n, count + t
+            continue
+        if now:
+            parts.append("".join(now))
+            now, size = [], 0
+        for unit in f:  # each piece of a long lexeme counts as one
+            n = len(unit.encode())
+            if now and size + n > most_bytes:
+                parts.append("".join(now))
+                now, size = [], 0
+            now.append(unit)
+            size, count = size + n, t
     return [*parts, "".join(now)]
 
 
@@ -72,30 +84,43 @@ def split_parts(most_bytes: int = MOST_BYTES, most_tokens: int = MOST_TOKENS):
     return run
 
 
-def stable_key(symbol: str = "symbol_usr", file: str = "file") -> Column:
-    """SHA-256 of the canonical JSON of what identifies a chunk; the keys stand in a fixed, sorted order."""
+def path_key(path: Column, fold: bool = False) -> Column:
+    """An absolute path without empty, ``.`` and ``..`` segments; ``fold``: in lower case, for stores that ignore case."""
+    parts = F.filter(F.split(F.lower(path) if fold else path, "/"), lambda x: ~x.isin("", "."))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda out, x: F.when(x == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.concat(out, F.array(x))))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
+def stable_key(symbol: str = "symbol_usr", file: str = "file", fold: bool = False) -> Column:
+    """SHA-256 of the canonical JSON of what identifies a chunk; the keys stand in a fixed, sorted order, the file as its path key."""
     fields = sorted(["schema_version", symbol, file, "chunk_kind", *COORDINATES, "part_index", "part_count"])
-    value = lambda c: F.lit(1) if c == "schema_version" else F.col(c)
+    value = lambda c: F.lit(1) if c == "schema_version" else path_key(F.col(c), fold) if c == file else F.col(c)
     return F.sha2(F.to_json(F.struct(*[value(c).alias(c) for c in fields]), {"ignoreNullFields": "false"}), 256)
 
 
 def make_chunks(symbols: DataFrame, sources: DataFrame, most_bytes: int = MOST_BYTES, most_tokens: int = MOST_TOKENS) -> tuple[DataFrame, DataFrame]:
-    """(chunks, counts) of symbols with locations over sources (file, text): one chunk per location and one per documentation."""
+    """(chunks, counts) of symbols with locations over sources (file, text): one chunk per location and one per documentation.
+
+    Files meet by their path keys, and a chunk has the file as its source names it. Two chunks of one key raise.
+    """
     at = symbols.select("stable_usr", "qualified_name", "documentation", F.explode("locations").alias("at")).select("stable_usr", "at.*")
-    text = sources.select("file", F.col("text").alias("source"))
-    found = at.join(text, "file", "left").withColumn("text", source_slice("source", *COORDINATES))
+    text = require_unique(sources.select(path_key(F.col("file")).alias("_key"), F.col("file").alias("_file"), F.col("text").alias("source")), "_key")
+    found = at.join(text, path_key(at["file"]) == text["_key"], "left").withColumn("file", F.coalesce("_file", "file")).drop("_key", "_file")
+    found = found.withColumn("text", source_slice("source", *COORDINATES))
     seeds = found.where(F.length("text") > 0).select(F.col("stable_usr").alias("symbol_usr"), "file", F.col("kind").alias("chunk_kind"), "text", *COORDINATES)
     order = F.transform("locations", lambda x: F.struct((x["kind"] != "definition").alias("later"), x["file"].alias("file"), x["start_line"].alias("l"), x["start_column"].alias("c"), x["kind"].alias("k")))
     documented = symbols.where((F.length(F.trim("documentation")) > 0) & (F.size("locations") > 0)).withColumn("file", F.array_min(order)["file"])
     none = [F.lit(None).cast("int").alias(c) for c in COORDINATES]
-    notes = documented.join(text.select("file"), "file", "left_semi").select(
+    named = documented.join(text, path_key(documented["file"]) == text["_key"]).withColumn("file", F.col("_file"))
+    notes = named.select(
         F.col("stable_usr").alias("symbol_usr"), "file", F.lit("documentation").alias("chunk_kind"), F.concat("qualified_name", F.lit("\n"), F.trim("documentation")).alias("text"), *none
     )
     parts = seeds.unionByName(notes).withColumn("parts", split_parts(most_bytes, most_tokens)("text"))
     cut = parts.withColumn("part_count", F.size("parts")).select("symbol_usr", "file", "chunk_kind", *COORDINATES, "part_count", F.posexplode("parts").alias("part_index", "text"))
-    chunks = cut.withColumns({"stable_key": stable_key(), "content_hash": tx.content_hash(F.col("text")), "token_count": tx.token_estimate(F.col("text"))})
+    chunks = stash(cut.withColumns({"stable_key": stable_key(), "content_hash": tx.content_hash(F.col("text")), "token_count": tx.token_estimate(F.col("text"))}), "chunks")
+    require_unique(chunks, "stable_key")
     counts = found.agg(
         F.count(F.lit(1)).alias("source_locations"), F.count_if(F.col("source").isNull()).alias("missing_sources"),
         F.count_if(F.col("source").isNotNull() & (F.coalesce(F.length("text"), F.lit(0)) == 0)).alias("empty_locations"),
-    )
+    ).crossJoin(chunks.agg(F.count_if(F.col("part_count") > 1).alias("split_chunks")))
     return chunks, counts

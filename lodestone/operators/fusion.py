@@ -67,7 +67,19 @@ def _per_query(rows: DataFrame, by: Sequence[str], run) -> DataFrame:
 
 
 def diversify(ranked: DataFrame, per_symbol: int = PER_SYMBOL, per_file: int = PER_FILE, limit: int = LIMIT, by: Sequence[str] = ()) -> DataFrame:
-    """Takes rows in rank order while their symbol (null: no cap) and file have room; a skipped row uses up no room."""
+    """Takes rows in rank order while their symbol (null: no cap) and file have room; a skipped row uses up no room.
+
+    Of rows of one symbol and file no more than the lesser cap are taken, and the first of them are; without a symbol cap
+    that binds, the first of each file. Only these go to the group of a query, so its size follows the symbols and files.
+    """
+    least = F.when(F.col("symbol_key").isNull(), F.lit(per_file)).otherwise(F.lit(min(per_symbol, per_file)))
+    like = F.row_number().over(Window.partitionBy(*by, "symbol_key", "file_key").orderBy("rank"))
+    ranked_cols = ranked.columns
+    if per_symbol >= per_file and per_symbol >= limit:
+        # one cap: the rows are the first of each file, and no pass over a query is needed
+        kept = ranked.withColumn("_like", F.row_number().over(Window.partitionBy(*by, "file_key").orderBy("rank"))).where(F.col("_like") <= per_file).drop("_like")
+        return kept.withColumn("rank", F.row_number().over(_all(by).orderBy("rank"))).where(F.col("rank") <= limit).select(*ranked_cols)
+    ranked = ranked.withColumn("_like", like).where(F.col("_like") <= least).select(*ranked_cols)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         symbols, files, taken = {}, {}, []

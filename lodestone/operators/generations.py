@@ -1,16 +1,19 @@
 """Generations: immutable snapshots, staged, validated, published, rolled back and collected.
 
-Rows of a generation are Parquet under ``generation_id=``; the states are one small JSON file that a single driver
-replaces under a version check. The marker of a write comes last, so a reader never takes half a generation.
+Rows of a generation are Parquet under ``generation_id=``; the states are small numbered JSON files, each made whole and
+only if no other driver has made that number: of two drivers that step at once, one is told so. A write of a table is
+announced before and recorded after it, so a reader never takes half a generation.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
+import uuid
 from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.evaluation import relation_hash
@@ -30,6 +33,25 @@ def snapshot(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def left_counts(parents: DataFrame, key: str, chain: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
+    """Per row of ``parents``: its ``key`` and how many different rows of each table hang on it, down a chain of left joins.
+
+    ``chain`` has (name, table, foreign key, own key): each table hangs on the one before. Rows are counted level by level,
+    from the last to the first, so that no join multiplies rows.
+    """
+    out = None
+    for name, table, foreign, own in reversed(chain):
+        n = F.count(F.lit(1)).alias(name)
+        if out is None:
+            out = table.groupBy(F.col(foreign).alias("_up")).agg(n)
+        else:
+            deeper = [c for c in out.columns if c != "_up"]
+            joined = table.select(F.col(foreign).alias("_key"), F.col(own).alias("_own")).join(out, F.col("_own") == F.col("_up"), "left")
+            out = joined.groupBy(F.col("_key").alias("_up")).agg(n, *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in deeper])
+    names = [c[0] for c in chain]
+    return parents.select(key).join(out, F.col(key) == F.col("_up"), "left").select(key, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in names])
+
+
 def completeness(chunks: DataFrame, embeddings: DataFrame, edges: DataFrame, symbols: DataFrame, locations: DataFrame, files: DataFrame) -> DataFrame:
     """(rule, n) of what keeps a generation from being ready; no rows: it is complete."""
     def missing(left: DataFrame, right: DataFrame, a: str, b: str, rule: str) -> DataFrame:
@@ -68,24 +90,70 @@ class Generation:
     counts: dict = field(default_factory=dict)
     payload: dict = field(default_factory=dict)
     gc_claim: str | None = None
+    writing: str | None = None
 
 
 class Registry:
-    """The states of all generations in one file; every step names the version it has seen."""
+    """The states of all generations; every step names the version it has seen.
+
+    ``path`` is a folder of a mounted store, or with ``spark`` of any store that its file systems can open. State n + 1 is
+    made from state n under a name of its own and then linked or renamed to its number, which fails if that is there.
+    """
 
-    def __init__(self, path: str):
-        self.path = path
+    KEPT = 8  # states that stay, so that a reader who has listed one can still open it
+
+    def __init__(self, path: str, spark: SparkSession | None = None):
+        self.path, self.spark, self.seen, self.owner = path, spark, 0, uuid.uuid4().hex
+
+    def _store(self):
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        return jvm, root, root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _names(self) -> list[str]:
+        if self.spark:
+            _, root, store = self._store()
+            return [f.getPath().getName() for f in store.listStatus(root)] if store.exists(root) else []
+        return os.listdir(self.path) if os.path.isdir(self.path) else []
+
+    def _read(self, name: str) -> str:
+        if self.spark:
+            return self.spark.read.text(f"{self.path}/{name}", wholetext=True).first()[0]
+        with open(f"{self.path}/{name}") as f:
+            return f.read()
 
     def load(self) -> dict[str, Generation]:
-        if not os.path.exists(self.path):
-            return {}
-        with open(self.path) as f:
-            return {k: Generation(**v) for k, v in json.load(f).items()}
+        numbers = [int(n[6:-5]) for n in self._names() if re.fullmatch(r"state-[0-9]+\.json", n)]
+        self.seen = max(numbers, default=0)
+        return {k: Generation(**v) for k, v in json.loads(self._read(f"state-{self.seen}.json")).items()} if numbers else {}
 
     def _save(self, rows: dict[str, Generation]) -> None:
-        with open(part := f"{self.path}.tmp", "w") as f:
-            json.dump({k: asdict(v) for k, v in rows.items()}, f, sort_keys=True)
-        os.replace(part, self.path)
+        """Makes the state that follows the one loaded last."""
+        text, part, name = json.dumps({k: asdict(v) for k, v in rows.items()}, sort_keys=True), f"{uuid.uuid4().hex}.part", f"state-{self.seen + 1}.json"
+        if self.spark:
+            jvm, root, store = self._store()
+            out = store.create(jvm.org.apache.hadoop.fs.Path(root, part), False)
+            out.write(bytearray(text.encode()))
+            out.close()
+            at = lambda n: jvm.org.apache.hadoop.fs.Path(root, n)
+            made = not store.exists(at(name)) and store.rename(at(part), at(name))
+            drop = lambda n: store.delete(at(n), False)
+        else:
+            os.makedirs(self.path, exist_ok=True)
+            with open(f"{self.path}/{part}", "w") as f:
+                f.write(text)
+            try:
+                os.link(f"{self.path}/{part}", f"{self.path}/{name}")
+                made = True
+            except FileExistsError:
+                made = False
+            os.unlink(f"{self.path}/{part}")
+            drop = lambda n: os.path.exists(f"{self.path}/{n}") and os.unlink(f"{self.path}/{n}")
+        if not made:
+            raise StateError("another driver has moved the states on")
+        self.seen += 1
+        if self.seen > self.KEPT:
+            drop(f"state-{self.seen - self.KEPT}.json")
 
     def _step(self, id: str, version: int, allowed: tuple[str, ...], **change) -> Generation:
         rows = self.load()
@@ -107,8 +175,12 @@ class Registry:
         self._save(rows)
         return rows[id]
 
-    def record(self, id: str, name: str, df: DataFrame, root: str) -> Generation:
-        """Writes one table of a building generation; the same rows again change nothing, others are an error."""
+    def record(self, id: str, name: str, df: DataFrame, root: str, take_over: bool = False) -> Generation:
+        """Writes one table of a building generation; the same rows again change nothing, others are an error.
+
+        The write is announced under a version check before anything is written. What another driver has announced and
+        not recorded is its own, unless ``take_over`` says that this driver has ended.
+        """
         now = self.load()[id]
         if now.status != "building":
             raise StateError(f"{id}: {now.status}")
@@ -117,8 +189,11 @@ class Registry:
             if now.payload[name] != digest["payload_hash"]:
                 raise StateError("dirty-generation")
             return now
+        if now.writing and not now.writing.endswith(self.owner) and not take_over:
+            raise StateError(f"{id}: another driver writes {now.writing.split(':')[0]}")
+        now = self._step(id, now.publication_version, ("building",), writing=f"{name}:{self.owner}")
         df.write.mode("overwrite").parquet(f"{root}/{name}/generation_id={id}")
-        return self._step(id, now.publication_version, ("building",), counts=now.counts | {name: digest["n"]}, payload=now.payload | {name: digest["payload_hash"]})
+        return self._step(id, now.publication_version, ("building",), counts=now.counts | {name: digest["n"]}, payload=now.payload | {name: digest["payload_hash"]}, writing=None)
 
     def validate(self, id: str, version: int, faults: DataFrame) -> Generation:
         """building -> ready, or -> failed with an error if ``faults`` (rule, n) has rows."""

@@ -24,6 +24,11 @@ def checked_edges(edges: DataFrame) -> DataFrame:
     })
 
 
+def in_order(edges: DataFrame) -> DataFrame:
+    """Edges in their total order: type, ends, then place, without a place first."""
+    return edges.orderBy("edge_type", "src_usr", "dst_usr", *[F.asc_nulls_first(c) for c in ("file", "line", "column") if c in edges.columns], F.desc("confidence"))
+
+
 def merge_includes(shards: DataFrame) -> DataFrame:
     return shards.select("src_file", "dst_file", "line", "column").distinct()
 

@@ -30,11 +30,21 @@ def symbol_rows(symbols: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFr
     return linked.withColumn("owner_usr", F.col("_owner")).drop("_owner", "locations"), placed
 
 
-def relation_rows(edges: DataFrame, includes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def relation_rows(edges: DataFrame, includes: DataFrame, files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(edges, includes) for the store, which has no columns of a line: edges that differ in these alone become one, with
-    the largest confidence, and includes become one per pair of files."""
-    out = edges.groupBy("edge_type", "src_usr", "dst_usr", "file", "line").agg(F.max("confidence").alias("confidence"))
-    return out, includes.select("src_file", "dst_file").distinct()
+    the largest confidence, and includes become one per pair of files. With ``files`` (path, file_id), paths are resolved
+    to ids: evidence is optional, but a path that is given must be a known file, as must both ends of an include."""
+    out, pairs = edges.groupBy("edge_type", "src_usr", "dst_usr", "file", "line").agg(F.max("confidence").alias("confidence")), includes.select("src_file", "dst_file").distinct()
+    if files is None:
+        return out, pairs
+
+    def resolved(df: DataFrame, path: str) -> DataFrame:
+        known = files.select(F.col("path").alias("_path"), F.col("file_id").alias("_id"))
+        joined = df.join(known, df[path] == known["_path"], "left")
+        require(joined, {f"{path} is a known file": F.col(path).isNull() | F.col("_id").isNotNull()})
+        return joined.drop("_path", path).withColumnRenamed("_id", f"{path}_id")
+
+    return resolved(out, "file"), resolved(resolved(pairs, "src_file"), "dst_file")
 
 
 def chunk_rows(chunks: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,10 @@ from lodestone.operators.acl import visible
 MOST = 100
 
 
+class ProfileError(ValueError):
+    """A query vector that isn't of the profile's dimension."""
+
+
 def bounded(limit: int, most: int = MOST) -> int:
     if not 1 <= limit <= most:
         raise ValueError(f"a limit of 1 to {most}")
@@ -45,12 +49,35 @@ def exact_symbols(chunks: DataFrame, acl: DataFrame, query: str, limit: int = 20
     return hits.orderBy(F.desc("score"), kind, "qualified_name", "stable_key").limit(bounded(limit))
 
 
-def postings(chunks: DataFrame, key: str = "stable_key", text: str = "text") -> DataFrame:
-    """The inverted index: (token, key, positions). Write it bucketed or partitioned by token for repeated use."""
+def postings(chunks: DataFrame, key: str = "stable_key", text: str = "text", only: Sequence[str] | None = None) -> DataFrame:
+    """The inverted index: (token, key, positions); for ``only`` some tokens, where texts are searched without an index.
+
+    For repeated use, ``write_postings`` stores it so that a query reads the files of its own tokens alone.
+    """
     words = chunks.select(key, F.posexplode(tx.terms(F.col(text))).alias("pos", "token"))
+    if only is not None:
+        words = words.where(F.col("token").isin(list(only)))
     return words.groupBy("token", key).agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
+#: Folders that stored postings are dealt to, by hash of the token.
+SHELVES = 256
+
+
+def write_postings(index: DataFrame, path: str, shelves: int = SHELVES) -> None:
+    """Stores postings by a hash of the token, sorted by token within it: frequent tokens are cut into several files."""
+    shelf = F.pmod(F.xxhash64("token"), F.lit(shelves)).cast("int")
+    dealt = index.withColumn("shelf", shelf).repartitionByRange("shelf", "token", *[c for c in index.columns if c not in ("token", "positions")])
+    dealt.sortWithinPartitions("shelf", "token").write.partitionBy("shelf").option("maxRecordsPerFile", 5_000_000).parquet(path)
+
+
+def read_postings(spark, path: str, query: str, shelves: int = SHELVES) -> DataFrame:
+    """The stored postings of the terms of ``query``: of their shelves only, by the statistics of their files."""
+    words = sorted(set(query_terms(query)))
+    own = sorted({r[0] for r in spark.createDataFrame([(w,) for w in words], "token string").select(F.pmod(F.xxhash64("token"), F.lit(shelves))).collect()})
+    return spark.read.parquet(path).where(F.col("shelf").isin(own) & F.col("token").isin(words)).drop("shelf")
+
+
 @F.pandas_udf(T.DoubleType())
 def cover_density(lists: pd.Series) -> pd.Series:
     """Sum of 1 / length over the shortest spans that hold every term (after Clarke, Cormack and Tudhope)."""
@@ -105,7 +132,7 @@ def vector_chunks(embeddings: DataFrame, chunks: DataFrame, acl: DataFrame, prof
     """Nearest visible chunks among the vectors of one (provider, model, dimensions)."""
     provider, model, dimensions = profile
     if len(query) != dimensions:
-        raise ValueError("the query's dimension isn't the profile's")
+        raise ProfileError("the query's dimension isn't the profile's")
     own = embeddings.where((F.col("provider") == provider) & (F.col("model") == model) & (F.col("dimensions") == dimensions)).select("content_hash", "embedding")
     return vector_topk(visible(chunks.join(own, "content_hash"), acl), query, "stable_key", limit)
 
@@ -138,6 +165,21 @@ def graph_signals(edges: DataFrame, chunks: DataFrame, acl: DataFrame, anchor: s
     return hits.drop("neighbour").orderBy(F.desc("score"), "qualified_name", "stable_key", "edge_type").limit(bounded(limit))
 
 
+def top_per(left: DataFrame, right: DataFrame, on: tuple[str, str], order: Sequence[Column], n: int, sentinel: bool = True) -> DataFrame:
+    """Each row of ``left`` with the first ``n`` rows of ``right`` whose key is its own; ``sentinel``: with nulls where there are none.
+
+    A lateral join with a limit, as one window over ``right`` and one join on equality.
+    """
+    place = F.row_number().over(Window.partitionBy(on[1]).orderBy(*order))
+    best = right.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
+    return left.join(best, left[on[0]] == best[on[1]], "left" if sentinel else "inner").drop(best[on[1]])
+
+
+def json_at(column: str, path: str, kind: str = "string") -> Column:
+    """What stands at ``path`` of a column of JSON text, as ``kind``; null where there is no such thing."""
+    return F.get_json_object(column, path).cast(kind)
+
+
 def candidates(hits: DataFrame, source: str) -> DataFrame:
     """Hits of one signal in the form that fusion takes."""
     return hits.select(F.lit(source).alias("source"), F.col("stable_key").alias("chunk_key"), F.col("file_id").alias("file_key"), F.col("score").cast("double").alias("score"), F.col("stable_usr").alias("symbol_key"))

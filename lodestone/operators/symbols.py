@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import last_segment
+from lodestone.validate import require, require_unique
 
 #: Fields that must agree for one identity; those that may be empty in some records.
 IDENTITY, FILLED = ("qualified_name", "name", "display_name", "kind", "owner_usr"), ("type_spelling", "result_type")
@@ -52,11 +53,50 @@ def _merge(records: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     return symbols, merged.where("conflict").select(*keys, "dropped_locations")
 
 
+def _documented(symbols: DataFrame, docs: DataFrame) -> tuple[DataFrame, dict]:
+    """Symbols joined with their records, and the fields that these have."""
+    own = {c: f"_{c}" for c in ("qualified_name", "kind", "template_parameters") if c in docs.columns}
+    there = docs.select(F.upper("documentation_id").alias("_id"), F.col("text").alias("_text"), *[F.col(c).alias(a) for c, a in own.items()])
+    return symbols.join(there, F.upper(F.sha1(F.col("stable_usr").cast("binary"))) == F.col("_id"), "left"), own
+
+
 def attach_documentation(symbols: DataFrame, docs: DataFrame) -> DataFrame:
-    """Documentation records (documentation_id: SHA-1 of the identity, name, text) joined; the longer text stays."""
-    joined = symbols.join(docs.select(F.upper("documentation_id").alias("_id"), F.col("text").alias("_text")), F.upper(F.sha1(F.col("stable_usr").cast("binary"))) == F.col("_id"), "left")
+    """Documentation records (documentation_id: SHA-1 of the identity, text, and if known qualified_name, kind,
+    template_parameters) joined; the longer text stays. A record of another name or kind than its symbol's raises, as do
+    two of one identity."""
+    require_unique(docs.select(F.upper("documentation_id").alias("documentation_id")), "documentation_id")
+    joined, own = _documented(symbols, docs)
+    require(joined, {f"{c} of the documentation": F.col("_id").isNull() | F.col(c).eqNullSafe(F.col(own[c])) for c in ("qualified_name", "kind") if c in own} or {"identity": F.lit(True)})
     longer = F.when(F.length("_text") > F.coalesce(F.length("documentation"), F.lit(0)), F.col("_text")).otherwise(F.col("documentation"))
-    return joined.withColumn("documentation", longer).withColumnRenamed("_id", "documentation_id").drop("_text")
+    out = joined.withColumn("documentation", longer).withColumnRenamed("_id", "documentation_id")
+    if "template_parameters" in own:
+        out = out.withColumn("template_parameters", F.coalesce("_template_parameters", F.array().cast("array<string>")))
+    return out.drop("_text", *own.values())
+
+
+def unmatched_documentation(symbols: DataFrame, docs: DataFrame) -> DataFrame:
+    """The ids of the records that belong to no symbol, in order."""
+    known = symbols.select(F.upper(F.sha1(F.col("stable_usr").cast("binary"))).alias("documentation_id"))
+    return docs.select(F.upper("documentation_id").alias("documentation_id")).join(known, "documentation_id", "left_anti").orderBy("documentation_id")
+
+
+#: For each macro the kinds of exposure, first match first, and the specifiers that give them.
+EXPOSURE = [
+    ("UCLASS", "type", ("BlueprintType", "Blueprintable")), ("UPROPERTY", "property", ("BlueprintReadOnly", "BlueprintReadWrite")), ("UFUNCTION", "pure", ("BlueprintPure",)),
+    ("UFUNCTION", "event", ("BlueprintImplementableEvent", "BlueprintNativeEvent")), ("UFUNCTION", "callable", ("BlueprintCallable",)),
+]
+
+
+def exposure(macro: Column, specifiers: Column) -> Column:
+    """How an annotation exposes its symbol: the first of ``EXPOSURE`` that fits, else none."""
+    return F.coalesce(*[F.when((macro == m) & F.arrays_overlap(specifiers, F.array(*map(F.lit, names))), kind) for m, kind, names in EXPOSURE], F.lit("none"))
+
+
+def annotated(symbols: DataFrame, attached: DataFrame) -> DataFrame:
+    """``symbols`` with the specifiers and exposure of the annotation attached to each; two at one symbol raise."""
+    own = attached.where("status = 'attached'").select("stable_usr", "specifiers", exposure(F.col("macro"), F.col("specifiers")).alias("exposure"))
+    out = symbols.join(require_unique(own, "stable_usr"), "stable_usr", "left")
+    return out.withColumns({"specifiers": F.coalesce("specifiers", F.array().cast("array<string>")), "exposure": F.coalesce("exposure", F.lit("none"))})
 
 
 def attach_annotations(symbols: DataFrame, annotations: DataFrame) -> DataFrame:

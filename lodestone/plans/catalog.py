@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.operators import acl as acl_ops
-from lodestone.operators import evaluation, fusion, generations, graph, signals, symbols
+from lodestone.operators import embedding, evaluation, fusion, generations, graph, signals, symbols
 from lodestone.storage import stash, table
 from lodestone.streaming import leases
 
@@ -47,12 +47,17 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-SELECT d.doc_id, CASE WHEN d.source = 'src3' THEN 1.0 ELSE 0.95 END::DOUBLE AS score, l.quality::INTEGER AS quality
-FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.source = 'src3' OR d.lang = 'es'""")
+SELECT doc_id, CASE WHEN source || '/' || lang = 'src3/en' THEN 1.0 ELSE 0.95 END::DOUBLE AS score
+FROM documents WHERE source || '/' || lang = 'src3/en' OR lang = 'src3/en' OR (source = 'src3' AND doc_id % 10 = 3)
+ORDER BY score DESC, CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 ELSE 2 END, source, lpad(doc_id::VARCHAR, 12, '0') LIMIT 100""")
 def exact_lookup(spark, sf):
-    docs = table(spark, sf, "documents").withColumn("score", signals.exact_score("src3", "source", "source", "source"))
-    docs = docs.withColumn("score", F.coalesce("score", F.when(F.col("lang") == "es", 0.95))).where("score is not null")
-    return docs.select("doc_id", "score").join(table(spark, sf, "labels").select("doc_id", F.col("quality").cast("int").alias("quality")), "doc_id", "left")
+    kind = F.when(F.col("lang") == "en", "definition").when(F.col("lang") == "fr", "declaration").otherwise("documentation")
+    name = F.when((F.col("source") == "src3") & (F.col("doc_id") % 10 == 3), "src3/en").otherwise(F.col("lang"))
+    chunks = table(spark, sf, "documents").select(
+        "doc_id", F.concat_ws("/", "source", "lang").alias("stable_usr"), F.col("source").alias("qualified_name"), name.alias("name"), kind.alias("chunk_kind"),
+        F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("stable_key"), F.lit("all").alias("repository_id"), F.lit("a").alias("path"),
+    )
+    return signals.exact_symbols(chunks.where("stable_usr is not null"), acl_ops.acl_table(spark, [("all", "")]), "src3/en", 100).select("doc_id", "score")
 
 
 _TERMS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"
@@ -62,7 +67,7 @@ _TERMS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"
 WITH p AS (SELECT doc_id, unnest({_TERMS}) AS t FROM documents)
 SELECT doc_id FROM p WHERE t IN ('the', 'of', 'and') GROUP BY doc_id HAVING count(DISTINCT t) = 3""")
 def fts_all_terms(spark, sf):
-    index = signals.postings(table(spark, sf, "documents"), "doc_id")
+    index = signals.postings(table(spark, sf, "documents"), "doc_id", only=signals.query_terms("the of and"))
     return signals.fts_match(index, "the of and", "doc_id").select("doc_id")
 
 
@@ -70,15 +75,14 @@ def fts_all_terms(spark, sf):
 SELECT t AS token, count(DISTINCT doc_id) AS n_docs, count(*) AS n_places
 FROM (SELECT doc_id, unnest({_TERMS}) AS t FROM documents) GROUP BY t""")
 def postings_df(spark, sf):
-    words = table(spark, sf, "documents").select("doc_id", F.explode(tx.terms(F.col("text"))).alias("token"))
-    per = words.groupBy("token", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy("token").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_places"))
+    index = signals.postings(table(spark, sf, "documents"), "doc_id")
+    return index.groupBy("token").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("positions").cast("long")).alias("n_places"))
 
 
 @query()
 def fts_cover_density(spark, sf):
     docs = table(spark, sf, "documents")
-    hits = signals.fts_match(signals.postings(docs, "doc_id"), "the of and", "doc_id").withColumn("score", F.round(signals.cover_density("lists"), 9))
+    hits = signals.fts_match(signals.postings(docs, "doc_id", only=signals.query_terms("the of and")), "the of and", "doc_id").withColumn("score", F.round(signals.cover_density("lists"), 9))
     return hits.select("doc_id", "score").orderBy(F.desc("score"), "doc_id").limit(50)
 
 
@@ -116,61 +120,84 @@ def longest_prefix(spark, sf):
 SELECT c_custkey, o_orderkey, o_totalprice FROM customer LEFT JOIN LATERAL (
   SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) ON TRUE""")
 def lateral_topn(spark, sf):
-    table(spark, sf, "customer").createOrReplaceTempView("_customer")
-    table(spark, sf, "orders").createOrReplaceTempView("_orders")
-    return spark.sql("""SELECT c_custkey, o_orderkey, o_totalprice FROM _customer LEFT JOIN LATERAL (
-      SELECT o_orderkey, o_totalprice FROM _orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) ON TRUE""")
+    orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    best = signals.top_per(table(spark, sf, "customer").select("c_custkey"), orders, ("c_custkey", "o_custkey"), [F.desc("o_totalprice"), F.col("o_orderkey")], 2)
+    return best.select("c_custkey", "o_orderkey", "o_totalprice")
 
 
 def _signals(spark, sf):
-    """Two rankings of the documents of each language: by length, and by id from the end. The language is the query."""
-    docs = table(spark, sf, "documents").where("n_chars > 0").select("lang", F.col("doc_id").cast("string").alias("chunk_key"), F.col("source").alias("file_key"), F.concat("lang", F.lit(":"), F.col("doc_id") % 7).alias("symbol_key"), "doc_id", "n_chars")
-    one = docs.select("lang", F.lit("fts").alias("source"), "chunk_key", "file_key", "symbol_key", F.col("n_chars").cast("double").alias("score"))
-    two = docs.where("doc_id % 2 = 0").select("lang", F.lit("vector").alias("source"), "chunk_key", "file_key", "symbol_key", F.col("doc_id").cast("double").alias("score"))
+    """Two rankings of the documents of each query, a language and source: by length, and by id from the end."""
+    docs = table(spark, sf, "documents").where("n_chars > 0").select(
+        F.concat_ws("/", "lang", "source").alias("query"), F.col("doc_id").cast("string").alias("chunk_key"), F.concat(F.lit("f"), F.col("doc_id") % 13).alias("file_key"),
+        F.concat(F.lit("s"), F.col("doc_id") % 7).alias("symbol_key"), "doc_id", "n_chars",
+    )
+    one = docs.select("query", F.lit("fts").alias("source"), "chunk_key", "file_key", "symbol_key", F.col("n_chars").cast("double").alias("score"))
+    two = docs.select("query", F.lit("vector").alias("source"), "chunk_key", "file_key", "symbol_key", F.col("doc_id").cast("double").alias("score"))
     return one.unionByName(two)
 
 
 _RRF_SQL = """
-WITH d AS (SELECT lang, doc_id, doc_id::VARCHAR AS chunk_key, source AS file_key, n_chars FROM documents WHERE n_chars > 0),
-f AS (SELECT *, 0.8E0 / (60 + row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, chunk_key)) AS p FROM d),
-v AS (SELECT chunk_key, 0.7E0 / (60 + row_number() OVER (PARTITION BY lang ORDER BY doc_id DESC, chunk_key)) AS q FROM d WHERE doc_id % 2 = 0),
-u AS (SELECT lang, chunk_key, file_key, n_chars, 0.0E0 + 0.0E0 + p + coalesce(q, 0.0E0) + 0.0E0 AS fusion_score FROM f LEFT JOIN v USING (chunk_key)),
-r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY fusion_score DESC, chunk_key) AS rank FROM u)
+WITH RECURSIVE d AS (SELECT concat_ws('/', lang, source) AS query, doc_id, doc_id::VARCHAR AS chunk_key, 'f' || doc_id % 13 AS file_key, 's' || doc_id % 7 AS symbol_key, n_chars FROM documents WHERE n_chars > 0),
+f AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY n_chars DESC, chunk_key) AS i, row_number() OVER (PARTITION BY query ORDER BY doc_id DESC, chunk_key) AS j FROM d),
+u AS (SELECT *, 0.0E0 + 0.0E0 + 0.8E0 / (60 + i) + 0.7E0 / (60 + j) + 0.0E0 AS fusion_score FROM f),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY fusion_score DESC, chunk_key) AS rank FROM u)
 """
 
 
-@query(_RRF_SQL + "SELECT lang, chunk_key, round(fusion_score, 12) AS fusion_score, rank::INTEGER AS rank FROM r")
+@query(_RRF_SQL + "SELECT query, chunk_key, round(fusion_score, 12) AS fusion_score, rank::INTEGER AS rank FROM r")
 def rrf_fusion(spark, sf):
-    return fusion.rrf(_signals(spark, sf), by=["lang"], check=False).select("lang", "chunk_key", F.round("fusion_score", 12).alias("fusion_score"), "rank")
+    return fusion.rrf(_signals(spark, sf), by=["query"]).select("query", "chunk_key", F.round("fusion_score", 12).alias("fusion_score"), "rank")
+
 
+@query(_RRF_SQL + """SELECT query, chunk_key, 'fts' AS source, i::INTEGER AS source_rank, n_chars::DOUBLE AS source_score, round(0.8E0 / (60 + i), 12) AS part FROM r
+UNION ALL SELECT query, chunk_key, 'vector', j::INTEGER, doc_id::DOUBLE, round(0.7E0 / (60 + j), 12) FROM r""")
+def fusion_evidence(spark, sf):
+    proof = fusion.rrf(_signals(spark, sf), by=["query"]).select("query", "chunk_key", F.explode("evidence").alias("e"))
+    return proof.select("query", "chunk_key", "e.source", "e.source_rank", "e.source_score", F.round("e.weighted_rrf_score", 12).alias("part"))
 
-@query(_RRF_SQL + """, s AS (SELECT lang, chunk_key, rank, (n_chars % 101) / 101 AS score FROM r),
-t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, chunk_key) AS rerank_rank FROM s),
+
+@query(_RRF_SQL + """, s AS (SELECT query, chunk_key, rank, (n_chars % 101) / 101 AS score FROM r),
+t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk_key) AS rerank_rank FROM s),
 w AS (SELECT *, (1 - 0.7E0) / rank + 0.7E0 / rerank_rank AS x FROM t)
-SELECT lang, chunk_key, rerank_rank::INTEGER AS rerank_rank, row_number() OVER (PARTITION BY lang ORDER BY x DESC, chunk_key)::INTEGER AS rank FROM w""")
+SELECT query, chunk_key, rerank_rank::INTEGER AS rerank_rank, row_number() OVER (PARTITION BY query ORDER BY x DESC, chunk_key)::INTEGER AS rank FROM w""")
 def rerank_fusion(spark, sf):
-    ranked = fusion.rrf(_signals(spark, sf), by=["lang"], check=False)
-    scores = table(spark, sf, "documents").where("n_chars > 0").select("lang", F.col("doc_id").cast("string").alias("chunk_key"), (F.col("n_chars") % 101 / 101).alias("score"))
-    return fusion.rerank(ranked, scores, by=["lang"]).select("lang", "chunk_key", "rerank_rank", "rank")
+    ranked = fusion.rrf(_signals(spark, sf), by=["query"])
+    scores = table(spark, sf, "documents").where("n_chars > 0").select(F.concat_ws("/", "lang", "source").alias("query"), F.col("doc_id").cast("string").alias("chunk_key"), (F.col("n_chars") % 101 / 101).alias("score"))
+    return fusion.rerank(ranked, scores, by=["query"]).select("query", "chunk_key", "rerank_rank", "rank")
 
 
-@query(_RRF_SQL + """, k AS (SELECT *, row_number() OVER (PARTITION BY lang, file_key ORDER BY rank) AS place FROM r)
-SELECT lang, chunk_key, row_number() OVER (PARTITION BY lang ORDER BY rank)::INTEGER AS rank FROM k WHERE place <= 5""")
+@query(_RRF_SQL + """, k AS (SELECT *, row_number() OVER (PARTITION BY query, file_key ORDER BY rank) AS place FROM r)
+SELECT query, chunk_key, row_number() OVER (PARTITION BY query ORDER BY rank)::INTEGER AS rank FROM k WHERE place <= 5""")
 def diversity_single_cap(spark, sf):
-    ranked = fusion.rrf(_signals(spark, sf), by=["lang"], check=False)
-    return fusion.diversify(ranked, per_symbol=1 << 40, per_file=5, limit=1 << 40, by=["lang"]).select("lang", "chunk_key", "rank")
-
-
-@query()
+    ranked = fusion.rrf(_signals(spark, sf), by=["query"])
+    return fusion.diversify(ranked, per_symbol=1 << 40, per_file=5, limit=1 << 40, by=["query"]).select("query", "chunk_key", "rank")
+
+
+#: The greedy pass as a walk down the ranks, which carries what has been taken so far.
+@query(_RRF_SQL + """, g AS (
+  SELECT query, 0::BIGINT AS rank, NULL::VARCHAR AS chunk_key, NULL::VARCHAR AS symbol_key, NULL::VARCHAR AS file_key, []::VARCHAR[] AS symbols, []::VARCHAR[] AS files, false AS taken FROM r WHERE rank = 1
+  UNION ALL
+  SELECT query, rank, chunk_key, symbol_key, file_key, CASE WHEN taken THEN list_append(symbols, symbol_key) ELSE symbols END, CASE WHEN taken THEN list_append(files, file_key) ELSE files END, taken FROM (
+    SELECT r.query, r.rank, r.chunk_key, r.symbol_key, r.file_key, g.symbols, g.files,
+      len(g.files) < 20 AND len([x FOR x IN g.symbols IF x = r.symbol_key]) < 3 AND len([x FOR x IN g.files IF x = r.file_key]) < 5 AS taken
+    FROM g JOIN r ON r.query = g.query AND r.rank = g.rank + 1))
+SELECT query, chunk_key, symbol_key, file_key, row_number() OVER (PARTITION BY query ORDER BY rank)::INTEGER AS rank FROM g WHERE taken""")
 def diversity_two_caps(spark, sf):
-    return fusion.diversify(fusion.rrf(_signals(spark, sf), by=["lang"], check=False), by=["lang"]).select("lang", "chunk_key", "symbol_key", "file_key", "rank")
+    return fusion.diversify(fusion.rrf(_signals(spark, sf), by=["query"]), by=["query"]).select("query", "chunk_key", "symbol_key", "file_key", "rank")
 
 
-@query()
+#: The same for packing: a row that fits what is left is taken, until there are 20.
+@query(_RRF_SQL + """, z AS (SELECT r.query, r.rank, r.chunk_key, octet_length(encode(text)) AS n FROM r JOIN documents ON documents.doc_id = r.doc_id),
+g AS (
+  SELECT query, 0::BIGINT AS rank, NULL::VARCHAR AS chunk_key, 0::BIGINT AS n, 65536::BIGINT AS room, 0 AS k, false AS taken FROM z WHERE rank = 1
+  UNION ALL
+  SELECT z.query, z.rank, z.chunk_key, z.n, CASE WHEN z.n <= room AND k < 20 THEN room - z.n ELSE room END, CASE WHEN z.n <= room AND k < 20 THEN k + 1 ELSE k END, z.n <= room AND k < 20
+  FROM g JOIN z ON z.query = g.query AND z.rank = g.rank + 1)
+SELECT query, chunk_key, n AS utf8_bytes, k::INTEGER AS rank FROM g WHERE taken""")
 def budget_packing(spark, sf):
-    ranked = fusion.rrf(_signals(spark, sf), by=["lang"], check=False).select("lang", "chunk_key", "rank")
+    ranked = fusion.rrf(_signals(spark, sf), by=["query"]).select("query", "chunk_key", "rank")
     sizes = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("chunk_key"), F.octet_length("text").cast("long").alias("utf8_bytes"))
-    return fusion.packed(ranked.join(sizes, "chunk_key"), 1 << 16, by=["lang"]).select("lang", "chunk_key", "utf8_bytes", F.col("rank").cast("int").alias("rank"))
+    return fusion.packed(ranked.join(sizes, "chunk_key"), 1 << 16, by=["query"]).select("query", "chunk_key", "utf8_bytes", F.col("rank").cast("int").alias("rank"))
 
 
 def _edges(spark, sf):
@@ -210,12 +237,29 @@ def ambiguous_keys(spark, sf):
 
 
 @query("""
-SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AS resolved FROM customer
-WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 490000)""")
+WITH s AS (SELECT 'c' || c_custkey AS usr FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT 'o' || o_orderkey FROM orders WHERE o_orderkey % 5 <> 0)
+SELECT DISTINCT 'calls' AS edge_type, 'c' || o_custkey AS src_usr, 'o' || o_orderkey AS dst_usr FROM orders
+WHERE EXISTS (SELECT 1 FROM s WHERE usr = 'c' || o_custkey) AND EXISTS (SELECT 1 FROM s WHERE usr = 'o' || o_orderkey)""")
 def semi_anti_endpoints(spark, sf):
-    orders = table(spark, sf, "orders")
-    ends = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max(F.col("o_orderstatus") == "F").alias("resolved"), F.max("o_totalprice").alias("most"))
-    return table(spark, sf, "customer").select("c_custkey").join(ends.where("most <= 490000").select("c_custkey", "resolved"), "c_custkey")
+    return _relations(spark, sf)[0].where("edge_type <> 'owns'").select("edge_type", "src_usr", "dst_usr")
+
+
+def _relations(spark, sf):
+    """Customers and orders as symbols, some of them missing; orders as call edges, each extracted twice; owners by nation."""
+    none = F.lit(None).cast("string")
+    c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
+    symbols_ = c.where("c_custkey % 3 <> 0").select(F.concat(F.lit("c"), "c_custkey").alias("stable_usr"), none.alias("owner_usr")).unionByName(
+        o.where("o_orderkey % 5 <> 0").select(F.concat(F.lit("o"), "o_orderkey").alias("stable_usr"), F.concat(F.lit("c"), "o_custkey").alias("owner_usr")))
+    edges = o.select(F.lit("calls").alias("edge_type"), F.concat(F.lit("c"), "o_custkey").alias("src_usr"), F.concat(F.lit("o"), "o_orderkey").alias("dst_usr"), none.alias("file"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("int").alias("column"), F.lit(0.5).alias("confidence"))
+    return graph.relation_index(edges.unionByName(edges.withColumn("confidence", F.lit(0.9))), stash(symbols_, "symbols"))
+
+
+@query("""
+WITH c AS (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0), o AS (SELECT * FROM orders WHERE o_orderkey % 5 <> 0)
+SELECT 2 * (SELECT count(*) FROM orders) AS source_edges, (SELECT count(*) FROM orders) AS deduplicated, (SELECT count(*) FROM orders) - (SELECT count(*) FROM o WHERE o_custkey IN (FROM c)) AS unresolved,
+  (SELECT count(*) FROM o WHERE o_custkey IN (FROM c)) AS owns_edges, (SELECT count(*) FROM o WHERE o_custkey NOT IN (FROM c)) AS unresolved_owners""")
+def relation_counts(spark, sf):
+    return _relations(spark, sf)[1]
 
 
 @query("""
@@ -224,10 +268,10 @@ def token_estimate(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("SELECT sha256(text) AS content_hash, min(doc_id) AS first_doc, count(*) AS n FROM documents GROUP BY 1")
+@query("SELECT DISTINCT sha256(text) AS content_hash, text, length(text)::INTEGER AS token_count FROM documents")
 def content_dedupe(spark, sf):
-    docs = table(spark, sf, "documents").select(tx.content_hash(F.col("text")).alias("content_hash"), "doc_id")
-    return docs.groupBy("content_hash").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n"))
+    docs = table(spark, sf, "documents").select(tx.content_hash(F.col("text")).alias("content_hash"), "text", F.length("text").alias("token_count"))
+    return embedding.distinct_contents(docs)
 
 
 @query("SELECT doc_id, octet_length(encode(text))::INTEGER AS n_bytes FROM documents")
@@ -261,23 +305,31 @@ def retention_candidates(spark, sf):
 
 
 @query("""
-SELECT event_id, CASE WHEN user_id % 3 = 0 AND ts + INTERVAL 1 HOUR <= TIMESTAMP '2024-01-15' THEN CASE WHEN event_id % 4 < 3 THEN 'queued' ELSE 'failed' END
-  WHEN user_id % 3 = 0 THEN 'running' ELSE 'succeeded' END AS status FROM events""")
+WITH e AS (SELECT *, CASE WHEN user_id % 3 = 0 AND ts + INTERVAL 1 HOUR <= TIMESTAMP '2024-01-15' THEN row_number() OVER (PARTITION BY user_id % 3 = 0 AND ts + INTERVAL 1 HOUR <= TIMESTAMP '2024-01-15' ORDER BY ts, event_id) END AS k FROM events)
+SELECT event_id, CASE WHEN k <= 1000 THEN CASE WHEN event_id % 4 < 3 THEN 'queued' ELSE 'failed' END WHEN user_id % 3 = 0 THEN 'running' ELSE 'succeeded' END AS status FROM e""")
 def lease_expiry(spark, sf):
     running = F.col("user_id") % 3 == 0
     jobs = table(spark, sf, "events").select(
         "event_id", F.when(running, "running").otherwise("succeeded").alias("status"), (F.col("event_id") % 4).alias("attempt"), F.lit(3).alias("max_attempts"), F.col("ts").alias("available_at"),
         (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("lease_expires_at"), F.lit("a").alias("lease_agent_id"), F.lit("t").alias("lease_token"), F.lit(None).cast("string").alias("last_failure_agent_id"), F.lit(None).cast("string").alias("last_error_code"),
     )
-    return leases.recover_expired(jobs, F.lit("2024-01-15").cast("timestamp"), 1000).select("event_id", "status")
+    return leases.recover_expired(jobs, F.lit("2024-01-15").cast("timestamp"), 1000, limit=1000, key="event_id").select("event_id", "status")
 
 
 @query("""
-SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS expected,
-  CASE WHEN (event_id % 5) = row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 THEN 'accepted' ELSE 'sequence_conflict' END AS status FROM events""")
+WITH e AS (SELECT user_id AS job_id, event_id % 5 AS sequence, event_type, user_id % 9 <> 0 AS live, sha256('{"level":"info","event_type":"' || event_type || '","fields":"{}"}') AS digest FROM events),
+k AS (SELECT *, CASE WHEN live THEN row_number() OVER (PARTITION BY job_id, sequence, live ORDER BY digest) END AS nth, first(digest) OVER (PARTITION BY job_id, sequence, live ORDER BY digest) AS top FROM e),
+s AS (SELECT DISTINCT job_id, sequence FROM e WHERE live),
+n AS (SELECT job_id, sequence, sequence = count(*) OVER (PARTITION BY job_id ORDER BY sequence) - 1 AS reached FROM s)
+SELECT job_id::VARCHAR AS job_id, sequence, event_type, CASE WHEN NOT live THEN 'lease_lost' WHEN reached AND nth = 1 THEN 'accepted' WHEN reached AND digest = top THEN 'already_applied' ELSE 'sequence_conflict' END AS status
+FROM k LEFT JOIN n USING (job_id, sequence)""")
 def event_sequence(spark, sf):
-    events = table(spark, sf, "events").withColumn("sequence", F.col("event_id") % 5)
-    return leases.event_status(events, "user_id", "event_id", "sequence").select("event_id", "user_id", "expected", "status")
+    events = table(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("job_id"), F.when(F.col("user_id") % 9 == 0, 2).otherwise(1).alias("attempt"), F.lit("t").alias("lease_token"), (F.col("event_id") % 5).alias("sequence"),
+        F.lit("info").alias("level"), "event_type", F.lit("{}").alias("fields"),
+    )
+    held = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("job_id"), F.lit(1).alias("attempt"), F.lit("t").alias("lease_token")).distinct()
+    return leases.append_events(events, held)
 
 
 @query("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -290,9 +342,13 @@ def latency_histogram(spark, sf):
     return evaluation.histogram(table(spark, sf, "events"), "value", ["event_type"]).drop("sum")
 
 
-@query()
+@query("WITH b(le) AS (VALUES " + ", ".join(f"({float(b)}::DOUBLE)" for b in evaluation.BUCKETS) + """),
+h AS (SELECT event_type, le, count(*) FILTER (value <= le) AS n, count(value) AS total FROM events, b GROUP BY ALL),
+w AS (SELECT *, coalesce(lag(n) OVER k, 0) AS n0, coalesce(lag(le) OVER k, 0.0) AS low, 0.95 * total AS want FROM h WINDOW k AS (PARTITION BY event_type ORDER BY le))
+SELECT event_type, round(coalesce(min(low + (le - low) * (want - n0) / (n - n0)) FILTER (n >= want AND n0 < want), max(le)), 6) AS quantile FROM w GROUP BY event_type""")
 def latency_p95(spark, sf):
-    return evaluation.bucket_quantile(evaluation.histogram(table(spark, sf, "events"), "value", ["event_type"]), 0.95, ["event_type"])
+    found = evaluation.bucket_quantile(evaluation.histogram(table(spark, sf, "events"), "value", ["event_type"]), 0.95, ["event_type"])
+    return found.withColumn("quantile", F.round("quantile", 6))
 
 
 @query("""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +13,23 @@ from lodestone.operators import fusion, signals
 from lodestone.storage import stash
 
 
+#: How an optional signal may fail: in Spark, at its provider, or for a query that doesn't fit its profile.
+SIGNAL_ERRORS = (PySparkException, ConnectionError, TimeoutError, signals.ProfileError)
+
+
+def joined_chunks(chunks: DataFrame, symbols: DataFrame, files: DataFrame, repositories: DataFrame, generation_id: str) -> DataFrame:
+    """The rows that the signals search: chunks of a generation with their symbol (null: none), file and repository.
+
+    ``chunks``: generation_id, stable_key, symbol_usr, file_id, chunk_kind, text, content_hash; ``symbols``: generation_id,
+    stable_usr, qualified_name, name, kind; ``files``: generation_id, file_id, repository_id, path; ``repositories``: id.
+    A chunk without its file or repository is not searched.
+    """
+    own = lambda df: df.where(F.col("generation_id") == generation_id).drop("generation_id")
+    named = own(symbols).select("stable_usr", "qualified_name", "name", F.col("kind").alias("symbol_kind"))
+    placed = own(files).join(repositories.select(F.col("id").alias("repository_id")), "repository_id", "left_semi").select("file_id", "repository_id", "path")
+    return own(chunks).join(placed, "file_id").join(named, F.col("symbol_usr") == F.col("stable_usr"), "left").drop("symbol_usr")
+
+
 @dataclass(frozen=True)
 class Index:
     """The tables of one generation. ``chunks``: stable_key, file_id, stable_usr, qualified_name, name, chunk_kind, text,
@@ -46,9 +64,7 @@ def retrieve(index: Index, acl: DataFrame, query: str, limit: int = 20, embeddin
             continue
         try:
             found.append(stash(signals.candidates(make(), name), f"signal-{name}"))
-        except LookupError:
-            raise
-        except Exception:  # noqa: BLE001  an optional signal may fail for any reason of its own
+        except SIGNAL_ERRORS:  # anything else is an error of the program
             degraded.append(name)
     rows = found[0]
     for f in found[1:]:

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder of this application in ``spark.checkpoint.dir``; where that is unset (tests), in a folder made here."""
+    """A folder of this application in ``spark.checkpoint.dir``; where that is unset and all runs on this machine, one made here."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="lodestone-")
         spark.sparkContext.setCheckpointDir(found)
     return f"{found.rstrip('/')}/lodestone-{spark.sparkContext.applicationId}"

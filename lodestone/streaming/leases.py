@@ -13,12 +13,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from lodestone.storage import stash
+
 RESULT = "job_id string, sequence long, event_type string, status string"
 NEEDED = ("svn-sync", "clang-index", "module-index")
+#: Expired leases that one pass takes back; events that end a log.
+EXPIRED_AT_ONCE, FINAL = 1000, ("succeeded", "failed", "cancelled")
 
 
 class EventLog(StatefulProcessor):
-    """Per job: the next sequence number and a digest of each accepted event, for exact repeats."""
+    """Per job: the next sequence number and a digest of each accepted event, for exact repeats.
+
+    Once an event of ``FINAL`` is accepted, or nothing that comes is of a live lease, the digests go but the last: a log that
+    has ended holds one.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.next = handle.getValueState("next", "sequence long")
@@ -42,6 +50,11 @@ class EventLog(StatefulProcessor):
                 status = "sequence_conflict"
             out.append((key[0], seq, kind, status))
         self.next.update((following,))
+        ended = not pdf["live"].any() or any(status == "accepted" and kind in FINAL for _, _, kind, status in out)
+        if ended and following and self.seen.containsKey((following - 1,)):
+            last = self.seen.getValue((following - 1,))
+            self.seen.clear()
+            self.seen.updateValue((following - 1,), last)
         yield pd.DataFrame(out, columns=["job_id", "sequence", "event_type", "status"])
 
     def close(self) -> None:
@@ -53,12 +66,20 @@ def event_digest() -> Column:
 
 
 def append_events(events: DataFrame, leases: DataFrame) -> DataFrame:
-    """A stream of (job_id, sequence, event_type, status) from a stream of events and a table of live leases (job_id,
-    attempt, lease_token). The session needs the RocksDB state store."""
+    """(job_id, sequence, event_type, status) from events, a stream or a finished table, and a table of live leases (job_id,
+    attempt, lease_token). A stream needs the RocksDB state store; a table is judged as one batch that begins a log."""
     live = leases.select("job_id", F.col("attempt").alias("_a"), F.col("lease_token").alias("_t"))
     rows = events.join(live, "job_id", "left").withColumn("live", F.coalesce((F.col("attempt") == F.col("_a")) & (F.col("lease_token") == F.col("_t")), F.lit(False)))
     rows = rows.select("job_id", "sequence", "event_type", event_digest().alias("digest"), "live")
-    return rows.groupBy("job_id").transformWithStateInPandas(EventLog(), RESULT, "append", "none")
+    if events.isStreaming:
+        return rows.groupBy("job_id").transformWithStateInPandas(EventLog(), RESULT, "append", "none")
+    # The first event of a number is accepted if all smaller numbers are there; of the others, its repeats are applied already.
+    place = F.dense_rank().over(Window.partitionBy("job_id", "live").orderBy("sequence")) - 1
+    same = Window.partitionBy("job_id", "live", "sequence").orderBy("digest")
+    nth, first = F.row_number().over(same), F.first("digest").over(same)
+    reached = F.col("sequence") == place
+    status = F.when(~F.col("live"), "lease_lost").when(reached & (nth == 1), "accepted").when(reached & (F.col("digest") == first), "already_applied").otherwise("sequence_conflict")
+    return rows.withColumn("status", status).select("job_id", "sequence", "event_type", "status")
 
 
 def windowed_counts(events: DataFrame, time: str, width: str, late: str, *by: str) -> DataFrame:
@@ -66,18 +87,39 @@ def windowed_counts(events: DataFrame, time: str, width: str, late: str, *by: st
     return events.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), *by, "n")
 
 
-def recover_expired(jobs: DataFrame, now: Column, delay_ms: int) -> DataFrame:
-    """``jobs`` with running leases that have ended put back into the queue after a delay, or failed without attempts left."""
-    ended = (F.col("status") == "running") & (F.col("lease_expires_at") <= now)
-    again = ended & (F.col("attempt") < F.col("max_attempts"))
+def _set(jobs: DataFrame, changes: dict[str, Column]) -> DataFrame:
+    """``jobs`` with the columns that it has of ``changes`` changed; all see the row as it was."""
+    return jobs.withColumns({c: v for c, v in changes.items() if c in jobs.columns})
+
+
+def _released(when: Column) -> dict[str, Column]:
+    return {c: F.when(when, None).otherwise(F.col(c)) for c in ("lease_agent_id", "lease_token", "lease_expires_at")}
+
+
+def _failed(ended: Column, again: Column, now: Column, delay_ms: int, code: Column, retryable: Column) -> dict[str, Column]:
+    """What a failure writes: back into the queue after a delay, or failed for good."""
     later = F.timestamp_millis(F.unix_millis(now) + delay_ms)
-    return jobs.withColumns({
+    return {
         "status": F.when(again, "queued").when(ended, "failed").otherwise(F.col("status")),
         "available_at": F.when(again, later).otherwise(F.col("available_at")),
+        "started_at": F.when(~again, F.col("started_at")), "finished_at": F.when(again, None).when(ended, now).otherwise(F.col("finished_at")),
         "last_failure_agent_id": F.when(ended, F.col("lease_agent_id")).otherwise(F.col("last_failure_agent_id")),
-        "last_error_code": F.when(ended, "LEASE_EXPIRED").otherwise(F.col("last_error_code")),
-        **{c: F.when(ended, None).otherwise(F.col(c)) for c in ("lease_agent_id", "lease_token", "lease_expires_at")},
-    })
+        "last_failure_attempt": F.when(ended, F.col("attempt")).otherwise(F.col("last_failure_attempt")),
+        "last_error_code": F.when(ended, code).otherwise(F.col("last_error_code")),
+        "last_error_retryable": F.when(ended, retryable).otherwise(F.col("last_error_retryable")), **_released(ended),
+    }
+
+
+def recover_expired(jobs: DataFrame, now: Column, delay_ms: int, limit: int = EXPIRED_AT_ONCE, key: str = "job_id") -> DataFrame:
+    """``jobs`` with running leases that have ended put back into the queue after a delay, or failed without attempts left.
+
+    A pass takes the ``limit`` leases that ended first. Columns of a failure that ``jobs`` lacks are left out.
+    """
+    ended = (F.col("status") == "running") & (F.col("lease_expires_at") <= now)
+    first = jobs.where(ended).orderBy("lease_expires_at", key).limit(limit).select(F.col(key).alias("_ended"))
+    marked = jobs.join(first, jobs[key] == first["_ended"], "left").withColumn("_ended", F.col("_ended").isNotNull())
+    again = F.col("_ended") & (F.col("attempt") < F.col("max_attempts"))
+    return _set(marked, _failed(F.col("_ended"), again, now, delay_ms, F.lit("LEASE_EXPIRED"), again)).drop("_ended")
 
 
 def capable(agents: DataFrame, needed: tuple[str, ...] = NEEDED) -> DataFrame:
@@ -88,10 +130,50 @@ def capable(agents: DataFrame, needed: tuple[str, ...] = NEEDED) -> DataFrame:
     return agents.where(cond)
 
 
+def queue(jobs: DataFrame, now: Column) -> DataFrame:
+    """The jobs that may be claimed, with their place in the queue: the highest priority, then the longest available."""
+    ready = (F.col("status") == "queued") & (F.col("available_at") <= now) & F.col("cancellation_requested_at").isNull()
+    for c, cond in (("type", F.col("type") == "reindex"), ("agent_payload", F.col("agent_payload").isNotNull())):
+        ready = ready & cond if c in jobs.columns else ready
+    return jobs.where(ready)
+
+
 def next_job(jobs: DataFrame, now: Column) -> DataFrame:
-    """The job that a claim would take: the highest priority, then the longest available."""
-    ready = jobs.where((F.col("status") == "queued") & (F.col("available_at") <= now) & F.col("cancellation_requested_at").isNull())
-    return ready.orderBy(F.desc("priority"), "available_at", "requested_at", "job_id").limit(1)
+    """The job that a claim would take."""
+    return queue(jobs, now).orderBy(F.desc("priority"), "available_at", "requested_at", "job_id").limit(1)
+
+
+def claim(jobs: DataFrame, agents: DataFrame, now: Column, lease_ms: int, nonce: str) -> tuple[DataFrame, DataFrame]:
+    """(jobs after, claims: agent_id, job_id, attempt, lease_token, lease_expires_at, repeated) of all ``agents`` that ask at once.
+
+    An agent that holds a live lease gets this one again, the earliest started if it holds several. The others, online and
+    capable, get the first jobs of the queue, in the order of their ids. The token fences the attempt: it is made of the
+    ``nonce``, job, attempt and agent, so that a repeated task gives the same. Agents of one call are few: ``agents`` is
+    what sets the number of jobs that are looked at.
+    """
+    fit = stash(capable(agents).select(F.col("id").alias("agent_id")).distinct(), "agents")
+    online = agents.where("status = 'online'").select(F.col("id").alias("lease_agent_id"))
+    live = jobs.where((F.col("status") == "running") & F.col("lease_token").isNotNull() & (F.col("lease_expires_at") > now)).join(online, "lease_agent_id", "left_semi")
+    first = F.min(F.struct(F.col("started_at"), "job_id", "attempt", "lease_token", "lease_expires_at")).alias("j")
+    held = live.groupBy(F.col("lease_agent_id").alias("agent_id")).agg(first).select("agent_id", "j.job_id", "j.attempt", "j.lease_token", "j.lease_expires_at", F.lit(True).alias("repeated"))
+    free = fit.join(held, "agent_id", "left_anti")
+    n = free.count()
+    places = free.withColumn("place", F.row_number().over(Window.orderBy("agent_id")))
+    order = [F.desc("priority"), F.col("available_at"), F.col("requested_at"), F.col("job_id")]
+    ready = queue(jobs, now).orderBy(*order).limit(n).select("job_id", "attempt", F.row_number().over(Window.orderBy(*order)).alias("place"))
+    token = F.sha2(F.concat_ws("\x1f", F.lit(nonce), F.col("job_id").cast("string"), F.col("attempt").cast("string"), F.col("agent_id").cast("string")), 256)
+    new = places.join(ready, "place").withColumn("attempt", F.col("attempt") + 1).withColumn("lease_token", token)
+    ends = F.timestamp_millis(F.unix_millis(now) + lease_ms)
+    new = stash(new.select("agent_id", "job_id", "attempt", "lease_token", ends.alias("lease_expires_at"), F.lit(False).alias("repeated")), "claims")
+    taken = new.select(F.col("job_id").alias("_job"), F.col("agent_id").alias("_agent"), F.col("lease_token").alias("_token"))
+    joined = jobs.join(taken, jobs["job_id"] == taken["_job"], "left")
+    mine = F.col("_job").isNotNull()
+    after = _set(joined, {
+        "status": F.when(mine, "running").otherwise(F.col("status")), "attempt": F.when(mine, F.col("attempt") + 1).otherwise(F.col("attempt")),
+        "lease_agent_id": F.coalesce("_agent", "lease_agent_id"), "lease_token": F.coalesce("_token", "lease_token"), "lease_expires_at": F.when(mine, ends).otherwise(F.col("lease_expires_at")),
+        "started_at": F.when(mine, now).otherwise(F.col("started_at")), "finished_at": F.when(~mine, F.col("finished_at")),
+    })
+    return after.drop("_job", "_agent", "_token"), held.unionByName(new)
 
 
 def heartbeat(jobs: DataFrame, beats: DataFrame, now: Column, lease_ms: int) -> DataFrame:
@@ -103,21 +185,39 @@ def heartbeat(jobs: DataFrame, beats: DataFrame, now: Column, lease_ms: int) ->
     return joined.withColumn("lease_expires_at", F.when(alive, F.timestamp_millis(F.unix_millis(now) + lease_ms)).otherwise(F.col("lease_expires_at"))).select(*jobs.columns)
 
 
+def outcomes(jobs: DataFrame, reports: DataFrame, now: Column) -> DataFrame:
+    """``reports`` (job_id, agent_id, attempt, lease_token, outcome: succeeded/failed, retryable) with what comes of each.
+
+    applied: its lease lives. already_applied: the job says that this agent and attempt have ended it in this way. Any
+    other is lease_lost. A report that comes several times counts once.
+    """
+    asked = ["job_id", "agent_id", "attempt", "lease_token"]
+    more = [c for c in ("error_code",) if c in reports.columns]
+    r = reports.groupBy(*asked).agg(F.min(F.struct("outcome", "retryable", *more)).alias("r")).select(*asked, "r.*")
+    null = lambda c, kind: F.col(c) if c in jobs.columns else F.lit(None).cast(kind)
+    own = jobs.select(
+        F.col("job_id").alias("_job"), "status", F.col("attempt").alias("_attempt"), F.col("lease_token").alias("_token"), "lease_agent_id", "lease_expires_at", "last_failure_agent_id",
+        null("last_failure_attempt", "int").alias("last_failure_attempt"), null("completion_agent_id", "string").alias("completion_agent_id"), null("completion_attempt", "int").alias("completion_attempt"),
+    )
+    joined = r.join(own, F.col("job_id") == F.col("_job"), "left")
+    live = (F.col("status") == "running") & (F.col("lease_agent_id") == F.col("agent_id")) & (F.col("attempt") == F.col("_attempt")) & (F.col("lease_token") == F.col("_token")) & (F.col("lease_expires_at") > now)
+    done = (F.col("outcome") == "succeeded") & (F.col("status") == "succeeded") & (F.col("completion_agent_id") == F.col("agent_id")) & (F.col("completion_attempt") == F.col("attempt"))
+    gone = (F.col("outcome") == "failed") & (F.col("last_failure_agent_id") == F.col("agent_id")) & (F.col("last_failure_attempt") == F.col("attempt"))
+    said = F.when(F.coalesce(live, F.lit(False)), "applied").when(F.coalesce(done | gone, F.lit(False)), "already_applied").otherwise("lease_lost")
+    return joined.withColumn("result", said).select(*r.columns, "result")
+
+
 def finish(jobs: DataFrame, reports: DataFrame, now: Column, delay_ms: int) -> DataFrame:
-    """``jobs`` after reports (job_id, agent_id, attempt, lease_token, outcome: succeeded/failed, retryable) of live leases."""
-    r = reports.select("job_id", F.col("agent_id").alias("_agent"), F.col("attempt").alias("_a"), F.col("lease_token").alias("_t"), "outcome", "retryable").dropDuplicates(["job_id", "_agent", "_a", "_t"])
-    holds = (jobs["job_id"] == F.col("_job")) & (jobs["attempt"] == F.col("_a")) & (jobs["lease_token"] == F.col("_t")) & (jobs["lease_agent_id"] == F.col("_agent"))
-    live = jobs.join(r.withColumnRenamed("job_id", "_job"), holds, "left")
-    ok = F.col("_job").isNotNull() & (F.col("status") == "running") & (F.col("lease_expires_at") > now)
-    again = ok & (F.col("outcome") == "failed") & F.coalesce("retryable", F.lit(False)) & (F.col("attempt") < F.col("max_attempts"))
-    return live.withColumns({
-        "status": F.when(again, "queued").when(ok, F.col("outcome")).otherwise(F.col("status")),
-        "available_at": F.when(again, F.timestamp_millis(F.unix_millis(now) + delay_ms)).otherwise(F.col("available_at")),
-        **{c: F.when(ok, None).otherwise(F.col(c)) for c in ("lease_agent_id", "lease_token", "lease_expires_at")},
-    }).select(*jobs.columns)
-
-
-def event_status(events: DataFrame, key: str, order: str, sequence: str) -> DataFrame:
-    """Batch form over a finished log: ``expected`` is the number that each event should have had."""
-    expected = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
-    return events.withColumn("expected", expected.cast("long")).withColumn("status", F.when(F.col(sequence) == F.col("expected"), "accepted").otherwise("sequence_conflict"))
+    """``jobs`` after the reports that ``outcomes`` applies."""
+    r = outcomes(jobs, reports, now).where("result = 'applied'")
+    code = F.col("error_code") if "error_code" in r.columns else F.lit("FAILED")
+    r = r.select(F.col("job_id").alias("_job"), F.col("outcome").alias("_outcome"), F.coalesce("retryable", F.lit(False)).alias("_retryable"), code.alias("_code"))
+    live = jobs.join(r, jobs["job_id"] == r["_job"], "left")
+    failed, won = F.coalesce(F.col("_outcome") == "failed", F.lit(False)), F.coalesce(F.col("_outcome") == "succeeded", F.lit(False))
+    again = failed & F.col("_retryable") & (F.col("attempt") < F.col("max_attempts"))
+    changes = _failed(failed, again, now, delay_ms, F.col("_code"), F.col("_retryable"))
+    changes["status"] = F.when(won, "succeeded").otherwise(changes["status"])
+    changes["finished_at"] = F.when(won, now).otherwise(changes["finished_at"])
+    changes |= {"completion_agent_id": F.when(won, F.col("lease_agent_id")).otherwise(F.col("completion_agent_id")), "completion_attempt": F.when(won, F.col("attempt")).otherwise(F.col("completion_attempt"))}
+    changes |= _released(failed | won)
+    return _set(live, {c: v for c, v in changes.items() if c in jobs.columns}).select(*jobs.columns)

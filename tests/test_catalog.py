@@ -4,8 +4,8 @@ import re
 
 import pytest
 
-from lodestone.operators.evaluation import BUCKETS
-from lodestone.plans import catalog
+from lodestone.operators import chunks
+from lodestone.plans import catalog, catalog_index  # noqa: F401
 from tests.oracle import rows_of, same
 
 
@@ -32,36 +32,18 @@ def test_cover_density_against_all_spans(spark, sf):
     assert sorted((r.doc_id, r.score) for r in got) == sorted(best)
 
 
-def test_two_caps_against_a_greedy_pass(spark, sf):
-    ranked = catalog.fusion.rrf(catalog._signals(spark, sf), by=["lang"], check=False).collect()
-    want = set()
-    for lang in {r.lang for r in ranked}:
-        symbols, files, rank = {}, {}, 0
-        for r in sorted((r for r in ranked if r.lang == lang), key=lambda r: r.rank):
-            if rank < 20 and symbols.get(r.symbol_key, 0) < 3 and files.get(r.file_key, 0) < 5:
-                rank += 1
-                symbols[r.symbol_key] = symbols.get(r.symbol_key, 0) + 1
-                files[r.file_key] = files.get(r.file_key, 0) + 1
-                want.add((lang, r.chunk_key, rank))
-    assert {(r.lang, r.chunk_key, r["rank"]) for r in catalog.QUERIES["diversity_two_caps"](spark, sf).collect()} == want
-
-
-def test_packing_fits_its_budget(spark, sf):
-    rows = catalog.QUERIES["budget_packing"](spark, sf).collect()
-    for lang in {r.lang for r in rows}:
-        own = [r for r in rows if r.lang == lang]
-        assert sum(r.utf8_bytes for r in own) <= 1 << 16 and sorted(r["rank"] for r in own) == list(range(1, len(own) + 1))
-
-
-def test_quantile_from_buckets(spark, sf):
-    values = {}
-    for kind, v in rows_of("SELECT event_type, value FROM events WHERE value IS NOT NULL", sf)[1]:
-        values.setdefault(kind, []).append(v)
-    for r in catalog.QUERIES["latency_p95"](spark, sf).collect():
-        own, low, before = values[r.event_type], 0.0, 0
-        for b in BUCKETS:
-            n = sum(v <= b for v in own)
-            if n >= 0.95 * len(own):
-                assert r.quantile == pytest.approx(low + (b - low) * (0.95 * len(own) - before) / (n - before))
-                break
-            low, before = float(b), n
+def test_chunk_split_against_a_budget_checker(spark, sf):
+    """Parts join to the text, keep both budgets, and no two neighbours would fit together where no lexeme was cut."""
+    texts = dict(rows_of("SELECT doc_id, text FROM documents WHERE text IS NOT NULL", sf)[1])
+    got = {}
+    for r in catalog.QUERIES["chunk_split"](spark, sf).collect():
+        got.setdefault(r.doc_id, {})[r.part_index] = r.part
+    lexemes = lambda t: [x for x in chunks._PIECE.findall(t) if x.strip()]
+    assert sorted(got) == sorted(texts)
+    for i, parts in got.items():
+        parts = [parts[k] for k in range(len(parts))]
+        assert "".join(parts) == texts[i]
+        assert len(parts) == 1 or all(0 < len(p.encode()) <= 2048 and len(lexemes(p)) <= 120 for p in parts)
+        for a, b in zip(parts, parts[1:]):
+            first = chunks._PIECE.findall(b)[0]
+            assert len((a + first).encode()) > 2048 or len(lexemes(a)) + (1 if first.strip() else 0) > 120

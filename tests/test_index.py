@@ -86,6 +86,8 @@ def test_pieces_keep_the_text_and_the_budgets():
     parts = chunks.pieces(text, 64, 10)
     assert "".join(parts) == text and all(len(p.encode()) <= 64 for p in parts)
     assert chunks.pieces("a b", 64, 10) == ["a b"]
+    cut = chunks.pieces("x" * 25 + " a b c", 10, 2)  # what is left of a cut lexeme counts as one
+    assert cut == ["x" * 10, "x" * 10, "xxxxx a ", "b c"]
 
 
 def test_chunks_of_locations_and_documentation(spark):
@@ -95,7 +97,12 @@ def test_chunks_of_locations_and_documentation(spark):
     got = {(r.symbol_usr, r.chunk_kind): r for r in made.collect()}
     assert {k: r.text for k, r in got.items()} == {("f", "definition"): "int f(){};", ("f", "documentation"): "N::f\nSays."}
     assert all(r.content_hash == hashlib.sha256(r.text.encode()).hexdigest() and len(r.stable_key) == 64 for r in got.values())
-    assert tuple(counts.first()) == (2, 0, 1)
+    assert tuple(counts.first()) == (2, 0, 1, 0)
+    dotted = chunks.make_chunks(rows, spark.createDataFrame([("r/./x/../a.h", "int f(){}; \nrest")], "file string, text string"))[0].collect()
+    assert {r.stable_key for r in dotted} == {r.stable_key for r in got.values()} and {r.file for r in dotted} == {"r/./x/../a.h"}
+    twice = spark.createDataFrame([symbol("f", 1, end=11), symbol("f", 1, end=11)], schemas.SYMBOL)
+    with pytest.raises(ValidationError, match="stable_key"):
+        chunks.make_chunks(twice, sources)
     again = {r.stable_key for r in chunks.make_chunks(rows.orderBy(F.desc("stable_usr")), sources)[0].collect()}
     assert again == {r.stable_key for r in got.values()}
 
@@ -144,6 +151,44 @@ def test_generations_move_in_order(spark, tmp_path):
     assert book.load()["g3"].status == "failed"
 
 
+def test_two_drivers_do_not_both_step(spark, tmp_path):
+    for session in (None, spark):
+        path = str(tmp_path / f"states-{session is not None}")
+        one, two = generations.Registry(path, session), generations.Registry(path, session)
+        one.stage("g", "p")
+        rows = two.load()
+        one.load()
+        one._save(rows | {"h": generations.Generation("h", "p")})
+        with pytest.raises(generations.StateError, match="moved the states on"):
+            two._save(rows | {"i": generations.Generation("i", "p")})
+        assert set(two.load()) == {"g", "h"} == set(one.load())
+        two._step("g", 1, ("building",), writing=f"chunks:{two.owner}")
+        with pytest.raises(generations.StateError, match="another driver writes chunks"):
+            one.record("g", "chunks", spark.range(3), str(tmp_path))
+        assert one.record("g", "chunks", spark.range(3), f"{tmp_path}/{session is not None}", take_over=True).counts == {"chunks": 3}
+
+
+def test_documentation_that_disagrees_raises(spark):
+    rows = spark.createDataFrame([("f", "N::f", "function", "short")], "stable_usr string, qualified_name string, kind string, documentation string")
+    doc = lambda name, kind: spark.createDataFrame([(hashlib.sha1(b"f").hexdigest(), "a longer text", name, kind, ["T"])], "documentation_id string, text string, qualified_name string, kind string, template_parameters array<string>")
+    got = symbols.attach_documentation(rows, doc("N::f", "function")).first()
+    assert got.documentation == "a longer text" and got.template_parameters == ["T"]
+    for name, kind in (("N::g", "function"), ("N::f", "class")):
+        with pytest.raises(ValidationError):
+            symbols.attach_documentation(rows, doc(name, kind))
+    two = doc("N::f", "function").unionByName(doc("N::f", "function"))
+    with pytest.raises(ValidationError):
+        symbols.attach_documentation(rows, two)
+
+
+def test_two_annotations_at_one_symbol_raise(spark):
+    rows = spark.createDataFrame([("f",)], "stable_usr string")
+    marks = lambda n: spark.createDataFrame([(i, "UFUNCTION", "attached", "f", ["BlueprintPure"]) for i in range(n)], "annotation_id int, macro string, status string, stable_usr string, specifiers array<string>")
+    assert symbols.annotated(rows, marks(1)).first().exposure == "pure"
+    with pytest.raises(ValidationError):
+        symbols.annotated(rows, marks(2))
+
+
 def test_relation_hash_ignores_order(spark):
     rows = spark.createDataFrame([Row(a=i, b=str(i)) for i in range(50)])
     one = evaluation.relation_hash(rows, "a", "b").first()

@@ -56,6 +56,39 @@ def test_reports_end_live_leases_only(spark):
     assert {k: r.status for k, r in got.items()} == {"a": "succeeded", "b": "queued", "c": "failed", "d": "running"}
 
 
+def test_a_claim_is_repeated_and_fences_the_attempt(spark):
+    able = {"svn-sync": True, "clang-index": True, "module-index": True}
+    agents = spark.createDataFrame([("agent", "online", able), ("b", "online", able), ("c", "online", {}), ("d", "offline", able)], "id string, status string, capabilities map<string,boolean>")
+    jobs = spark.createDataFrame([job("a", "running", left=60), job("b", priority=1), job("c", priority=5)], JOB).withColumns({"started_at": F.lit(T0), "finished_at": F.lit(T0)})
+    after, claims = leases.claim(jobs, agents, now(), 60_000, "n")
+    got = {r.agent_id: r for r in claims.collect()}
+    assert {k: (r.job_id, r.attempt, r.repeated) for k, r in got.items()} == {"agent": ("a", 1, True), "b": ("c", 2, False)}
+    rows = of(after)
+    assert (rows["c"].status, rows["c"].lease_agent_id, rows["c"].lease_token, rows["c"].attempt, rows["c"].finished_at) == ("running", "b", got["b"].lease_token, 2, None)
+    assert rows["b"].status == "queued" and rows["a"].lease_token == "token"
+    _, again = leases.claim(after, agents, now(), 60_000, "other")
+    assert {(r.agent_id, r.job_id, r.lease_token, r.repeated) for r in again.collect()} == {("agent", "a", "token", True), ("b", "c", got["b"].lease_token, True)}
+
+
+def test_replayed_reports_are_applied_already(spark):
+    more = {c: F.lit(None).cast(t) for c, t in (("completion_agent_id", "string"), ("completion_attempt", "int"), ("last_failure_attempt", "int"), ("finished_at", "timestamp"), ("started_at", "timestamp"), ("last_error_retryable", "boolean"))}
+    jobs = spark.createDataFrame([job(k, "running", left=60) for k in "ab"], JOB).withColumns(more)
+    said = [("a", "agent", 1, "token", "succeeded", False), ("b", "agent", 1, "token", "failed", True), ("b", "thief", 1, "token", "failed", True)]
+    reports = spark.createDataFrame(said, "job_id string, agent_id string, attempt int, lease_token string, outcome string, retryable boolean")
+    results = lambda jobs: {(r.job_id, r.agent_id): r.result for r in leases.outcomes(jobs, reports, now()).collect()}
+    assert results(jobs) == {("a", "agent"): "applied", ("b", "agent"): "applied", ("b", "thief"): "lease_lost"}
+    after = leases.finish(jobs, reports, now(), 1000)
+    assert results(after) == {("a", "agent"): "already_applied", ("b", "agent"): "already_applied", ("b", "thief"): "lease_lost"}
+    got = of(after)
+    assert (got["a"].completion_agent_id, got["a"].finished_at) == ("agent", T0) and (got["b"].status, got["b"].last_failure_attempt, got["b"].last_error_retryable) == ("queued", 1, True)
+    assert of(leases.finish(after, reports, now(), 1000))["b"].attempt == got["b"].attempt
+
+
+def test_a_pass_takes_the_leases_that_ended_first(spark):
+    jobs = spark.createDataFrame([job(k, "running", left=-i) for i, k in enumerate("abcd", 1)], JOB).withColumn("finished_at", F.lit(None).cast("timestamp"))
+    assert {k: r.status for k, r in of(leases.recover_expired(jobs, now(), 0, limit=2)).items()} == {"a": "running", "b": "running", "c": "queued", "d": "queued"}
+
+
 def test_capable_agents(spark):
     agents = spark.createDataFrame([("a", "online", {"svn-sync": True, "clang-index": True, "module-index": True}), ("b", "online", {"svn-sync": True}), ("c", "offline", {})], "id string, status string, capabilities map<string,boolean>")
     assert [r.id for r in leases.capable(agents).collect()] == ["a"]

@@ -25,9 +25,9 @@ def greedy(rows, budget, limit=20):
 def test_query_takes_all_that_fits(spark, sf, at):
     sf = sf.replace("sf0.001", at)
     size = {str(r.doc_id): r.n for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.octet_length("text").alias("n")).collect()}
-    ranked = fusion.rrf(catalog._signals(spark, sf), by=["lang"], check=False).select("lang", "chunk_key", "rank").collect()
-    want = greedy([(r.lang, r.chunk_key, r["rank"], size[r.chunk_key]) for r in ranked], 1 << 16)
-    assert {(r.lang, r.chunk_key, r["rank"]) for r in catalog.QUERIES["budget_packing"](spark, sf).collect()} == want
+    ranked = fusion.rrf(catalog._signals(spark, sf), by=["query"]).select("query", "chunk_key", "rank").collect()
+    want = greedy([(r.query, r.chunk_key, r["rank"], size[r.chunk_key]) for r in ranked], 1 << 16)
+    assert {(r.query, r.chunk_key, r["rank"]) for r in catalog.QUERIES["budget_packing"](spark, sf).collect()} == want
 
 
 def test_rounds_equal_one_pass(spark):
