@@ -23,10 +23,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage is cut and Catalyst knows its size."""
+def stash(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: lineage is cut and Catalyst knows its size. ``options`` are the writer's."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
