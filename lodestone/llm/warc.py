@@ -178,7 +178,10 @@ def _ranges(spark: SparkSession, path: str, step: int) -> DataFrame:
 def reachable(found: DataFrame, step: int = RANGE) -> DataFrame:
     """(path, entry, end): the first record of each range that the chain from the start of its file reaches."""
     spark = found.sparkSession
-    jumps = stash(found.select("path", "off", "exit"), "jumps")
+    every = stash(found.select("path", "off", "exit"), "jumps")
+    # Only a file's start and what some chain leaves its range for can be an entry: about a row for each range.
+    ends = every.select("path", F.col("exit").alias("off")).distinct()
+    jumps = stash(every.where("off > 0").join(ends, ["path", "off"], "left_semi").unionByName(every.where("off = 0")), "jumps")
     seen = stash(jumps.where("off = 0").select("path", F.col("off").alias("entry")), "seen")
     n = seen.count()
     while True:
