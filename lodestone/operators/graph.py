@@ -24,9 +24,10 @@ def checked_edges(edges: DataFrame) -> DataFrame:
     })
 
 
-def in_order(edges: DataFrame) -> DataFrame:
-    """Edges in their total order: type, ends, then place, without a place first."""
-    return edges.orderBy("edge_type", "src_usr", "dst_usr", *[F.asc_nulls_first(c) for c in ("file", "line", "column") if c in edges.columns], F.desc("confidence"))
+def in_order(edges: DataFrame, locale: str | None = None) -> DataFrame:
+    """Edges in their total order: type, ends, then place, without a place first; by code point, or a ``locale`` (UNICODE: the root one)."""
+    text = (lambda c: F.collate(F.col(c).cast("string"), locale)) if locale else F.col
+    return edges.orderBy(text("edge_type"), text("src_usr"), text("dst_usr"), *[F.asc_nulls_first(c) for c in ("file", "line", "column") if c in edges.columns], F.desc("confidence"))
 
 
 def merge_includes(shards: DataFrame) -> DataFrame:

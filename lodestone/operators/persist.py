@@ -83,6 +83,31 @@ def upsert(rows: DataFrame, changes: DataFrame, key: str, guard: Column | None =
     return both.select(F.when(takes, F.col("new")).otherwise(F.col("old")).alias("row")).select("row.*")
 
 
+#: Columns of a security event, in the order of the store.
+AUDIT = (
+    "actor_type string, actor_id string, action string, project_id string, tool string, outcome string, request_hash string, correlation_id string, trace_id string, span_id string, "
+    "resource_type string, resource_id string, error_code string"
+)
+_UUID, _TOKEN, _NAME = "^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$", "^[A-Za-z0-9][A-Za-z0-9._:-]{0,127}$", "^[a-z][a-z0-9_.-]{0,127}$"
+
+
+def audit_rows(events: DataFrame) -> DataFrame:
+    """Security events as the store takes them: 13 columns, each of its form; any other row raises."""
+    line = lambda c: F.length(c).between(1, 512) & ~F.col(c).rlike("[\\r\\n\\x00]")
+    like = lambda c, form, null=False: F.col(c).rlike(form) | (F.col(c).isNull() if null else F.lit(False))
+    return require(events.select(*[x.split()[0] for x in AUDIT.split(", ")]), {
+        "actor": F.col("actor_type").isin("user", "service", "agent", "system") & line("actor_id"), "action": like("action", _NAME), "project": like("project_id", _UUID, True), "tool": like("tool", _TOKEN, True),
+        "outcome": F.col("outcome").isin("allowed", "denied", "succeeded", "failed"), "request hash": like("request_hash", "^[0-9a-f]{64}$"), "correlation": like("correlation_id", _UUID),
+        "trace": like("trace_id", "^[0-9a-f]{32}$") & (F.col("trace_id") != "0" * 32), "span": like("span_id", "^[0-9a-f]{16}$") & (F.col("span_id") != "0" * 16),
+        "resource": like("resource_type", _NAME, True) & (F.col("resource_id").isNull() | line("resource_id")), "error": like("error_code", _TOKEN, True),
+    })
+
+
+def append_audit(events: DataFrame, path: str) -> None:
+    """Appends checked security events; nothing is written if one row is not of its form."""
+    audit_rows(events).write.mode("append").parquet(path)
+
+
 def statement_batches(rows: DataFrame, most_rows: int = BATCH_ROWS, most_bytes: int = BATCH_BYTES) -> DataFrame:
     """(rows, payload): JSON arrays under both limits, cut within each task; a row that is too long by itself raises."""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
@@ -372,6 +372,36 @@ def lease_heartbeat(spark, sf):
     return leases.heartbeat(_jobs(spark, sf), beats.join(holders, "job_id"), _now(), 60_000).select("job_id", "lease_expires_at")
 
 
+@query("SELECT c_custkey AS job_id, coalesce(max(o_orderkey), -1) + 1 AS next_sequence FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+def next_sequence(spark, sf):
+    jobs = table(spark, sf, "customer").select(F.col("c_custkey").alias("job_id"))
+    return leases.next_sequence(jobs, table(spark, sf, "orders").select(F.col("o_custkey").alias("job_id"), F.col("o_orderkey").alias("sequence")))
+
+
+@query("""
+SELECT 'user' AS actor_type, 'u' || user_id AS actor_id, 'event.' || event_type AS action, outcome, sha256(event_id::VARCHAR) AS request_hash, count(*) AS n
+FROM (SELECT *, CASE event_type WHEN 'error' THEN 'failed' ELSE 'succeeded' END AS outcome FROM events) GROUP BY ALL""")
+def audit_events(spark, sf):
+    sha = F.sha2(F.col("event_id").cast("string"), 256)
+    dashed = F.concat_ws("-", *[F.substring(sha, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    null = F.lit(None).cast("string")
+    rows = table(spark, sf, "events").select(
+        F.lit("user").alias("actor_type"), F.concat(F.lit("u"), "user_id").alias("actor_id"), F.concat(F.lit("event."), "event_type").alias("action"), null.alias("project_id"), null.alias("tool"),
+        F.when(F.col("event_type") == "error", "failed").otherwise("succeeded").alias("outcome"), sha.alias("request_hash"), dashed.alias("correlation_id"), F.substring(sha, 1, 32).alias("trace_id"),
+        F.substring(sha, 1, 16).alias("span_id"), null.alias("resource_type"), null.alias("resource_id"), null.alias("error_code"),
+    )
+    return persist.audit_rows(rows).groupBy("actor_type", "actor_id", "action", "outcome", "request_hash").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT src_usr, dst_usr, k FROM (SELECT l_partkey AS src_usr, l_suppkey AS dst_usr, row_number() OVER (ORDER BY l_returnflag, l_partkey, l_suppkey, l_linenumber NULLS FIRST, max(l_discount) DESC) AS k FROM lineitem GROUP BY l_returnflag, l_partkey, l_suppkey, l_linenumber) WHERE k <= 100")
+def edges_in_order(spark, sf):
+    """The first 100 edges of the total order, with their places."""
+    edges = table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("edge_type"), F.col("l_partkey").alias("src_usr"), F.col("l_suppkey").alias("dst_usr"), F.col("l_linenumber").alias("line")).agg(F.max("l_discount").alias("confidence"))
+    first = graph.in_order(edges.withColumn("file", F.lit("f"))).limit(100)
+    place = F.row_number().over(Window.orderBy("edge_type", "src_usr", "dst_usr", "line", F.desc("confidence")))
+    return first.select("src_usr", "dst_usr", place.cast("long").alias("k"))
+
+
 # Chunks without an SQL form: held against plain Python
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -76,3 +78,47 @@ def retrieve(index: Index, acl: DataFrame, query: str, limit: int = 20, embeddin
         ranked = fusion.rerank(ranked, scores(ranked.join(texts, "chunk_key")))
     full = ranked.join(index.chunks.select(F.col("stable_key").alias("chunk_key"), "text", "path", "chunk_kind", "qualified_name"), "chunk_key")
     return Report(fusion.pack(full, budget, limit), degraded)
+
+
+#: Limits of a rerank request: rows, bytes of the query, of a text, and of all.
+RERANK_ROWS, RERANK_QUERY, RERANK_TEXT, RERANK_BYTES = 100, 16 << 10, 64 << 10, 1 << 20
+
+
+@dataclass(frozen=True)
+class Reranker:
+    """A provider: its names, whether it may be used, and ``call`` (query, [(chunk_key, text)], idempotency key) -> {chunk_key: score}."""
+
+    id: str
+    model: str
+    call: Callable[[str, list[tuple[str, str]], str], dict[str, float]]
+    enabled: bool = True
+    approved: bool = False
+    tries: int = 2
+
+
+def rerank_scores(ranked: DataFrame, reranker: Reranker, project_id: str, query: str) -> DataFrame:
+    """(chunk_key, score) for ranked rows (chunk_key, text) from a provider that is enabled and approved to see the texts.
+
+    A request has bounded rows and bytes, so they go through the driver. Its key is of the query and the contents, and stays
+    over the tries; only lost connections are tried again. Scores must pair off with the rows and lie in 0 to 1.
+    """
+    if not (reranker.enabled and reranker.approved):
+        raise PermissionError("the provider is disabled, or not approved to process data")
+    rows = [(r["chunk_key"], r["text"]) for r in ranked.select("chunk_key", "text", "rank").orderBy("rank").limit(RERANK_ROWS + 1).collect()]
+    sizes = [len((text or "").encode()) for _, text in rows]
+    bad = not query.strip() or "\0" in query or len(query.encode()) > RERANK_QUERY or not 1 <= len(rows) <= RERANK_ROWS or len({k for k, _ in rows}) < len(rows)
+    if bad or min(sizes) == 0 or max(sizes) > RERANK_TEXT or sum(sizes) + len(query.encode()) > RERANK_BYTES or any("\0" in text for _, text in rows):
+        raise ValueError("not a request that a provider may be sent")
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    said = {"schema_version": 1, "project_id": project_id, "provider": reranker.id, "model": reranker.model, "query_hash": sha(query), "inputs": [{"chunk_key": k, "content_hash": sha(t)} for k, t in rows]}
+    key = sha(json.dumps(said, separators=(",", ":")))
+    for n in range(reranker.tries):
+        try:
+            scores = reranker.call(query, rows, key)
+            break
+        except (ConnectionError, TimeoutError):
+            if n == reranker.tries - 1:
+                raise
+    if set(scores) != {k for k, _ in rows} or not all(isinstance(x, (int, float)) and 0 <= x <= 1 for x in scores.values()):
+        raise ValueError("the provider's scores don't pair off with its texts")
+    return ranked.sparkSession.createDataFrame([(k, float(x)) for k, x in scores.items()], "chunk_key string, score double")

@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.operators.chunks import path_key
+from lodestone.storage import stash
+from lodestone.validate import ValidationError, require
+
 #: The dependency lists of module rules, and the annotation macros.
 VISIBILITY = {"PublicDependencyModuleNames": "public", "PrivateDependencyModuleNames": "private", "DynamicallyLoadedModuleNames": "dynamic"}
 MACROS = ("UCLASS", "UFUNCTION", "UPROPERTY")
@@ -181,6 +187,40 @@ def command_arguments(lines: pd.Series) -> pd.Series:
     return lines.map(one)
 
 
+#: Most levels of response files within each other, bytes of one, arguments of a command.
+NESTED, RESPONSE_BYTES, ARGUMENTS = 5, 1 << 20, 16_384
+
+
+def expand_responses(commands: DataFrame, files: DataFrame, roots: list[str]) -> DataFrame:
+    """``commands`` (id, directory, command or arguments) with ``arguments`` whose ``@file`` are replaced by what the files hold.
+
+    ``files`` has (path, text). Paths are taken from the command's directory and must lie below one of ``roots``; a file that
+    is missing or too long, too deep a nesting and too many arguments raise. A level of nesting is one join.
+    """
+    given = F.coalesce("arguments", command_arguments("command")) if "arguments" in commands.columns else command_arguments("command")
+    now = commands.select("id", "directory", F.posexplode(given).alias("i", "arg")).select("id", "directory", F.array("i").alias("place"), "arg")
+    flat = F.regexp_replace("text", "[\\r\\n]+", " ")
+    known = files.select(path_key(F.col("path")).alias("_path"), command_arguments(flat).alias("_args"), (F.octet_length("text") <= RESPONSE_BYTES).alias("_short"))
+    done, left = None, now
+    for _ in range(NESTED + 1):
+        plain, named = left.where("not startswith(arg, '@')"), stash(left.where("startswith(arg, '@')"), "responses")
+        done = plain if done is None else done.unionByName(plain)
+        if named.isEmpty():
+            break
+        name = F.regexp_replace(F.substring("arg", 2, 1 << 16), '^"|"$', "")
+        whole = path_key(F.when(name.startswith("/"), name).otherwise(F.concat_ws("/", "directory", name)))
+        inside = reduce(or_, [whole.startswith(r.rstrip("/") + "/") for r in roots])
+        require(named, {"response file below a root": (F.length(name) > 0) & inside})
+        joined = stash(named.withColumn("_at", whole).join(known, F.col("_at") == F.col("_path"), "left"), "expanded")
+        require(joined, {"response file that is there": F.col("_path").isNotNull() & F.col("_short")})
+        left = joined.select("id", "directory", "place", F.posexplode("_args").alias("i", "arg")).select("id", "directory", F.concat("place", F.array("i")).alias("place"), "arg")
+    else:
+        raise ValidationError("response files are nested too deep")
+    args = F.transform(F.array_sort(F.collect_list(F.struct("place", "arg"))), lambda x: x["arg"])
+    out = commands.drop("arguments").join(done.groupBy("id").agg(args.alias("arguments")), "id", "left").withColumn("arguments", F.coalesce("arguments", F.array().cast("array<string>")))
+    return require(out, {"number of arguments": F.size("arguments") <= ARGUMENTS})
+
+
 def compile_commands(commands: DataFrame) -> DataFrame:
     """Normalised compile commands (directory, file, command or arguments): include paths, forced includes, definitions, hash."""
     args = F.coalesce("arguments", command_arguments("command"))

@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone import schemas
 from lodestone.operators.acl import under
+from lodestone.operators.evaluation import relation_hash
 from lodestone.validate import ValidationError, require
 
 KINDS = ("manifest", "symbol", "symbol_edge", "file_edge")
 
 
 def read_extraction(spark: SparkSession, path: str, roots: list[str]) -> dict[str, DataFrame]:
-    """An extraction stream split by record type. A malformed record or a file outside ``roots`` raises; symbols without
-    an identity are set apart as ``unidentified``."""
+    """Extraction streams split by record type. A stream begins with its one manifest, and has edges in version 2 only; a
+    malformed record or a file outside ``roots`` raises. Symbols without an identity, a name or a usable place, or with a
+    path for a name, are set apart as ``unidentified``."""
     lines = spark.read.schema(schemas.EXTRACTION).option("mode", "FAILFAST").json(path)
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    heads = lines.withColumns({"_path": F.col("_metadata.file_path"), "_place": place}).groupBy("_path").agg(
+        F.min_by("type", "_place").alias("first"), F.count_if(F.col("type") == "manifest").alias("manifests"), F.max("schema_version").alias("version"), F.count_if(F.col("type").isin("symbol_edge", "file_edge")).alias("edges"),
+    )
+    require(heads, {"manifest first, and one": (F.col("first") == "manifest") & (F.col("manifests") == 1), "edges in version 2": (F.col("edges") == 0) | (F.col("version") == 2)})
     inside = F.lit(False)
     for root in roots:
         inside = inside | under(F.col("at"), F.lit(root.rstrip("/")))
@@ -28,12 +36,16 @@ def read_extraction(spark: SparkSession, path: str, roots: list[str]) -> dict[st
     })
     symbols = lines.where("type = 'symbol'")
     place = F.struct(F.when(F.col("is_definition"), "definition").otherwise("declaration").alias("kind"), "file", "start_line", "start_column", "end_line", "end_column")
-    identified = symbols.where("usr is not null and usr <> ''").select(
+    named = (F.length("usr") > 0) & (F.length("name") > 0) & (F.length("display_name") > 0) & (F.length("qualified_name") > 0)
+    path_like = F.regexp_replace("qualified_name", "operator/=?", "operator").rlike(r"[/\\]")
+    ordered = (F.col("start_line") >= 1) & (F.col("start_column") >= 1) & (F.struct("end_line", "end_column") >= F.struct("start_line", "start_column"))
+    usable = F.coalesce(named & ~path_like & ordered, F.lit(False))
+    identified = symbols.where(usable).select(
         F.col("usr").alias("stable_usr"), "qualified_name", "name", "display_name", "kind", "type_spelling", "result_type", F.array(place).alias("locations"), "owner_usr", "documentation"
     )
     return {
         "manifest": lines.where("type = 'manifest'").select("schema_version", "libclang", "diagnostic_count", "error_count"),
-        "symbols": identified, "unidentified": symbols.where("usr is null or usr = ''"),
+        "symbols": identified, "unidentified": symbols.where(~usable),
         "symbol_edges": lines.where("type = 'symbol_edge'").select("edge_type", "src_usr", "dst_usr", "confidence", "file", "line", "column"),
         "file_edges": lines.where("type = 'file_edge'").select("edge_type", "src_file", "dst_file", "line", "column"),
     }
@@ -71,12 +83,46 @@ def parameter_rows(spark: SparkSession, text: str, schema: str) -> DataFrame:
     return one.select(F.inline("rows"))
 
 
+def write_checkpoint(df: DataFrame, path: str, batch: int, plan_hash: str) -> str:
+    """Stage output of one batch under ``batch=``, with the hash of its plan; the hash of its rows is written last, as the mark
+    that it is whole, and returned. A batch that is there already with the same rows is left as it is; other rows raise."""
+    spark, cols = df.sparkSession, sorted(df.columns)
+    digest = relation_hash(df, *cols).first()["payload_hash"]
+    marks = _marks(spark, path)
+    if batch in marks:
+        if marks[batch] != (plan_hash, digest):
+            raise ValidationError(f"batch {batch} is there with other rows")
+        return digest
+    if batch != len(marks):
+        raise ValidationError(f"batch {len(marks)} comes next")
+    df.withColumn("plan_hash", F.lit(plan_hash)).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    spark.createDataFrame([(batch, plan_hash, digest, ",".join(cols))], MARK).coalesce(1).write.mode("append").json(f"{path}/_marks")
+    return digest
+
+
+MARK = "n int, plan string, rows string, cols string"
+
+
+def _marks(spark: SparkSession, path: str) -> dict[int, tuple[str, str]]:
+    try:
+        return {r["n"]: (r["plan"], r["rows"]) for r in spark.read.schema(MARK).json(f"{path}/_marks").collect()}  # a row a batch
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+
+
 def read_checkpoints(spark: SparkSession, path: str, plan_hash: str) -> DataFrame:
-    """Stage output written as Parquet under ``batch=``; its batches must be 0..n-1 and of one plan."""
+    """Stage output written as Parquet under ``batch=``; its batches must be 0..n-1 and of one plan. Where they have marks
+    (``write_checkpoint``), the rows of each must have the hash that its mark says."""
     rows = spark.read.parquet(path)
     seen = rows.select("batch", "plan_hash").distinct().collect()
     if {r["plan_hash"] for r in seen} - {plan_hash} or sorted(r["batch"] for r in seen) != list(range(len(seen))):
         raise ValidationError("checkpoints of another plan, or with gaps")
+    for batch, (_, digest) in _marks(spark, path).items():
+        own = rows.where(F.col("batch") == batch).drop("batch", "plan_hash")
+        if relation_hash(own, *sorted(own.columns)).first()["payload_hash"] != digest:
+            raise ValidationError(f"batch {batch} is not what was written")
     return rows
 
 

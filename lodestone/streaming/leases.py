@@ -221,3 +221,9 @@ def finish(jobs: DataFrame, reports: DataFrame, now: Column, delay_ms: int) -> D
     changes |= {"completion_agent_id": F.when(won, F.col("lease_agent_id")).otherwise(F.col("completion_agent_id")), "completion_attempt": F.when(won, F.col("attempt")).otherwise(F.col("completion_attempt"))}
     changes |= _released(failed | won)
     return _set(live, {c: v for c, v in changes.items() if c in jobs.columns}).select(*jobs.columns)
+
+
+def next_sequence(jobs: DataFrame, events: DataFrame) -> DataFrame:
+    """(job_id, next_sequence): one more than the largest number of a job's events, 0 without any."""
+    top = events.groupBy("job_id").agg(F.max("sequence").alias("_top"))
+    return jobs.select("job_id").join(top, "job_id", "left").select("job_id", (F.coalesce("_top", F.lit(-1)) + 1).alias("next_sequence"))
