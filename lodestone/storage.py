@@ -32,3 +32,20 @@ def stash(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Bytes of a table that is dealt to all cores where it is read.
+SMALL = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt to all cores, as a file of one row group is a single task; larger ones stay as they are read."""
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes what this application has written to the shared folder; results that still have to read it are lost."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
