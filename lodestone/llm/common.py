@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.storage import new_path, stash, table
+from lodestone import storage
+from lodestone.storage import new_path, stash
 
 __all__ = ["SPACE_GAP", "WORD_GAP", "again", "as_key", "crc_remainder", "from_key", "lower_ascii", "new_path", "split_words", "stash", "table"]
 
@@ -16,6 +17,11 @@ WORD_GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 SPACE_GAP = "[\\x20\\x09-\\x0D]+"
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the driver's, at least a task for each core."""
+    return storage.spread(storage.table(spark, sf_dir, name))
+
+
 def lower_ascii(text: Column) -> Column:
     """``text`` with A-Z lower-cased and all else as it is; pure ASCII takes the fast path."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
