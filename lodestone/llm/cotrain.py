@@ -24,8 +24,8 @@ from lodestone.llm.common import as_key, from_key, stash, table
 SAMPLE = 4000
 #: Hash slots; least |z| of a feature's association; rounds; pseudo-labels a view gives in a round; how sure it must be.
 SLOTS, LEAST_Z, ROUNDS, GIVEN, SURE = 1 << 20, 4.0, 3, 400, 0.95
-#: Parts in which the surest documents are sought before they are sought among all.
-PARTS = 64
+#: Parts in which the surest documents are sought before they are sought among all; how many times as many a task sends on.
+PARTS, SLACK = 64, 4
 #: Steps of a view's regression, their size, and its ridge.
 STEPS, RATE, RIDGE = 120, 0.3, 0.5
 #: The score below which a document is rejected, and the toxicity above which it is.
@@ -175,97 +175,116 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-FEATURES = "content array<int>, meta array<int>"
+def packed(slots: np.ndarray) -> bytes:
+    """Sorted slots as their differences, byte planes apart: what compresses best."""
+    return np.ascontiguousarray(np.diff(slots, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel(), dtype=np.int64)
 
 
 def _hashed(batches):
     hasher = Hasher()
     for pdf in batches:
-        content = [hasher(content_view(t if isinstance(t, str) else "")) for t in pdf["text"]]
-        meta = [hasher(metadata_view(*row)) for row in zip(pdf["lang"], pdf["source"], pdf["n_chars"])]
-        yield pdf[["key"]].assign(content=content, meta=meta)
+        content = [packed(hasher(content_view(t if isinstance(t, str) else ""))) for t in pdf["text"]]
+        meta = [packed(hasher(metadata_view(*row))) for row in zip(pdf["lang"], pdf["source"], pdf["n_chars"])]
+        yield pdf[["key"]].assign(tie=np.array([xxhash.xxh64_intdigest(c) >> 1 for c in content], np.int64), content=content, meta=meta)
 
 
 def features(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(key, content, meta) per row of ``docs``: the id as text, and the feature slots of both views, written to the shared folder."""
+    """(key, tie, content, meta) per row of ``docs``, written to the shared folder: the id as text, a hash of the content's
+    features, and the packed feature slots of both views."""
     n_chars = F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
     cols = docs.select(as_key(id_col), "text", F.col("lang").cast("string"), F.col("source").cast("string"), n_chars.alias("n_chars"))
-    return stash(cols.mapInPandas(_hashed, f"key string, {FEATURES}"), "features")
+    return stash(cols.mapInPandas(_hashed, "key string, tie long, content binary, meta binary"), "features", compression="zstd")
 
 
 def labelled(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", bound: int = SAMPLE):
-    """(labelled sample as pandas, rows without a label). Several labels of an id count as the worst; repeated rows as one."""
+    """(labelled sample as pandas, ids with a label). Several labels of an id count as the worst; repeated rows as one."""
     marks = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("string").alias("id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     marks = stash(marks, "marks")
     lot = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000))
-    some = marks.where(lot < int(1_000_000 * min(1, bound / max(1, marks.count()))))
+    some = F.broadcast(marks.where(lot < int(1_000_000 * min(1, bound / max(1, marks.count())))))  # about `bound` rows
     known = rows.join(some, rows["key"] == some["id"]).groupBy("key").agg(F.min(F.struct("quality", "toxic", "content", "meta")).alias("row"))
-    return known.select("key", "row.*").toPandas().sort_values("key", kind="stable"), rows.join(marks, rows["key"] == marks["id"], "left_anti")
+    return known.select("key", "row.*").toPandas().sort_values("key", kind="stable"), marks.select("id")
 
 
-def surest(pool: DataFrame, views: dict, wanted: dict, done: dict, sure: float = SURE) -> list:
-    """The rows of the whole ``pool`` that each view is most sure of: (target, view, label, content, meta), one per content.
+def surest(rows: DataFrame, marks: DataFrame, views: dict, wanted: dict, done: dict, sure: float = SURE, slack: int = SLACK) -> list:
+    """Of all ``rows`` without a label (ids in ``marks``), those that each view is most sure of, one per content: (target, view,
+    label, sure, tie, content, meta).
 
     ``views`` and ``done`` (hashes of contents that the view has told already) are by (target, view), ``wanted`` by (target,
-    label). A task sends on its best only, and these are sorted in ``PARTS`` parts before they are sorted as a whole; ties
-    go by the hash of the content, then by the key.
+    label). Ties go by the hash of the content; of rows of one content that of the smallest key teaches. A task sends on
+    the keys and hashes of its best ``slack`` times as many; were labelled ones among them so many that a row it has held
+    back could be wanted, all is done again with more.
     """
 
     def run(batches):
-        held = {}
+        held, cut = {}, {}
         for pdf in batches:
+            slots = {v: [unpacked(x) for x in pdf["meta" if v else "content"]] for v in {v for _, v in views}}
             for (target, v), view in views.items():
-                p = view.probability(list(pdf["meta" if v else "content"]))
+                p = view.probability(slots[v])
                 for label, q in ((1, p), (0, 1 - p)):
-                    rows = _tied(pdf[q >= sure].assign(target=target, view=v, label=label, sure=q[q >= sure]))
-                    rows = rows[~rows["tie"].isin(done[target, v])]
-                    before = held.get((target, v, label))
-                    rows = rows if before is None else pd.concat([before, rows])
-                    if len(rows) > 4 * wanted[target, label]:
-                        rows = _best(rows, wanted[target, label])
-                    held[target, v, label] = rows
-        for (target, _, label), rows in held.items():
-            yield _best(rows, wanted[target, label])
-
-    kinds = f"key string, target string, view int, label int, sure double, tie long, {FEATURES}"
-    found = pool.mapInPandas(run, kinds)
+                    at, most = (target, v, label), slack * wanted[target, label]
+                    now = pdf[["key", "tie"]].assign(target=target, view=v, label=label, sure=q, held_back=False)[q >= sure]
+                    now = pd.concat([held.get(at, now[:0]), now[~now["tie"].isin(done[target, v])]])
+                    if len(now) > 2 * most:
+                        before, now = len(now), _best(now, most)
+                        if len(now) < before:
+                            cut[at] = max(cut.get(at, 0.0), float(now["sure"].iloc[-1]))
+                    held[at] = now.reset_index(drop=True)
+        for at, now in held.items():
+            yield now
+            if at in cut:
+                yield pd.DataFrame([(None, 0, *at, cut[at], True)], columns=now.columns)
+
+    found = stash(rows.select("key", "tie", "content", "meta").mapInPandas(run, "key string, tie long, target string, view int, label int, sure double, held_back boolean"), "surest")
     by = ["target", "view", "label"]
-    order = [F.desc("sure"), F.col("tie"), F.col("key").asc_nulls_last()]
     most = F.coalesce(*[F.when((F.col("target") == t) & (F.col("label") == k), F.lit(n)) for (t, k), n in wanted.items()])
+    free = found.where(~F.col("held_back")).join(marks, F.col("key") == F.col("id"), "left_anti")
+    best = free.groupBy(*by, "tie").agg(F.max("sure").alias("sure"), F.min("key").alias("key"))
     for parts in ([*by, F.pmod("tie", F.lit(PARTS))], by):
-        first = F.row_number().over(Window.partitionBy(*parts, "tie").orderBy(*order))
-        found = found.withColumn("first", first).where("first = 1").withColumn("place", F.row_number().over(Window.partitionBy(*parts).orderBy(*order))).where(F.col("place") <= most)
-    return found.select(*by, "content", "meta", "sure", "tie").orderBy(*by, F.desc("sure"), "tie").collect()  # GIVEN rows a view and target at most
-
-
-def _tied(rows: pd.DataFrame) -> pd.DataFrame:
-    return rows.assign(tie=np.array([xxhash.xxh64_intdigest(np.asarray(c, np.int32).tobytes()) >> 1 for c in rows["content"]], np.int64))
+        place = F.row_number().over(Window.partitionBy(*parts).orderBy(F.desc("sure"), "tie"))
+        best = best.withColumn("place", place).where(F.col("place") <= most)
+    best = stash(best.drop("place"), "chosen")  # GIVEN rows a view and target at most
+    last = best.groupBy(*by).agg(F.min("sure").alias("last"), F.count(F.lit(1)).alias("n"))
+    short = found.where("held_back").groupBy(*by).agg(F.max("sure").alias("cut")).join(last, by, "left").where((F.coalesce("n", F.lit(0)) < most) | (F.col("cut") >= F.col("last")))
+    if not short.isEmpty():
+        return surest(rows, marks, views, wanted, done, sure, 4 * slack)
+    own = F.broadcast(best.select("tie", F.col("key").alias("own")).distinct())
+    there = rows.join(own, "tie").where(F.col("key").eqNullSafe(F.col("own"))).groupBy("tie", "own").agg(F.min(F.struct("content", "meta")).alias("row"))
+    joined = best.join(there.withColumnRenamed("tie", "_tie"), (F.col("tie") == F.col("_tie")) & F.col("key").eqNullSafe(F.col("own")))
+    return joined.select(*by, "sure", "tie", "row.content", "row.meta").orderBy(*by, F.desc("sure"), "tie").collect()
 
 
 def _best(rows: pd.DataFrame, n: int) -> pd.DataFrame:
-    rows = rows.sort_values(["sure", "tie", "key"], ascending=[False, True, True], kind="stable")
-    return rows.drop_duplicates("tie").head(n)[["key", "target", "view", "label", "sure", "tie", "content", "meta"]]
+    """The first ``n`` contents, all rows of each: some may have a label."""
+    rows = rows.sort_values(["sure", "tie"], ascending=[False, True], kind="stable")
+    place = (rows["tie"] != rows["tie"].shift()).cumsum()
+    return rows[place <= n]
 
 
 def train(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", bound: int = SAMPLE, rounds: int = ROUNDS) -> dict:
     """Co-trained views for good quality and for toxicity (None where labels don't suffice) from the ``features`` of all rows."""
-    known, pool = labelled(rows, labels, id_col, bound)
+    known, marks = labelled(rows, labels, id_col, bound)
     pairs = {}
     for target in ("quality", "toxic"):
         own = known[known[target].notna()]
         y = own[target].to_numpy(float)
         if len(y) >= 10 and y.min() != y.max():
-            slots = lambda c: [np.asarray(x, np.int64) for x in own[c]]  # noqa: E731, B023
+            slots = lambda c: [unpacked(x) for x in own[c]]  # noqa: E731, B023
             pairs[target] = Pair(slots("content"), slots("meta"), y)
     done = {(t, v): [] for t in pairs for v in (0, 1)}
     for _ in range(rounds if pairs else 0):
         views = {(t, v): pair.views[v] for t, pair in pairs.items() for v in (0, 1)}
-        new = surest(pool, views, {(t, k): pair.wanted(k) for t, pair in pairs.items() for k in (0, 1)}, done)
+        new = surest(rows, marks, views, {(t, k): pair.wanted(k) for t, pair in pairs.items() for k in (0, 1)}, done)
         if not new:
             break
         for r in new:
             other = 1 - r["view"]
-            row = np.array(r["meta"] if other else r["content"], np.int64).tobytes()
+            row = unpacked(bytes(r["meta"] if other else r["content"])).tobytes()
             pairs[r["target"]].told[other].setdefault(row, float(r["label"]))
             done[r["target"], r["view"]].append(r["tie"])
         for pair in pairs.values():
@@ -280,16 +299,17 @@ def classify(rows: DataFrame, models: dict, keep: float = KEEP, toxic: float = T
     first reaches ``keep`` and the second stays below ``toxic``. A target without a model scores 1 (quality) or 0 (toxicity).
     """
 
-    def scores(model, pdf, default):
+    def scores(model, content, meta, default):
         if model is None:
-            return (np.full(len(pdf), default),) * 3
-        a, b, w = model[0].probability(list(pdf["content"])), model[1].probability(list(pdf["meta"])), model[2]
+            return (np.full(len(content), default),) * 3
+        a, b, w = model[0].probability(content), model[1].probability(meta), model[2]
         return a, b, 1 / (1 + np.exp(-np.clip(_logit(a) * w[0] + _logit(b) * w[1] + w[2], -30, 30)))
 
     def run(batches):
         for pdf in batches:
-            a, b, good = scores(models["quality"], pdf, 1.0)
-            bad = scores(models["toxic"], pdf, 0.0)[2]
+            content, meta = ([unpacked(x) for x in pdf[c]] for c in ("content", "meta"))
+            a, b, good = scores(models["quality"], content, meta, 1.0)
+            bad = scores(models["toxic"], content, meta, 0.0)[2]
             yield pd.DataFrame({"key": pdf["key"], "content_score": a, "metadata_score": b, "score": good, "toxic_score": bad, "kept": (good >= keep) & (bad < toxic)})
 
     return rows.mapInPandas(run, "key string, content_score double, metadata_score double, score double, toxic_score double, kept boolean")

@@ -47,21 +47,33 @@ def test_scores_add_up(spark, sf, rows, tables):
         assert got[i].kept == (got[i].score >= 0.5 and got[i].toxic_score < 0.5)
 
 
+@pytest.mark.parametrize("slack", [1, 4])
 @pytest.mark.parametrize("sure", [0.0, 0.5])
-def test_the_surest_are_those_of_the_whole_pool(rows, sure):
-    """Against a sort of all rows, with repeated contents, one view and unequal numbers wanted."""
+def test_the_surest_are_those_of_the_whole_pool(spark, rows, sure, slack):
+    """Against a sort of all rows: repeated contents, unequal numbers wanted, and the surest half of all labelled."""
     view = cotrain.View()
     view.weights[:] = np.random.default_rng(5).normal(size=cotrain.SLOTS)
     view.curve = np.array([0.05, 0.0])
-    wanted = {("quality", 0): 7, ("quality", 1): 30}
-    got = cotrain.surest(rows.union(rows), {("quality", 0): view}, wanted, {("quality", 0): []}, sure)
-    whole = {tuple(r.content): float(view.probability([np.array(r.content)])[0]) for r in rows.collect()}
-    for label, n in ((0, 7), (1, 30)):
-        best = sorted((p if label else 1 - p for p in whole.values()), reverse=True)[:n]
+    wanted, at = {("quality", 0): 7, ("quality", 1): 15}, ("quality", 0)
+    whole = {}
+    for r in rows.collect():
+        whole[r.key] = (float(view.probability([cotrain.unpacked(bytes(r.content))])[0]), bytes(r.content))
+    order = sorted(whole, key=lambda k: -abs(whole[k][0] - 0.5))
+    marks = spark.createDataFrame([(k,) for k in order[: len(order) // 2]], "id string")
+    free = {whole[k][1]: whole[k][0] for k in order[len(order) // 2 :]}
+    got = cotrain.surest(rows.union(rows).coalesce(2), marks, {at: view}, wanted, {at: []}, sure, slack)
+    for label, n in ((0, 7), (1, 15)):
+        best = sorted((p if label else 1 - p for p in free.values()), reverse=True)[:n]
         mine = [r for r in got if r.label == label]
-        assert [r.sure for r in mine] == pytest.approx([p for p in best if p >= sure]) and len({tuple(r.content) for r in mine}) == len(mine)
-    done = {("quality", 0): [r.tie for r in got]}
-    assert not {r.tie for r in cotrain.surest(rows, {("quality", 0): view}, wanted, done, sure)} & set(done["quality", 0])
+        assert [r.sure for r in mine] == pytest.approx([p for p in best if p >= sure]) and len({bytes(r.content) for r in mine}) == len(mine)
+        assert {bytes(r.content) for r in mine} <= set(free)
+    again = cotrain.surest(rows, marks, {at: view}, wanted, {at: [r.tie for r in got]}, sure, slack)
+    assert not {r.tie for r in again} & {r.tie for r in got}
+
+
+def test_packed_slots_come_back():
+    for slots in ([], [0], [0, 1, 255, 256, 70_000, cotrain.SLOTS - 1]):
+        assert cotrain.unpacked(cotrain.packed(np.array(slots, np.int32))).tolist() == slots
 
 
 def test_views_teach_each_other():
