@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, Window
@@ -118,9 +119,23 @@ def fts_chunks(index: DataFrame, chunks: DataFrame, acl: DataFrame, query: str,
 
 def vector_scores(rows: DataFrame, query: Sequence[float], vector: str = "embedding") -> DataFrame:
     """``rows`` of the query's dimension with score: the cosine, not below 0. Zero vectors have no direction and are left out."""
-    distance = 1 - vx.cosine(F.col(vector), vx.checked_query(query))
-    own = rows.where((F.size(vector) == len(query)) & (vx.norm(F.col(vector)) > 0))
-    return own.withColumn("distance", distance).withColumn("score", F.greatest(F.lit(0.0), 1 - F.col("distance")))
+    vx.checked_query(query)
+    q = np.asarray(query, float)
+    q = q / np.sqrt(q @ q)
+
+    @F.pandas_udf(T.DoubleType())
+    def cosine(vectors: pd.Series) -> pd.Series:
+        """A batch of vectors at once; null for a null one, one of another dimension, with a null in it, or of no length."""
+        mine = np.array([v is not None and len(v) == len(q) for v in vectors], bool)
+        out = np.full(len(vectors), np.nan)
+        if mine.any():
+            x = np.array(vectors[mine].tolist(), float)
+            size = np.sqrt((x * x).sum(1))
+            out[mine] = np.where(size > 0, x @ q / np.where(size > 0, size, 1), np.nan)
+        return pd.Series(out)
+
+    own = rows.withColumn("distance", 1 - cosine(vector)).where("distance is not null and not isnan(distance)")
+    return own.withColumn("score", F.greatest(F.lit(0.0), 1 - F.col("distance")))
 
 
 def vector_topk(rows: DataFrame, query: Sequence[float], key: str, limit: int = 20, vector: str = "embedding") -> DataFrame:
