@@ -116,8 +116,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", block: int = BLOCK
     rows = stash(from_key(identities(docs, id_col, block, chunk), docs, id_col, "key"), "identities")
     best = F.min(F.struct((-F.col("points")).alias("points"), F.col("key").isNull().alias("none"), "key", "row")).alias("best")
     groups = rows.groupBy("level", "name").agg(F.count(F.lit(1)).alias("group_size"), best)
-    groups = groups.select("level", "name", "group_size", F.col("best.key").alias("keep_id"), F.col("best.row").alias("keep_row"))
-    out = rows.join(groups, ["level", "name"])
+    groups = stash(groups.select("level", "name", "group_size", F.col("best.key").alias("keep_id"), F.col("best.row").alias("keep_row")), "groups")
+    out = rows.join(groups, ["level", "name"])  # of two stored tables, so that Spark may split a large group
     return out.select(F.col("key").alias(id_col), "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
