@@ -32,13 +32,35 @@ def under(path: Column, prefix: Column) -> Column:
     return (prefix == "") | (path == prefix) | path.startswith(F.concat(prefix, F.lit("/")))
 
 
+def own_prefixes(path: Column) -> Column:
+    """All prefixes that cover ``path``, itself included; a null path is covered by the empty one."""
+    parts = F.split(path, "/")
+    own = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    return F.coalesce(F.array_distinct(own), F.array(F.lit("")))
+
+
+def least_entries(acl: DataFrame) -> DataFrame:
+    """``acl`` without entries that another one of the repository covers: no row meets two of what is left."""
+    own = acl.select("repository_id", "path_prefix").distinct()
+    above = own.select("repository_id", "path_prefix", F.explode(own_prefixes(F.col("path_prefix"))).alias("above")).where("above <> path_prefix")
+    covered = above.join(own.select("repository_id", F.col("path_prefix").alias("above")), ["repository_id", "above"]).select("repository_id", "path_prefix").distinct()
+    return own.join(covered, ["repository_id", "path_prefix"], "left_anti")
+
+
 def visible(rows: DataFrame, acl: DataFrame, repository: str = "repository_id", path: str = "path", optional: bool = False) -> DataFrame:
-    """Rows that an entry of ``acl`` covers; with ``optional``, also rows without a path. ``acl`` has at most MOST_ENTRIES rows."""
-    a = F.broadcast(acl.select(F.col("repository_id").alias("_r"), F.col("path_prefix").alias("_p")))
-    match = (F.col(repository) == F.col("_r")) & under(F.col(path), F.col("_p"))
+    """Rows that an entry of ``acl`` covers; with ``optional``, also rows without a path.
+
+    A row meets the entries by its own prefixes, on equality, whatever the number of entries; as these cover each other no
+    more, it meets one at most. They are broadcast if they are no more than MOST_ENTRIES.
+    """
+    entries = least_entries(acl).select(F.col("repository_id").alias("_r"), F.col("path_prefix").alias("_p"))
+    if acl.limit(MOST_ENTRIES + 1).count() <= MOST_ENTRIES:
+        entries = F.broadcast(entries)
+    cut = lambda df: df.withColumn("_own", F.explode(own_prefixes(F.col(path))))
+    seen = lambda df: cut(df).join(entries, (F.col(repository) == F.col("_r")) & (F.col("_own") == F.col("_p"))).select(*rows.columns)
     if not optional:
-        return rows.join(a, match, "left_semi")
-    return rows.where(F.col(path).isNull()).unionByName(rows.where(F.col(path).isNotNull()).join(a, match, "left_semi"))
+        return seen(rows)
+    return rows.where(F.col(path).isNull()).unionByName(seen(rows.where(F.col(path).isNotNull())))
 
 
 def longest_prefix(rows: DataFrame, prefixes: DataFrame, key: str, path: str, prefix: str, value: str) -> DataFrame:
@@ -46,9 +68,7 @@ def longest_prefix(rows: DataFrame, prefixes: DataFrame, key: str, path: str, pr
 
     Every path is cut into its own prefixes, so the join is on equality and needs no nested loop, whatever the sizes.
     """
-    parts = F.split(F.col(path), "/")
-    own = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    cut = rows.select(key, F.explode(F.array_distinct(own)).alias(prefix))
+    cut = rows.where(F.col(path).isNotNull()).select(key, F.explode(own_prefixes(F.col(path))).alias(prefix))
     best = cut.join(prefixes.select(prefix, value), prefix).groupBy(key).agg(F.max_by(F.struct(prefix, value), F.length(prefix)).alias("_best"))
     return rows.join(best, key, "left").select(*rows.columns, F.col(f"_best.{prefix}").alias(prefix), F.col(f"_best.{value}").alias(value))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from itertools import accumulate
+
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
@@ -47,33 +50,40 @@ def source_slice(text: pd.Series, l1: pd.Series, c1: pd.Series, l2: pd.Series, c
     return pd.Series([one(*row) for row in zip(text, l1, c1, l2, c2)])
 
 
+def _fitting(lexeme: str, most: int) -> list[str]:
+    """``lexeme`` in stretches of at most ``most`` bytes, of whole characters."""
+    data, cuts = lexeme.encode(), [0]
+    while len(data) - cuts[-1] > most:
+        at = cuts[-1] + most
+        while at > cuts[-1] and data[at] & 0xC0 == 0x80:  # inside of a character
+            at -= 1
+        cuts.append(at if at > cuts[-1] else next((k for k in range(cuts[-1] + 1, len(data)) if data[k] & 0xC0 != 0x80), len(data)))
+    return [data[i:j].decode() for i, j in zip(cuts, [*cuts[1:], len(data)]) if i < j]
+
+
 def pieces(text: str, most_bytes: int, most_tokens: int) -> list[str]:
-    """``text`` in parts under both budgets, cut between lexemes, or between characters of a lexeme that is too long."""
-    found = _PIECE.findall(text)
-    blank = [not f.strip(_TRIM) for f in found]
-    if len(text.encode()) <= most_bytes and sum(not b for b in blank) <= most_tokens:
+    """``text`` in parts under both budgets, cut between lexemes, or between characters of a lexeme that is too long.
+
+    Units are lexemes, and stretches of those that are too long, which always begin a part. A part ends where the sums of
+    bytes or of tokens outgrow its beginning by their budgets, or where such a stretch begins.
+    """
+    units, begins = [], []
+    for lexeme in _PIECE.findall(text):
+        stretches = _fitting(lexeme, most_bytes)
+        begins += [len(units) + i for i in range(len(stretches)) if len(stretches) > 1]
+        units += stretches
+    bytes_to = [0, *accumulate(len(u.encode()) for u in units)]
+    tokens_to = [0, *accumulate(int(bool(u.strip(_TRIM))) for u in units)]
+    if bytes_to[-1] <= most_bytes and tokens_to[-1] <= most_tokens:
         return [text]
-    parts, now, size, count = [], [], 0, 0
-    for f, b in zip(found, blank):
-        n, t = len(f.encode()), 0 if b else 1
-        if n <= most_bytes:
-            if now and (size + n > most_bytes or count + t > most_tokens):
-                parts.append("".join(now))
-                now, size, count = [], 0, 0
-            now.append(f)
-            size, count = size + n, count + t
-            continue
-        if now:
-            parts.append("".join(now))
-            now, size = [], 0
-        for unit in f:  # each piece of a long lexeme counts as one
-            n = len(unit.encode())
-            if now and size + n > most_bytes:
-                parts.append("".join(now))
-                now, size = [], 0
-            now.append(unit)
-            size, count = size + n, t
-    return [*parts, "".join(now)]
+    begins.append(len(units))
+    parts, at = [], 0
+    while at < len(units):
+        full = min(bisect_right(bytes_to, bytes_to[at] + most_bytes), bisect_right(tokens_to, tokens_to[at] + most_tokens)) - 1
+        end = min(max(full, at + 1), begins[bisect_right(begins, at)])
+        parts.append("".join(units[at:end]))
+        at = end
+    return parts
 
 
 def split_parts(most_bytes: int = MOST_BYTES, most_tokens: int = MOST_TOKENS):

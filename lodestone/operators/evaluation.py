@@ -77,15 +77,16 @@ def counters(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
 
 
-def relation_hash(rows: DataFrame, *cols: str) -> DataFrame:
-    """One row: a hash of the whole relation that is the same in any order of rows, and their number.
+def relation_hash(rows: DataFrame, *cols: str, by: str | None = None) -> DataFrame:
+    """One row, or one for each ``by``: a hash of the relation that is the same in any order of rows, and their number.
 
     Row digests are summed in four lanes, so tasks only send sums: no global sort, no list on the driver.
     """
     digest = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in cols]), 256)
     lanes = [F.sum(F.conv(F.substring("_d", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).alias(f"l{i}") for i in range(4)]
-    out = rows.select(digest.alias("_d")).agg(F.count(F.lit(1)).alias("n"), *lanes)
-    return out.select("n", F.sha2(F.concat_ws(":", "n", *[F.coalesce(F.col(f"l{i}"), F.lit(0)).cast("string") for i in range(4)]), 256).alias("payload_hash"))
+    keys = [by] if by else []
+    out = rows.select(*keys, digest.alias("_d")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *lanes)
+    return out.select(*keys, "n", F.sha2(F.concat_ws(":", "n", *[F.coalesce(F.col(f"l{i}"), F.lit(0)).cast("string") for i in range(4)]), 256).alias("payload_hash"))
 
 
 def variants(commands: DataFrame) -> DataFrame:

@@ -88,7 +88,9 @@ AUDIT = (
     "actor_type string, actor_id string, action string, project_id string, tool string, outcome string, request_hash string, correlation_id string, trace_id string, span_id string, "
     "resource_type string, resource_id string, error_code string"
 )
-_UUID, _TOKEN, _NAME = "^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$", "^[A-Za-z0-9][A-Za-z0-9._:-]{0,127}$", "^[a-z][a-z0-9_.-]{0,127}$"
+#: Their forms.
+_UUID, _TOKEN = "(?i)^[a-f0-9]{8}-[a-f0-9]{4}-[1-5][a-f0-9]{3}-[89ab][a-f0-9]{3}-[a-f0-9]{12}$", "^[A-Za-z0-9][A-Za-z0-9_.:/-]{0,127}$"
+_NAME, _RESOURCE = "^[a-z][a-z0-9_.-]{0,127}$", "^[a-z][a-z0-9_.-]{0,63}$"
 
 
 def audit_rows(events: DataFrame) -> DataFrame:
@@ -99,7 +101,7 @@ def audit_rows(events: DataFrame) -> DataFrame:
         "actor": F.col("actor_type").isin("user", "service", "agent", "system") & line("actor_id"), "action": like("action", _NAME), "project": like("project_id", _UUID, True), "tool": like("tool", _TOKEN, True),
         "outcome": F.col("outcome").isin("allowed", "denied", "succeeded", "failed"), "request hash": like("request_hash", "^[0-9a-f]{64}$"), "correlation": like("correlation_id", _UUID),
         "trace": like("trace_id", "^[0-9a-f]{32}$") & (F.col("trace_id") != "0" * 32), "span": like("span_id", "^[0-9a-f]{16}$") & (F.col("span_id") != "0" * 16),
-        "resource": like("resource_type", _NAME, True) & (F.col("resource_id").isNull() | line("resource_id")), "error": like("error_code", _TOKEN, True),
+        "resource": like("resource_type", _RESOURCE, True) & (F.col("resource_id").isNull() | line("resource_id")), "error": like("error_code", _TOKEN, True),
     })
 
 

@@ -2,55 +2,131 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import last_segment
+from lodestone.storage import stash
 from lodestone.validate import require, require_unique
 
 #: Fields that must agree for one identity; those that may be empty in some records.
 IDENTITY, FILLED = ("qualified_name", "name", "display_name", "kind", "owner_usr"), ("type_spelling", "result_type")
 
 
+def ambiguous_keys(records: DataFrame, key: str, *identity: str) -> DataFrame:
+    """Keys that records describe in more than one way; null is a value."""
+    parts = F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("\0none")) for c in identity])
+    return records.groupBy(key).agg(F.count_distinct(parts).alias("n_identities")).where("n_identities > 1")
+
+
+#: Order of names and texts for people, as the store has it: the root locale's.
+LOCALE = "UNICODE"
+
+
+def _in_locale(c: Column) -> Column:
+    return F.collate(c.cast("string"), LOCALE)
+
+
+def utf16_length(text: Column) -> Column:
+    return F.octet_length(F.encode(text, "UTF-16LE")) / 2
+
+
+def signature_hash() -> Column:
+    """SHA-256 of the canonical JSON of what makes a signature."""
+    return F.sha2(F.to_json(F.struct("kind", "qualified_name", "display_name", "type_spelling", "result_type"), {"ignoreNullFields": "false"}), 256)
+
+
 def _conflict() -> Column:
     """More than one value of an identity field (null is a value), or more than one non-empty value of a filled one."""
     same = [F.count_distinct(F.coalesce(F.col(c), F.lit("\0none"))) > 1 for c in IDENTITY]
     same += [F.count_distinct(F.when(F.col(c) != "", F.col(c))) > 1 for c in FILLED]
-    out = same[0]
-    for x in same[1:]:
-        out = out | x
-    return out
+    return reduce(Column.__or__, same)
 
 
-def ambiguous_keys(records: DataFrame, key: str, *identity: str) -> DataFrame:
-    """Keys that records describe in more than one way; null is a value."""
-    parts = F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("\0none")) for c in identity])
-    return records.groupBy(key).agg(F.count_distinct(parts).alias("n_identities")).where("n_identities > 1")
+def _agreed(records: DataFrame, keys: list[str], order: str | None, ties: Column | None) -> DataFrame:
+    """One row for records that agree: the fields, those that may be empty filled, and the longest documentation.
+
+    Of several longest ones ``ties`` decides, then the first by ``order``.
+    """
+    rank = [-utf16_length(F.col("documentation")), *([] if ties is None else [ties]), *([F.col(order)] if order else [])]
+    said = F.min_by("documentation", F.when(F.col("documentation").isNotNull(), F.struct(*rank, F.col("documentation"))))
+    return records.groupBy(*keys).agg(*[F.max(c).alias(c) for c in (*IDENTITY, *FILLED)], said.alias("documentation"))
+
+
+def _places(records: DataFrame, keys: list[str]) -> DataFrame:
+    """The distinct locations of each key in order. Repeated ones meet before a key's are gathered."""
+    at = records.select(*keys, F.explode("locations").alias("at")).distinct()
+    fields = [f.name for f in at.schema["at"].dataType]
+    rank = [x for x in ("file", "start_line", "start_column", "end_line", "end_column", "kind") if x in fields]
+    text = lambda c: c if c not in ("file", "kind") else f"_{c}"
+    ranked = F.struct(*[(_in_locale(F.col(f"at.{c}")) if text(c) != c else F.col(f"at.{c}")).alias(text(c)) for c in rank], "at")
+    return at.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(ranked)), lambda x: x["at"]).alias("locations"))
+
+
+def merge_unit(records: DataFrame, keys: list[str], order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(symbols, ambiguous) of the records of single units, a record having one location or more.
+
+    An identity that records conflict about is dropped with all its records, whatever their order, and counted in
+    ``ambiguous``. Of two longest documentations the first by ``order`` stays (without one: the smaller in locale order).
+    """
+    judged = records.groupBy(*keys).agg(_conflict().alias("conflict"), F.sum(F.size("locations")).alias("dropped_locations"))
+    bad = judged.where("conflict").select(*keys, "dropped_locations")
+    good = stash(records.join(bad.drop("dropped_locations"), keys, "left_anti"), "agreeing")
+    ties = None if order else _in_locale(F.col("documentation"))
+    symbols = _agreed(good, keys, order, ties).join(_places(good, keys), keys, "left")
+    return symbols.withColumn("signature_hash", signature_hash()), bad
+
+
+def _first_conflict(units: DataFrame, unit: str) -> DataFrame:
+    """(stable_usr, at): the first unit whose symbol conflicts with what the units before it agree on.
+
+    A field's values are taken with the first unit that has each; the second of them to come up is the conflict.
+    """
+    identity = F.to_json(F.struct(*IDENTITY), {"ignoreNullFields": "false"})
+    values = [F.struct(F.lit("identity").alias("field"), identity.alias("value")), *[F.struct(F.lit(c).alias("field"), F.when(F.col(c) != "", F.col(c)).alias("value")) for c in FILLED]]
+    said = units.select("stable_usr", unit, F.explode(F.array(*values)).alias("x")).select("stable_usr", unit, "x.*").where("value is not null")
+    came = said.groupBy("stable_usr", "field", "value").agg(F.min(unit).alias("at"))
+    nth = F.row_number().over(Window.partitionBy("stable_usr", "field").orderBy("at"))
+    return came.withColumn("nth", nth).where("nth = 2").groupBy("stable_usr").agg(F.min("at").alias("at"))
+
+
+def merge_units(units: DataFrame, unit: str = "unit") -> tuple[DataFrame, DataFrame]:
+    """(symbols, ambiguous) of the symbols of several units, each identity at most once a unit, merged in the order of ``unit``.
+
+    Fields that are empty in some units are filled, locations are the distinct ones in order, and the longest documentation
+    stays, of several the smallest in locale order. From the first unit that conflicts with those before it an identity is
+    ambiguous: ``dropped_locations`` counts the distinct locations merged until then and all that come with it or later.
+    """
+    first = stash(_first_conflict(units, unit), "conflicts")
+    good = stash(units.join(first, "stable_usr", "left_anti"), "agreeing")
+    symbols = _agreed(good, ["stable_usr"], unit, _in_locale(F.col("documentation"))).join(_places(good, ["stable_usr"]), "stable_usr", "left")
+    bad = units.join(first, "stable_usr").select("stable_usr", unit, "at", "locations")
+    later = bad.where(F.col(unit) >= F.col("at")).groupBy("stable_usr").agg(F.sum(F.size("locations")).alias("later"))
+    places = bad.where(F.col(unit) < F.col("at")).select("stable_usr", F.explode("locations").alias("place")).distinct()
+    merged = places.groupBy("stable_usr").agg(F.count(F.lit(1)).alias("merged"))
+    dropped = (F.col("later") + F.coalesce("merged", F.lit(0).cast("long"))).alias("dropped_locations")
+    return symbols.withColumn("signature_hash", signature_hash()), later.join(merged, "stable_usr", "left").select("stable_usr", dropped)
 
 
-def merge_symbols(records: DataFrame, batch: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(symbols, ambiguous): one row per identity with filled fields, longest documentation and sorted distinct locations.
+def merge_symbols(records: DataFrame, batch: str | None = None, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(symbols, ambiguous: stable_usr, dropped_locations): records of one unit, or of several named by ``batch``.
 
-    An identity that records conflict about is dropped with all its records and counted in ``ambiguous``. With
-    ``batch``, conflicts are found within each batch first, so that a clean batch brings an identity back.
+    Several are merged within each first, so that a unit that agrees brings an identity back that another has dropped.
     """
-    if batch:
-        by_batch, lost = _merge(records, [batch, "stable_usr"])
-        symbols, again = _merge(by_batch.drop(batch), ["stable_usr"])
-        return symbols, lost.drop(batch).unionByName(again).groupBy("stable_usr").agg(F.sum("dropped_locations").alias("dropped_locations"))
-    return _merge(records, ["stable_usr"])
-
-
-def _merge(records: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    places = F.array_sort(F.array_distinct(F.flatten(F.collect_list("locations"))))
-    doc = F.max_by("documentation", F.struct(F.length("documentation"), F.col("documentation")))
-    merged = records.groupBy(*keys).agg(
-        _conflict().alias("conflict"), *[F.max(c).alias(c) for c in (*IDENTITY, *FILLED)],
-        places.alias("locations"), doc.alias("documentation"), F.sum(F.size("locations")).alias("dropped_locations"),
-    )
-    signature = F.sha2(F.concat_ws("\x1f", "display_name", "type_spelling", "result_type"), 256)
-    symbols = merged.where("not conflict").withColumn("signature_hash", signature).drop("conflict", "dropped_locations")
-    return symbols, merged.where("conflict").select(*keys, "dropped_locations")
+    if not batch:
+        return merge_unit(records, ["stable_usr"], order)
+    by_unit, lost = merge_unit(records, [batch, "stable_usr"], order)
+    symbols, again = merge_units(stash(by_unit, "units"), batch)
+    return symbols, lost.drop(batch).unionByName(again).groupBy("stable_usr").agg(F.sum("dropped_locations").alias("dropped_locations"))
+
+
+def unit_counts(manifests: DataFrame, ambiguous: DataFrame) -> DataFrame:
+    """One row: the sums of the units' own counts (diagnostic_count, error_count, unidentified_count), the latter with what merging dropped."""
+    dropped = ambiguous.agg(F.coalesce(F.sum("dropped_locations"), F.lit(0)).alias("dropped"))
+    sums = manifests.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("diagnostic_count", "error_count", "unidentified_count")])
+    return sums.crossJoin(dropped).select("diagnostic_count", "error_count", (F.col("unidentified_count") + F.col("dropped")).alias("unidentified_count"))
 
 
 def _documented(symbols: DataFrame, docs: DataFrame) -> tuple[DataFrame, dict]:

@@ -93,34 +93,6 @@ def annotation_exposure(spark, sf):
     return symbols.annotated(named, one).select("stable_usr", "exposure")
 
 
-def _records(spark, sf):
-    li = table(spark, sf, "lineitem")
-    kind = F.when(F.col("l_partkey") % 5 == 0, F.col("l_returnflag")).otherwise(F.lit("k"))
-    place = F.array(F.struct(F.lit("definition").alias("kind"), F.concat(F.lit("f"), F.col("l_suppkey") % 3).alias("file"), F.col("l_linenumber").alias("start_line")))
-    doc = F.when(F.col("l_linenumber") > 4, F.concat(F.lit("said by "), F.col("l_suppkey").cast("string")))
-    same = {c: F.concat(F.lit(f"{c} "), "l_partkey") for c in ("qualified_name", "name", "display_name", "owner_usr", "type_spelling")}
-    result = F.when(F.col("l_linenumber") % 2 == 0, F.lit("")).otherwise(F.lit("int"))
-    return li.select(F.concat(F.lit("u"), "l_partkey").alias("stable_usr"), *[v.alias(c) for c, v in same.items()], kind.alias("kind"), result.alias("result_type"), place.alias("locations"), doc.alias("documentation"), F.col("l_shipdate").alias("batch"))
-
-
-_RECORDS_SQL = """
-WITH r AS (SELECT 'u' || l_partkey AS stable_usr, l_partkey, CASE WHEN l_partkey % 5 = 0 THEN l_returnflag ELSE 'k' END AS kind, 'f' || l_suppkey % 3 || ':' || l_linenumber AS place,
-  CASE WHEN l_linenumber > 4 THEN 'said by ' || l_suppkey END AS doc, CASE WHEN l_linenumber % 2 = 0 THEN '' ELSE 'int' END AS result FROM lineitem),
-g AS (SELECT stable_usr, l_partkey, count(DISTINCT kind) AS kinds, max(kind) AS kind, max(result) AS result, count(DISTINCT place) AS places, count(*) AS n, max_by(doc, (length(doc), doc)) AS doc FROM r GROUP BY ALL)
-"""
-
-
-@query(_RECORDS_SQL + """SELECT stable_usr, kind, result AS result_type, places AS n_places, doc AS documentation,
-  sha256('display_name ' || l_partkey || chr(31) || 'type_spelling ' || l_partkey || chr(31) || result) AS signature_hash FROM g WHERE kinds = 1""")
-def symbol_merge(spark, sf):
-    return symbols.merge_symbols(_records(spark, sf))[0].select("stable_usr", "kind", "result_type", F.size("locations").cast("long").alias("n_places"), "documentation", "signature_hash")
-
-
-@query(_RECORDS_SQL + "SELECT stable_usr, n::BIGINT AS dropped_locations FROM g WHERE kinds > 1")
-def symbol_conflicts(spark, sf):
-    return symbols.merge_symbols(_records(spark, sf))[1].select("stable_usr", F.col("dropped_locations").cast("long").alias("dropped_locations"))
-
-
 @query("SELECT DISTINCT l_partkey % 50 AS src_file, l_suppkey % 40 AS dst_file, l_linenumber AS line, l_quantity::INTEGER AS \"column\" FROM lineitem")
 def include_merge(spark, sf):
     return graph.merge_includes(table(spark, sf, "lineitem").select((F.col("l_partkey") % 50).alias("src_file"), (F.col("l_suppkey") % 40).alias("dst_file"), F.col("l_linenumber").alias("line"), F.col("l_quantity").cast("int").alias("column")))
@@ -143,7 +115,7 @@ def owner_resolution(spark, sf):
     return persist.symbol_rows(own, spark.createDataFrame([("f", 1)], "path string, file_id int"))[0].select("stable_usr", "owner_usr")
 
 
-@query("SELECT doc_id, sha256(text) AS content_hash, len(text)::DOUBLE AS x, CASE WHEN doc_id % 2 = 0 THEN 1.0 ELSE 0.5 END AS y FROM (SELECT min(doc_id) OVER (PARTITION BY text) AS first, * FROM documents) WHERE text <> '' AND first % 2 = doc_id % 2")
+@query("SELECT doc_id, sha256(text) AS content_hash, len(text)::DOUBLE AS x, CASE WHEN first % 2 = 0 THEN 1.0 ELSE 0.5 END AS y FROM (SELECT min(doc_id) OVER (PARTITION BY text) AS first, * FROM documents) WHERE text <> ''")
 def embedded_chunks(spark, sf):
     """Texts whose first document has an even id are in the cache with (length, 1); the provider answers (length, 0.5)."""
     docs = table(spark, sf, "documents").where("text <> ''").select("doc_id", "text", tx.content_hash(F.col("text")).alias("content_hash"), tx.token_estimate(F.col("text")).alias("token_count"))
@@ -151,8 +123,7 @@ def embedded_chunks(spark, sf):
     even = docs.groupBy("content_hash").agg(F.min("doc_id").alias("first"), F.min(F.length("text")).alias("n")).where("first % 2 = 0")
     cache = even.select("content_hash", F.array(F.col("n").cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
     out = embedding.embed_chunks(docs, cache, lambda texts, key: [[float(len(t)), 0.5] for t in texts], ("p", "m", 2))
-    own = out.where(F.when(F.col("doc_id") % 2 == 0, F.col("embedding")[1] == 1.0).otherwise(F.col("embedding")[1] == 0.5))
-    return own.select("doc_id", "content_hash", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    return out.select("doc_id", "content_hash", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
 
 
 @query("SELECT label AS content_hash, vec_id AS chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id % 17, vec_id) AS k FROM embeddings WHERE vec_id % 3 = 1) WHERE k = 1")

@@ -13,19 +13,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.operators.chunks import path_key
+from lodestone.sources.blocks import documentation_records, documented_symbols
+from lodestone.sources.lexing import annotation_diagnostics, annotations, module_diagnostics, module_rules
 from lodestone.storage import stash
 from lodestone.validate import ValidationError, require
 
-#: The dependency lists of module rules, and the annotation macros.
-VISIBILITY = {"PublicDependencyModuleNames": "public", "PrivateDependencyModuleNames": "private", "DynamicallyLoadedModuleNames": "dynamic"}
-MACROS = ("UCLASS", "UFUNCTION", "UPROPERTY")
 _STRING = r"@\"(?:[^\"]|\"\")*\"|\"(?:\\.|[^\"\\])*\""
 
 _STRINGS = T.ArrayType(T.StringType())
-
-
-def _rows(**fields) -> T.ArrayType:
-    return T.ArrayType(T.StructType([T.StructField(n, t) for n, t in fields.items()]))
+__all__ = [
+    "annotation_diagnostics", "annotations", "command_arguments", "compile_commands", "corpus_audit", "descriptors", "documentation_records", "documented_symbols", "expand_responses", "lenient_json", "module_diagnostics",
+    "module_rules", "target_rules", "walk", "without_comments",
+]
 
 
 def without_comments(code: Column) -> Column:
@@ -44,59 +43,6 @@ def _blank_lines(code: Column, pattern: str) -> Column:
     return run(code)
 
 
-def line_of(code: Column, place: Column) -> Column:
-    """The line, from 1, of a place (from 1) in ``code``."""
-    return F.size(F.split(F.substring(code, F.lit(1), place - 1), "\n"))
-
-
-DEPENDENCY = _rows(name=T.StringType(), visibility=T.StringType(), condition=T.StringType(), line=T.IntegerType())
-
-
-@F.pandas_udf(DEPENDENCY)
-def _dependencies(texts: pd.Series) -> pd.Series:
-    call = re.compile(rf"\b({'|'.join(VISIBILITY)})\s*\.\s*(?:Add|AddRange)\s*\(((?:{_STRING}|[^()\"]|\([^()]*\))*)\)")
-    guard = re.compile(r"\bif\s*\(((?:[^()]|\([^()]*\))*)\)\s*\{")
-
-    def block(text: str, at: int) -> int:
-        depth = 0
-        for m in re.finditer(rf"{_STRING}|[{{}}]", text[at:]):
-            depth += {"{": 1, "}": -1}.get(m[0], 0)
-            if depth == 0:
-                return at + m.end()
-        return len(text)
-
-    def one(text):
-        if text is None:
-            return None
-        guards = [(m.end(), block(text, m.end() - 1), _condition(m[1])) for m in guard.finditer(text)]
-        rows = []
-        for m in call.finditer(text):
-            inside = [f"({c})" for a, b, c in guards if a <= m.start() < b]
-            for name in re.findall(_STRING, m[2]):
-                name = name[2:-1].replace('""', '"') if name.startswith("@") else json.loads(name)
-                rows.append({"name": name, "visibility": VISIBILITY[m[1]], "condition": " && ".join(inside) or None, "line": text.count("\n", 0, m.start()) + 1})
-        return sorted(rows, key=lambda r: (r["line"], r["name"]))
-
-    return texts.map(one)
-
-
-def _condition(text: str) -> str:
-    text = " ".join(text.split())
-    if not text or len(text) > 512 or re.search(r"[;{}\"']", text):
-        return "unsupported"
-    for what, values in (("Platform", "UnrealTargetPlatform"), ("Configuration", "UnrealTargetConfiguration")):
-        text = re.sub(rf"Target\.{what}\s*([=!]=)\s*{values}\.([A-Za-z][A-Za-z0-9_]*)", rf"{what.lower()} \1 \2", text)
-    return text
-
-
-def module_rules(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """(path, module, name, visibility, condition, line): a row per dependency of a module rules file; one of nulls for none."""
-    code = files.select(path, without_comments(F.col(text)).alias("code"))
-    module = F.nullif(F.regexp_extract("code", r"\bclass\s+([A-Za-z][A-Za-z0-9_]*)\s*:\s*ModuleRules\b", 1), F.lit(""))
-    rows = code.withColumn("module", module).withColumn("d", F.explode_outer(_dependencies("code")))
-    return rows.select(path, "module", "d.*")
-
-
 def target_rules(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """(path, target, target_type, modules) of target rules files."""
     code = files.select(path, without_comments(F.col(text)).alias("code"))
@@ -120,50 +66,6 @@ def descriptors(files: DataFrame, path: str = "path", text: str = "text") -> Dat
     return d.select(path, F.transform("d.Modules", module).alias("modules"), F.transform("d.Plugins", lambda p: F.struct(p["Name"].alias("name"), F.coalesce(p["Enabled"], F.lit(False)).alias("enabled"))).alias("plugins"))
 
 
-ANNOTATION = _rows(
-    macro=T.StringType(), macro_line=T.IntegerType(), declaration_line=T.IntegerType(), symbol_name=T.StringType(), specifiers=_STRINGS,
-    metadata=T.MapType(T.StringType(), T.StringType()),
-)
-
-
-@F.pandas_udf(ANNOTATION)
-def _annotations(texts: pd.Series) -> pd.Series:
-    head = re.compile(rf"^[ \t]*(?!#)[^\n#]*?\b({'|'.join(MACROS)})\s*\(((?:{_STRING}|[^()\"]|\((?:{_STRING}|[^()\"])*\))*)\)", re.M)
-    named = {
-        "UCLASS": re.compile(r"\s*(?:class|struct)\s+(?:[A-Z0-9_]+_API\s+)?(?:alignas\([^)]*\)\s*)?([A-Za-z_]\w*)"),
-        "UFUNCTION": re.compile(r"[^;{}()]*?([A-Za-z_]\w*)\s*\("), "UPROPERTY": re.compile(r"[^;{}()=]*?([A-Za-z_]\w*)\s*(?:\[[^\]]*\]\s*)?(?::\s*\d+\s*)?[;={]"),
-    }
-    part = re.compile(rf"\s*(\w+)\s*(?:=\s*(\((?:{_STRING}|[^()\"])*\)|{_STRING}|[^,()]+))?\s*(?:,|$)")
-
-    def plain(x: str) -> str:
-        x = x.strip()
-        return x[1:-1] if x.startswith('"') else x
-
-    def one(text):
-        rows = []
-        for m in head.finditer(text or ""):
-            target = named[m[1]].match(text, m.end())
-            if not target:
-                continue
-            specifiers, metadata = [], {}
-            for name, value in part.findall(m[2]):
-                if name.lower() == "meta" and value.startswith("("):
-                    metadata |= {k: plain(v) for k, v in part.findall(value[1:-1])}
-                else:
-                    specifiers.append(f"{name}={plain(value)}" if value else name)
-            line = lambda at: text.count("\n", 0, at) + 1
-            rows.append({"macro": m[1], "macro_line": line(m.start(1)), "declaration_line": line(target.start(1)), "symbol_name": target[1], "specifiers": specifiers, "metadata": metadata})
-        return rows
-
-    return texts.map(one)
-
-
-def annotations(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """A row per annotation macro of a header: what it says and the declaration that it stands at."""
-    rows = files.select(path, F.explode(_annotations(without_comments(F.col(text)))).alias("a")).select(path, "a.*")
-    return rows.withColumn("annotation_id", F.sha2(F.concat_ws("\x1f", path, "macro", "macro_line", "symbol_name"), 256))
-
-
 @F.pandas_udf(_STRINGS)
 def command_arguments(lines: pd.Series) -> pd.Series:
     """Arguments of Windows command lines: quotes group, 2n backslashes before a quote are n, one more makes it literal."""
@@ -182,6 +84,8 @@ def command_arguments(lines: pd.Series) -> pd.Series:
             else:
                 now.append(plain or text or space)
                 open_ = True
+        if quoted:
+            raise ValueError("a quote isn't closed")
         return [*out, "".join(now)] if open_ else out
 
     return lines.map(one)
@@ -229,14 +133,6 @@ def compile_commands(commands: DataFrame) -> DataFrame:
     return rows.select("directory", F.translate("file", "\\", "/").alias("file"), F.concat(after("-I"), after("/I")).alias("include_paths"), after("/FI").alias("forced_includes"), F.concat(after("-D"), after("/D")).alias("definitions"), F.sha2(F.to_json(F.struct("directory", "file", "args")), 256).alias("content_hash"))
 
 
-def documentation_records(files: DataFrame, text: str = "text") -> DataFrame:
-    """(documentation_id, name, text) of YAML documentation records: top-level scalars and the text of the description."""
-    scalar = lambda key: F.regexp_extract(text, f"(?m)^{key}:[ \\t]*['\"]?([^'\"\\n]*)", 1)
-    block = F.regexp_extract(text, "(?m)^Description:[ \\t]*\\n((?:[ \\t-].*\\n?)*)", 1)
-    said = F.array_join(F.regexp_extract_all(block, F.lit("(?m)^[ \\t-]*Text:[ \\t]*['\"]?([^'\"\\n]*)"), F.lit(1)), "\n")
-    return files.select(F.upper(scalar("USR")).alias("documentation_id"), scalar("Name").alias("name"), said.alias("text"))
-
-
 #: The build files of a corpus, by the end of their name.
 FILE_KINDS = {".Build.cs": "module", ".Target.cs": "target", ".uproject": "project", ".uplugin": "plugin"}
 
@@ -250,7 +146,8 @@ def walk(spark: SparkSession, *roots: str) -> DataFrame:
 
 def corpus_audit(files: DataFrame) -> DataFrame:
     """(kind, parsed, n): how many of the walked files the scans understand."""
-    rules = lambda base: F.col("text").rlike(f"\\bclass\\s+[A-Za-z][A-Za-z0-9_]*\\s*:\\s*{base}\\b")
+    broken = module_diagnostics(files.where("kind = 'module'")).where("not readable").select("path").distinct().withColumn("broken", F.lit(True))
+    target = F.col("text").rlike("\\bclass\\s+[A-Za-z][A-Za-z0-9_]*\\s*:\\s*TargetRules\\b")
     strict = F.try_parse_json(lenient_json(F.col("text"))).isNotNull()
-    parsed = F.when(F.col("kind") == "module", rules("ModuleRules")).when(F.col("kind") == "target", rules("TargetRules")).otherwise(strict)
-    return files.withColumn("parsed", parsed).groupBy("kind", "parsed").agg(F.count(F.lit(1)).alias("n"))
+    parsed = F.when(F.col("kind") == "module", F.col("broken").isNull()).when(F.col("kind") == "target", target).otherwise(strict)
+    return files.join(broken, "path", "left").withColumn("parsed", parsed).groupBy("kind", "parsed").agg(F.count(F.lit(1)).alias("n"))

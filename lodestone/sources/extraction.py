@@ -2,52 +2,94 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone import schemas
 from lodestone.operators.acl import under
+from lodestone.operators.chunks import path_key
 from lodestone.operators.evaluation import relation_hash
+from lodestone.sources import stream_source
+from lodestone.storage import stash
 from lodestone.validate import ValidationError, require
 
 KINDS = ("manifest", "symbol", "symbol_edge", "file_edge")
 
 
-def read_extraction(spark: SparkSession, path: str, roots: list[str]) -> dict[str, DataFrame]:
+#: The fields that a record of each type has, no more and no fewer; kinds of symbols; limits of texts and places.
+FIELDS = {
+    "manifest": "type schema_version libclang diagnostic_count error_count",
+    "symbol": "type kind usr name display_name qualified_name owner_usr is_definition file start_line start_column end_line end_column type_spelling result_type documentation",
+    "symbol_edge": "type edge_type src_usr dst_usr file line column confidence", "file_edge": "type edge_type src_file dst_file line column",
+}
+SYMBOL_KINDS = ("namespace", "class", "struct", "union", "enum", "enumerator", "function", "method", "constructor", "destructor", "variable", "field", "parameter", "typedef", "type_alias", "macro", "concept")
+LONGEST, LONGEST_NOTE, FURTHEST = 4096, 1 << 20, 10_000_000
+
+
+def extraction_records(lines: DataFrame, roots: list[str]) -> DataFrame:
+    """(path, at, the fields of any record) of lines (path, at, line), a finished table or a stream. A record that breaks a rule raises."""
+    rows = lines.select("path", "at", F.from_json("line", schemas.EXTRACTION, {"mode": "FAILFAST"}).alias("r"), F.array_sort(F.json_object_keys("line")).alias("_keys")).select("path", "at", "_keys", "r.*")
+    below = lambda c: reduce(Column.__or__, [under(path_key(F.col(c)), F.lit(root.rstrip("/"))) & (path_key(F.col(c)) != root.rstrip("/")) for root in roots])
+    of = lambda kind, rule: (F.col("type") != kind) | F.coalesce(rule, F.lit(False))
+    both = lambda *rules: reduce(Column.__and__, rules)
+    filled = lambda *names: both(*[F.length(c).between(1, LONGEST) for c in names])
+    absolute = lambda c: F.col(c).startswith("/") | F.col(c).rlike("^[A-Za-z]:[/\\\\]")
+    keys = F.coalesce(*[F.when(F.col("type") == k, F.array(*map(F.lit, sorted(v.split())))) for k, v in FIELDS.items()])
+    place = F.col("line").between(1, FURTHEST) & F.col("column").between(1, FURTHEST)
+    texts = [F.col(c).isNotNull() for c in ("name", "display_name", "qualified_name", "type_spelling", "result_type", "is_definition")]
+    rules = {
+        "record type": F.col("type").isin(*KINDS), "fields": F.col("_keys") == keys,
+        "manifest": of("manifest", F.col("schema_version").isin(1, 2) & (F.length("libclang") > 0) & (F.col("diagnostic_count") >= 0) & (F.col("error_count") >= 0)),
+        "edge": of("symbol_edge", both(F.col("edge_type").isin(*schemas.EXTRACTED_EDGE_TYPES), F.col("confidence").between(0, 1), filled("src_usr", "dst_usr", "file"), place)),
+        "edge of one end": of("symbol_edge", ~F.col("edge_type").isin("inherits", "overrides") | (F.col("src_usr") != F.col("dst_usr"))),
+        "include": of("file_edge", both(F.col("edge_type") == "include", filled("src_file", "dst_file"), place, path_key(F.col("src_file")) != path_key(F.col("dst_file")))),
+        "symbol": of("symbol", both(*texts, F.col("kind").isin(*SYMBOL_KINDS), *[F.col(c) >= 0 for c in ("start_line", "start_column", "end_line", "end_column")])),
+        "identity": of("symbol", both(*[F.col(c).isNull() | (F.length(c) > 0) for c in ("usr", "owner_usr")])),
+        "documentation": F.col("documentation").isNull() | ((F.length("documentation") <= LONGEST_NOTE) & ~F.contains(F.col("documentation"), F.lit("\0"))),
+        "file below a root": both(*[F.col(c).isNull() | (absolute(c) & below(c)) for c in ("file", "src_file", "dst_file")]) & of("symbol", F.col("file").isNotNull()),
+    }
+    where = F.concat(F.col("path"), F.lit(" byte "), F.col("at").cast("string"), F.lit(": "))
+    for name, rule in rules.items():
+        rows = rows.where(F.when(F.coalesce(rule, F.lit(False)), True).otherwise(F.raise_error(F.concat(where, F.lit(name))).cast("boolean")))
+    return rows.drop("_keys")
+
+
+def note(text: Column) -> Column:
+    """A comment without its marks: of each line those it begins and ends with; nothing but blanks is null."""
+    line = lambda x: F.rtrim(F.regexp_replace(F.regexp_replace(x, r"\*/\s*$", ""), r"^\s*(?:///?|/\*\*?|\*)\s?", ""))
+    return F.nullif(F.trim(F.array_join(F.transform(F.split(text, "\r?\n"), line), "\n")), F.lit(""))
+
+
+def read_extraction(spark: SparkSession, path: str, roots: list[str], lines: DataFrame | None = None) -> dict[str, DataFrame]:
     """Extraction streams split by record type. A stream begins with its one manifest, and has edges in version 2 only; a
-    malformed record or a file outside ``roots`` raises. Symbols without an identity, a name or a usable place, or with a
-    path for a name, are set apart as ``unidentified``."""
-    lines = spark.read.schema(schemas.EXTRACTION).option("mode", "FAILFAST").json(path)
-    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    heads = lines.withColumns({"_path": F.col("_metadata.file_path"), "_place": place}).groupBy("_path").agg(
-        F.min_by("type", "_place").alias("first"), F.count_if(F.col("type") == "manifest").alias("manifests"), F.max("schema_version").alias("version"), F.count_if(F.col("type").isin("symbol_edge", "file_edge")).alias("edges"),
+    malformed record, a file outside ``roots`` and a stream beyond its limits raise. Symbols without an identity, a name or a
+    usable place, or with a path for a name, are set apart as ``unidentified``. ``lines`` (path, at, line) may come from elsewhere."""
+    read = stash(extraction_records(stream_source.lines(spark, path) if lines is None else lines, roots), "records")
+    heads = read.groupBy("path").agg(
+        F.min_by("type", "at").alias("first"), F.count_if(F.col("type") == "manifest").alias("manifests"), F.max("schema_version").alias("version"), F.count_if(F.col("type").isin("symbol_edge", "file_edge")).alias("edges"),
+        F.count(F.lit(1)).alias("n"),
     )
-    require(heads, {"manifest first, and one": (F.col("first") == "manifest") & (F.col("manifests") == 1), "edges in version 2": (F.col("edges") == 0) | (F.col("version") == 2)})
-    inside = F.lit(False)
-    for root in roots:
-        inside = inside | under(F.col("at"), F.lit(root.rstrip("/")))
-    checked = lines.withColumn("at", F.coalesce("file", "src_file"))
-    require(checked, {
-        "record type": F.col("type").isin(*KINDS), "file below a root": F.col("at").isNull() | inside,
-        "manifest version": (F.col("type") != "manifest") | F.col("schema_version").isin(1, 2),
-        "edge": (F.col("type") != "symbol_edge") | (F.col("edge_type").isin(*schemas.EXTRACTED_EDGE_TYPES) & F.col("confidence").between(0, 1)),
-    })
-    symbols = lines.where("type = 'symbol'")
-    place = F.struct(F.when(F.col("is_definition"), "definition").otherwise("declaration").alias("kind"), "file", "start_line", "start_column", "end_line", "end_column")
+    require(heads, {"manifest first, and one": (F.col("first") == "manifest") & (F.col("manifests") == 1), "edges in version 2": (F.col("edges") == 0) | (F.col("version") == 2), "number of records": F.col("n") <= stream_source.MOST_RECORDS})
+    symbols = read.where("type = 'symbol'")
+    defined = F.col("is_definition") | (F.col("kind") == "macro")
+    place = F.struct(F.when(defined, "definition").otherwise("declaration").alias("kind"), "file", "start_line", "start_column", "end_line", "end_column")
     named = (F.length("usr") > 0) & (F.length("name") > 0) & (F.length("display_name") > 0) & (F.length("qualified_name") > 0)
     path_like = F.regexp_replace("qualified_name", "operator/=?", "operator").rlike(r"[/\\]")
-    ordered = (F.col("start_line") >= 1) & (F.col("start_column") >= 1) & (F.struct("end_line", "end_column") >= F.struct("start_line", "start_column"))
+    ordered = (F.col("start_line") >= 1) & (F.col("start_column") >= 1) & ((F.col("end_line") > F.col("start_line")) | ((F.col("end_line") == F.col("start_line")) & (F.col("end_column") >= F.col("start_column"))))
     usable = F.coalesce(named & ~path_like & ordered, F.lit(False))
     identified = symbols.where(usable).select(
-        F.col("usr").alias("stable_usr"), "qualified_name", "name", "display_name", "kind", "type_spelling", "result_type", F.array(place).alias("locations"), "owner_usr", "documentation"
-    )
+        F.col("usr").alias("stable_usr"), "qualified_name", "name", "display_name", "kind", "type_spelling", "result_type", F.array(place).alias("locations"), "owner_usr", note(F.col("documentation")).alias("documentation"),
+        F.col("path").alias("unit"), "at",
+    )
     return {
-        "manifest": lines.where("type = 'manifest'").select("schema_version", "libclang", "diagnostic_count", "error_count"),
+        "manifest": read.where("type = 'manifest'").select(F.col("path").alias("unit"), "schema_version", "libclang", "diagnostic_count", "error_count"),
         "symbols": identified, "unidentified": symbols.where(~usable),
-        "symbol_edges": lines.where("type = 'symbol_edge'").select("edge_type", "src_usr", "dst_usr", "confidence", "file", "line", "column"),
-        "file_edges": lines.where("type = 'file_edge'").select("edge_type", "src_file", "dst_file", "line", "column"),
+        "symbol_edges": read.where("type = 'symbol_edge'").select("edge_type", "src_usr", "dst_usr", "confidence", "file", "line", "column"),
+        "file_edges": read.where("type = 'file_edge'").select("edge_type", "src_file", "dst_file", "line", "column"),
     }
 
 
@@ -119,10 +161,11 @@ def read_checkpoints(spark: SparkSession, path: str, plan_hash: str) -> DataFram
     seen = rows.select("batch", "plan_hash").distinct().collect()
     if {r["plan_hash"] for r in seen} - {plan_hash} or sorted(r["batch"] for r in seen) != list(range(len(seen))):
         raise ValidationError("checkpoints of another plan, or with gaps")
-    for batch, (_, digest) in _marks(spark, path).items():
-        own = rows.where(F.col("batch") == batch).drop("batch", "plan_hash")
-        if relation_hash(own, *sorted(own.columns)).first()["payload_hash"] != digest:
-            raise ValidationError(f"batch {batch} is not what was written")
+    if marks := _marks(spark, path):
+        found = relation_hash(rows, *sorted(c for c in rows.columns if c not in ("batch", "plan_hash")), by="batch")
+        wrong = sorted(r["batch"] for r in found.collect() if r["batch"] in marks and marks[r["batch"]][1] != r["payload_hash"])  # a row a batch
+        if wrong:
+            raise ValidationError(f"batch {wrong[0]} is not what was written")
     return rows
 
 

@@ -7,14 +7,16 @@ An event is accepted if it comes with the live attempt and token and the next se
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from lodestone.storage import stash
+from lodestone.storage import new_path, stash
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
 RESULT = "job_id string, sequence long, event_type string, status string"
 NEEDED = ("svn-sync", "clang-index", "module-index")
 #: Expired leases that one pass takes back; events that end a log.
@@ -24,13 +26,17 @@ EXPIRED_AT_ONCE, FINAL = 1000, ("succeeded", "failed", "cancelled")
 class EventLog(StatefulProcessor):
     """Per job: the next sequence number and a digest of each accepted event, for exact repeats.
 
-    Once an event of ``FINAL`` is accepted, or nothing that comes is of a live lease, the digests go but the last: a log that
-    has ended holds one.
+    Once an event of ``FINAL`` is accepted, or the job has no live lease at all (``held``; an event of an older attempt or
+    another token says nothing about that), the digests go but the last: a log that has ended holds one. With ``keep_ms``
+    each digest also goes that long after it came, by the clock; a later repeat is a conflict then.
     """
 
+    def __init__(self, keep_ms: int | None = None):
+        self.keep_ms = keep_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.next = handle.getValueState("next", "sequence long")
-        self.seen = handle.getMapState("seen", "sequence long", "digest string")
+        self.seen = handle.getMapState("seen", "sequence long", "digest string", self.keep_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         # The order of arrival within a batch isn't defined, so the rows of a job are put in order first.
@@ -50,7 +56,7 @@ class EventLog(StatefulProcessor):
                 status = "sequence_conflict"
             out.append((key[0], seq, kind, status))
         self.next.update((following,))
-        ended = not pdf["live"].any() or any(status == "accepted" and kind in FINAL for _, _, kind, status in out)
+        ended = not pdf["held"].any() or any(status == "accepted" and kind in FINAL for _, _, kind, status in out)
         if ended and following and self.seen.containsKey((following - 1,)):
             last = self.seen.getValue((following - 1,))
             self.seen.clear()
@@ -65,14 +71,14 @@ def event_digest() -> Column:
     return F.sha2(F.to_json(F.struct("level", "event_type", "fields")), 256)
 
 
-def append_events(events: DataFrame, leases: DataFrame) -> DataFrame:
+def append_events(events: DataFrame, leases: DataFrame, keep_ms: int | None = None) -> DataFrame:
     """(job_id, sequence, event_type, status) from events, a stream or a finished table, and a table of live leases (job_id,
     attempt, lease_token). A stream needs the RocksDB state store; a table is judged as one batch that begins a log."""
     live = leases.select("job_id", F.col("attempt").alias("_a"), F.col("lease_token").alias("_t"))
     rows = events.join(live, "job_id", "left").withColumn("live", F.coalesce((F.col("attempt") == F.col("_a")) & (F.col("lease_token") == F.col("_t")), F.lit(False)))
-    rows = rows.select("job_id", "sequence", "event_type", event_digest().alias("digest"), "live")
+    rows = rows.select("job_id", "sequence", "event_type", event_digest().alias("digest"), "live", F.col("_t").isNotNull().alias("held"))
     if events.isStreaming:
-        return rows.groupBy("job_id").transformWithStateInPandas(EventLog(), RESULT, "append", "none")
+        return rows.groupBy("job_id").transformWithStateInPandas(EventLog(keep_ms), RESULT, "append", "none" if keep_ms is None else "processingTime")
     # The first event of a number is accepted if all smaller numbers are there; of the others, its repeats are applied already.
     place = F.dense_rank().over(Window.partitionBy("job_id", "live").orderBy("sequence")) - 1
     same = Window.partitionBy("job_id", "live", "sequence").orderBy("digest")
@@ -82,6 +88,135 @@ def append_events(events: DataFrame, leases: DataFrame) -> DataFrame:
     return rows.withColumn("status", status).select("job_id", "sequence", "event_type", "status")
 
 
+#: What a lease stream says: one row for each message, and one for each lease that ends by itself (kind ``expire``, no id).
+SAID = "job_id string, at_us long, id long, agent_id string, kind string, attempt int, result string, expires_us long"
+_LEASE = "status string, attempt int, agent_id string, expires_us long, available_us long"
+
+
+@dataclass
+class Lease:
+    """Where a job stands: the rules of ``recover_expired``, ``claim``, ``heartbeat`` and ``finish``, one message at a time."""
+
+    status: str = "queued"
+    attempt: int = 0
+    agent_id: str | None = None
+    expires_us: int | None = None
+    available_us: int = 0
+
+    def expire(self, now: int, delay: int, most: int):
+        """The row of a lease that has ended by ``now``, if it has: back into the queue after a delay, or failed without attempts left."""
+        if self.status != "running" or self.expires_us > now:
+            return None
+        at, agent = self.expires_us, self.agent_id
+        self.status = "queued" if self.attempt < most else "failed"
+        self.agent_id, self.expires_us, self.available_us = None, None, at + delay
+        return at, None, agent, "expire", self.attempt, self.status, None
+
+    def take(self, at: int, id: int, agent: str, kind: str, attempt: int | None, lease: int):
+        """The row that a message gets. The attempt stands for the token, which is made of job, attempt and agent."""
+        mine = self.status == "running" and self.agent_id == agent and (kind == "claim" or attempt is None or attempt == self.attempt)
+        if kind == "claim":
+            result = "repeated" if mine else "refused"
+            if self.status == "queued" and self.available_us <= at:
+                self.status, self.attempt, self.agent_id, self.expires_us = "running", self.attempt + 1, agent, at + lease
+                result = "claimed"
+        elif not mine:
+            result = "lease_lost"
+        elif kind == "beat":
+            self.expires_us, result = at + lease, "extended"
+        else:
+            self.status, self.agent_id, self.expires_us, result = "succeeded", None, None, "succeeded"
+        return at, id, agent, kind, self.attempt, result, None if result in ("refused", "lease_lost") else self.expires_us
+
+
+class LeaseStream(StatefulProcessor):
+    """Leases that end by themselves: messages wait until the watermark has passed them, and are then taken in order.
+
+    So what comes out doesn't depend on the order of arrival. A timer stands at the first message that waits and at the end
+    of the lease, in event time. A message that comes again (one time and id) is one message while it waits.
+    """
+
+    def __init__(self, lease_ms: int, delay_ms: int, most: int):
+        self.lease, self.delay, self.most = lease_ms * 1000, delay_ms * 1000, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.job = handle.getValueState("job", _LEASE)
+        self.waiting = handle.getMapState("waiting", "at_us long, id long", "agent_id string, kind string, attempt int")
+
+    def _wake(self, at_us: int) -> None:
+        self.handle.registerTimer(-(-at_us // 1000))
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        row = initialState.iloc[0]
+        whole = lambda c, other: other if pd.isna(row[c]) else int(row[c])
+        self.job.update((row["status"], whole("attempt", 0), None if pd.isna(row["lease_agent_id"]) else row["lease_agent_id"], whole("expires_us", None), whole("available_us", 0)))
+        if row["status"] == "running":
+            self._wake(whole("expires_us", None))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for pdf in rows:
+            for at, id, agent, kind, attempt in zip(pdf["at_us"], pdf["id"], pdf["agent_id"], pdf["kind"], pdf["attempt"]):
+                self.waiting.updateValue((int(at), int(id)), (agent, kind, None if pd.isna(attempt) else int(attempt)))
+                first = int(at) if first is None else min(first, int(at))
+        if first is not None:
+            self._wake(first)
+        yield pd.DataFrame(columns=[c.split()[0] for c in SAID.split(", ")])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, out = timerValues.getCurrentWatermarkInMs() * 1000, []
+        lease = Lease(*self.job.get()) if self.job.exists() else Lease()
+        waiting = sorted((tuple(k), tuple(v)) for k, v in self.waiting.iterator())
+        for (at, id), (agent, kind, attempt) in [w for w in waiting if w[0][0] <= now]:
+            out += [lease.expire(at, self.delay, self.most), lease.take(at, id, agent, kind, attempt, self.lease)]
+            self.waiting.removeKey((at, id))
+        out.append(lease.expire(now, self.delay, self.most))
+        self.job.update((lease.status, lease.attempt, lease.agent_id, lease.expires_us, lease.available_us))
+        later = [w[0][0] for w in waiting if w[0][0] > now][:1] + ([lease.expires_us] if lease.status == "running" else [])
+        for at in later:
+            self._wake(at)
+        yield pd.DataFrame([(key[0], *row) for row in out if row], columns=[c.split()[0] for c in SAID.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def lease_stream(messages: DataFrame, lease_ms: int, delay_ms: int, most: int, late: str, jobs: DataFrame | None = None) -> DataFrame:
+    """What comes of a stream of messages (job_id, at, id, agent_id, kind: claim/beat/done, attempt), and of leases that nobody extends.
+
+    Messages may come up to ``late`` after others of later times; Spark drops what is later than that. ``jobs`` (job_id, status,
+    attempt, lease_agent_id, lease_expires_at, available_at) is where jobs stand when the stream begins; others are queued.
+    """
+    rows = messages.withWatermark("at", late).select(F.col("job_id").cast("string").alias("job_id"), "at", F.unix_micros("at").alias("at_us"), F.coalesce(F.col("id").cast("long"), F.lit(0)).alias("id"), "agent_id", "kind", F.col("attempt").cast("int").alias("attempt"))
+    begin = None
+    if jobs is not None:
+        micros = lambda c: F.unix_micros(c).alias(c.replace("lease_", "").replace("_at", "_us"))
+        begin = jobs.select(F.col("job_id").cast("string").alias("job_id"), "status", "attempt", "lease_agent_id", micros("lease_expires_at"), micros("available_at")).groupBy("job_id")
+    out = rows.groupBy("job_id").transformWithStateInPandas(LeaseStream(lease_ms, delay_ms, most), SAID, "append", "eventTime", begin)
+    at = lambda c: F.timestamp_micros(c)
+    return out.select("job_id", at("at_us").alias("at"), "id", "agent_id", "kind", "attempt", "result", at("expires_us").alias("lease_expires_at"))
+
+
+def run_to_end(spark: SparkSession, messages: DataFrame, over, end: Column) -> DataFrame:
+    """All rows of a stream over a finished table of messages: ``over`` makes the stream's plan of a stream of messages.
+
+    The messages are written to the shared folder and streamed, then a message of no job at ``end`` lets the watermark pass
+    all others. State and rows go through a checkpoint there.
+    """
+    path, rows = new_path(spark, "messages"), new_path(spark, "rows")
+    kept = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for part in (messages, spark.range(1).select(*[(end if c == "at" else F.lit(None)).cast(messages.schema[c].dataType).alias(c) for c in messages.columns])):
+            part.write.mode("append").parquet(path)
+            out = over(spark.readStream.schema(messages.schema).parquet(path))
+            out.writeStream.format("parquet").option("path", rows).option("checkpointLocation", f"{rows}-state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(STORE) if kept is None else spark.conf.set(STORE, kept)
+    return spark.read.schema(out.schema).parquet(rows)
+
+
 def windowed_counts(events: DataFrame, time: str, width: str, late: str, *by: str) -> DataFrame:
     """Counts per window of event time, batch or stream; a stream waits for events that are ``late`` and then closes it."""
     return events.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), *by, "n")
