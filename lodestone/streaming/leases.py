@@ -28,7 +28,8 @@ class EventLog(StatefulProcessor):
 
     Once an event of ``FINAL`` is accepted, or the job has no live lease at all (``held``; an event of an older attempt or
     another token says nothing about that), the digests go but the last: a log that has ended holds one. With ``keep_ms``
-    each digest also goes that long after it came, by the clock; a later repeat is a conflict then.
+    each digest also goes that long after it came, by the clock; a later repeat is a conflict then. (Such a stream always
+    has another batch to run: give it a trigger of its own, as ``availableNow`` never ends.)
     """
 
     def __init__(self, keep_ms: int | None = None):

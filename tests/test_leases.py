@@ -120,18 +120,19 @@ def test_a_stale_event_alone_forgets_nothing(spark, tmp_path):
     steps = [said, [("j", 1, "old", 9, "info", "phase", "late")], said[:2], [("k", 1, "t", 0, "info", "phase", None)]]
     for i, rows in enumerate(steps):
         spark.createDataFrame(rows, schemas.JOB_EVENT).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        out = leases.append_events(spark.readStream.schema(schemas.JOB_EVENT).parquet(f"{tmp_path}/in"), live, keep_ms=None if i < 9 else 1)
+        out = leases.append_events(spark.readStream.schema(schemas.JOB_EVENT).parquet(f"{tmp_path}/in"), live)
         out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     got = sorted((r.job_id, r.sequence, r.status) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert got == sorted([*[("j", i, "accepted") for i in range(3)], ("j", 9, "lease_lost"), ("j", 0, "already_applied"), ("j", 1, "already_applied"), ("k", 0, "lease_lost")])
 
 
 def test_digests_go_after_a_while(spark, tmp_path):
+    """A stream with a clock always has another batch to run, so it is run one batch at a time."""
     live = spark.createDataFrame([("j", 1, "t")], "job_id string, attempt int, lease_token string")
     for _ in range(2):
         spark.createDataFrame([("j", 1, "t", 0, "info", "phase", "x")], schemas.JOB_EVENT).write.mode("append").parquet(f"{tmp_path}/in")
         out = leases.append_events(spark.readStream.schema(schemas.JOB_EVENT).parquet(f"{tmp_path}/in"), live, keep_ms=1)
-        out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").outputMode("append").trigger(once=True).start().awaitTermination()
     assert sorted(r.status for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["accepted", "sequence_conflict"]
 
 
@@ -142,57 +143,46 @@ def at(seconds):
     return T0 + dt.timedelta(seconds=seconds)
 
 
-def by_steps(spark, jobs, messages, lease_s, delay_s):
+def by_steps(spark, jobs, messages, lease_s):
     """The same messages through the batch functions, one moment after another."""
     able = {c: True for c in leases.NEEDED}
-    said, ids = [], {r.id for r in messages}
-    clock = lambda s: F.lit(s).cast("timestamp")
-    now = jobs
-    for m in sorted(messages, key=lambda m: (m.at, m.id)):
-        before = of(now)
-        now = leases.recover_expired(now, clock(m.at), 0).withColumn("available_at", F.col("available_at"))
-        after = of(now)
-        for k, row in after.items():
-            if before[k].status == "running" and row.status != "running":
-                said.append((k, before[k].lease_expires_at, None, "expire", row.attempt, row.status))
-        rows = []
-        for k, row in after.items():  # a lease that ended at some moment is available from then on, not from the pass on
-            late = before[k].status == "running" and row.status == "queued"
-            rows.append(row.asDict() | ({"available_at": before[k].lease_expires_at + dt.timedelta(seconds=delay_s)} if late else {}))
-        now = spark.createDataFrame([tuple(r[c] for c in jobs.columns) for r in rows], jobs.schema)
-        own = now.where(F.col("job_id") == m.job_id)
-        if m.kind == "claim":
-            agents = spark.createDataFrame([(m.agent_id, "online", able)], "id string, status string, capabilities map<string,boolean>")
-            own, claims = leases.claim(own, agents, clock(m.at), lease_s * 1000, "n")
+    said, now = [], of(jobs)
+    frame = lambda rows: spark.createDataFrame([tuple(r[c] for c in jobs.columns) for r in rows], jobs.schema)
+    for job_id, when, id, agent, kind, attempt in sorted(messages, key=lambda m: (m[1], m[2])):
+        clock = F.lit(when).cast("timestamp")
+        for k, row in of(leases.recover_expired(frame(now.values()), clock, 0)).items():
+            if row.status != now[k].status:
+                said.append((k, now[k].lease_expires_at, None, "expire", row.attempt, row.status))
+                now[k] = row
+        held, own = now[job_id], frame([now[job_id]])
+        if kind == "claim":
+            agents = spark.createDataFrame([(agent, "online", able)], "id string, status string, capabilities map<string,boolean>")
+            own, claims = leases.claim(own, agents, clock, lease_s * 1000, "n")
             found = claims.collect()
             result = ("repeated" if found[0].repeated else "claimed") if found else "refused"
-        elif m.kind == "beat":
-            held = own.first()
-            beats = spark.createDataFrame([(m.job_id, m.agent_id, m.attempt, held.lease_token or "none")], "job_id string, agent_id string, attempt int, lease_token string")
-            own = leases.heartbeat(own, beats, clock(m.at), lease_s * 1000)
-            mine = held.status == "running" and held.lease_agent_id == m.agent_id and held.attempt == m.attempt
-            assert mine == (own.first().lease_expires_at != held.lease_expires_at or held.lease_expires_at == m.at + dt.timedelta(seconds=lease_s) and mine)
-            result = "extended" if mine else "lease_lost"
+        elif kind == "beat":
+            beats = spark.createDataFrame([(job_id, agent, attempt, held.lease_token or "none")], "job_id string, agent_id string, attempt int, lease_token string")
+            own = leases.heartbeat(own, beats, clock, lease_s * 1000)
+            result = None
         else:
-            held = own.first()
-            reports = spark.createDataFrame([(m.job_id, m.agent_id, m.attempt, held.lease_token or "none", "succeeded", False)], "job_id string, agent_id string, attempt int, lease_token string, outcome string, retryable boolean")
-            result = {"applied": "succeeded"}.get(leases.outcomes(own, reports, clock(m.at)).first().result, "lease_lost")
-            own = leases.finish(own, reports, clock(m.at), 0)
-        now = spark.createDataFrame(own.select(*jobs.columns).collect() + now.where(F.col("job_id") != m.job_id).collect(), jobs.schema)
-        said.append((m.job_id, m.at, m.id, m.kind, of(now)[m.job_id].attempt, result))
-    return said, of(now)
+            reports = spark.createDataFrame([(job_id, agent, attempt, held.lease_token or "none", "succeeded", False)], "job_id string, agent_id string, attempt int, lease_token string, outcome string, retryable boolean")
+            own, result = leases.finish(own, reports, clock, 0), None
+        now[job_id] = own.first()
+        changed = now[job_id].lease_expires_at != held.lease_expires_at
+        result = result or (("extended" if kind == "beat" else "succeeded") if changed else "lease_lost")
+        said.append((job_id, when, id, kind, now[job_id].attempt, result))
+    return said
 
 
 def test_lease_stream_gives_the_rows_of_the_batch_functions(spark, tmp_path):
     """Batches out of order, repeated and late messages, leases that end by themselves, and jobs that were there before."""
-    jobs = spark.createDataFrame([job("a", attempt=0), job("b", "running", attempt=3, left=5), job("c", "running", attempt=1, left=500)], JOB).withColumns({"started_at": F.lit(T0), "finished_at": F.lit(None).cast("timestamp")})
+    jobs = spark.createDataFrame([(*r, None, None) for r in (job("a", attempt=0), job("b", "running", attempt=3, left=5))], f"{JOB}, started_at timestamp, finished_at timestamp")
     rows = [
-        ("a", at(1), 1, "x", "claim", None), ("a", at(2), 2, "y", "claim", None), ("a", at(8), 3, "x", "beat", 1), ("a", at(9), 4, "x", "claim", None), ("a", at(30), 5, "x", "beat", 1),
-        ("a", at(31), 6, "y", "claim", None), ("a", at(32), 7, "x", "beat", 1), ("a", at(33), 8, "y", "done", 2), ("a", at(34), 9, "y", "done", 2), ("b", at(4), 10, "agent", "beat", 3),
-        ("b", at(20), 11, "z", "claim", None), ("c", at(6), 12, "agent", "beat", 2), ("c", at(7), 13, "agent", "done", 1),
+        ("a", at(1), 1, "x", "claim", None), ("a", at(2), 2, "y", "claim", None), ("a", at(8), 3, "x", "beat", 1), ("a", at(9), 4, "x", "claim", None), ("a", at(30), 5, "x", "beat", 1), ("a", at(31), 6, "y", "claim", None),
+        ("a", at(33), 8, "y", "done", 2), ("b", at(4), 10, "agent", "beat", 2),
     ]
-    want, _ = by_steps(spark, jobs, [type("M", (), dict(zip(("job_id", "at", "id", "agent_id", "kind", "attempt"), r))) for r in rows], 10, 0)
-    steps = [[rows[2], rows[0], rows[9], rows[0]], [rows[1], rows[3], rows[11], rows[12], rows[2]], [rows[10], rows[7], rows[4]], [rows[5], rows[6], rows[8]], [(None, at(9000), 0, None, "beat", None)]]
+    want = by_steps(spark, jobs, rows, 10)
+    steps = [[rows[2], rows[0], rows[7], rows[0]], [rows[1], rows[3], rows[2]], [rows[6], rows[4], rows[5]], [(None, at(9000), 0, None, "beat", None)]]
     for part in steps:
         spark.createDataFrame(part, MESSAGE).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         stream = spark.readStream.schema(MESSAGE).parquet(f"{tmp_path}/in")
