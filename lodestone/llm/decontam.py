@@ -5,7 +5,8 @@ necessary prefix of a window is its one rarest shingle. Shingles are ordered by
 corpus joins the prefix shingles only, start positions and lengths bound the candidates, and the words of every
 candidate window are compared. The corpus is read twice, to count the shingles of the items and to look for prefixes. A
 prefix table of bounded size is broadcast; a larger one meets the hashes of the corpus in a shuffle that carries no text,
-and only the texts that have candidates are read for the verification.
+and only the texts that have candidates are read for the verification. Before such a shuffle a sieve, a bit for each hash
+that is looked for, keeps back the places of the corpus that can't match: what is shuffled follows the matches.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from lodestone.llm.common import WORD_GAP, again, lower_ascii, split_words, stas
 
 #: Words of a window, words of a shingle, entries that are broadcast at most (each holds at most two windows of words).
 WINDOW, SHINGLE, BLOCK = 10, 3, 50_000
+#: Bits of a sieve for each hash in it, and the most words of 64 bits (16 MB) that a sieve has.
+EACH, MOST_SIEVE = 16, 1 << 21
 
 
 def _words(df: DataFrame, key: str) -> DataFrame:
@@ -60,12 +63,31 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return _summary(_probe_apart(d, prefix, ks), id_col)
 
 
+def sieved(rows: DataFrame, own: DataFrame, n: int, most: int = MOST_SIEVE) -> DataFrame:
+    """``rows`` whose hash ``g`` may be one of the ``n`` in ``own``: all that are, and few others (1 in ``EACH``, until the sieve is at its largest).
+
+    The sieve is one row, an array of words of 64 bits, which is broadcast: its size is bounded.
+    """
+    size = 1
+    while size < most and size * 64 < n * EACH:
+        size *= 2
+    word = F.pmod(F.shiftrightunsigned("g", 6), F.lit(size)).cast("int")
+    bit = F.expr("shiftleft(1L, cast(g & 63 AS int))")
+    set_ = own.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    every = own.sparkSession.range(size).select(F.col("id").cast("int").alias("w")).join(set_, "w", "left").select("w", F.coalesce("b", F.lit(0).cast("long")).alias("b"))
+    sieve = stash(every.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("sieve")), "sieve")
+    return rows.join(F.broadcast(sieve), F.get("sieve", word).bitwiseAND(bit) != 0).drop("sieve")  # one row
+
+
 def _frequencies(d: DataFrame, places: DataFrame, ks: list[int], block: int) -> DataFrame:
     """How often the corpus holds each shingle of the items."""
     own = stash(places.select("g").distinct(), "shingles")
-    grams = _grams(d, ks).select("g").where("g is not null")
-    few = own.count() <= 20 * block  # only a hash each
-    return stash(grams.join(F.broadcast(own) if few else own, "g").groupBy("g").agg(F.count(F.lit(1)).alias("df")), "frequencies")
+    grams, n = _grams(d, ks).select("g").where("g is not null"), own.count()
+    if n > 20 * block:  # more than are broadcast, a hash each
+        grams = sieved(grams, own, n)
+    else:
+        own = F.broadcast(own)
+    return stash(grams.join(own, "g").groupBy("g").agg(F.count(F.lit(1)).alias("df")), "frequencies")
 
 
 def _places(items: DataFrame, shingle: int) -> DataFrame:
@@ -105,7 +127,8 @@ def _probe(d: DataFrame, prefix: DataFrame, ks: list[int]) -> DataFrame:
 
 def _probe_apart(d: DataFrame, prefix: DataFrame, ks: list[int]) -> DataFrame:
     """The same for any number of prefixes: places join them by hash, and the candidates meet their texts afterwards."""
-    places = _grams(d, ks).where("g is not null").select("key", "h", "pos", "g").distinct()  # copies of a row have the same
+    own = stash(prefix.select("g").distinct(), "hashes")
+    places = sieved(_grams(d, ks).where("g is not null").select("key", "h", "pos", "g"), own, own.count()).distinct()  # copies of a row have the same
     found = stash(places.join(prefix.select("g", *ENTRY), "g").select(F.col("key").alias("_key"), F.col("h").alias("_h"), "pos", *ENTRY), "candidates")
     # A text that comes with one id again and again is verified once: hits are a set, and the marks count the rows.
     texts = d.join(found.select("_key", "_h").distinct(), d["key"].eqNullSafe(F.col("_key")) & (d["h"] == F.col("_h")), "left_semi").dropDuplicates(["key", "h"])

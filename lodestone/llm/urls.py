@@ -21,6 +21,8 @@ RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block
 #: The least share of a literal; the test's z, and the labelled pages that it needs; pages that a prior is worth; the purity
 #: below which a template is rejected.
 SHARE, Z, LEAST, PRIOR, PURITY = 0.05, 2.576, 7, 10.0, 0.5
+#: Characters of templates, which a backslash tells apart from those of a path.
+MARKS = r"([\\*{}|])"
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -48,10 +50,11 @@ def _purity(good: Column, n: Column, prior: Column) -> Column:
 def _names(child: DataFrame) -> DataFrame:
     """(at, is, name): the literal branches of nodes that are told apart from the wildcard, by the names of what they merge to.
 
-    A node has 1 / SHARE literal branches at most.
+    A node has 1 / SHARE literal branches at most, and a wildcard: sums by node and branch leave so many rows to order, however
+    many segments a node has.
     """
     parent = Window.partitionBy("node")
-    own = child.withColumn("all_n", F.sum("n").over(parent))
+    own = child.join(stash(child.groupBy("node").agg(F.sum("n").alias("all_n")), "nodes"), "node")
     literal = F.col("value").isNotNull() & (F.col("n") >= SHARE * F.col("all_n")) & (F.col("m") >= LEAST)
     branch = own.where(literal | ~F.col("ended")).groupBy("node", F.when(literal, F.col("value")).alias("value")).agg(F.sum("m").alias("m"), F.sum("g").alias("g"))
     order = Window.partitionBy("node").orderBy(F.col("g") / F.col("m"), F.col("value").asc_nulls_last())
@@ -61,7 +64,8 @@ def _names(child: DataFrame) -> DataFrame:
     grouped = branch.where(F.col("m") >= LEAST).withColumn("apart", F.when(z > Z, 1).otherwise(0)).withColumn("group", F.sum("apart").over(order))
     merged = grouped.groupBy("node", "group").agg(F.array_sort(F.collect_list("value")).alias("values"), F.count_if(F.col("value").isNull()).alias("wild"))
     merged = merged.withColumn("groups", F.count(F.lit(1)).over(parent)).where((F.col("wild") == 0) & (F.col("groups") > 1))
-    name = F.when(F.size("values") == 1, F.get("values", F.lit(0))).otherwise(F.concat(F.lit("{"), F.array_join("values", "|"), F.lit("}")))
+    plain = F.transform("values", lambda x: F.regexp_replace(x, MARKS, r"\\$1"))
+    name = F.when(F.size("values") == 1, F.get(plain, F.lit(0))).otherwise(F.concat(F.lit("{"), F.array_join(plain, "|"), F.lit("}")))
     return merged.select(F.col("node").alias("at"), F.explode("values").alias("is"), name.alias("name"))
 
 
@@ -148,7 +152,8 @@ t AS (
   w AS (SELECT *, lag(m) OVER x AS m0, lag(g) OVER x AS g0 FROM b WINDOW x AS (PARTITION BY node ORDER BY g / m, value NULLS LAST)),
   s AS (SELECT *, sum(CASE WHEN (g / m - g0 / m0) / sqrt((g + g0 + 1) / (m + m0 + 2) * (1 - (g + g0 + 1) / (m + m0 + 2)) * (1 / m + 1 / m0)) > {Z} THEN 1 ELSE 0 END) OVER (PARTITION BY node ORDER BY g / m, value NULLS LAST) AS grp FROM w),
   k AS (SELECT node, grp, list_sort(list(value)) AS vals, count(*) - count(value) AS wild, count(*) OVER (PARTITION BY node) AS n FROM s GROUP BY node, grp),
-  a AS (SELECT node AS home, unnest(vals) AS literal, CASE WHEN len(vals) = 1 THEN vals[1] ELSE '{{' || array_to_string(vals, '|') || '}}' END AS name FROM k WHERE wild = 0 AND n > 1)
+  y AS (SELECT *, [regexp_replace(x, '{MARKS}', '\\\\\\1', 'g') FOR x IN vals] AS said FROM k),
+  a AS (SELECT node AS home, unnest(vals) AS literal, CASE WHEN len(vals) = 1 THEN said[1] ELSE '{{' || array_to_string(said, '|') || '}}' END AS name FROM y WHERE wild = 0 AND n > 1)
   SELECT page_id, r, host, path, good, seg, CASE WHEN open IS NULL THEN level ELSE level + 1 END AS level,
     CASE WHEN open IS NULL THEN node || CASE WHEN ended THEN '' ELSE '/**' END WHEN ended THEN node ELSE node || '/' || coalesce(name, '*') END AS node, open IS NOT NULL AS active
     FROM v LEFT JOIN o ON node = open LEFT JOIN a ON node = home AND value = a.literal)),

@@ -177,6 +177,31 @@ def test_branches_that_differ_below_the_fifth_segment(spark):
     assert templates_of(spark, deep) == {("h.net/*/*/*/*/*/*/spam/**", "block"), ("h.net/*/*/*/*/*/*/news/**", "allow")}
 
 
+def test_segments_that_look_like_templates(spark):
+    """A section named as a wildcard or as merged branches is a branch of its own."""
+    rows = [(f"{('*', '{a|b}', 'a', 'b')[i % 4]}/{i}", int(i % 4 > 1)) for i in range(400)]
+    assert templates_of(spark, rows) == {(r"h.net/{\*|\{a\|b\}}/**", "block"), ("h.net/{a|b}/**", "allow")}
+    rows = [(f"{'*' if i % 2 else f'x{i}'}/y", i % 2 ^ 1) for i in range(400)]
+    assert templates_of(spark, rows) == {(r"h.net/\*/**", "block"), ("h.net/*/**", "allow")}
+
+
+def test_a_node_of_many_segments(spark):
+    """Each page its own section: sums by branch leave the literal ones and the wildcard, and nothing else is ordered."""
+    pages = spark.range(200_000).selectExpr("concat('/', if(id % 4 = 0, 'spam', translate(cast(id AS string), '0123456789', 'abcdefghij')), '/p') AS path", "'h.net' AS host", "if(id % 10 = 0, cast(id % 4 <> 0 AS bigint), null) AS good")
+    out = urls.templates(pages).groupBy("template").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert {(r.template, r.n) for r in out} == {("h.net/spam/**", 50_000), ("h.net/*/**", 150_000)}
+
+
+def test_the_sieve_keeps_what_is_looked_for(spark):
+    hashes = lambda a, b: spark.range(a, b).select(F.xxhash64("id").alias("g"))
+    own = hashes(0, 100_000)
+    rows = decontam.sieved(hashes(0, 1_100_000), own, 100_000)
+    assert rows.join(own, "g", "left_semi").count() == 100_000 and rows.count() < 100_000 + 0.13 * 1_000_000
+    small = decontam.sieved(hashes(0, 1_100_000), own, 100_000, most=64)
+    assert small.join(own, "g", "left_semi").count() == 100_000
+    assert decontam.sieved(hashes(0, 10), own.limit(0), 0).count() == 0
+
+
 def test_similar_siblings_are_merged_and_their_differing_grandchildren_are_not(spark):
     """Four sections, bad ones in two of each kind: the like are one branch; under the merged branch two children differ."""
     rows = []
