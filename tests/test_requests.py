@@ -79,7 +79,7 @@ def test_checkpoints_are_numbered_whole_and_verified(spark, tmp_path):
 
 def test_streams_begin_with_their_manifest(spark, tmp_path):
     manifest = lambda v: {"type": "manifest", "schema_version": v, "libclang": "x", "diagnostic_count": 0, "error_count": 0}
-    sym = lambda **more: {"type": "symbol", "kind": "class", "usr": "u", "name": "A", "display_name": "A", "qualified_name": "A", "is_definition": True, "file": "/r/a.h", "start_line": 1, "start_column": 1, "end_line": 1, "end_column": 5, "type_spelling": "", "result_type": "", **more}
+    sym = lambda **more: {"type": "symbol", "kind": "class", "usr": "u", "name": "A", "display_name": "A", "qualified_name": "A", "is_definition": True, "file": "/r/a.h", "start_line": 1, "start_column": 1, "end_line": 1, "end_column": 5, "type_spelling": "", "result_type": "", "owner_usr": None, "documentation": None, **more}
     edge = {"type": "symbol_edge", "edge_type": "calls", "src_usr": "a", "dst_usr": "b", "file": "/r/a.h", "line": 1, "column": 1, "confidence": 1.0}
 
     def read(name, *lines):
