@@ -142,12 +142,13 @@ def guarded_upsert(spark, sf):
     return persist.upsert(rows, changes, "o_orderkey", F.col("old.o_orderstatus") != "F")
 
 
-@query("SELECT count(*) AS n, sum(octet_length(encode(text))) AS bytes FROM documents")
+@query("SELECT count(*) AS n, sum(octet_length(encode(text))) AS bytes, true AS few_rows, true AS few_bytes, true AS full FROM documents")
 def statement_batches(spark, sf):
-    """What the batches of a sink hold together: every row once, whole."""
+    """What the batches of a sink hold together: every row once, whole; and that they keep their limits, and use them."""
     batches = persist.statement_batches(table(spark, sf, "documents").where("text is not null").select("doc_id", "text"), 100, 4 << 20)
     back = batches.select(F.explode(F.from_json("payload", "array<struct<doc_id:long,text:string>>")).alias("r"))
-    return back.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("r.text")).alias("bytes"))
+    kept = batches.agg((F.max("rows") <= 100).alias("few_rows"), (F.max(F.octet_length("payload")) <= 4 << 20).alias("few_bytes"), (F.max("rows") == 100).alias("full"))
+    return back.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("r.text")).alias("bytes")).crossJoin(kept)  # each is one row
 
 
 @query("""

@@ -8,17 +8,27 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone import schemas
 from lodestone.operators import fusion, signals
 from lodestone.storage import stash
+from lodestone.validate import require
 
 
 #: How an optional signal may fail: in Spark, at its provider, or for a query that doesn't fit its profile.
 SIGNAL_ERRORS = (PySparkException, ConnectionError, TimeoutError, signals.ProfileError)
 
 
+def result_rules() -> dict[str, Column]:
+    """What every hit of a signal must be."""
+    return {
+        "signal": F.col("source").isin(*schemas.SOURCES), "chunk and file": (F.length("chunk_key") > 0) & (F.length("file_key") > 0), "score": (F.col("score") >= 0) & (F.col("score") < float("inf")) & ~F.isnan("score"),
+        "symbol": F.col("symbol_key").isNull() | F.octet_length("symbol_key").between(1, 4096),
+    }
+
+
 def joined_chunks(chunks: DataFrame, symbols: DataFrame, files: DataFrame, repositories: DataFrame, generation_id: str) -> DataFrame:
     """The rows that the signals search: chunks of a generation with their symbol (null: none), file and repository.
 
@@ -71,7 +81,8 @@ def retrieve(index: Index, acl: DataFrame, query: str, limit: int = 20, embeddin
     rows = found[0]
     for f in found[1:]:
         rows = rows.unionByName(f)
-    ranked = fusion.diversify(fusion.rrf(stash(rows, "candidates")), limit=per_signal if scores else limit)
+    rows = require(stash(rows, "candidates"), result_rules())  # a few hundred, all of them before any is ranked
+    ranked = fusion.diversify(fusion.rrf(rows), limit=per_signal if scores else limit)
     if scores:
         texts = index.chunks.select(F.col("stable_key").alias("chunk_key"), "text")
         ranked = stash(ranked, "ranked")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
+from xml.parsers import expat
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -169,13 +171,61 @@ def read_checkpoints(spark: SparkSession, path: str, plan_hash: str) -> DataFram
     return rows
 
 
+#: Most bytes, levels and elements of a document.
+XML_BYTES, XML_DEEPEST, XML_NODES = 8 << 20, 64, 200_000
+
+
+def xml_fault(text: str, most: int = XML_BYTES, deepest: int = XML_DEEPEST, nodes: int = XML_NODES) -> str | None:
+    """Why a document may not be read, by its events and without a tree: it ends at the first event beyond a limit."""
+    if len(text.encode("utf-8", "surrogatepass")) > most:
+        return "TOO_LARGE"
+    parser, depth, seen, fault = expat.ParserCreate(), 0, 0, None
+
+    def stop(code):
+        nonlocal fault
+        fault = code
+        raise ValueError(code)
+
+    def begin(name, attributes):
+        nonlocal depth, seen
+        depth, seen = depth + 1, seen + 1
+        if depth > deepest or seen > nodes:
+            stop("TOO_DEEP" if depth > deepest else "TOO_MANY_NODES")
+
+    def end(name):
+        nonlocal depth
+        depth -= 1
+
+    parser.StartElementHandler, parser.EndElementHandler = begin, end
+    parser.StartDoctypeDeclHandler = parser.EntityDeclHandler = lambda *a: stop("DTD_FORBIDDEN")
+    parser.StartCdataSectionHandler = lambda: stop("DECLARATION_FORBIDDEN")
+    try:
+        parser.Parse(text.removeprefix("\ufeff").encode("utf-8", "surrogatepass"), True)
+    except (ValueError, expat.ExpatError):
+        return fault or "MALFORMED"
+    return None
+
+
+def checked_xml(rows: DataFrame, column: str = "xml") -> DataFrame:
+    """``rows`` whose documents are well formed, without a DTD, entities or sections of their own, and within the limits; others raise."""
+
+    @F.pandas_udf("string")
+    def fault(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: "MISSING" if t is None else xml_fault(t))
+
+    bad = rows.select(fault(column).alias("fault")).where("fault is not null").groupBy("fault").count().collect()  # a row a kind of fault
+    if bad:
+        raise ValidationError(", ".join(f"{r['fault']}: {r['count']}" for r in sorted(bad, key=lambda r: r["fault"])))
+    return rows
+
+
 LOG = "_revision long, author string, date string, msg string, paths struct<path: array<struct<_VALUE:string,_action:string,_kind:string>>>"
 STATUS = "_path string, `wc-status` struct<_item:string,_props:string,_revision:long>"
 
 
 def from_log_xml(rows: DataFrame, column: str = "xml") -> DataFrame:
-    """(revision, author, date, message, action, kind, path) from log documents. Documents with a DTD are refused."""
-    safe = require(rows, {"no DTD or entity": ~F.col(column).rlike("(?i)<!(DOCTYPE|ENTITY)")})
+    """(revision, author, date, message, action, kind, path) from log documents; ``checked_xml`` says which are refused."""
+    safe = checked_xml(rows, column)
     entries = safe.select(F.explode(F.from_xml(column, f"logentry array<struct<{_struct(LOG)}>>").getField("logentry")).alias("e"))
     each = entries.select("e.*", F.explode_outer("e.paths.path").alias("p"))
     return each.select(F.col("_revision").alias("revision"), "author", F.to_timestamp("date").alias("date"), F.col("msg").alias("message"), F.col("p._action").alias("action"), F.col("p._kind").alias("kind"), F.col("p._VALUE").alias("path"))
@@ -183,7 +233,7 @@ def from_log_xml(rows: DataFrame, column: str = "xml") -> DataFrame:
 
 def from_status_xml(rows: DataFrame, column: str = "xml") -> DataFrame:
     """(path, item, props, revision) from status documents."""
-    safe = require(rows, {"no DTD or entity": ~F.col(column).rlike("(?i)<!(DOCTYPE|ENTITY)")})
+    safe = checked_xml(rows, column)
     entries = safe.select(F.explode(F.from_xml(column, f"target struct<entry: array<struct<{_struct(STATUS)}>>>").getField("target").getField("entry")).alias("e"))
     return entries.select(F.col("e._path").alias("path"), F.col("e.wc-status._item").alias("item"), F.col("e.wc-status._props").alias("props"), F.col("e.wc-status._revision").alias("revision"))
 
@@ -194,7 +244,7 @@ DIFF = "_VALUE string, _item string, _kind string"
 
 def from_info_xml(rows: DataFrame, column: str = "xml") -> DataFrame:
     """(kind, path, revision, url, root, uuid, commit_revision, author, date) from info documents."""
-    safe = require(rows, {"no DTD or entity": ~F.col(column).rlike("(?i)<!(DOCTYPE|ENTITY)")})
+    safe = checked_xml(rows, column)
     e = safe.select(F.explode(F.from_xml(column, f"entry array<struct<{_struct(INFO)}>>").getField("entry")).alias("e"))
     return e.select(
         F.col("e._kind").alias("kind"), F.col("e._path").alias("path"), F.col("e._revision").alias("revision"), "e.url", "e.repository.root", "e.repository.uuid",
@@ -204,7 +254,7 @@ def from_info_xml(rows: DataFrame, column: str = "xml") -> DataFrame:
 
 def from_diff_xml(rows: DataFrame, column: str = "xml") -> DataFrame:
     """(path, item, kind) from documents of changed paths."""
-    safe = require(rows, {"no DTD or entity": ~F.col(column).rlike("(?i)<!(DOCTYPE|ENTITY)")})
+    safe = checked_xml(rows, column)
     p = safe.select(F.explode(F.from_xml(column, f"paths struct<path: array<struct<{_struct(DIFF)}>>>").getField("paths").getField("path")).alias("p"))
     return p.select(F.col("p._VALUE").alias("path"), F.col("p._item").alias("item"), F.col("p._kind").alias("kind"))
 

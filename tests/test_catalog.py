@@ -5,7 +5,7 @@ import re
 import pytest
 
 from lodestone.operators import chunks
-from lodestone.plans import catalog, catalog_index  # noqa: F401
+from lodestone.plans import catalog, catalog_index, catalog_readers  # noqa: F401
 from tests.oracle import rows_of, same
 
 
@@ -14,6 +14,14 @@ def test_against_sql(spark, sf, name):
     same(catalog.QUERIES[name](spark, sf), catalog.ORACLES[name], sf)
 
 
+def test_cells_find_most_neighbours(spark, sf):
+    row = catalog.QUERIES["vector_cells_recall"](spark, sf).first()
+    assert row.queries == 100 and row.recall >= 0.9 and row.share_read <= 1
+    got = catalog.QUERIES["vector_cells"](spark, sf).collect()
+    asked = rows_of("SELECT vec_id FROM embeddings WHERE vec_id % 20 = 0", sf)[1]
+    assert {r.vec_id for r in got} == {i for (i,) in asked} and all(r.neighbour == r.vec_id and r.score > 0.999 for r in got if r["rank"] == 1)
+
+
 def test_cover_density_against_all_spans(spark, sf):
     terms, want = ("and", "of", "the"), {}
     for i, text in rows_of("SELECT doc_id, text FROM documents WHERE text IS NOT NULL", sf)[1]:
