@@ -145,6 +145,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", see
 def take(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: int = SEED) -> DataFrame:
     """The rows of ``docs`` that the mix takes, with all their columns, ``copies`` and ``taken`` (words, copies counted).
 
+    Columns of ``docs`` that have these two names are replaced by them.
     Rows that repeat id, source and text are one row with the copies of all, the first by its other columns. The mix is
     drawn without texts; they meet their copies in one join.
     """

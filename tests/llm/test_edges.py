@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -360,6 +361,13 @@ def test_pipeline_keeps_columns_and_counts(spark, sf):
     assert sorted(map(repr, ran.collect())) == sorted(map(repr, now.collect()))
 
 
+def fingerprint(text):
+    """The SimHash of a text from its definition, bit by bit."""
+    words = re.findall("[^\x20\x09-\x0d]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 4]), 42) for i in range(max(1, len(words) - 3))] if words else []
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
 def test_pipeline_against_plain_python(spark, sf):
     """Each stage's decisions from the operators' own queries and plain set logic, one after another."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").toPandas().set_index("doc_id")
@@ -372,16 +380,16 @@ def test_pipeline_against_plain_python(spark, sf):
         if n >= 10 and 100 * rep <= 20 * n and good.probability(np.array([x]))[0] >= 0.5:
             keep.append(i)
     docs = docs.loc[keep]
-    mean, has = crf.Scorer(crf.train(table(docs)))(list(docs["text"]))
-    docs = docs[has & (mean.max(1) >= 0.5)]
-    fp = simhash.fingerprints(docs["text"])
+    *_, posteriors = crf.Scorer(crf.train(table(docs))).scored(list(docs["text"]), words=True)
+    docs = docs[[p is not None and sum(max(word) for word in p) / len(p) >= 0.5 for p in posteriors]]
+    fp = [fingerprint(t) for t in docs["text"]]
     label = list(range(len(docs)))
     changed = True
     while changed:
         changed = False
         for a in range(len(fp)):
             for b in range(a):
-                if int(fp[a] ^ fp[b]).bit_count() <= 4 and label[a] != label[b]:
+                if (fp[a] ^ fp[b]).bit_count() <= 4 and label[a] != label[b]:
                     label[a] = label[b] = min(label[a], label[b])
                     changed = True
     order = docs.index.to_numpy()
@@ -414,10 +422,42 @@ def test_pipeline_against_plain_python(spark, sf):
     assert all(abs(taken[s] - aim[s]) <= max(n for i, n in sizes.items() if source[i] == s) for s in names)
 
 
+SYLLABLES = ["ka", "lo", "mi", "ne", "ru", "sa", "ti", "vo"]
+LONG = " ".join(a + b + c + d for a in SYLLABLES for b in SYLLABLES for c in SYLLABLES for d in SYLLABLES)
+LEAKED = "Before the harvest the farmers counted every sheep twice and wrote the numbers down in a small green book."
+OTHER = "Nobody in the quiet village remembered who had painted the tall red door beside the bakery so long ago."
+
+
+@pytest.fixture(scope="module")
+def odd_corpus(spark):
+    """Each row that goes has one reason to; those that stay are 1, a null id, BIG and 50."""
+    rows = [
+        (1, PROSE, "en", "a", 1), (2, PROSE, "en", "a", 1), (2, PROSE, "en", "a", 1), (3, PROSE.upper(), None, None, None), (4, LEAKED, "en", "a", 1), (None, LEAKED + " More.", None, None, None),
+        (None, OTHER, "en", None, 1), (None, OTHER, "en", None, 1), (BIG, "Le chat gris dort sur la vieille table de la cuisine pendant que la pluie tombe.", "fr", "b", 1), (50, LONG, "en", "c", 1),
+        (5, None, None, None, None), (6, "", "en", "b", 0), (7, " \t\n", None, "b", 3), (8, "too few words", "en", "b", 1), (9, "word " * 50_000, "en", "c", 1), (10, "x" * 200_000, "en", "c", 1), (11, "1 2 3 4 5 6 7 8 9 10 11 12 13", "en", "b", 1),
+    ]
+    return spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("clash") for c in CLASH}).repartition(3)
+
+
 @pytest.mark.parametrize("empty", [False, True])
-def test_pipeline_on_odd_and_empty_tables(spark, odd, none, marks, items, empty):
-    where = new_path(spark, "odd")
-    for name, df in (("documents", none if empty else odd), ("labels", marks.limit(0) if empty else marks), ("benchmark", items.limit(0) if empty else items)):
+def test_pipeline_on_odd_and_empty_tables(spark, odd_corpus, empty):
+    where, docs = new_path(spark, "odd"), odd_corpus.limit(0) if empty else odd_corpus
+    marks = spark.createDataFrame([(1, None, 0), (None, 0, 1)], "doc_id long, quality int, toxic int").withColumn("key", F.lit(1))  # none that can be used
+    items = spark.createDataFrame([(1, LEAKED), (2, None), (3, ""), (None, "never seen words"), (1, LEAKED)], "item_id long, text string").withColumn("words", F.lit("clash"))
+    for name, df in (("documents", docs), ("labels", marks), ("benchmark", items.limit(0) if empty else items)):
         df.write.parquet(f"{where}/{name}.parquet")
+    now, seen = spark.read.parquet(f"{where}/documents.parquet"), []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, now, where).write.parquet(path := new_path(spark, "stage"))
+        now = spark.read.parquet(path)
+        assert now.columns == docs.columns
+        seen.append(ids(now))
+    good = Counter([1, 2, 2, 3, 4, None, None, None, BIG, 50])
+    want = [good + Counter([11]), good, Counter([1, 4, None, None, BIG, 50]), Counter([1, None, BIG, 50])]
+    assert seen == ([Counter()] * 4 if empty else want)
     out = corpus_pipeline.run(spark, where)
-    assert out.columns == [*odd.columns, "copies", "taken"] and (out.count() == 0) == (empty or not out.count())
+    rows = out.collect()
+    assert out.columns == [*docs.columns, "copies", "taken"] and not Counter(r.doc_id for r in rows) - Counter([1, None, BIG, 50])
+    assert bool(rows) != empty and all(r.taken == r.copies * len(r.text.split()) and r.copies in (1, 2) for r in rows)
+    texts = {r.doc_id: r.text for r in now.collect()}
+    assert all(r.text == texts[r.doc_id] for r in rows)
