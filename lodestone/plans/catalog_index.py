@@ -211,10 +211,10 @@ def probe_access(spark, sf):
     return acl_ops.captured_access(table(spark, sf, "events").select("event_id", error.alias("error"))).select("event_id", "access", "complete")
 
 
-@query("SELECT doc_id FROM documents WHERE source IN ('src1', 'src2') AND lang IN ('en', 'fr') AND doc_id % 5 = 2")
+@query("SELECT doc_id FROM documents WHERE source IN ('src1', 'src2') AND lang IN ('en', 'fr') AND doc_id % 5 = 2 AND n_chars % 2 = 1")
 def code_search_filters(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", F.col("source").alias("repository_id"), F.col("lang").alias("chunk_kind"), F.concat(F.lit("m"), F.col("doc_id") % 5).alias("module"))
-    return tools.narrowed(rows, ["src1", "src2"], ["en", "fr"], "m2").select("doc_id")
+    rows = table(spark, sf, "documents").select("doc_id", F.col("source").alias("repository_id"), F.col("lang").alias("chunk_kind"), F.concat(F.lit("m"), F.col("doc_id") % 5).alias("module"), F.concat(F.lit("r"), F.col("n_chars") % 2).alias("revision"))
+    return tools.narrowed(rows, ["src1", "src2"], ["en", "fr"], "m2", "r1").select("doc_id")
 
 
 @query("SELECT src_usr, dst_usr, edge_type, confidence FROM (SELECT l_partkey AS src_usr, l_suppkey AS dst_usr, l_returnflag AS edge_type, max(l_discount) AS confidence FROM lineitem GROUP BY ALL) WHERE dst_usr = 7 ORDER BY confidence DESC, edge_type, src_usr, dst_usr LIMIT 50")
@@ -254,10 +254,11 @@ def json_path(spark, sf):
     return events.where("k >= 50").select("event_id", "k")
 
 
-@query("SELECT n_nationkey, n_name, want FROM nation JOIN (VALUES (3, 'c'), (7, 'a'), (99, 'z')) v(id, want) ON id = n_nationkey")
+@query("SELECT n_nationkey, n_name, want, n_regionkey IN (1, 3) AS chosen FROM nation JOIN (VALUES (3, 'c'), (7, 'a'), (99, 'z')) v(id, want) ON id = n_nationkey")
 def json_parameters(spark, sf):
     asked = extraction.parameter_rows(spark, '[{"id": 3, "want": "c"}, {"id": 7, "want": "a"}, {"id": 99, "want": "z"}]', "id:int,want:string")
-    return table(spark, sf, "nation").join(F.broadcast(asked), F.col("n_nationkey") == F.col("id")).select("n_nationkey", "n_name", "want")
+    chosen = extraction.parameter_values(spark, "[1, 3]", "int")  # both are a few rows, given as parameters
+    return table(spark, sf, "nation").join(F.broadcast(asked), F.col("n_nationkey") == F.col("id")).join(F.broadcast(chosen), F.col("n_regionkey") == F.col("value"), "left").select("n_nationkey", "n_name", "want", F.col("value").isNotNull().alias("chosen"))
 
 
 @query("""

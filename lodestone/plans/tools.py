@@ -43,7 +43,7 @@ def find_references(edges: DataFrame, usr: str, types=None, direction: str = "in
     return one_hop(edges, usr, types=types, direction=direction).orderBy(F.desc("confidence"), "edge_type", "src_usr", "dst_usr", F.asc_nulls_first("file"), F.asc_nulls_first("line")).limit(bounded(limit))
 
 
-def narrowed(chunks: DataFrame, repositories=None, kinds=None, module: str | None = None) -> DataFrame:
+def narrowed(chunks: DataFrame, repositories=None, kinds=None, module: str | None = None, revision: str | None = None) -> DataFrame:
     """The filters of the code search tool, applied before any signal ranks."""
     cond: Column = F.lit(True)
     if repositories:
@@ -52,6 +52,8 @@ def narrowed(chunks: DataFrame, repositories=None, kinds=None, module: str | Non
         cond = cond & F.col("chunk_kind").isin(list(kinds))
     if module:
         cond = cond & (F.col("module") == module)
+    if revision:
+        cond = cond & (F.col("revision") == revision)
     return chunks.where(cond)
 
 

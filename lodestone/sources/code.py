@@ -91,21 +91,23 @@ def command_arguments(lines: pd.Series) -> pd.Series:
     return lines.map(one)
 
 
-#: Most levels of response files within each other, bytes of one, arguments of a command.
-NESTED, RESPONSE_BYTES, ARGUMENTS = 5, 1 << 20, 16_384
+#: Most levels of response files within each other, bytes of one, arguments of a command; files, and bytes of all that are used.
+NESTED, RESPONSE_BYTES, ARGUMENTS = 5, 16 << 20, 16_384
+RESPONSE_FILES, ALL_BYTES = 50_000, 192 << 20
 
 
 def expand_responses(commands: DataFrame, files: DataFrame, roots: list[str]) -> DataFrame:
     """``commands`` (id, directory, command or arguments) with ``arguments`` whose ``@file`` are replaced by what the files hold.
 
     ``files`` has (path, text). Paths are taken from the command's directory and must lie below one of ``roots``; a file that
-    is missing or too long, too deep a nesting and too many arguments raise. A level of nesting is one join.
+    is missing or too long, too deep a nesting, too many arguments, and too many files or bytes of them raise. A level of
+    nesting is one join.
     """
     given = F.coalesce("arguments", command_arguments("command")) if "arguments" in commands.columns else command_arguments("command")
     now = commands.select("id", "directory", F.posexplode(given).alias("i", "arg")).select("id", "directory", F.array("i").alias("place"), "arg")
     flat = F.regexp_replace("text", "[\\r\\n]+", " ")
-    known = files.select(path_key(F.col("path")).alias("_path"), command_arguments(flat).alias("_args"), (F.octet_length("text") <= RESPONSE_BYTES).alias("_short"))
-    done, left = None, now
+    known = files.select(path_key(F.col("path")).alias("_path"), command_arguments(flat).alias("_args"), (F.octet_length("text") <= RESPONSE_BYTES).alias("_short"), F.octet_length("text").cast("long").alias("_bytes"))
+    done, left, used = None, now, None
     for _ in range(NESTED + 1):
         plain, named = left.where("not startswith(arg, '@')"), stash(left.where("startswith(arg, '@')"), "responses")
         done = plain if done is None else done.unionByName(plain)
@@ -117,6 +119,9 @@ def expand_responses(commands: DataFrame, files: DataFrame, roots: list[str]) ->
         require(named, {"response file below a root": (F.length(name) > 0) & inside})
         joined = stash(named.withColumn("_at", whole).join(known, F.col("_at") == F.col("_path"), "left"), "expanded")
         require(joined, {"response file that is there": F.col("_path").isNotNull() & F.col("_short")})
+        own = joined.select("_path", "_bytes").distinct()
+        used = own if used is None else used.unionByName(own).distinct()
+        require(used.agg(F.count(F.lit(1)).alias("n"), F.sum("_bytes").alias("bytes")), {"number of response files": F.col("n") <= RESPONSE_FILES, "bytes of response files": F.col("bytes") <= ALL_BYTES})
         left = joined.select("id", "directory", "place", F.posexplode("_args").alias("i", "arg")).select("id", "directory", F.concat("place", F.array("i")).alias("place"), "arg")
     else:
         raise ValidationError("response files are nested too deep")
@@ -125,8 +130,13 @@ def expand_responses(commands: DataFrame, files: DataFrame, roots: list[str]) ->
     return require(out, {"number of arguments": F.size("arguments") <= ARGUMENTS})
 
 
-def compile_commands(commands: DataFrame) -> DataFrame:
-    """Normalised compile commands (directory, file, command or arguments): include paths, forced includes, definitions, hash."""
+def compile_commands(commands: DataFrame, files: DataFrame | None = None, roots: list[str] | None = None) -> DataFrame:
+    """Normalised compile commands (directory, file, command or arguments): include paths, forced includes, definitions, hash.
+
+    With ``files`` (path, text) and ``roots``, commands (with an id) have their response files expanded first.
+    """
+    if files is not None:
+        commands = expand_responses(commands, files, roots or [])
     args = F.coalesce("arguments", command_arguments("command"))
     rows = commands.withColumn("args", args)
     after = lambda flag: F.transform(F.filter("args", lambda a: a.startswith(flag) & (F.length(a) > len(flag))), lambda a: F.substring(a, F.lit(len(flag) + 1), F.length(a)))

@@ -127,6 +127,12 @@ def parameter_rows(spark: SparkSession, text: str, schema: str) -> DataFrame:
     return one.select(F.inline("rows"))
 
 
+def parameter_values(spark: SparkSession, text: str, kind: str = "string") -> DataFrame:
+    """(place, value) of a JSON array of plain values given as a parameter."""
+    one = spark.createDataFrame([(text,)], "j string").select(F.from_json("j", f"array<{kind}>", {"mode": "FAILFAST"}).alias("values"))
+    return one.select(F.posexplode("values").alias("place", "value"))
+
+
 def write_checkpoint(df: DataFrame, path: str, batch: int, plan_hash: str) -> str:
     """Stage output of one batch under ``batch=``, with the hash of its plan; the hash of its rows is written last, as the mark
     that it is whole, and returned. A batch that is there already with the same rows is left as it is; other rows raise."""

@@ -117,6 +117,23 @@ def test_parameter_rows(spark):
     assert [tuple(r) for r in extraction.parameter_rows(spark, '[{"a": 1, "b": "x"}, {"a": 2, "b": null}]', "a:int,b:string").collect()] == [(1, "x"), (2, None)]
 
 
+def test_parameter_values(spark):
+    assert [tuple(r) for r in extraction.parameter_values(spark, '["a", null, "b"]').collect()] == [(0, "a"), (1, None), (2, "b")]
+    with pytest.raises(Exception):
+        extraction.parameter_values(spark, '["a"', "string").collect()
+
+
+def test_commands_with_response_files(spark, monkeypatch):
+    commands = spark.createDataFrame([(1, "/r", "a.cpp", "cl @x.rsp /DZ a.cpp")], "id int, directory string, file string, command string")
+    texts = spark.createDataFrame([("/r/x.rsp", "/Iinc @y.rsp"), ("/r/y.rsp", "-DY")], "path string, text string")
+    row = code.compile_commands(commands, texts, ["/r"]).first()
+    assert (row.include_paths, row.definitions) == (["inc"], ["Y", "Z"])
+    for limit, what in (("RESPONSE_FILES", "number"), ("ALL_BYTES", "bytes")):
+        with monkeypatch.context() as m, pytest.raises(ValidationError, match=what):
+            m.setattr(code, limit, 1)
+            code.compile_commands(commands, texts, ["/r"])
+
+
 def test_checkpoints_have_no_gaps(spark, tmp_path):
     add = lambda batch: spark.createDataFrame([(batch, "p")], "batch int, plan_hash string").write.mode("append").parquet(f"{tmp_path}/c")
     add(0), add(1)
