@@ -26,14 +26,18 @@ def identity_conflicts(candidates: DataFrame, by: Sequence[str] = ()) -> DataFra
     return candidates.groupBy(*by, "chunk_key").agg(F.count_distinct(what).alias("n")).where("n > 1")
 
 
-def rrf(candidates: DataFrame, weights: dict[str, float] = WEIGHTS, k: int = RANK_CONSTANT, by: Sequence[str] = (), pin_exact: bool = True, check: bool = True) -> DataFrame:
+def rrf(candidates: DataFrame, weights: dict[str, float] = WEIGHTS, k: int = RANK_CONSTANT, by: Sequence[str] = (), pin_exact: bool = True, check: bool = True, most: int | None = None) -> DataFrame:
     """(by, chunk_key, symbol_key, file_key, fusion_score, evidence, top_exact, rank) from (by, source, chunk_key, ..., score).
 
+    A query's candidates are ranked together: ``most`` says how many a source may give for it, and raises for more.
+
     A source counts a chunk once, at its best score. Scores are added in the order of the sources, so that sums agree
     to the bit. Chunks without weight are dropped; the best exact match leads, unless ``pin_exact`` is false.
     """
     if check and not identity_conflicts(candidates, by).isEmpty():
         raise ValidationError("conflicting chunk identity")
+    if most is not None and not candidates.groupBy(*by, "source").count().where(F.col("count") > most).isEmpty():
+        raise ValidationError(f"more than {most} candidates of a source")
     best = candidates.groupBy(*by, "source", "chunk_key").agg(F.max("score").alias("score"), F.min("symbol_key").alias("symbol_key"), F.min("file_key").alias("file_key"))
     place = F.row_number().over(Window.partitionBy(*by, "source").orderBy(F.desc("score"), "chunk_key"))
     weight = F.coalesce(*[F.when(F.col("source") == s, F.lit(float(w))) for s, w in weights.items()], F.lit(0.0))

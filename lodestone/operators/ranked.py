@@ -8,11 +8,11 @@ the number of terms. Blocks hold documents of like length, which keeps their bou
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
-from lodestone.operators.signals import SHELVES, bounded, query_terms
+from lodestone.operators.signals import SHELVES, bounded, cover_scores, query_terms
 from lodestone.storage import stash
 
 #: Documents of a block.
@@ -49,24 +49,6 @@ def _of(spark: SparkSession, path: str, words: list[str], shelves: int) -> DataF
     return spark.read.parquet(path).where(F.col("shelf").isin(own) & F.col("token").isin(words)).drop("shelf")
 
 
-def cover_scores(postings: DataFrame, words: list[str], key: str) -> DataFrame:
-    """(key, score) of the documents that hold all ``words``, from their postings: windows over a document's places, no Python.
-
-    At each place stands, for each word, its last place so far; the earliest of these begins the span that ends here. It
-    counts if it begins later than the one before.
-    """
-    places = postings.select(key, "token", F.explode("positions").alias("at"))
-    until = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = [F.max(F.when(F.col("token") == w, F.col("at"))).over(until) for w in words]
-    all_there = last[0].isNotNull()
-    for x in last[1:]:
-        all_there = all_there & x.isNotNull()
-    begin = F.when(all_there, F.least(*last) if len(last) > 1 else last[0])
-    spans = places.withColumn("begin", begin).withColumn("before", F.lag("begin").over(Window.partitionBy(key).orderBy("at")))
-    spans = spans.where(F.col("begin").isNotNull() & (F.col("before").isNull() | (F.col("begin") > F.col("before"))))
-    return spans.groupBy(key).agg(F.sum(1.0 / (F.col("at") - F.col("begin") + 1)).alias("score"))
-
-
 def top_ranked(spark: SparkSession, path: str, query: str, key: str, limit: int = 20, shelves: int = SHELVES) -> tuple[DataFrame, dict]:
     """(rows: key, score; read: blocks, scored, of documents) of the first ``limit`` documents that hold all terms of ``query``.
 

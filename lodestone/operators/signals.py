@@ -97,6 +97,24 @@ def cover_density(lists: pd.Series) -> pd.Series:
     return lists.map(one)
 
 
+def cover_scores(postings: DataFrame, words: list[str], key: str) -> DataFrame:
+    """(key, score) of the documents that hold all ``words``, from their postings: windows over a document's places, no Python.
+
+    At each place stands, for each word, its last place so far; the earliest of these begins the span that ends here. It
+    counts if it begins later than the one before.
+    """
+    places = postings.select(key, "token", F.explode("positions").alias("at"))
+    until = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = [F.max(F.when(F.col("token") == w, F.col("at"))).over(until) for w in words]
+    all_there = last[0].isNotNull()
+    for x in last[1:]:
+        all_there = all_there & x.isNotNull()
+    begin = F.when(all_there, F.least(*last) if len(last) > 1 else last[0])
+    spans = places.withColumn("begin", begin).withColumn("before", F.lag("begin").over(Window.partitionBy(key).orderBy("at")))
+    spans = spans.where(F.col("begin").isNotNull() & (F.col("before").isNull() | (F.col("begin") > F.col("before"))))
+    return spans.groupBy(key).agg(F.sum(1.0 / (F.col("at") - F.col("begin") + 1)).alias("score"))
+
+
 def fts_match(index: DataFrame, query: str, key: str = "stable_key") -> DataFrame:
     """(key, lists): the chunks that hold all terms of ``query``, with the positions of each."""
     words = sorted(set(query_terms(query)))
@@ -113,8 +131,10 @@ def query_terms(query: str) -> list[str]:
 
 def fts_chunks(index: DataFrame, chunks: DataFrame, acl: DataFrame, query: str, limit: int = 20) -> DataFrame:
     """Chunks that hold all terms of ``query``, by cover density."""
-    hits = fts_match(index, query).join(chunks, "stable_key")
-    return visible(hits, acl).withColumn("score", cover_density("lists")).drop("lists").orderBy(F.desc("score"), "stable_key").limit(bounded(limit))
+    words = sorted(set(query_terms(query)))
+    own = index.where(F.col("token").isin(words))
+    hits = cover_scores(own, words, "stable_key") if words else own.select("stable_key", F.lit(0.0).alias("score")).limit(0)
+    return visible(chunks.join(hits, "stable_key"), acl).orderBy(F.desc("score"), "stable_key").limit(bounded(limit))
 
 
 def vector_scores(rows: DataFrame, query: Sequence[float], vector: str = "embedding") -> DataFrame:
@@ -129,7 +149,7 @@ def vector_scores(rows: DataFrame, query: Sequence[float], vector: str = "embedd
         mine = np.array([v is not None and len(v) == len(q) for v in vectors], bool)
         out = np.full(len(vectors), np.nan)
         if mine.any():
-            x = np.array(vectors[mine].tolist(), float)
+            x = np.concatenate(list(vectors[mine])).astype(float).reshape(-1, len(q))
             size = np.sqrt((x * x).sum(1))
             out[mine] = np.where(size > 0, x @ q / np.where(size > 0, size, 1), np.nan)
         return pd.Series(out)

@@ -82,7 +82,7 @@ def retrieve(index: Index, acl: DataFrame, query: str, limit: int = 20, embeddin
     for f in found[1:]:
         rows = rows.unionByName(f)
     rows = require(stash(rows, "candidates"), result_rules())  # a few hundred, all of them before any is ranked
-    ranked = fusion.diversify(fusion.rrf(rows), limit=per_signal if scores else limit)
+    ranked = fusion.diversify(fusion.rrf(rows, most=signals.MOST), limit=per_signal if scores else limit)
     if scores:
         texts = index.chunks.select(F.col("stable_key").alias("chunk_key"), "text")
         ranked = stash(ranked, "ranked")

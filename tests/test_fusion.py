@@ -37,6 +37,12 @@ def test_exact_match_leads_only_if_asked(candidates):
     assert by_rank(fusion.rrf(candidates, light, pin_exact=False)) == ["b", "a", "c"]
 
 
+def test_more_candidates_than_a_query_may_have_raise(candidates):
+    assert fusion.rrf(candidates, most=3).count() == 3
+    with pytest.raises(ValidationError, match="more than 2"):
+        fusion.rrf(candidates, most=2)
+
+
 def test_sources_without_weight_are_dropped(candidates):
     assert by_rank(fusion.rrf(candidates, {"vector": 1.0})) == ["b", "c"]
 
