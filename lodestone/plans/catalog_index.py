@@ -351,19 +351,24 @@ def next_sequence(spark, sf):
     return leases.next_sequence(jobs, table(spark, sf, "orders").select(F.col("o_custkey").alias("job_id"), F.col("o_orderkey").alias("sequence")))
 
 
-@query("""
-SELECT 'user' AS actor_type, 'u' || user_id AS actor_id, 'event.' || event_type AS action, outcome, sha256(event_id::VARCHAR) AS request_hash, count(*) AS n
-FROM (SELECT *, CASE event_type WHEN 'error' THEN 'failed' ELSE 'succeeded' END AS outcome FROM events) GROUP BY ALL""")
+_UUID_SQL = "h[1:8] || '-' || h[9:12] || '-4' || h[14:16] || '-a' || h[18:20] || '-' || h[21:32]"
+
+
+@query(f"""
+SELECT 'user' AS actor_type, 'u' || user_id AS actor_id, 'event.' || event_type AS action, {_UUID_SQL} AS project_id, 'tool/' || event_type AS tool, CASE event_type WHEN 'error' THEN 'failed' ELSE 'succeeded' END AS outcome,
+  h AS request_hash, upper({_UUID_SQL}) AS correlation_id, h[1:32] AS trace_id, h[1:16] AS span_id, 'event' AS resource_type, event_id::VARCHAR AS resource_id, CASE event_type WHEN 'error' THEN 'E:' || user_id || '/x' END AS error_code
+FROM (SELECT *, sha256(event_id::VARCHAR) AS h FROM events)""")
 def audit_events(spark, sf):
     sha = F.sha2(F.col("event_id").cast("string"), 256)
-    dashed = F.concat_ws("-", *[F.substring(sha, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
-    null = F.lit(None).cast("string")
+    part = lambda a, n: F.substring(sha, a, n)
+    uuid = F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-4"), part(14, 3), F.lit("-a"), part(18, 3), F.lit("-"), part(21, 12))
+    failed = F.col("event_type") == "error"
     rows = table(spark, sf, "events").select(
-        F.lit("user").alias("actor_type"), F.concat(F.lit("u"), "user_id").alias("actor_id"), F.concat(F.lit("event."), "event_type").alias("action"), null.alias("project_id"), null.alias("tool"),
-        F.when(F.col("event_type") == "error", "failed").otherwise("succeeded").alias("outcome"), sha.alias("request_hash"), dashed.alias("correlation_id"), F.substring(sha, 1, 32).alias("trace_id"),
-        F.substring(sha, 1, 16).alias("span_id"), null.alias("resource_type"), null.alias("resource_id"), null.alias("error_code"),
+        F.lit("user").alias("actor_type"), F.concat(F.lit("u"), "user_id").alias("actor_id"), F.concat(F.lit("event."), "event_type").alias("action"), uuid.alias("project_id"), F.concat(F.lit("tool/"), "event_type").alias("tool"),
+        F.when(failed, "failed").otherwise("succeeded").alias("outcome"), sha.alias("request_hash"), F.upper(uuid).alias("correlation_id"), part(1, 32).alias("trace_id"),
+        part(1, 16).alias("span_id"), F.lit("event").alias("resource_type"), F.col("event_id").cast("string").alias("resource_id"), F.when(failed, F.concat(F.lit("E:"), "user_id", F.lit("/x"))).alias("error_code"),
     )
-    return persist.audit_rows(rows).groupBy("actor_type", "actor_id", "action", "outcome", "request_hash").agg(F.count(F.lit(1)).alias("n"))
+    return persist.audit_rows(rows)
 
 
 @query("SELECT src_usr, dst_usr, k FROM (SELECT l_partkey AS src_usr, l_suppkey AS dst_usr, row_number() OVER (ORDER BY l_returnflag, l_partkey, l_suppkey, l_linenumber NULLS FIRST, max(l_discount) DESC) AS k FROM lineitem GROUP BY l_returnflag, l_partkey, l_suppkey, l_linenumber) WHERE k <= 100")

@@ -18,7 +18,7 @@ from lodestone.validate import require
 #: Limits of a record, and the forms of its scalars.
 MOST_BYTES, MOST_LINES, DEEPEST, LONGEST = 16 << 20, 500_000, 32, 4096
 _KEY = re.compile(r"([A-Za-z][A-Za-z0-9]*)\s*:(?:\s+(.*)|)$")
-_NUMBER, _PLAIN = re.compile(r"-?(?:0|[1-9][0-9]*)"), re.compile(r"(?![&*!>|@`{}\[\]])[^\0]+")
+_SCALAR = re.compile(r"(?P<single>'.*')|(?P<double>\".*\")|(?P<open>['\"&*!>|@`{}\[\]].*)|(?P<number>-?(?:0|[1-9][0-9]*))|(?P<flag>true|false)|(?P<none>null)|(?P<text>.+)", re.S)
 ID = "^[A-F0-9]{40}$"
 KINDS = {"Class": "class", "Struct": "struct", "Union": "union"}
 
@@ -29,27 +29,18 @@ class RecordError(ValueError):
 
 def _scalar(text: str) -> tuple[str | None, str]:
     """(value, kind) of an encoded scalar: text, number, flag or none."""
-    if text[0] == "'":
-        if len(text) < 2 or text[-1] != "'":
-            raise RecordError("open quote")
-        return text[1:-1].replace("''", "'"), "text"
-    if text[0] == '"':
+    m = _SCALAR.fullmatch(text)
+    kind = m.lastgroup if m else "open"
+    if kind == "double":
         try:
-            value = json.loads(text)
+            return json.loads(text), "text"
         except ValueError:
-            value = None
-        if not isinstance(value, str):
-            raise RecordError("open quote")
-        return value, "text"
-    if _NUMBER.fullmatch(text):
-        return text, "number"
-    if text in ("true", "false"):
-        return text, "flag"
-    if text == "null":
-        return None, "none"
-    if not _PLAIN.fullmatch(text):
-        raise RecordError("unsupported scalar")
-    return text, "text"
+            kind = "open"
+    if kind == "open":
+        raise RecordError(f"a scalar that isn't supported: {text[:20]}")
+    if kind == "single":
+        return text[1:-1].replace("''", "'"), "text"
+    return (None if kind == "none" else text), kind
 
 
 def _lines(text: str):

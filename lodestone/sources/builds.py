@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import uuid
 from dataclasses import dataclass
 
@@ -34,7 +35,7 @@ class Written(WriterCommitMessage):
 
 
 def _open(path: str):
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    return fs.FileSystem.from_uri(re.sub("^(file:)?/+", "file:///", path))
 
 
 def _read(store, path: str) -> dict | None:

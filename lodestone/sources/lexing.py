@@ -24,7 +24,9 @@ _TOKEN = r"(?P<comment>//[^\n]*|/\*.*?\*/)|(?P<string>{strings})|(?P<char>'(?:\\
 CSHARP = re.compile(_TOKEN.format(strings=rf"@\"(?:[^\"]|\"\")*\"(?!\")|{STRING}", at="@?"), re.S)
 CPP = re.compile(_TOKEN.format(strings=STRING, at=""), re.S)
 CLOSES = {")": "(", "]": "[", "}": "{"}
-_PLAIN = re.compile(r"[A-Za-z0-9_.:/ +-]{1,4096}")
+#: Forms of plain metadata and of declared names.
+_PLAIN, _NAME = re.compile(r"[A-Za-z0-9_.:/ +-]{1,4096}"), r"[A-Za-z_][A-Za-z0-9_]*"
+_CLASS, _FUNCTION = re.compile(rf"\b(?:class|struct)\s+((?:{_NAME}\s+)+)"), re.compile(rf"\b({_NAME})\s*\(")
 
 
 class LexError(ValueError):
@@ -97,7 +99,7 @@ def _dependencies(text: str | None):
             call = next((told for _, told in reversed(stack) if told and told[0] == "call"), None)
             if kind == "string" and call:
                 name = _literal(token)
-                if not re.fullmatch("[A-Za-z][A-Za-z0-9_]*", name):
+                if not re.fullmatch("[A-Za-z][A-Za-z0-9_]*", name):  # as the store names modules
                     raise LexError("INVALID_MODULE_NAME", line_at(code, m.start()))
                 call[3] += 1
                 guards = [f"({told[1]})" for _, told in stack if told and told[0] == "guarded"]
@@ -130,7 +132,7 @@ def _said(text: str) -> tuple[list[str], dict[str, str]]:
         meta = re.fullmatch(r"meta\s*=\s*\((.*)\)", argument, re.S)
         for one in _split(meta[1]) if meta else [argument]:
             key, equals, value = (x.strip() for x in one.partition("="))
-            if not re.fullmatch("[A-Za-z_][A-Za-z0-9_]*", key) or key in values and equals:
+            if not re.fullmatch(_NAME, key) or key in values and equals:
                 raise ValueError
             if key not in keys:
                 keys.append(key)
@@ -146,11 +148,10 @@ def _declared(code: str, at: int, macro: str) -> tuple[str, int]:
     end = re.compile("[{:;]" if macro == "UCLASS" else "[;{]").search(code, at, at + AFTER)
     part = code[at : end.start() if end else at + AFTER]
     if macro == "UCLASS":
-        names = re.search(r"\b(?:class|struct)\s+((?:[A-Za-z_][A-Za-z0-9_]*\s+)+)", part + " ")
-        found = names and list(re.finditer(r"[A-Za-z_][A-Za-z0-9_]*", names[1]))
+        names = _CLASS.search(part + " ")
+        found = names and list(re.finditer(_NAME, names[1]))
         return found and (found[-1][0], at + names.start(1) + found[-1].start())
-    pattern = r"\b([A-Za-z_][A-Za-z0-9_]*)\s*\(" if macro == "UFUNCTION" else r"\b([A-Za-z_][A-Za-z0-9_]*)\b"
-    found = list(re.finditer(pattern, part if macro == "UFUNCTION" else part.partition("=")[0]))
+    found = list(_FUNCTION.finditer(part) if macro == "UFUNCTION" else re.finditer(rf"\b({_NAME})\b", part.partition("=")[0]))
     return found and (found[-1][1], at + found[-1].start(1))
 
 

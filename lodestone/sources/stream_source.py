@@ -5,6 +5,7 @@ A line belongs to the range in which it begins, so ranges of one file are read a
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -31,7 +32,7 @@ class Range(InputPartition):
 
 
 def _store(path: str):
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    return fs.FileSystem.from_uri(re.sub("^(file:)?/+", "file:///", path))
 
 
 def _files(path: str) -> list[fs.FileInfo]:

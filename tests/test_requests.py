@@ -29,9 +29,9 @@ GOOD = ("user", "ann", "search.run", None, "search_code", "allowed", "a" * 64, "
 def test_security_events_are_checked_before_they_are_written(spark, tmp_path):
     make = lambda *rows: spark.createDataFrame(list(rows), persist.AUDIT)
     persist.append_audit(make(GOOD), f"{tmp_path}/audit")
-    persist.append_audit(make(GOOD), f"{tmp_path}/audit")
+    persist.append_audit(make((*GOOD[:4], "tools/search:v1", *GOOD[5:7], GOOD[7].upper(), *GOOD[8:10], "r" * 64, "k1", "E/1")), f"{tmp_path}/audit")
     assert spark.read.parquet(f"{tmp_path}/audit").count() == 2
-    for i, bad in ((0, "robot"), (1, "a\nb"), (1, ""), (2, "Run It"), (3, "x"), (5, "maybe"), (6, "a" * 63), (7, None), (8, "0" * 32), (9, "0" * 16), (12, "not a token")):
+    for i, bad in ((0, "robot"), (1, "a\nb"), (1, ""), (2, "Run It"), (3, "x"), (5, "maybe"), (6, "a" * 63), (7, None), (8, "0" * 32), (9, "0" * 16), (12, "not a token"), (10, "r" * 65), (7, "0a0a0a0a-0000-7000-8000-000000000001"), (7, "0a0a0a0a-0000-4000-c000-000000000001")):
         row = (*GOOD[:i], bad, *GOOD[i + 1 :])
         with pytest.raises(ValidationError):
             persist.append_audit(make(GOOD, row), f"{tmp_path}/audit")
