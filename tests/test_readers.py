@@ -146,9 +146,12 @@ def test_ranges_read_every_line_once(spark, tmp_path):
         (tmp_path / f"{n}.jsonl").write_bytes(data[:-1] if n == 2 else data)
     (tmp_path / "_hidden").write_bytes(b"no\n")
     (tmp_path / "empty").write_bytes(b"")
-    for size in (1, 7, 64, 1000, 1 << 20):
-        got = stream_source.lines(spark, str(tmp_path), rangeBytes=size).collect()
-        assert sorted((int(os.path.basename(r.path)[0]), r.at, r.line) for r in got) == sorted(wanted)
+    for size in (1, 2, 7, 64, 1000, 1 << 20):  # each range by itself, as tasks read them
+        source = stream_source._Batch({"path": str(tmp_path), "rangeBytes": size})
+        rows = [r for part in source.partitions() for batch in source.read(part) for r in batch.to_pylist()]
+        assert sorted((int(os.path.basename(r["path"])[0]), r["at"], r["line"]) for r in rows) == sorted(wanted)
+    got = stream_source.lines(spark, str(tmp_path), rangeBytes=1000).collect()
+    assert sorted((int(os.path.basename(r.path)[0]), r.at, r.line) for r in got) == sorted(wanted)
     for option in ({"mostBytes": 100}, {"mostLine": 10}):
         with pytest.raises(Exception, match="bytes"):
             stream_source.lines(spark, str(tmp_path), **option).collect()
