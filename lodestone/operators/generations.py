@@ -68,19 +68,95 @@ def completeness(chunks: DataFrame, embeddings: DataFrame, edges: DataFrame, sym
     return out.where("n > 0")
 
 
-def retention(generations: DataFrame, running_backups: DataFrame, now: Column, days: int = 30, keep: int = 2, limit: int = 100, by: str = "project_id") -> DataFrame:
-    """Generations that may be collected: superseded, old and not among the newest ``keep`` valid ones, or failed and old."""
+def retention(generations: DataFrame, running_backups: DataFrame, now: Column, days: int = 30, keep: int = 2, limit: int = 100, by: str = "project_id", claim: str | None = None) -> DataFrame:
+    """Generations that may be collected: superseded, old and not among the newest ``keep`` valid ones, or failed and old.
+
+    What a collection has claimed is left to it; with its own ``claim`` a collection that was broken off takes it up again.
+    """
     if days < 7 or keep < 2:
         raise ValueError("at least 7 days and 2 generations")
     valid = F.col("status").isin("active", "superseded") & F.col("validated_at").isNotNull()
     newest = F.row_number().over(Window.partitionBy(by, valid).orderBy(F.desc("published_at"), F.desc("id")))
     old = now - F.make_dt_interval(F.lit(days))
     expired = ((F.col("status") == "superseded") & (F.col("published_at") < old) & valid & (F.col("_rank") > keep)) | ((F.col("status") == "failed") & (F.col("updated_at") < old))
-    out = generations.withColumn("_rank", newest).where(expired & F.col("gc_claim_hash").isNull()).drop("_rank")
+    out = generations.withColumn("_rank", newest).where(expired & (F.col("gc_claim_hash").isNull() | F.coalesce(F.col("gc_claim_hash") == F.lit(claim), F.lit(False)))).drop("_rank")
     free = out.join(running_backups.select(F.col("generation_id").alias("id")), "id", "left_anti")
     return free.orderBy(F.coalesce("published_at", "updated_at"), "id").limit(limit)
 
 
+def claimed(generations: DataFrame, candidates: DataFrame, claim: str, now: Column) -> DataFrame:
+    """``generations`` in which the ``candidates`` (id) are claimed by ``claim``.
+
+    A first claim sets its time and moves the version on; a claim of one's own, taken up again, changes nothing. A candidate
+    that another one has claimed, or whose status has changed, raises when it is met.
+    """
+    rows = generations.join(candidates.select(F.col("id").alias("_mine")).distinct(), F.col("id") == F.col("_mine"), "left")
+    mine, fresh = F.col("_mine").isNotNull(), F.col("_mine").isNotNull() & F.col("gc_claim_hash").isNull()
+    lost = mine & ~(F.col("status").isin("superseded", "failed") & F.coalesce(F.col("gc_claim_hash") == F.lit(claim), F.lit(True)))
+    version = F.when(lost, F.raise_error(F.concat(F.lit("not to be claimed: "), F.col("id").cast("string"))).cast("long"))
+    new = {
+        "gc_claim_hash": F.when(mine, F.lit(claim)).otherwise(F.col("gc_claim_hash")), "gc_claimed_at": F.when(mine, F.coalesce("gc_claimed_at", now)).otherwise(F.col("gc_claimed_at")),
+        "publication_version": version.otherwise(F.col("publication_version") + fresh.cast("long")),
+    }
+    return rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in generations.columns])
+
+
+_DIGEST = "^[0-9a-f]{64}$"
+RECEIPTS = "id string, manifest_uri string, manifest_hash string, idempotency_key string, receipt_hash string"
+
+
+def artifact_deletions(collected: DataFrame, operation_id: str) -> DataFrame:
+    """A row for each claimed generation with a manifest: what to delete, and the key under which that may be asked again.
+
+    A manifest that only has a uri or only a digest, or a digest of another form, raises.
+    """
+    both = F.col("manifest_uri").isNotNull() & F.coalesce(F.col("manifest_hash").rlike(_DIGEST), F.lit(False))
+    either = F.col("manifest_uri").isNotNull() | F.col("manifest_hash").isNotNull()
+    request = F.to_json(F.struct(F.lit("gc-artifact-delete").alias("action"), F.col("id").cast("string").alias("generation_id"), "manifest_hash", F.lit(operation_id).alias("operation_id")))
+    key = F.when(both, F.sha2(request, 256)).otherwise(F.raise_error(F.concat(F.lit("not a manifest: "), F.col("id").cast("string"))))
+    return collected.where(either).select(F.col("id").cast("string").alias("id"), "manifest_uri", "manifest_hash", key.alias("idempotency_key"))
+
+
+def delete_artifacts(deletions: DataFrame, delete) -> DataFrame:
+    """Asks ``delete(generation, uri, digest, key)`` for each row, in tasks, and returns the receipts (64 hex digits each).
+
+    A repeated task asks again under the same key, so ``delete`` has to know a key that it has answered. Anything that isn't
+    a receipt raises. Store the receipts before anything reads them twice.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            receipts = [delete(*row) for row in pdf[["id", "manifest_uri", "manifest_hash", "idempotency_key"]].itertuples(index=False, name=None)]
+            wrong = [id for id, r in zip(pdf["id"], receipts) if not isinstance(r, str) or not re.fullmatch("[0-9a-f]{64}", r)]
+            if wrong:
+                raise ValueError(f"no receipt for {wrong[0]}")
+            yield pdf.assign(receipt_hash=receipts)
+
+    return deletions.mapInPandas(run, RECEIPTS)
+
+
+def collected(generations: DataFrame, candidates: DataFrame, receipts: DataFrame, claim: str) -> DataFrame:
+    """``generations`` without the ``candidates`` (id) that ``claim`` holds and whose manifest, if they have one, has a receipt.
+
+    What is claimed but has no receipt stays, so that the next collection with the same claim takes it up.
+    """
+    done = receipts.where(F.col("receipt_hash").rlike(_DIGEST)).select(F.col("id").alias("_done"), F.col("manifest_hash").alias("_hash")).distinct()
+    asked = candidates.select(F.col("id").alias("_asked")).distinct()
+    rows = generations.join(asked, F.col("id") == F.col("_asked"), "left").join(done, (F.col("id").cast("string") == F.col("_done")) & (F.col("manifest_hash") == F.col("_hash")), "left")
+    bare = F.col("manifest_uri").isNull() & F.col("manifest_hash").isNull()
+    gone = F.col("_asked").isNotNull() & (F.col("gc_claim_hash") == F.lit(claim)) & F.col("status").isin("superseded", "failed") & (bare | F.col("_done").isNotNull())
+    return rows.where(~F.coalesce(gone, F.lit(False))).select(*generations.columns)
+
+
+def collection_audit(receipts: DataFrame, projects: DataFrame, operation_id: str, claim: str) -> DataFrame:
+    """Per project of ``projects`` (id, project_id; what a collection claimed, bounded by its limit): one digest over its receipts."""
+    own = projects.select(F.col("id").cast("string").alias("id"), "project_id").join(receipts.select("id", "receipt_hash"), "id", "left")
+    told = F.sort_array(F.collect_list(F.when(F.col("receipt_hash").isNotNull(), F.struct(F.col("id").alias("generation_id"), "receipt_hash"))))
+    rows = own.groupBy("project_id").agg(told.alias("receipts"), F.count(F.lit(1)).alias("generations"))
+    request = F.to_json(F.struct(F.lit("gc-delete").alias("action"), F.lit(claim).alias("claim_hash"), F.lit(operation_id).alias("operation_id"), F.col("project_id").cast("string").alias("project_id"), "receipts"))
+    return rows.select("project_id", "generations", F.size("receipts").cast("long").alias("artifacts"), F.sha2(request, 256).alias("audit_hash"))
+
+
 @dataclass(frozen=True)
 class Generation:
     id: str

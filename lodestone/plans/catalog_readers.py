@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import cells, ranked, symbols
+from lodestone.operators import cells, generations, ranked, symbols
 from lodestone.plans.catalog import query
 from lodestone.sources import blocks, builds, code, extraction, lexing
-from lodestone.storage import new_path, spread, table
+from lodestone.storage import new_path, spread, stash, table
 from lodestone.streaming import leases
 
 # Units merged in order
@@ -236,3 +238,54 @@ def lease_stream(spark, sf):
     messages = table(spark, sf, "events").select(F.concat(F.lit("u"), "user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("id"), F.concat(F.lit("a"), F.col("event_id") % 2).alias("agent_id"), kind.alias("kind"), F.lit(None).cast("int").alias("attempt"))
     rows = leases.run_to_end(spark, messages, lambda stream: leases.lease_stream(stream, _LEASE_MS, _DELAY_MS, _MOST, "1 hour"), F.lit("2100-01-01").cast("timestamp"))
     return rows.where("job_id is not null")
+
+
+# Collections that claim, delete and forget
+
+_CLAIM, _OTHER = "a" * 64, "b" * 64
+_HELD_SQL = f"""g AS (SELECT o_orderkey AS id, o_custkey AS project_id, CASE o_orderstatus WHEN 'F' THEN 'superseded' WHEN 'O' THEN 'active' ELSE 'failed' END AS status, o_orderdate AS published_at, o_orderkey % 7 AS publication_version,
+    CASE o_orderkey % 5 WHEN 1 THEN '{_CLAIM}' WHEN 2 THEN '{_OTHER}' END AS gc_claim_hash, CASE WHEN o_orderkey % 3 > 0 THEN sha256(o_orderpriority) END AS manifest_hash FROM orders),
+  r AS (SELECT *, row_number() OVER (PARTITION BY project_id, status IN ('active', 'superseded') ORDER BY published_at DESC, id DESC) AS k FROM g),
+  free AS (SELECT * FROM r WHERE ((status = 'superseded' AND k > 2) OR status = 'failed') AND published_at < TIMESTAMP '1997-01-01' - INTERVAL 30 DAY AND (gc_claim_hash IS NULL OR gc_claim_hash = '{_CLAIM}'))"""
+
+
+def _held(spark, sf):
+    """Orders as generations of a customer each, of which two collections have claimed some; two thirds have a manifest."""
+    id, status = F.col("o_orderkey"), F.when(F.col("o_orderstatus") == "F", "superseded").when(F.col("o_orderstatus") == "O", "active").otherwise("failed")
+    digest = F.when(id % 3 > 0, F.sha2("o_orderpriority", 256))
+    rows = table(spark, sf, "orders").select(
+        id.alias("id"), F.col("o_custkey").alias("project_id"), status.alias("status"), F.col("o_orderdate").alias("published_at"), F.col("o_orderdate").alias("updated_at"), F.col("o_orderdate").alias("validated_at"), (id % 7).alias("publication_version"),
+        F.when(id % 5 == 1, _CLAIM).when(id % 5 == 2, _OTHER).alias("gc_claim_hash"), F.when((id % 5).isin(1, 2), F.col("o_orderdate")).alias("gc_claimed_at"), F.when(digest.isNotNull(), F.concat(F.lit("store/"), id)).alias("manifest_uri"), digest.alias("manifest_hash"),
+    )
+    free = generations.retention(rows, rows.where("false").select(F.col("id").alias("generation_id")), F.lit("1997-01-01").cast("timestamp"), limit=1 << 30, claim=_CLAIM)
+    return rows, stash(free, "candidates")
+
+
+@query(f"""WITH {_HELD_SQL}
+SELECT g.id, g.status, g.publication_version + CASE WHEN free.id IS NOT NULL AND g.gc_claim_hash IS NULL THEN 1 ELSE 0 END AS publication_version, CASE WHEN free.id IS NOT NULL THEN '{_CLAIM}' ELSE g.gc_claim_hash END AS gc_claim_hash FROM g LEFT JOIN free ON free.id = g.id""")
+def collection_claims(spark, sf):
+    """Claims of a collection that takes its own ones up again and leaves those of another."""
+    rows, free = _held(spark, sf)
+    return generations.claimed(rows, free, _CLAIM, F.lit("1997-01-01").cast("timestamp")).select("id", "status", "publication_version", "gc_claim_hash")
+
+
+@query(f"""WITH {_HELD_SQL},
+  d AS (SELECT id, 'store/' || id AS manifest_uri, sha256('{{"action":"gc-artifact-delete","generation_id":"' || id || '","manifest_hash":"' || manifest_hash || '","operation_id":"op"}}') AS idempotency_key FROM free WHERE manifest_hash IS NOT NULL)
+SELECT id::VARCHAR AS id, manifest_uri, idempotency_key, sha256(manifest_uri || idempotency_key) AS receipt_hash FROM d""")
+def collection_receipts(spark, sf):
+    """Receipts for the manifests of all that a collection holds, asked for in tasks."""
+    deletions = generations.artifact_deletions(_held(spark, sf)[1], "op")
+    return generations.delete_artifacts(deletions, _deleted).select("id", "manifest_uri", "idempotency_key", "receipt_hash")
+
+
+def _deleted(id, uri, digest, key):
+    return hashlib.sha256(f"{uri}{key}".encode()).hexdigest()
+
+
+@query(f"""WITH {_HELD_SQL} SELECT id, status FROM g WHERE id NOT IN (SELECT id FROM free WHERE manifest_hash IS NULL OR id % 2 = 0)""")
+def collection_rest(spark, sf):
+    """What is left of the generations when the even ones' manifests have their receipts and the odd ones' don't."""
+    rows, free = _held(spark, sf)
+    receipts = generations.delete_artifacts(generations.artifact_deletions(free, "op").where("id % 2 = 0"), _deleted)
+    now = generations.claimed(rows, free, _CLAIM, F.lit("1997-01-01").cast("timestamp"))
+    return generations.collected(now, free, stash(receipts, "receipts"), _CLAIM).select("id", "status")
