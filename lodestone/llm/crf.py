@@ -268,12 +268,16 @@ class Scorer:
         return _posteriors(self.table[np.array(ids, np.int64)], sizes, self.field.moves, self.field.start)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", per_lang: int = SAMPLE) -> Field | None:
-    """Fits the field on labelled rows of ``docs``; a row gives one segment of its words, at a place set by its id."""
+def train(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", per_lang: int = SAMPLE, most_langs: int = LANGS) -> Field | None:
+    """Fits the field on labelled rows of ``docs``; a row gives one segment of its words, at a place set by its id.
+
+    The sample is bounded by ``per_lang`` documents a language, ``MOST`` in all (one a language at least) and ``most_langs``
+    languages; a field of k languages takes time and memory by k x k.
+    """
     labelled = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("key"), F.col(lang_col).alias("lang"), "text")
     # A column of dirty labels may hold any number of values: the most frequent ones are learned.
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()
-    per_lang = min(per_lang, MOST // max(1, len(sizes)))
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()
+    per_lang = min(per_lang, max(1, MOST // max(1, len(sizes))))
     share = docs.sparkSession.createDataFrame([(r["lang"], min(1_000_000, 1_000_000 * per_lang // r["n"])) for r in sizes], f"of {dict(docs.dtypes)[lang_col]}, share long")
     chosen = labelled.join(F.broadcast(share), F.col("lang") == F.col("of")).where(F.pmod(F.xxhash64("key", F.lit(11)), F.lit(1_000_000)) < F.col("share"))
 

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -36,6 +37,44 @@ def test_language_labels_in_any_number(spark):
     assert np.array_equal(one.grams, two.grams) and np.array_equal(one.moves, two.moves)
 
 
+def test_more_languages_than_usual_if_asked(spark):
+    """Sixty made-up languages with words of their own: with room for them, the rarest are predicted too."""
+    deal = random.Random(4)
+    words = {f"l{k:02d}": ["".join(deal.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for k in range(60)}
+    rows = [(100 * k + i, " ".join(deal.choices(own, k=20)), lang) for k, (lang, own) in enumerate(words.items()) for i in range(6 + (k < 50))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    few, all_of_them = crf.train(docs), crf.train(docs, most_langs=60)
+    assert few.langs == sorted(words)[: crf.LANGS] and all_of_them.langs == sorted(words)
+    asked = spark.createDataFrame([(k, " ".join(deal.choices(own, k=12)), None) for k, own in enumerate(words.values())], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in crf.identify(asked, all_of_them).collect()}
+    assert sum(got[k] == lang for k, lang in enumerate(words)) >= 58
+
+
+def test_emissions_from_their_definition():
+    """Each word's scores: the weights of its n-grams, with marks at its ends, scaled by their number, and its lexicon entry."""
+    rng = np.random.default_rng(6)
+    field = crf.Field(["a", "b", "c"], {"été": rng.normal(size=3), "na": rng.normal(size=3)})
+    field.grams, field.lex = rng.normal(size=field.grams.shape).astype(np.float32), rng.normal(size=(3, 3))
+    wrap = (1 << 64) - 1
+
+    def slots(word):
+        code = [ord(c) for c in f"\x02{word}\x03"]
+        for n in range(1, crf.NGRAM + 1):
+            for i in range(len(code) - n + 1):
+                h = 0
+                for k, c in enumerate(code[i : i + n], 1):
+                    h = (h + c + k) * 0x9E3779B97F4A7C15 & wrap
+                    h ^= h >> 29
+                yield (h >> 20) % crf.SLOTS
+
+    words = ["été", "na", "x", "𝔘nter", "a" * 300]
+    for word, got in zip(words, field.emissions(words)):
+        own = list(slots(word))
+        want = 2 / math.sqrt(len(own)) * field.grams[own].astype(float).sum(0) + field.lexicon.get(word, np.zeros(3)) @ field.lex
+        assert np.allclose(got, want, atol=1e-4)
+    assert np.allclose(field.emissions(words)[2:3], field.emissions(["x"]))
+
+
 def test_quality_verdicts_on_held_out_labels(spark):
     """Trees fitted on two thirds of the labels; of the other third, by the whole verdict, at least 85 of 100 are right."""
     sf = "/root/testdata/sf0.01"
