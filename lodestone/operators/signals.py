@@ -158,6 +158,36 @@ def vector_scores(rows: DataFrame, query: Sequence[float], vector: str = "embedd
     return own.withColumn("score", F.greatest(F.lit(0.0), 1 - F.col("distance")))
 
 
+@F.pandas_udf(T.DoubleType())
+def _cosine_of(vectors: pd.Series, others: pd.Series) -> pd.Series:
+    """The cosine of two vectors of a row; null where one is null, holds a null, has no length, or their dimensions differ."""
+
+    def matrix(side: pd.Series) -> np.ndarray:
+        return np.concatenate(list(side)).astype(float).reshape(len(side), -1)
+
+    sizes = [np.array([-1 if v is None else len(v) for v in side], int) for side in (vectors, others)]
+    out = np.full(len(vectors), np.nan)
+    for n in set(sizes[0][(sizes[0] == sizes[1]) & (sizes[0] > 0)]):
+        at = np.nonzero((sizes[0] == n) & (sizes[1] == n))[0]
+        x, y = matrix(vectors.iloc[at]), matrix(others.iloc[at])
+        both = np.sqrt((x * x).sum(1) * (y * y).sum(1))
+        out[at] = np.where(both > 0, (x * y).sum(1) / np.where(both > 0, both, 1), np.nan)
+    return pd.Series(out)
+
+
+def vector_topk_of(rows: DataFrame, query: DataFrame, key: str, limit: int = 20, vector: str = "embedding") -> DataFrame:
+    """The nearest ``limit`` rows to the vector of the only row of ``query``, with score and the query's other columns.
+
+    The query stays a relation, for instance a stored vector picked by its key, and never comes to the driver. Its one row is
+    broadcast; more or fewer rows raise. Columns of ``query`` that are named as one of ``rows`` are left out.
+    """
+    if query.limit(2).count() != 1:
+        raise ValueError("a query is one row")
+    asked = query.select(F.col(vector).alias("_query"), *[c for c in query.columns if c not in rows.columns and c not in ("distance", "score")])
+    both = rows.crossJoin(F.broadcast(asked)).withColumn("distance", 1 - _cosine_of(vector, "_query")).where("distance is not null and not isnan(distance)")
+    return both.withColumn("score", F.greatest(F.lit(0.0), 1 - F.col("distance"))).drop("_query").orderBy("distance", key).limit(bounded(limit))
+
+
 def vector_topk(rows: DataFrame, query: Sequence[float], key: str, limit: int = 20, vector: str = "embedding") -> DataFrame:
     """The exact nearest ``limit`` rows: each task keeps its best, so no shuffle of the table."""
     return vector_scores(rows, query, vector).orderBy("distance", key).limit(bounded(limit))

@@ -46,6 +46,17 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     return best.select("vec_id", "label", F.round("score", 9).alias("score"))
 
 
+@query("""
+WITH q AS (SELECT vec_id AS asked, embedding AS wanted FROM embeddings WHERE vec_id = (SELECT max(vec_id) FROM embeddings))
+SELECT vec_id, asked, round(greatest(0.0, list_cosine_similarity(embedding::DOUBLE[], wanted::DOUBLE[])), 9) AS score
+FROM embeddings CROSS JOIN q ORDER BY list_cosine_similarity(embedding::DOUBLE[], wanted::DOUBLE[]) DESC, vec_id LIMIT 20""")
+def vector_of_row(spark: SparkSession, sf: str) -> DataFrame:
+    """The nearest vectors to a stored one, that of the largest id, which stays a relation of one row."""
+    rows = table(spark, sf, "embeddings")
+    asked = rows.agg(F.max_by(F.struct(F.col("vec_id").alias("asked"), "embedding"), "vec_id").alias("q")).select("q.*")
+    return signals.vector_topk_of(rows, asked, "vec_id").select("vec_id", "asked", F.round("score", 9).alias("score"))
+
+
 @query("""
 SELECT doc_id, CASE WHEN source || '/' || lang = 'src3/en' THEN 1.0 ELSE 0.95 END::DOUBLE AS score
 FROM documents WHERE source || '/' || lang = 'src3/en' OR lang = 'src3/en' OR (source = 'src3' AND doc_id % 10 = 3)

@@ -121,3 +121,19 @@ def test_cursors_are_bound():
             cursor.decode(token, *args)
     with pytest.raises(ValueError):
         cursor.decode("A" + token[1:], "search", "ann", "q", now=100.0)
+
+
+def test_nearest_to_a_stored_vector(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [1.0, 0.0]), (4, [0.0, 0.0]), (5, None), (6, [1.0]), (7, [-1.0, 0.0]), (8, [None, 1.0]), (9, []), (2, [0.6, 0.8])]
+    rows = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(3)
+    asked = rows.where("id = 3").select(F.col("id").alias("asked"), "embedding")
+    got = signals.vector_topk_of(rows, asked, "id").collect()
+    assert [(r.id, r.asked, round(r.score, 6)) for r in got] == [(1, 3, 1.0), (3, 3, 1.0), (2, 3, 0.6), (2, 3, 0.6), (7, 3, 0.0)]
+    clash = rows.where("id = 3").withColumn("score", F.lit(5.0))  # names of the rows and of the result are the rows' and the result's
+    assert [r.id for r in signals.vector_topk_of(rows, clash, "id", limit=2).collect()] == [1, 3]
+    assert signals.vector_topk_of(rows, clash, "id").columns == ["id", "embedding", "distance", "score"]
+    assert signals.vector_topk_of(rows.limit(0), asked, "id").count() == 0
+    for some in (asked.limit(0), asked.unionByName(asked)):
+        with pytest.raises(ValueError, match="one row"):
+            signals.vector_topk_of(rows, some, "id")
+    assert signals.vector_topk_of(rows, rows.where("id = 5"), "id").count() == 0
