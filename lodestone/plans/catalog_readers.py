@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import cells, generations, ranked, symbols
 from lodestone.plans.catalog import query
 from lodestone.sources import blocks, builds, code, extraction, lexing
-from lodestone.storage import new_path, spread, stash, table
+from lodestone.storage import dealt, new_path, stash, table
 from lodestone.streaming import leases
 
 # Units merged in order
@@ -81,7 +81,7 @@ SELECT 'p' || p_partkey AS file, -1 AS item, upper(sha1('u' || p_partkey)) AS do
 UNION ALL SELECT 'p' || p_partkey, 0, upper(sha1('f' || p_partkey)), p_name || '::get' || p_size, 'method', 'int ' || p_name || '::get' || p_size || '(float,T)', NULL, 2, 0 FROM part""")
 def documentation_blocks(spark, sf):
     """Each part as a documentation record with a template parameter, two members and a function."""
-    p = table(spark, sf, "part")
+    p = dealt(table(spark, sf, "part"))
     text = F.format_string(
         "---\nUSR: '%s'\nName: '%s'\nNamespace:\n  - Type: Namespace\n    Name: 'Inner'\n  - Name: Outer\nDescription:\n  - Kind: FullComment\n    Children:\n      - Kind: Paragraph\n        Children:\n          - Text: ' %s'\n      - Kind: Text\n        Text: \"%s\"\n"
         "DefLocation:\n  LineNumber: %d\n  Filename: 'a.h'\nTagType: %s\nTemplate:\n  Params:\n    - Contents: 'typename T'\nMembers:\n  - Type:\n      Name: 'int'\n    Name: 'one'\n    Access: Private\n  - Name: 'two'\n    Type:\n      QualName: 'std::x'\n"
@@ -200,7 +200,7 @@ SELECT doc_id, round(sum(1.0::DOUBLE / (pos - begin + 1)), 6) AS score FROM s WH
 def fts_ranked(spark, sf):
     """The first 50 documents by cover density, from blocks of postings whose bound may reach them."""
     path = new_path(spark, "fts")
-    ranked.write_index(spread(table(spark, sf, "documents")).where("doc_id is not null"), path, "doc_id", only=_WORDS.split())
+    ranked.write_index(dealt(table(spark, sf, "documents")).where("doc_id is not null"), path, "doc_id", only=_WORDS.split())
     return ranked.top_ranked(spark, path, _WORDS, "doc_id", 50)[0].select("doc_id", F.round("score", 6).alias("score"))
 
 

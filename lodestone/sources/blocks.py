@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.storage import stash
@@ -112,24 +112,26 @@ def leaves(files: DataFrame, path: str = "path", text: str = "text") -> DataFram
     return rows.lateralJoin(Leaves(F.col("_text").outer())).drop("_text")
 
 
+_LISTS = ("Params", "Location", "Members")
 _TEXTS = ("Name", "USR", "QualName", "Filename", "Contents", "Access")
 
 
 def _first(*paths: str) -> Column:
     """The value at the first of some paths that has one."""
-    return F.coalesce(*[F.max(F.when(F.col("path") == p, F.col("value"))) for p in paths])
+    own = lambda p: F.filter("leaves", lambda x: x["path"] == p)
+    return F.coalesce(*[F.array_max(F.transform(own(p), lambda x: x["value"])) for p in paths])
 
 
-def _list(which: Column, value: Column | None = None) -> Column:
-    """The values where ``which`` holds, in the order of their items."""
-    told = F.collect_list(F.when(which, F.struct("place", (F.col("value") if value is None else value).alias("value"))))
+def _list(which) -> Column:
+    """The values of the leaves where ``which`` holds, in the order of their items."""
+    told = F.transform(F.filter("leaves", which), lambda x: F.struct(x["place"].alias("place"), x["value"].alias("value")))
     return F.transform(F.array_sort(told), lambda x: x["value"])
 
 
-def _items(own: DataFrame, key: str, /, **fields: Column) -> DataFrame:
-    """(file, item, ``key``: array of structs) of a list whose items are mappings."""
-    rows = own.where(F.col("path").startswith(f"{key}/")).groupBy("file", "item", "place").agg(F.struct(*[v.alias(c) for c, v in fields.items()]).alias("x"))
-    return rows.groupBy("file", "item").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda i: i["x"]).alias(key))
+def _items(key: str, *fields: str) -> Column:
+    """The items of the list ``key``, which are mappings, in their order."""
+    own = F.filter("items", lambda i: i["list"] == key)
+    return F.transform(F.array_sort(own), lambda i: F.struct(*[i[c].alias(c) for c in fields])).alias(key)
 
 
 def documented_symbols(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
@@ -137,8 +139,10 @@ def documented_symbols(files: DataFrame, path: str = "path", text: str = "text")
 
     (file, item, documentation_id, stable_usr, name, qualified_name, kind, owner_usr, signature, signature_hash, documentation,
     template_parameters, locations: kind, file, line; members: name, type, access). Malformed records raise.
+
+    The leaves are shuffled once, by file: those of a list's item are grouped first, then all of a record or function.
     """
-    all_leaves = stash(leaves(files, path, text), "leaves")
+    all_leaves = leaves(files, path, text).repartition("file")
     function = F.col("path").startswith("ChildFunctions/")
     own = all_leaves.withColumn("item", F.when(function, F.col("place")[0]).otherwise(-1)).withColumns({
         "path": F.when(function, F.substring("path", len("ChildFunctions/") + 1, 1 << 20)).otherwise(F.col("path")),
@@ -148,30 +152,38 @@ def documented_symbols(files: DataFrame, path: str = "path", text: str = "text")
     last = F.element_at(F.split("path", "/"), -1)
     is_text = (F.col("kind") == "text") & F.length("value").between(1, LONGEST) & ~F.col("value").contains("\n")
     inside = ~F.col("path").startswith("Description") & (F.col("kind") != "none")
-    require(own.where(inside), {
+    leaf_rules = {
         "text fields": ~last.isin(*_TEXTS) | is_text, "symbol ids": (last != "USR") | F.col("value").rlike(ID),
         "lines": (last != "LineNumber") | ((F.col("kind") == "number") & F.coalesce(F.expr("try_cast(value AS bigint)") >= 1, F.lit(False))),
-    })
-    said = F.col("path").rlike("^Description(/Children)*/Text$") & (F.col("kind") == "text")
-    one = own.groupBy("file", "item").agg(
+    }
+    said = lambda x: x["path"].rlike("^Description(/Children)*/Text$") & (x["kind"] == "text")
+    at_path = lambda p: lambda x: x["path"] == p
+    key = F.coalesce(*[F.when(F.col("path").startswith(f"{k}/"), k) for k in _LISTS], F.lit(""))
+    bad = {f"bad_{i}": (inside & ~F.coalesce(good, F.lit(False))).cast("long") for i, good in enumerate(leaf_rules.values())}
+    grouped = own.withColumns({"list": key, **bad}).groupBy("file", "item", "list", F.when(F.col("list") != "", F.col("place")).alias("at"))
+    parts = grouped.agg(F.collect_list(F.struct("path", "place", "value", "kind")).alias("leaves"), *[F.sum(c).alias(c) for c in bad])
+    whole = F.struct(
         _first("USR").alias("documentation_id"), _first("Name").alias("name"), _first("TagType").alias("tag"), _first("IsMethod").alias("method"),
-        _first("Parent/USR").alias("parent"), _first("Parent/QualName", "Parent/Name").alias("parent_name"), F.reverse(_list(F.col("path") == "Namespace/Name")).alias("owners"),
-        _first("ReturnType/Type/QualName", "ReturnType/Type/Name").alias("returns"), _list(F.col("path") == "Template/Params/Contents").alias("template_parameters"),
+        _first("Parent/USR").alias("parent"), _first("Parent/QualName", "Parent/Name").alias("parent_name"), F.reverse(_list(at_path("Namespace/Name"))).alias("owners"),
+        _first("ReturnType/Type/QualName", "ReturnType/Type/Name").alias("returns"), _list(at_path("Template/Params/Contents")).alias("template_parameters"),
         _first("DefLocation/Filename").alias("file_defined"), _first("DefLocation/LineNumber").cast("long").alias("line_defined"),
         F.array_join(F.filter(F.transform(_list(said), lambda t: F.trim(t)), lambda t: t != ""), "\n").alias("documentation"),
     )
-    kinds = _items(own, "Params", type=_first("Params/Type/QualName", "Params/Type/Name"))
-    places = _items(own, "Location", file=_first("Location/Filename"), line=_first("Location/LineNumber").cast("long"))
-    members = _items(own, "Members", name=_first("Members/Name"), type=_first("Members/Type/QualName", "Members/Type/Name"), access=F.lower(_first("Members/Access")))
-    joined = one
-    for more in (kinds, places, members):
-        joined = joined.join(more, ["file", "item"], "left")
-    known = F.coalesce("Members", F.array().cast(members.schema["Members"].dataType))
-    rules = {"symbol id and name": F.col("documentation_id").isNotNull() & F.col("name").isNotNull(), "members with a type": F.forall(known, lambda m: m["name"].isNotNull() & m["type"].isNotNull())}
-    rules |= {"parameters with a type": F.forall(F.coalesce("Params", F.array().cast(kinds.schema["Params"].dataType)), lambda p: p["type"].isNotNull())}
+    item = F.struct(
+        "list", "at", _first("Members/Name").alias("name"), _first("Params/Type/QualName", "Members/Type/QualName", "Params/Type/Name", "Members/Type/Name").alias("type"), F.lower(_first("Members/Access")).alias("access"),
+        _first("Location/Filename").alias("file"), _first("Location/LineNumber").cast("long").alias("line"),
+    )
+    parts = parts.select("file", "item", F.when(F.col("list") == "", whole).alias("whole"), F.when(F.col("list") != "", item).alias("of"), *bad)
+    joined = parts.groupBy("file", "item").agg(F.max("whole").alias("whole"), F.collect_list("of").alias("items"), *[F.sum(c).alias(c) for c in bad])
+    joined = joined.select("file", "item", "whole.*", _items("Params", "type"), _items("Location", "file", "line"), _items("Members", "name", "type", "access"), *bad)
+    empty = F.array().cast("array<string>")
+    joined = joined.withColumns({"owners": F.coalesce("owners", empty), "template_parameters": F.coalesce("template_parameters", empty), "documentation": F.coalesce("documentation", F.lit(""))})
+    root, known = F.col("item") < 0, F.col("Members")
+    joined = joined.withColumn("root_name", F.max(F.when(root, F.col("name"))).over(Window.partitionBy("file")))
+    rules = {rule: F.col(c) == 0 for rule, c in zip(leaf_rules, bad)}
+    rules |= {"symbol id and name": F.col("documentation_id").isNotNull() & F.col("name").isNotNull(), "members with a type": F.forall(known, lambda m: m["name"].isNotNull() & m["type"].isNotNull())}
+    rules |= {"parameters with a type": F.forall("Params", lambda p: p["type"].isNotNull())}
     joined = require(stash(joined, "records"), rules)
-    root = F.col("item") < 0
-    above = joined.where(root).select("file", F.col("name").alias("root_name"))
     usr = lambda c: F.concat(F.lit("clang-doc-sha1:"), F.lower(c))
     path_name = F.array_join(F.concat("owners", F.array("name")), "::")
     qualified = F.when(~root & F.col("parent").isNotNull(), F.concat_ws("::", "parent_name", "name")).otherwise(path_name)
@@ -182,8 +194,8 @@ def documented_symbols(files: DataFrame, path: str = "path", text: str = "text")
     call = F.concat(F.coalesce(F.concat("returns", F.lit(" ")), F.lit("")), "qualified_name", F.lit("("), F.coalesce(types, F.lit("")), F.lit(")"))
     place = lambda kind, file, line: F.struct(F.lit(kind).alias("kind"), file.alias("file"), line.alias("line"))
     defined = F.when(F.col("file_defined").isNotNull(), F.array(place("definition", F.col("file_defined"), F.col("line_defined")))).otherwise(F.array().cast("array<struct<kind:string,file:string,line:bigint>>"))
-    declared = F.coalesce(F.transform("Location", lambda x: place("declaration", x["file"], x["line"])), F.array().cast("array<struct<kind:string,file:string,line:bigint>>"))
-    out = joined.join(above, "file").withColumns({"qualified_name": qualified, "kind": F.when(root, tag).otherwise(of_function)})
+    declared = F.transform("Location", lambda x: place("declaration", x["file"], x["line"]))
+    out = joined.where("root_name is not null").withColumns({"qualified_name": qualified, "kind": F.when(root, tag).otherwise(of_function)})
     out = out.withColumn("signature", F.when(root, F.concat("kind", F.lit(" "), "qualified_name", template)).otherwise(call))
     return out.select(
         "file", "item", "documentation_id", usr("documentation_id").alias("stable_usr"), "name", "qualified_name", "kind", usr("parent").alias("owner_usr"), "signature", F.sha2("signature", 256).alias("signature_hash"),
