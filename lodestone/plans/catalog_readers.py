@@ -101,7 +101,7 @@ def _rules(spark, sf):
         F.when(F.col("p_partkey") % 3 == 0, F.lit("  PrivateDependencyModuleNames.AddRange(Names(1, (2)));\n")).otherwise(F.lit('  PrivateDependencyModuleNames.Add("P");\n')),
         F.when(F.col("p_partkey") % 11 == 0, F.lit('  var s = "open;\n')).otherwise(F.lit("  var c = '\"';\n")), F.lit("}\n"),
     )
-    return table(spark, sf, "part").select(F.concat(F.lit("p"), "p_partkey").alias("path"), text.alias("text"))
+    return dealt(table(spark, sf, "part")).select(F.concat(F.lit("p"), "p_partkey").alias("path"), text.alias("text"))
 
 
 _GUARD_SQL = "'((platform == Win64) && (A(' || p_size || ')))'"
