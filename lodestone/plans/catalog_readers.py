@@ -133,7 +133,7 @@ def header_annotations(spark, sf):
         F.lit('#define UCLASS(...)\nUCLASS(Blueprintable, meta=(DisplayName="'), "p_type", F.lit(", ("), "p_brand", F.lit('", Deep))\nclass CORE_API AThing'), F.col("p_size").cast("string"), F.lit(" : public AActor\n{\n"),
         F.when(F.col("p_partkey") % 7 == 0, F.lit("  UFUNCTION(Never, (\n")).otherwise(F.lit('  UPROPERTY(EditAnywhere, Category="X") /* UPROPERTY() */\n  TMap<int, float> Count = F(3);\n')), F.lit("};\n"),
     )
-    found = lexing.annotations(table(spark, sf, "part").select(F.concat(F.lit("p"), "p_partkey").alias("path"), header.alias("text")))
+    found = lexing.annotations(dealt(table(spark, sf, "part")).select(F.concat(F.lit("p"), "p_partkey").alias("path"), header.alias("text")))
     return found.select("path", "macro", "declaration_line", "symbol_name", F.array_join("specifiers", ",").alias("specifiers"), F.col("metadata")["DisplayName"].alias("display"))
 
 
