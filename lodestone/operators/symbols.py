@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import last_segment
-from lodestone.storage import stash
 from lodestone.validate import require, require_unique
 
 #: Fields that must agree for one identity; those that may be empty in some records.
@@ -38,31 +37,49 @@ def signature_hash() -> Column:
     return F.sha2(F.to_json(F.struct("kind", "qualified_name", "display_name", "type_spelling", "result_type"), {"ignoreNullFields": "false"}), 256)
 
 
-def _conflict() -> Column:
-    """More than one value of an identity field (null is a value), or more than one non-empty value of a filled one."""
-    same = [F.count_distinct(F.coalesce(F.col(c), F.lit("\0none"))) > 1 for c in IDENTITY]
-    same += [F.count_distinct(F.when(F.col(c) != "", F.col(c))) > 1 for c in FILLED]
-    return reduce(Column.__or__, same)
+def _several(c: Column) -> Column:
+    """More than one value of a column, of which null is none."""
+    return F.coalesce(F.min(c) != F.max(c), F.lit(False))
 
 
-def _agreed(records: DataFrame, keys: list[str], order: str | None, ties: Column | None) -> DataFrame:
-    """One row for records that agree: the fields, those that may be empty filled, and the longest documentation.
+def _longest(order: str | None, ties: Column | None) -> Column:
+    """The longest documentation with its rank: of several longest ones ``ties`` decides, then the first by ``order``."""
+    rank = [(-utf16_length(F.col("documentation"))).alias("length"), *([] if ties is None else [ties.alias("ties")]), *([F.col(order).alias("by")] if order else [])]
+    return F.min(F.when(F.col("documentation").isNotNull(), F.struct(*rank, F.col("documentation").alias("text"))))
 
-    Of several longest ones ``ties`` decides, then the first by ``order``.
-    """
-    rank = [-utf16_length(F.col("documentation")), *([] if ties is None else [ties]), *([F.col(order)] if order else [])]
-    said = F.min_by("documentation", F.when(F.col("documentation").isNotNull(), F.struct(*rank, F.col("documentation"))))
-    return records.groupBy(*keys).agg(*[F.max(c).alias(c) for c in (*IDENTITY, *FILLED)], said.alias("documentation"))
 
+def _told(records: DataFrame, keys: list[str], order: str | None) -> DataFrame:
+    """One row for the records of one identity in one unit, in one shuffle: ``conflict``, ``dropped_locations``, and the fields and
+    distinct locations as they are where the records agree.
 
-def _places(records: DataFrame, keys: list[str]) -> DataFrame:
-    """The distinct locations of each key in order. Repeated ones meet before a key's are gathered."""
-    at = records.select(*keys, F.explode("locations").alias("at")).distinct()
-    fields = [f.name for f in at.schema["at"].dataType]
+    Records conflict if they have more than one value of an identity field (null is a value), or more than one non-empty
+    value of a filled one. Repeated locations meet before a key's are gathered.
+    """
+    more = [order] if order and order not in keys else []
+    rows = records.select(*keys, F.struct(*IDENTITY).alias("identity"), *FILLED, "documentation", *more, F.explode_outer("locations").alias("_at"))
+    said = _longest(order, None if order else _in_locale(F.col("documentation")))["text"]
+    conflict = reduce(Column.__or__, [_several(F.col("identity")), *[_several(F.nullif(F.col(c), F.lit(""))) for c in FILLED]])
+    out = rows.groupBy(*keys).agg(
+        conflict.alias("conflict"), F.count("_at").alias("dropped_locations"), F.min("identity").alias("identity"), *[F.max(c).alias(c) for c in FILLED], said.alias("documentation"), F.collect_set("_at").alias("locations")
+    )
+    return out.select(*keys, "conflict", "dropped_locations", "identity.*", *FILLED, "documentation", "locations")
+
+
+def _in_order(at: Column, fields: list[str]) -> Column:
+    """An array of locations in order; equal ones stand together."""
     rank = [x for x in ("file", "start_line", "start_column", "end_line", "end_column", "kind") if x in fields]
     text = lambda c: c if c not in ("file", "kind") else f"_{c}"
-    ranked = F.struct(*[(_in_locale(F.col(f"at.{c}")) if text(c) != c else F.col(f"at.{c}")).alias(text(c)) for c in rank], "at")
-    return at.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(ranked)), lambda x: x["at"]).alias("locations"))
+    ranked = F.transform(at, lambda x: F.struct(*[(_in_locale(x[c]) if text(c) != c else x[c]).alias(text(c)) for c in rank], x.alias("at")))
+    return F.transform(F.array_sort(ranked), lambda x: x["at"])
+
+
+def _fields(locations: DataFrame) -> list[str]:
+    return [f.name for f in locations.schema["locations"].dataType.elementType]
+
+
+def _distinct(column: str) -> Column:
+    """A sorted array without repeated values."""
+    return F.filter(column, lambda x, i: (i == 0) | (x != F.get(F.col(column), i - 1)))
 
 
 def merge_unit(records: DataFrame, keys: list[str], order: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -71,25 +88,38 @@ def merge_unit(records: DataFrame, keys: list[str], order: str | None = None) ->
     An identity that records conflict about is dropped with all its records, whatever their order, and counted in
     ``ambiguous``. Of two longest documentations the first by ``order`` stays (without one: the smaller in locale order).
     """
-    judged = records.groupBy(*keys).agg(_conflict().alias("conflict"), F.sum(F.size("locations")).alias("dropped_locations"))
-    bad = judged.where("conflict").select(*keys, "dropped_locations")
-    good = stash(records.join(bad.drop("dropped_locations"), keys, "left_anti"), "agreeing")
-    ties = None if order else _in_locale(F.col("documentation"))
-    symbols = _agreed(good, keys, order, ties).join(_places(good, keys), keys, "left")
-    return symbols.withColumn("signature_hash", signature_hash()), bad
+    told = _told(records, keys, order)
+    good = told.where("not conflict").drop("conflict", "dropped_locations").withColumn("locations", _in_order(F.col("locations"), _fields(told)))
+    return good.withColumn("signature_hash", signature_hash()), told.where("conflict").select(*keys, "dropped_locations")
 
 
-def _first_conflict(units: DataFrame, unit: str) -> DataFrame:
-    """(stable_usr, at): the first unit whose symbol conflicts with what the units before it agree on.
+def _merged(told: DataFrame, unit: str) -> DataFrame:
+    """One row for each identity of ``told``, a row for each of its units: what the units agree on, and what was dropped.
 
-    A field's values are taken with the first unit that has each; the second of them to come up is the conflict.
+    A unit conflicts from the first one on that has another value than the first unit to have one. Units that conflict in
+    themselves count as dropped and for nothing else.
     """
-    identity = F.to_json(F.struct(*IDENTITY), {"ignoreNullFields": "false"})
-    values = [F.struct(F.lit("identity").alias("field"), identity.alias("value")), *[F.struct(F.lit(c).alias("field"), F.when(F.col(c) != "", F.col(c)).alias("value")) for c in FILLED]]
-    said = units.select("stable_usr", unit, F.explode(F.array(*values)).alias("x")).select("stable_usr", unit, "x.*").where("value is not null")
-    came = said.groupBy("stable_usr", "field", "value").agg(F.min(unit).alias("at"))
-    nth = F.row_number().over(Window.partitionBy("stable_usr", "field").orderBy("at"))
-    return came.withColumn("nth", nth).where("nth = 2").groupBy("stable_usr").agg(F.min("at").alias("at"))
+    by = Window.partitionBy("stable_usr").orderBy(unit)
+    good, now = ~F.col("conflict"), by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    values = [F.when(good, F.struct(*IDENTITY)), *[F.when(good, F.nullif(F.col(c), F.lit(""))) for c in FILLED]]
+    named = told.withColumns({f"_v{i}": v for i, v in enumerate(values)} | {"documentation": F.when(good, F.col("documentation"))})
+    other = [F.coalesce(F.col(f"_v{i}") != F.first(f"_v{i}", ignorenulls=True).over(now), F.lit(False)) for i in range(len(values))]
+    rows = named.withColumn("_other", reduce(Column.__or__, other)).withColumn("_late", F.max("_other").over(now)).withColumn("_early", good & ~F.col("_late"))
+    out = rows.groupBy("stable_usr").agg(
+        F.max("_late").alias("late"), F.count_if(good).alias("units"), F.min("_v0").alias("identity"), *[F.max(F.when(good, F.col(c))).alias(c) for c in FILLED],
+        _longest(unit, _in_locale(F.col("documentation")))["text"].alias("documentation"), F.flatten(F.collect_list(F.when(F.col("_early"), F.col("locations")))).alias("locations"),
+        F.count_if("conflict").alias("lost_units"), F.sum(F.when(F.col("conflict"), F.col("dropped_locations"))).alias("lost"), F.sum(F.when(good & F.col("_late"), F.size("locations"))).alias("later"),
+    )
+    out = out.withColumn("locations", _in_order(F.col("locations"), _fields(told))).withColumn("locations", _distinct("locations"))
+    return out.select("stable_usr", "late", "units", "identity.*", *FILLED, "documentation", "locations", "lost_units", "lost", "later")
+
+
+def _results(merged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    symbols = merged.where("units > 0 and not late").select("stable_usr", *IDENTITY, *FILLED, "documentation", "locations")
+    none = F.lit(0).cast("long")
+    late = F.when(F.col("late"), F.coalesce("later", none) + F.size("locations")).otherwise(none)
+    bad = merged.where("late or lost_units > 0").select("stable_usr", (F.coalesce("lost", none) + late).alias("dropped_locations"))
+    return symbols.withColumn("signature_hash", signature_hash()), bad
 
 
 def merge_units(units: DataFrame, unit: str = "unit") -> tuple[DataFrame, DataFrame]:
@@ -99,27 +129,18 @@ def merge_units(units: DataFrame, unit: str = "unit") -> tuple[DataFrame, DataFr
     stays, of several the smallest in locale order. From the first unit that conflicts with those before it an identity is
     ambiguous: ``dropped_locations`` counts the distinct locations merged until then and all that come with it or later.
     """
-    first = stash(_first_conflict(units, unit), "conflicts")
-    good = stash(units.join(first, "stable_usr", "left_anti"), "agreeing")
-    symbols = _agreed(good, ["stable_usr"], unit, _in_locale(F.col("documentation"))).join(_places(good, ["stable_usr"]), "stable_usr", "left")
-    bad = units.join(first, "stable_usr").select("stable_usr", unit, "at", "locations")
-    later = bad.where(F.col(unit) >= F.col("at")).groupBy("stable_usr").agg(F.sum(F.size("locations")).alias("later"))
-    places = bad.where(F.col(unit) < F.col("at")).select("stable_usr", F.explode("locations").alias("place")).distinct()
-    merged = places.groupBy("stable_usr").agg(F.count(F.lit(1)).alias("merged"))
-    dropped = (F.col("later") + F.coalesce("merged", F.lit(0).cast("long"))).alias("dropped_locations")
-    return symbols.withColumn("signature_hash", signature_hash()), later.join(merged, "stable_usr", "left").select("stable_usr", dropped)
+    return _results(_merged(units.withColumns({"conflict": F.lit(False), "dropped_locations": F.lit(0).cast("long")}), unit))
 
 
 def merge_symbols(records: DataFrame, batch: str | None = None, order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(symbols, ambiguous: stable_usr, dropped_locations): records of one unit, or of several named by ``batch``.
 
-    Several are merged within each first, so that a unit that agrees brings an identity back that another has dropped.
+    Several are merged within each first, so that a unit that agrees brings an identity back that another has dropped: one
+    shuffle of the records, one of the units' symbols. Nothing is stored, so each of the two results works for itself.
     """
     if not batch:
         return merge_unit(records, ["stable_usr"], order)
-    by_unit, lost = merge_unit(records, [batch, "stable_usr"], order)
-    symbols, again = merge_units(stash(by_unit, "units"), batch)
-    return symbols, lost.drop(batch).unionByName(again).groupBy("stable_usr").agg(F.sum("dropped_locations").alias("dropped_locations"))
+    return _results(_merged(_told(records, [batch, "stable_usr"], order), batch))
 
 
 def unit_counts(manifests: DataFrame, ambiguous: DataFrame) -> DataFrame:

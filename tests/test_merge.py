@@ -107,3 +107,13 @@ def test_nothing_to_merge(spark):
         assert got.count() == 0 and bad.count() == 0
     assert tuple(symbols.unit_counts(spark.createDataFrame([], "diagnostic_count long, error_count long, unidentified_count long"), bad).first()) == (0, 0, 0)
     assert "unit" not in symbols.merge_symbols(none.withColumn("extra", F.lit(1)), "unit")[0].columns
+
+
+def test_units_merge_in_two_shuffles_without_files(spark, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda *a, **k: 1 / 0)
+    rows = [(u, 0, "v", "q", "n", "d", "k", None, "", "", [("definition", "f", 1)], None) for u in range(3)]
+    for df in symbols.merge_symbols(spark.createDataFrame(rows, RECORD), "unit"):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 2 and "Expand" not in plan and "Join" not in plan
