@@ -117,3 +117,11 @@ def test_units_merge_in_two_shuffles_without_files(spark, monkeypatch):
     for df in symbols.merge_symbols(spark.createDataFrame(rows, RECORD), "unit"):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") == 2 and "Expand" not in plan and "Join" not in plan
+
+
+def test_counts_of_units_read_the_records_once(spark):
+    rows = [(0, 0, "v", "q", "n", "d", "k", None, "", "", [("definition", "f", 1), ("definition", "g", 1)], None), (1, 0, "v", "q", "n", "d", "other", None, "", "", [("definition", "f", 1)], None)]
+    ambiguous = symbols.merge_symbols(spark.createDataFrame(rows, RECORD), "unit")[1]
+    counts = symbols.unit_counts(spark.createDataFrame([(1, 1, 1)], "diagnostic_count long, error_count long, unidentified_count long"), ambiguous)
+    assert tuple(counts.first()) == (1, 1, 4)
+    assert counts._jdf.queryExecution().optimizedPlan().toString().count("stable_usr") and counts._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
