@@ -125,3 +125,13 @@ def test_counts_of_units_read_the_records_once(spark):
     counts = symbols.unit_counts(spark.createDataFrame([(1, 1, 1)], "diagnostic_count long, error_count long, unidentified_count long"), ambiguous)
     assert tuple(counts.first()) == (1, 1, 4)
     assert counts._jdf.queryExecution().optimizedPlan().toString().count("stable_usr") and counts._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+
+
+def test_what_a_conflicting_unit_says_is_not_merged(spark):
+    row = lambda unit, at, kind, type, place, note: (unit, at, "v", "q", "n", "d", kind, None, type, "", [("definition", place, 1)], note)
+    rows = [row(0, 0, "k", "T", "a", "short"), row(1, 0, "k", "", "b", "a longer note"), row(1, 1, "other", "S", "c", None), row(2, 0, "k", "", "a", None), row(2, 1, "k", "", "B", None)]
+    got, bad = symbols.merge_symbols(spark.createDataFrame(rows, RECORD), "unit")
+    one = got.first()
+    assert (one.kind, one.type_spelling, one.documentation, [p.file for p in one.locations]) == ("k", "T", "short", ["a", "B"])
+    assert [tuple(r) for r in bad.collect()] == [("v", 2)]
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
