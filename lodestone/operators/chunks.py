@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from itertools import accumulate
 
 import pandas as pd
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,8 +17,9 @@ from lodestone.validate import require_unique
 
 MOST_BYTES, MOST_TOKENS = 16 * 1024, 2_000
 _SPACE = "\t\n\x0b\x0c\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
-_PIECE = regex.compile(f"[{_SPACE}]+|[A-Za-z_][A-Za-z0-9_]*|[0-9]+(?:\\.[0-9]+)?|[^{_SPACE}\x00-\x7f]|[^{_SPACE}A-Za-z0-9_]")
+_PIECE = re.compile(f"[{_SPACE}]+|[A-Za-z_][A-Za-z0-9_]*|[0-9]+(?:\\.[0-9]+)?|[^{_SPACE}\x00-\x7f]|[^{_SPACE}A-Za-z0-9_]")
 _TRIM = "\t\n\x0b\x0c\r \u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200B)))
+_BLANK = frozenset(_TRIM)
 COORDINATES = ["start_line", "start_column", "end_line", "end_column"]
 
 
@@ -67,13 +68,18 @@ def pieces(text: str, most_bytes: int, most_tokens: int) -> list[str]:
     Units are lexemes, and stretches of those that are too long, which always begin a part. A part ends where the sums of
     bytes or of tokens outgrow its beginning by their budgets, or where such a stretch begins.
     """
-    units, begins = [], []
-    for lexeme in _PIECE.findall(text):
-        stretches = _fitting(lexeme, most_bytes)
-        begins += [len(units) + i for i in range(len(stretches)) if len(stretches) > 1]
-        units += stretches
-    bytes_to = [0, *accumulate(len(u.encode()) for u in units)]
-    tokens_to = [0, *accumulate(int(bool(u.strip(_TRIM))) for u in units)]
+    sizes_of = lambda units: list(map(len, units)) if text.isascii() else [len(u) if u.isascii() else len(u.encode()) for u in units]
+    units, begins = _PIECE.findall(text), []
+    sizes = sizes_of(units)
+    if max(sizes, default=0) > most_bytes:
+        lexemes, units = units, []
+        for lexeme in lexemes:
+            stretches = _fitting(lexeme, most_bytes)
+            begins += [len(units) + i for i in range(len(stretches)) if len(stretches) > 1]
+            units += stretches
+        sizes = sizes_of(units)
+    bytes_to = [0, *accumulate(sizes)]
+    tokens_to = [0, *accumulate(0 if u[0] in _BLANK else 1 for u in units)]  # white space stands in units of its own
     if bytes_to[-1] <= most_bytes and tokens_to[-1] <= most_tokens:
         return [text]
     begins.append(len(units))

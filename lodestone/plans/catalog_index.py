@@ -11,7 +11,7 @@ from lodestone.operators import chunks, embedding, evaluation, generations, grap
 from lodestone.plans import hybrid, tools
 from lodestone.plans.catalog import query
 from lodestone.sources import extraction
-from lodestone.storage import stash, table
+from lodestone.storage import dealt, stash, table
 from lodestone.streaming import leases
 
 NOW, NOW_SQL = "2024-01-15", "TIMESTAMP '2024-01-15'"
@@ -386,7 +386,7 @@ def edges_in_order(spark, sf):
 @query()
 def chunk_split(spark, sf):
     """Documents under a small budget: (doc_id, part_index, part). The parts are cut by what has been taken before."""
-    parts = table(spark, sf, "documents").where("text is not null").select("doc_id", chunks.split_parts(2048, 120)("text").alias("parts"))
+    parts = dealt(table(spark, sf, "documents")).where("text is not null").select("doc_id", chunks.split_parts(2048, 120)("text").alias("parts"))
     return parts.select("doc_id", F.posexplode("parts").alias("part_index", "part"))
 
 

@@ -3,7 +3,7 @@
 import pytest
 
 from lodestone import storage
-from lodestone.plans import catalog, catalog_readers  # noqa: F401
+from lodestone.plans import catalog, catalog_index, catalog_readers  # noqa: F401
 from lodestone.sources import blocks, lexing
 
 
@@ -51,3 +51,7 @@ def test_module_rules_of_one_path_stay_apart(spark):
     rows = [("p", one), ("p", one.replace("A", "C").replace("CddRange", "AddRange").replace(".Cdd", ".Add")), ("q", "class Q : ModuleRules { }"), (None, one)]
     got = lexing.module_rules(spark.createDataFrame(rows, "path string, text string")).collect()
     assert sorted((str(r.path), r.module, str(r.name)) for r in got) == [("None", "A", "B"), ("p", "A", "B"), ("p", "C", "B"), ("q", "Q", "None")]
+
+
+def test_documents_in_one_row_group_are_cut_on_all_cores(spark, sf):
+    assert catalog.QUERIES["chunk_split"](spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
