@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as tx
 from lodestone.operators import acl as acl_ops
 from lodestone.operators import embedding, evaluation, fusion, generations, graph, signals, symbols
-from lodestone.storage import spread, stash, table
+from lodestone.storage import dealt, stash, table
 from lodestone.streaming import leases
 
 FLAGSHIP = "vector_topk"
@@ -78,7 +78,7 @@ _TERMS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"
 WITH p AS (SELECT doc_id, unnest({_TERMS}) AS t FROM documents)
 SELECT doc_id FROM p WHERE t IN ('the', 'of', 'and') GROUP BY doc_id HAVING count(DISTINCT t) = 3""")
 def fts_all_terms(spark, sf):
-    index = signals.postings(spread(table(spark, sf, "documents")), "doc_id", only=signals.query_terms("the of and"))
+    index = signals.postings(dealt(table(spark, sf, "documents")), "doc_id", only=signals.query_terms("the of and"))
     return signals.fts_match(index, "the of and", "doc_id").select("doc_id")
 
 
@@ -86,13 +86,13 @@ def fts_all_terms(spark, sf):
 SELECT t AS token, count(DISTINCT doc_id) AS n_docs, count(*) AS n_places
 FROM (SELECT doc_id, unnest({_TERMS}) AS t FROM documents) GROUP BY t""")
 def postings_df(spark, sf):
-    index = signals.postings(spread(table(spark, sf, "documents")), "doc_id")
+    index = signals.postings(dealt(table(spark, sf, "documents")), "doc_id")
     return index.groupBy("token").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("positions").cast("long")).alias("n_places"))
 
 
 @query()
 def fts_cover_density(spark, sf):
-    docs = spread(table(spark, sf, "documents"))
+    docs = dealt(table(spark, sf, "documents"))
     hits = signals.fts_match(signals.postings(docs, "doc_id", only=signals.query_terms("the of and")), "the of and", "doc_id").withColumn("score", F.round(signals.cover_density("lists"), 9))
     return hits.select("doc_id", "score").orderBy(F.desc("score"), "doc_id").limit(50)
 

@@ -55,3 +55,9 @@ def test_module_rules_of_one_path_stay_apart(spark):
 
 def test_documents_in_one_row_group_are_cut_on_all_cores(spark, sf):
     assert catalog.QUERIES["chunk_split"](spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("name", ["postings_df", "fts_all_terms"])
+def test_postings_of_large_tables_are_made_on_all_cores(spark, sf, name, monkeypatch):
+    monkeypatch.setattr(storage, "SMALL", 1)
+    assert "Exchange RoundRobinPartitioning" in plan(catalog.QUERIES[name](spark, sf))
