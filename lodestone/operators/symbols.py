@@ -53,10 +53,12 @@ def _told(records: DataFrame, keys: list[str], order: str | None) -> DataFrame:
     distinct locations as they are where the records agree.
 
     Records conflict if they have more than one value of an identity field (null is a value), or more than one non-empty
-    value of a filled one. Repeated locations meet before a key's are gathered.
+    value of a filled one. Records are shuffled as they are and told together behind it, where a task is as large as a
+    shuffle's partition; before it, a task is as large as a split of a file, whose records share few keys and outgrow memory.
     """
     more = [order] if order and order not in keys else []
-    rows = records.select(*keys, F.struct(*IDENTITY).alias("identity"), *FILLED, "documentation", *more, F.explode_outer("locations").alias("_at"))
+    dealt = records.select(*keys, *IDENTITY, *FILLED, "documentation", *more, "locations").repartition(*keys)
+    rows = dealt.select(*keys, F.struct(*IDENTITY).alias("identity"), *FILLED, "documentation", *more, F.explode_outer("locations").alias("_at"))
     said = _longest(order, None if order else _in_locale(F.col("documentation")))["text"]
     conflict = reduce(Column.__or__, [_several(F.col("identity")), *[_several(F.nullif(F.col(c), F.lit(""))) for c in FILLED]])
     out = rows.groupBy(*keys).agg(

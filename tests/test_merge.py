@@ -135,3 +135,18 @@ def test_what_a_conflicting_unit_says_is_not_merged(spark):
     assert (one.kind, one.type_spelling, one.documentation, [p.file for p in one.locations]) == ("k", "T", "short", ["a", "B"])
     assert [tuple(r) for r in bad.collect()] == [("v", 2)]
     assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+
+
+def _below_first_shuffle(df):
+    """The part of a plan that reads the records and deals them."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan[plan.rindex("Exchange hashpartitioning") :]
+
+
+def test_counts_of_units_aggregate_nothing_before_the_records_are_shuffled(spark):
+    rows = [(u, 0, "v", "q", "n", "d", "k", None, "", "", [("definition", "f", u % 2), ("definition", "f", u % 2)], None) for u in range(3)]
+    ambiguous = symbols.merge_symbols(spark.createDataFrame(rows, RECORD), "unit", "at")[1]
+    counts = symbols.unit_counts(spark.createDataFrame([(1, 1, 1)], "diagnostic_count long, error_count long, unidentified_count long"), ambiguous)
+    below = _below_first_shuffle(counts)
+    assert "stable_usr" in below and "Aggregate" not in below and "Generate" not in below
+    assert tuple(counts.first()) == (1, 1, 1)
