@@ -150,3 +150,13 @@ def test_counts_of_units_aggregate_nothing_before_the_records_are_shuffled(spark
     below = _below_first_shuffle(counts)
     assert "stable_usr" in below and "Aggregate" not in below and "Generate" not in below
     assert tuple(counts.first()) == (1, 1, 1)
+
+
+def test_a_merge_aggregates_nothing_before_the_records_are_shuffled(spark):
+    rows = [(u, 0, "v", "q", "n", "d", "k", None, "", "", [("definition", "f", u % 2), ("definition", "f", u % 2)], None) for u in range(3)]
+    df = spark.createDataFrame(rows, RECORD)
+    for batch in (None, "unit"):
+        got = symbols.merge_symbols(df, batch)[0]
+        below = _below_first_shuffle(got)
+        assert "stable_usr" in below and "Aggregate" not in below and "Generate" not in below
+        assert [p.start_line for p in got.first().locations] == [0, 1]
