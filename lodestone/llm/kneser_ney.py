@@ -35,8 +35,8 @@ from lodestone.llm.common import as_key, crc_remainder, from_key, new_path, stas
 FLUSH, SHARDS_EACH, AT_ONCE = 2_000_000, 4, 1_000_000
 #: Bits of shards that blobs are dealt to in one go, as more would make blobs of a pair each; files that a worker holds open.
 GO, MAPS = 17, 128
-#: Words of an n-gram, where none is asked for.
-ORDER = 2
+#: Words of an n-gram, where none is asked for; orders of the models whose scores the query returns beside that one's.
+ORDER, FURTHER = 2, (3,)
 #: Names of the marks that stand before and after a text; no token holds white space.
 BEGIN, END = b" begin", b" end"
 KEEP = 7  # bytes of a word's hash in a blob: 56 bits tell apart all words of any corpus but a few in a billion
@@ -481,28 +481,32 @@ def train(docs: DataFrame, shards: int | None = None, go: int = GO, order: int =
     return Model(where, bits, word_bits, tokens, vocabulary, types, cuts, unseen)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", further: tuple[Model, ...] = ()) -> DataFrame:
     """Per row of ``docs``: ``id_col``, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
-    Null and empty texts have the end alone. Repeated rows each get their row; other columns are not read.
+    Models of ``further`` orders add their scores as ``score_<order>``; a text is read once for all of them. Null and empty texts have the end alone. Repeated rows each get their row; other columns are not read.
     """
     cols = docs.select(as_key(id_col), "text")
+    others = {f"score_{len(m.discounts)}": m for m in further}
 
     def run(batches):
-        lookup = Lookup(model)
+        lookup, beside = Lookup(model), {name: Lookup(m) for name, m in others.items()}
         for pdf in batches:
             size = pdf["text"].str.len().fillna(0).cumsum().to_numpy(float)
             for _, part in pdf.groupby(size // (AT_ONCE * 6), sort=False):
                 out = lookup.score(list(part["text"]))
                 out.insert(0, "key", part["key"].to_numpy())
-                yield out.assign(train_tokens=model.tokens, perplexity=10 ** np.minimum(300, -out["score"] / out["n_tokens"]))
+                more = {name: x.score(list(part["text"]))["score"] for name, x in beside.items()}
+                yield out.assign(train_tokens=model.tokens, perplexity=10 ** np.minimum(300, -out["score"] / out["n_tokens"]), **more)
 
-    out = cols.mapInPandas(run, "key string, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    kinds = ["key string, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double", *[f"{name} double" for name in others]]
+    out = cols.mapInPandas(run, ", ".join(kinds))
     return from_key(out, docs, id_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc_remainder(F.col("doc_id"), 7) == 2
-    scored = score(docs, train(docs.where(~held_out)))
-    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    learned = docs.where(~held_out)
+    scored = score(docs, train(learned), further=tuple(train(learned, order=k) for k in FURTHER))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", *[f"score_{k}" for k in FURTHER])

@@ -4,6 +4,7 @@ import math
 import os
 import random
 import resource
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
@@ -90,3 +91,14 @@ def test_models_of_nothing_and_of_one_word(spark, order):
             assert [r.score for r in got] == pytest.approx([score((r.text or "").split()) for r in docs.collect()])
     with pytest.raises(ValueError):
         kneser_ney.train(docs, order=1)
+
+
+def test_the_query_scores_with_three_words_too(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    words = {r.doc_id: kneser_ney.tokens_of(r.text) for r in docs}
+    two, three = (plain([w for i, w in words.items() if zlib.crc32(str(i).encode()) % 7 != 2], order)[0] for order in (2, 3))
+    got = kneser_ney.query(spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(words)
+    for r in got:
+        assert r.score == pytest.approx(two(words[r.doc_id])) and r.score_3 == pytest.approx(three(words[r.doc_id]))
+    assert sum(r.score_3 for r in got) > sum(r.score for r in got)
