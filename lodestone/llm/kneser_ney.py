@@ -1,12 +1,13 @@
 """Interpolated modified Kneser-Ney n-gram model: counted in Spark, stored as sorted hash arrays, memory-mapped by workers.
 
-Counting: tasks count the n-grams of their texts, as pairs of a context (a hash of the words before) and a word, and send
-them on as packed blobs, dealt by the top bits of the pair's hash; a second pass adds the blobs of a shard up, writes the
-shard's sorted pair hashes and counts to the shared folder, and sends on what each context and each word is owed (followers
-by count, predecessors, occurrences) and, above order two, the pairs without their oldest word, which are counted in the
-same way; a last pass adds up what contexts and words are owed and writes sorted arrays too. Nothing is cut: the model grows
-with the corpus. A text begins with as many marks as a context has words, so that every token has whole contexts.
-Scoring: each worker maps the arrays and looks the distinct n-grams of a batch up by binary search; the pages it touches
+Counting: tasks count the n-grams of their texts and send them on as packed blobs, dealt by the hash of the last two words,
+so that all that ends in two words comes together: a shard has the whole counts of its n-grams of every length, and how many
+words each is found after. It writes their sorted hashes and counts to the shared folder and sends on what each context and
+each word is owed (followers by count, predecessors, occurrences); a last pass adds that up and writes arrays beside those of
+the n-grams. As every n-gram has both counts, a model scores with fewer words than its own too. Nothing is cut: the model
+grows with the corpus. A text begins with as many marks as a context has words, so that every token has whole contexts; the
+marks alone are kept as an n-gram that is no token's, as a context like any other.
+Scoring: each worker maps the arrays and looks the distinct n-grams of a batch up by bisection; the pages it touches
 are the only ones that come into memory.
 
 The shared folder must be one that workers can open as files; of other stores, the shards that are used are copied once an
@@ -18,51 +19,85 @@ from __future__ import annotations
 import os
 import re
 import uuid
-from collections import OrderedDict
+from collections import OrderedDict, defaultdict
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyarrow import fs
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import as_key, crc_remainder, from_key, new_path, stash, table
+from lodestone.llm.common import as_key, crc_remainder, from_key, new_path, table
 
-#: Tokens that a task counts, or pairs that it holds, before it sends blobs on; shards for each input partition; tokens scored at once.
-FLUSH, SHARDS_EACH, AT_ONCE = 2_000_000, 4, 1_000_000
-#: Bits of shards that blobs are dealt to in one go, as more would make blobs of a pair each; files that a worker holds open.
-GO, MAPS = 17, 128
-#: Words of an n-gram, where none is asked for; orders of the models whose scores the query returns beside that one's.
-ORDER, FURTHER = 2, (3,)
+#: Tokens that a task counts, or n-grams that it holds, before it sends blobs on; shards for each input partition; tokens scored at once.
+FLUSH, SHARDS_EACH, AT_ONCE = 2_500_000, 2, 1_000_000
+#: Bits of shards that blobs are dealt to in one go, as more would make blobs of an n-gram each; files that a worker holds open.
+GO, MAPS = 17, 32
+#: Words of an n-gram, where none is asked for; those of the query's model, which scores with ``ORDER`` words beside.
+ORDER, MOST = 2, 3
 #: Names of the marks that stand before and after a text; no token holds white space.
 BEGIN, END = b" begin", b" end"
-KEEP = 7  # bytes of a word's hash in a blob: 56 bits tell apart all words of any corpus but a few in a billion
+KEEP = 7  # bytes of a word's hash: 56 bits tell apart all words of any corpus but a few in a billion
 MASK = (1 << (8 * KEEP)) - 1
+#: Bits of an n-gram's hash that are told apart within a shard, and n-grams for each entry of a shard's directory.
+WITHIN, BUCKET = 48, 16
 
 
 def word_hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word) & MASK
 
 
+def _numbers() -> defaultdict:
+    """Gives each new word the next number; the marks before and after a text have the first two."""
+    known = defaultdict()
+    known.default_factory = known.__len__
+    known.update({BEGIN: 0, END: 1})
+    return known
+
+
+def _hashes(known) -> np.ndarray:
+    return np.fromiter(map(word_hash, known), np.uint64, len(known))
+
+
 def pair_hash(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        h = (context * np.uint64(0x9E3779B97F4A7C15)) ^ (word + np.uint64(0x7F4A7C15))
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return h ^ (h >> np.uint64(31))
-
-
-def contexts_of(hashes: np.ndarray, order: int) -> np.ndarray:
-    """Hashes (order - 1, n) of what stands before each of ``hashes``: order - 1 words first, one word last."""
-    out = np.zeros((order - 1, len(hashes)), np.uint64)
-    for k in range(1, order):
-        own = out[order - 1 - k]
-        own[k:] = hashes[: max(0, len(hashes) - k)]
-        if k > 1:
-            own[k:] = pair_hash(out[order - k][k:], own[k:]) & np.uint64(MASK)
+        h = context * np.uint64(0x9E3779B97F4A7C15)
+        h ^= word + np.uint64(0x7F4A7C15)
+        h ^= h >> np.uint64(30)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(27)
+        h *= np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        return h
+
+
+def gram_hash(words: np.ndarray, names: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the n-grams in the columns of ``words`` (two rows at least, the first word first), which may be places in ``names``."""
+    of = (lambda x: x) if names is None else (lambda x: names[x])
+    context = of(words[-2])
+    for older in words[-3::-1]:
+        context = pair_hash(context, of(older)) & np.uint64(MASK)
+    return pair_hash(context, of(words[-1]))
+
+
+def gram_key(words: np.ndarray, bits: int) -> np.ndarray:
+    """The same, with the shard in the first bits: that of the last two words, whatever the length."""
+    h = gram_hash(words)
+    if len(words) == 2 or not bits:
+        return h
+    rest = np.uint64(64 - bits)
+    return (gram_hash(words[-2:]) >> rest << rest) | (h >> np.uint64(bits))
+
+
+def windows(ids: np.ndarray, order: int) -> np.ndarray:
+    """(order, n): what stands before and at each of ``ids``, which itself is the last row."""
+    out = np.zeros((order, len(ids)), ids.dtype)
+    for k in range(order):
+        out[order - 1 - k, k:] = ids[: max(0, len(ids) - k)]
     return out
 
 
@@ -72,12 +107,16 @@ def tokens_of(text) -> list[bytes]:
 
 
 def _pack(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEEP]).tobytes()
+    """Unsigned numbers, byte by byte of equal rank, as few as the largest needs."""
+    values = np.ascontiguousarray(values, "<u8")
+    wide = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([wide]) + values.view(np.uint8).reshape(-1, 8)[:, :wide].T.tobytes()
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // KEEP, 8), np.uint8)
-    out[:, :KEEP] = np.frombuffer(data, np.uint8).reshape(-1, KEEP)
+    wide = data[0]
+    out = np.zeros(((len(data) - 1) // wide, 8), np.uint8)
+    out[:, :wide] = np.frombuffer(data, np.uint8, offset=1).reshape(wide, -1).T
     return out.view("<u8").ravel()
 
 
@@ -92,6 +131,25 @@ def _unpack_counts(data: bytes, n: int) -> np.ndarray:
     return out
 
 
+def _bundle(*arrays: np.ndarray) -> bytes:
+    """Several arrays packed and compressed as one."""
+    parts = [_pack(x) for x in arrays]
+    data = b"".join([np.array([len(parts), *map(len, parts)], "<u8").tobytes(), *parts])
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _unbundle(data: bytes) -> list[np.ndarray]:
+    data = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+    k = int.from_bytes(data[:8], "little")
+    ends = 8 + 8 * k + np.concatenate([[0], np.cumsum(np.frombuffer(data, "<u8", k, 8).astype(np.int64))])
+    return [_unpack(data[a:b]) for a, b in zip(ends, ends[1:])]
+
+
+def _steps(ordered: np.ndarray) -> np.ndarray:
+    """Sorted numbers as differences; ``np.cumsum`` of them gives the numbers back."""
+    return np.diff(ordered, prepend=ordered.dtype.type(0))
+
+
 def _shard(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
 
@@ -102,39 +160,61 @@ def _cut(shards: np.ndarray):
     return [(int(shards[a]), a, b) for a, b in zip(starts, [*starts[1:], len(shards)])] if len(shards) else []
 
 
-BLOBS = "shard int, context binary, times binary, word binary, n binary"
+def _starts(h: np.ndarray) -> np.ndarray:
+    """Where runs of equal sorted hashes start."""
+    return np.nonzero(np.concatenate([[True], h[1:] != h[:-1]]))[0] if len(h) else np.zeros(0, np.int64)
 
 
-def _blobs(chain: np.ndarray, word: np.ndarray, counts: np.ndarray, bits: int) -> pd.DataFrame:
-    """Counted pairs, packed by shard. ``chain`` has the contexts (depth, n), the longest first, as of ``contexts_of``."""
-    shard = _shard(pair_hash(chain[0], word), bits)
-    order = np.lexsort((chain[0], shard))
-    chain, word, counts, shard = chain[:, order], word[order], counts[order], shard[order]
-    rows = []
-    for s, a, b in _cut(shard):
-        _, at, times = np.unique(chain[0, a:b], return_index=True, return_counts=True)
-        rows.append((s, _pack(chain[:, a + at].ravel()), _pack_counts(times), _pack(word[a:b]), _pack_counts(counts[a:b])))
-    return pd.DataFrame(rows, columns=["shard", "context", "times", "word", "n"])
+def _names(ddl: str) -> list[str]:
+    return [x.split()[0] for x in ddl.split(", ")]
 
 
-def _unblob(depth: int, c, t, w, k) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    own, words = _unpack(c).reshape(depth, -1), _unpack(w)
-    return np.repeat(own, _unpack_counts(t, own.shape[1]).astype(np.int64), axis=1), words, _unpack_counts(k, len(words))
+BLOBS = "shard int, times binary, grams binary"
+
+
+def _blobs(words: np.ndarray, counts: np.ndarray, bits: int) -> pd.DataFrame:
+    """Counted n-grams (order, n), packed by shard: each blob has the hashes of its words once, the frequent ones first, as differences."""
+    shard = _shard(gram_hash(words[-2:]), bits)
+    at = np.argsort(shard, kind="stable")
+    words, counts, shard = words[:, at], counts[at], shard[at]
+    rows = []
+    for s, a, b in _cut(shard):
+        names, ids, times = np.unique(words[:, a:b], return_inverse=True, return_counts=True)
+        by = np.argsort(-np.frexp(times)[1], kind="stable")  # by the number of bits of the times, then by hash
+        rank = np.empty(len(by), np.int32)
+        rank[by] = np.arange(len(by), dtype=np.int32)
+        ids = rank[ids.reshape(len(words), b - a)]
+        at = np.lexsort((ids[-1], ids[-2]))
+        ids, n = ids[:, at], counts[a:b][at]
+        before, last = _steps(ids[-2]), ids[-1].copy()
+        same = np.nonzero(before[1:] == 0)[0] + 1
+        last[same] -= ids[-1][same - 1]
+        rows.append((s, _pack_counts(n), _bundle(_steps(names[by]) & np.uint64(MASK), before, last, *ids[:-2])))
+    return pd.DataFrame(rows, columns=_names(BLOBS))
+
+
+def _unblob(times: bytes, grams: bytes) -> tuple[np.ndarray, np.ndarray]:
+    names, before, last, *older = _unbundle(grams)
+    names = np.cumsum(names) & np.uint64(MASK)
+    starts = np.nonzero(np.concatenate([[True], before[1:] > 0]))[0]
+    sums = np.cumsum(last)
+    last = sums - np.repeat(sums[starts] - last[starts], np.diff([*starts, len(last)]))
+    return names[np.stack([*older, np.cumsum(before), last]).astype(np.int64)], _unpack_counts(times, len(last))
 
 
 def _join(parts):
-    """The (chain, word, counts) of many blobs as one."""
+    """The (words, counts) of many blobs as one."""
     return tuple(np.concatenate(x, axis=-1) for x in zip(*parts))
 
 
-def _deal(depth: int, bits: int, most: int):
+def _deal(bits: int, most: int):
     """Blobs of a few shards, which come together, as blobs of the many that these are cut into; never a whole group at once."""
 
     def run(batches):
         held, size = [], 0
         for pdf in batches:
-            for blob in pdf[["context", "times", "word", "n"]].itertuples(index=False):
-                held.append(_unblob(depth, *blob))
+            for blob in pdf[_names(BLOBS)[1:]].itertuples(index=False):
+                held.append(_unblob(*blob))
                 size += len(held[-1][1])
                 if size >= most:
                     yield _blobs(*_join(held), bits)
@@ -146,179 +226,213 @@ def _deal(depth: int, bits: int, most: int):
 
 
 def _count(order: int, bits: int):
-    def send(ids: list, names: list):
-        words = np.array(names, np.uint64)[np.array(ids, np.int64)]
-        chain, token = contexts_of(words, order), np.array(ids, np.int64) > 0  # the first name is the mark before a text
-        chain, words = chain[:, token], words[token]
-        _, at, counts = np.unique(pair_hash(chain[0], words), return_index=True, return_counts=True)
-        return _blobs(chain[:, at], words[at], counts, bits)
+    def send(ids: list, known: dict, texts: int):
+        at, names = np.array(ids, np.int32), _hashes(known)
+        ids.clear(), known.clear()
+        words = windows(at, order)[:, at > 0]
+        _, at, counts = np.unique(gram_hash(words, names), return_index=True, return_counts=True)
+        words = np.concatenate([words[:, at], np.zeros((order, 1), np.int32)], axis=1)  # the marks alone, once a text
+        return _blobs(names[words], np.append(counts, texts), bits)
 
     def run(batches):
-        known, names, ids = {}, [], []
-
-        def number(w):
-            known[w] = len(names)
-            names.append(word_hash(w))
-            return known[w]
-
+        known, ids, texts = _numbers(), [], 0
         for pdf in batches:
             for text in pdf["text"]:
-                if not names:
-                    begin, end = [number(BEGIN)] * (order - 1), number(END)
-                ids.extend(begin)
-                ids.extend([known[w] if w in known else number(w) for w in tokens_of(text)])
-                ids.append(end)
+                ids.extend([0] * (order - 1)), ids.extend(map(known.__getitem__, tokens_of(text))), ids.append(1)
+                texts += 1
                 if len(ids) >= FLUSH:
-                    yield send(ids, names)
-                    known, names, ids = {}, [], []
+                    yield send(ids, known, texts)
+                    known, ids, texts = _numbers(), [], 0
         if ids:
-            yield send(ids, names)
+            yield send(ids, known, texts)
 
     return run
 
 
-#: Arrays of a shard's file, in this order, after as many lengths: all of 8 bytes, but the last of pairs of one. The words
-#: hold the contexts of more than one word too, by their hashes; order two has no ``total``, as it is ``n`` there.
-COLUMNS = {"pairs": ("hash", "large", "small"), "words": ("hash", "once", "twice", "more", "total", "before", "n")}
+#: Arrays of a file, in this order, after the bytes of each: sorted hashes by a directory of their first bits and the 32 next
+#: ones, and a row of numbers for each, as the place in a table of the most frequent rows, or 255 for one in ``rest``.
+COLUMNS = {"table": np.uint64, "rest": np.uint64, "directory": np.uint32, "low": np.uint32, "places": np.uint32, "code": np.uint8}
+
 
+def _sorted_hashes(within: np.ndarray) -> dict[str, np.ndarray]:
+    """Sorted hashes of ``WITHIN`` bits, as they are stored."""
+    k = min(WITHIN - 32, (len(within) // BUCKET).bit_length())
+    ends = np.searchsorted(within >> np.uint64(WITHIN - k), np.arange((1 << k) + 1, dtype=np.uint64))
+    return {"directory": ends, "low": within >> np.uint64(WITHIN - 32 - k) & np.uint64(0xFFFFFFFF)}
 
-def _columns(group: str) -> tuple:
-    return COLUMNS[group.rstrip("0123456789")]
+
+def _rows(*columns: np.ndarray) -> dict[str, np.ndarray]:
+    """Rows of numbers, as they are stored."""
+    each, wide = 63 // len(columns), np.stack(columns).astype(np.uint64)
+    small, packed = np.nonzero((wide < np.uint64(1 << each)).all(axis=0))[0], np.zeros(wide.shape[1], np.uint64)
+    for x in wide:
+        packed = packed << np.uint64(each) | x
+    _, first, at, times = np.unique(packed[small], return_index=True, return_inverse=True, return_counts=True)
+    best = np.argsort(-times, kind="stable")[:255]
+    codes = np.full(len(times), 255, np.uint8)
+    codes[best] = np.arange(len(best))
+    code = np.full(wide.shape[1], 255, np.uint8)
+    code[small] = codes[at]
+    places = np.nonzero(code == 255)[0]
+    return {"table": wide[:, small[first[best]]].T.ravel(), "rest": wide[:, places].T.ravel(), "places": places, "code": code}
 
 
 def _store(where: str, group: str, shard: int, **arrays: np.ndarray) -> None:
     """Writes the arrays of a shard to its file; a repeated task replaces what an earlier one wrote."""
     store, root = fs.FileSystem.from_uri(where)
-    own = [np.ascontiguousarray(arrays[c], np.uint8 if c == "small" else np.uint64) for c in _columns(group)]
+    own = [np.ascontiguousarray(arrays.get(c, ()), kind) for c, kind in COLUMNS.items()]
     part = f"{root}/{group}-{shard:05d}.{uuid.uuid4().hex}.tmp"
     with store.open_output_stream(part) as f:
-        f.write(np.array([len(x) for x in own], np.uint64).tobytes())
+        f.write(np.array([x.nbytes for x in own], np.uint64).tobytes())
         for x in own:
             f.write(x.tobytes())
     store.move(part, f"{root}/{group}-{shard:05d}")
 
 
-def _add_pairs(where: str, level: int, order: int, bits: int, word_bits: int):
-    """Adds the blobs of a shard up, stores it, and sends on counts of counts, what contexts and words are owed, and shorter pairs."""
+def _within(key: np.ndarray, bits: int) -> np.ndarray:
+    return key << np.uint64(bits) >> np.uint64(64 - WITHIN)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = int(pdf["shard"].iloc[0])
-        chain, word, n = _join(_unblob(level - 1, *blob) for blob in pdf[["context", "times", "word", "n"]].itertuples(index=False))
-        h = pair_hash(chain[0], word)
-        at = np.argsort(h, kind="stable")
-        h, chain, word, n = h[at], chain[:, at], word[at], n[at]
-        first = np.nonzero(np.concatenate([[True], h[1:] != h[:-1]]))[0]
-        h, chain, word, n = h[first], chain[:, first], word[first], np.add.reduceat(n, first)
-        _store(where, f"pairs{level}", s, hash=h, small=np.minimum(n, 255), large=n[n >= 255])
-        rows = [(-level, *np.bincount(np.minimum(n, 5).astype(np.int64), minlength=6)[1:5].tolist(), *[b""] * 8)]
-        # a context is owed followers seen once, twice, more often; a word its predecessors and occurrences
-        own, at = np.unique(chain[0], return_inverse=True)
-        kinds = [np.bincount(at, m, len(own)).astype(np.uint64) for m in (n == 1, n == 2, n >= 3)]
-        contexts = own, kinds + ([np.bincount(at, n, len(own)).astype(np.uint64)] if order > 2 else [])
-        own, at = np.unique(word, return_inverse=True)
-        before = np.bincount(at, minlength=len(own)) * (level == 2)
-        words = own, [before.astype(np.uint64), (np.bincount(at, n, len(own)) * (level == order)).astype(np.uint64)]
-        rows += [(k, 0, 0, 0, 0, *v) for k, v in _owe(contexts, words if level in (2, order) else (own[:0], [own[:0]] * 2), word_bits)]
-        out = pd.DataFrame(rows, columns=_names(OWED))
-        if level == 2:
-            return out
-        shorter = _blobs(chain[1:], word, np.ones(len(word), np.uint64), bits).rename(columns={"n": "times2", "context": "chain", "word": "next"})
-        return pd.concat([out, shorter])[_names(BOTH)].astype({"slot": "Int32", "shard": "Int32", **{f"n{k}": "Int64" for k in range(1, 5)}})
 
-    return run
+#: What a context or a word is owed: ``part`` is minus one and less for counts of counts, 1 for words, else the length of the contexts.
+OWED = "part long, slot int, data binary"
 
 
-def _names(ddl: str) -> list[str]:
-    return [x.split()[0] for x in ddl.split(", ")]
+def _kinds(own: np.ndarray, *counts: np.ndarray) -> list[np.ndarray]:
+    """Followers seen once, twice, more often, of each of ``len(own)``; ``counts`` are (place, count)."""
+    at, c = counts
+    return [np.bincount(at, m, len(own)).astype(np.uint64) for m in (c == 1, c == 2, c >= 3)]
 
 
-#: What contexts and words are owed, and the columns of a slot that hold it.
-SIDES = {"context": ("once", "twice", "more", "total"), "word": ("before", "n")}
-OWED = "slot int, n1 long, n2 long, n3 long, n4 long, context binary, once binary, twice binary, more binary, total binary, word binary, before binary, n binary"
-#: The same beside blobs of shorter pairs, whose columns have names of their own.
-BOTH = OWED + ", shard int, chain binary, times binary, next binary, times2 binary"
+def _of_contexts(context: np.ndarray, main: np.ndarray, raw: np.ndarray, top: bool) -> tuple[np.ndarray, list[np.ndarray]]:
+    """What contexts are owed by their followers, the top ones of which have one kind of counts."""
+    own, at = np.unique(context, return_inverse=True)
+    if top:
+        return own, _kinds(own, at, raw)
+    return own, [*_kinds(own, at, main), np.bincount(at, main, len(own)).astype(np.uint64), *_kinds(own, at, raw)]
 
 
-def _by_word(own: np.ndarray, bits: int, kinds: list[np.ndarray]):
-    slot = _shard(own << np.uint64(8), bits)  # the 56 bits in use
-    order = np.argsort(slot, kind="stable")
-    own, slot, kinds = own[order], slot[order], [k[order] for k in kinds]
-    for s, a, b in _cut(slot):
-        yield s, _pack(own[a:b]), [_pack_counts(k[a:b]) for k in kinds]
+def _of_longer_contexts(context: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The same of top followers whose contexts are n-grams, and all that these followers were seen.
 
+    A context is stored with how often it was seen, which is what all its followers were: those that no shard tells of were
+    seen once each. So a shard is silent about contexts of which it has such followers only, as nearly all are.
+    """
+    own = np.unique(context[raw > 1])
+    at = np.minimum(np.searchsorted(own, context), max(0, len(own) - 1))
+    told = own[at] == context if len(own) else np.zeros(len(context), bool)
+    at, raw = at[told], raw[told]
+    return own, [*_kinds(own, at, raw), np.bincount(at, raw, len(own)).astype(np.uint64)]
 
-def _owe(contexts, words, bits: int):
-    """(slot, packed columns) of what contexts and words are owed, each (hashes, counts)."""
-    blobs: dict[int, list] = {}
-    for k, a, b in _by_word(contexts[0], bits, contexts[1]):
-        blobs.setdefault(k, [b""] * 8)[: 1 + len(b)] = a, *b
-    for k, a, b in _by_word(words[0], bits, words[1]):
-        blobs.setdefault(k, [b""] * 8)[5:] = a, *b
-    return blobs.items()
 
+def _counted(part: int, counts: np.ndarray) -> tuple:
+    return part, 0, _bundle(np.bincount(np.minimum(counts, 5).astype(np.int64), minlength=6)[1:5])
 
-def _owed(pdf: pd.DataFrame):
-    """(hashes, summed counts) of contexts and of words in such rows."""
-    for key, names in SIDES.items():
-        own = [_unpack(x) for x in pdf[key]]
-        h, at = np.unique(np.concatenate(own), return_inverse=True)
-        if key == "context" and not pdf["total"].str.len().any():
-            names = names[:3]  # order two
-        yield h, [np.bincount(at, np.concatenate([_unpack_counts(x, len(o)) for x, o in zip(pdf[k], own)]), len(h)).astype(np.uint64) for k in names]
 
+def _owe(part: int, key: np.ndarray, columns: list[np.ndarray], bits: int, go: int) -> list[tuple]:
+    """Rows of ``OWED``, by slot: sorted keys of ``bits`` of shard, without what the slot says and no lookup needs."""
+    slot, rest = _shard(key, min(bits, go)), key << np.uint64(min(bits, go))
+    rest = rest >> np.uint64(64 - WITHIN) if bits <= go else rest
+    return [(part, s, _bundle(_steps(rest[a:b]), *[c[a:b] for c in columns])) for s, a, b in _cut(slot)]
 
-def _deal_words(bits: int, most: int):
+
+def _sum_owed(data) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(keys, summed columns) of such rows of a slot."""
+    rows = [_unbundle(x) for x in data]
+    key, at = np.unique(np.concatenate([np.cumsum(x[0]) for x in rows]), return_inverse=True)
+    return key, [np.bincount(at, np.concatenate(c), len(key)).astype(np.uint64) for c in zip(*[x[1:] for x in rows])]
+
+
+def _add_grams(where: str, order: int, bits: int, word_bits: int, go: int):
+    """Adds the blobs of a shard up, stores its n-grams of each length, and sends on counts of counts and what contexts and words are owed."""
+    begin = word_hash(BEGIN)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        s = int(pdf["shard"].iloc[0])
+        words, n = _join(_unblob(*blob) for blob in pdf[_names(BLOBS)[1:]].itertuples(index=False))
+        rows = []
+        for level in range(order, 1, -1):
+            key = gram_key(words, bits)
+            at = np.argsort(key, kind="stable")
+            first = _starts(key[at])
+            main = np.diff([*first, len(key)]).astype(np.uint64)  # words that the n-gram is found after
+            key, words, n = key[at][first], words[:, at[first]], np.add.reduceat(n[at], first)
+            top = level == order
+            _store(where, f"grams{level}", s, **_sorted_hashes(_within(key, bits)), **_rows(*((n,) if top else (main, n))))
+            token = words[-1] != begin
+            w, m, raw = words[:, token], main[token], n[token]
+            rows += [_counted(-level, raw if top else m)] + ([] if top else [_counted(-level - MARK, raw)])
+            if level > 2:
+                context = gram_key(w[:-1], bits)
+                rows += _owe(level - 1, *(_of_longer_contexts(context, raw) if top else _of_contexts(context, m, raw, top)), bits, go)
+            else:  # the hash of a word has 56 bits
+                own, columns = _of_contexts(w[0], m, raw, top)
+                after, at = np.unique(w[1], return_inverse=True)
+                both = np.unique(np.concatenate([own, after]))
+                of, to = np.searchsorted(both, own), np.searchsorted(both, after)
+                spread = lambda x, at: np.bincount(at, x, len(both)).astype(np.uint64)
+                told = [spread(np.bincount(at, minlength=len(after)), to), spread(np.bincount(at, raw, len(after)), to), *[spread(c, of) for c in columns]]
+                rows += _owe(1, both << np.uint64(8), told, word_bits, go)
+            words = words[1:]
+        return pd.DataFrame(rows, columns=_names(OWED))
+
+    return run
+
+
+#: Stands between the counts of counts of what n-grams are found after, and of how often they are found.
+MARK = 1000
+
+
+def _deal_owed(bits: int, word_bits: int, go: int, most: int):
     """What is owed in a few slots, which come together, summed and sent on to the many that these are cut into."""
 
     def run(batches):
-        held, size = [], 0
+        held, size, of = [], 0, None
+
+        def told():
+            part, slot = of
+            own = word_bits if part == 1 else bits
+            key, columns = _sum_owed(held)
+            first = np.uint64(slot) << np.uint64(64 - go) if go else np.uint64(0)
+            return pd.DataFrame(_owe(part, first | key >> np.uint64(go), columns, own, own), columns=_names(OWED))
+
         for pdf in batches:
-            sums = pdf["slot"] < 0
-            if sums.any():
-                yield pdf[sums]
-            owed = pdf[~sums]
-            for i in range(0, len(owed), 256):
-                held.append(owed.iloc[i : i + 256])
-                size += int(held[-1]["context"].str.len().sum() + held[-1]["word"].str.len().sum()) // KEEP
-                if size >= most:
-                    yield _told(held)
+            for row in pdf.itertuples(index=False):
+                if row.part < 0 or (word_bits if row.part == 1 else bits) <= go:
+                    yield pd.DataFrame([row], columns=_names(OWED))
+                    continue
+                if held and (of != (row.part, row.slot) or size >= most):
+                    yield told()
                     held, size = [], 0
+                of = row.part, row.slot
+                held.append(row.data)
+                size += len(row.data) // 4
         if held:
-            yield _told(held)
-
-    def _told(held):
-        contexts, words = _owed(pd.concat(held, ignore_index=True))
-        return pd.DataFrame([(k, 0, 0, 0, 0, *v) for k, v in _owe(contexts, words, bits)], columns=_names(OWED))
+            yield told()
 
     return run
 
 
-def _add_words(where: str, order: int):
-    """Adds up what the words of a slot are owed, stores them, and sends on the sums."""
+_SUMS = ["part", "tokens", "words", "types", "n1", "n2", "n3", "n4"]
+
+
+def _add_owed(where: str):
+    """Adds up what the contexts or words of a slot are owed, stores them, and sends on the sums."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = int(pdf["slot"].iloc[0])
-        if s < 0:
-            return pdf[["n1", "n2", "n3", "n4"]].sum().to_frame().T.assign(slot=s, tokens=0, words=0, types=0)[_SUMS]
-        sides = list(_owed(pdf))
-        h = np.unique(np.concatenate([own for own, _ in sides]))
-        columns = {}
-        for names, (own, counts) in zip(SIDES.values(), sides):
-            at = np.searchsorted(h, own)
-            for name, c in zip(names, counts):
-                columns[name] = np.zeros(len(h), np.uint64)
-                columns[name][at] = c
-        _store(where, "words", s, hash=h, **{"total": np.zeros(len(h) if order > 2 else 0, np.uint64), **columns})
-        before, n = columns["before"], columns["n"]
+        part, s = int(pdf["part"].iloc[0]), int(pdf["slot"].iloc[0])
+        if part < 0:
+            return pd.DataFrame([(part, 0, 0, 0, *np.sum([_unbundle(x)[0] for x in pdf["data"]], axis=0).astype(np.int64).tolist())], columns=_SUMS)
+        key, columns = _sum_owed(pdf["data"])
+        _store(where, "words" if part == 1 else f"followers{part}", s, **_sorted_hashes(key), **_rows(*columns))
+        if part > 1:
+            return pd.DataFrame([], columns=_SUMS).astype("int64")
+        before, n = columns[:2]
         seen = np.bincount(np.minimum(before, 5).astype(np.int64), minlength=6)[1:5].tolist()
-        return pd.DataFrame([(s, int(n.sum()), int((n > 0).sum()), int(before.sum()), *seen)], columns=_SUMS)
+        return pd.DataFrame([(1, int(n.sum()), int((n > 0).sum()), int(before.sum()), *seen)], columns=_SUMS)
 
     return run
 
 
-_SUMS = ["slot", "tokens", "words", "types", "n1", "n2", "n3", "n4"]
-
-
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     """Chen and Goodman's three discounts from counts of counts; half the count where a small corpus gives none."""
     if min(n1, n2, n3) <= 0:
@@ -334,12 +448,40 @@ class Model:
 
     where: str
     bits: int
-    word_bits: int
-    tokens: int
-    words: int
-    types: int
-    discounts: tuple  # three for each number of words, from one
-    unseen: float  # mass that the word level leaves to all words alike
+    word_bits: int = 0
+    tokens: int = 0
+    words: int = 0
+    types: int = 0
+    discounts: tuple = ()  # three for each number of words, from one
+    beside: tuple = ()  # three for each number of words from two on, where it is the model's whole order; without its own
+    unseen: float = 1.0  # mass that the word level leaves to all words alike
+
+
+def _find(arrays: dict[str, np.ndarray], within: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, whether it is there) of hashes among the sorted ones of a shard."""
+    low, directory = arrays["low"], arrays["directory"]
+    k = max(0, len(directory) - 1).bit_length() - 1
+    if not len(low):
+        return np.zeros(len(within), np.int64), np.zeros(len(within), bool)
+    bucket, asked = (within >> np.uint64(WITHIN - k)).astype(np.int64), (within >> np.uint64(WITHIN - 32 - k) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    a, end = directory[bucket].astype(np.int64), directory[bucket + 1].astype(np.int64)
+    b = end.copy()
+    for _ in range(int((b - a).max(initial=0)).bit_length()):
+        half = (a + b) >> 1
+        less = (a < b) & (low[np.minimum(half, len(low) - 1)] < asked)
+        a, b = np.where(less, half + 1, a), np.where(less, b, half)
+    at = np.minimum(a, len(low) - 1)
+    return at, (a < end) & (low[at] == asked)
+
+
+def _row_at(arrays: dict[str, np.ndarray], at: np.ndarray, wide: int) -> np.ndarray:
+    """The rows of numbers (n, wide) at the places."""
+    code = arrays["code"][at]
+    out, more = np.zeros((len(at), wide), np.int64), code == 255
+    out[~more] = arrays["table"].reshape(-1, wide)[code[~more]]
+    if more.any():
+        out[more] = arrays["rest"].reshape(-1, wide)[np.searchsorted(arrays["places"], at[more])]
+    return out
 
 
 class Lookup:
@@ -357,12 +499,11 @@ class Lookup:
             self.maps.move_to_end(name)
             return self.maps[name]
         path = f"{self.local}/{name}" if self.local else self.fetched(name)
-        whole = np.memmap(path, np.uint8, "r") if os.path.exists(path) else np.zeros(8 * len(_columns(group)), np.uint8)
-        at, out = 8 * len(_columns(group)), {}
-        for c, n in zip(_columns(group), whole[:at].view(np.uint64).tolist()):
-            size = n if c == "small" else 8 * n
-            out[c] = whole[at : at + size] if c == "small" else whole[at : at + size].view(np.uint64)
-            at += size
+        whole = np.memmap(path, np.uint8, "r") if os.path.exists(path) else np.zeros(8 * len(COLUMNS), np.uint8)
+        at, out = 8 * len(COLUMNS), {}
+        for (c, kind), n in zip(COLUMNS.items(), whole[:at].view(np.uint64).tolist()):
+            out[c] = whole[at : at + n].view(kind)
+            at += n
         self.maps[name] = out
         while len(self.maps) > self.most:
             self.maps.popitem(last=False)  # the file is closed with the last array that looks into it
@@ -379,74 +520,77 @@ class Lookup:
             os.replace(part, path)  # workers of one executor may copy at once; each file is whole
         return path
 
-    def find(self, group: str, h: np.ndarray, shard: np.ndarray, columns):
-        """Values of sorted ``h`` (with sorted shards) in the columns; zero where it isn't stored."""
-        out = [np.zeros(len(h), np.int64) for _ in columns]
-        for s, a, b in _cut(shard):
-            arrays = self.shard(group, s)
-            have = arrays["hash"]
-            if not len(have):
-                continue
-            at = np.searchsorted(have, h[a:b])
-            hit = np.nonzero(have[np.minimum(at, len(have) - 1)] == h[a:b])[0]
-            for x, column in zip(out, columns):
-                x[a + hit] = column(arrays, at[hit])
-        return out
-
-    def pairs(self, h: np.ndarray, level: int) -> np.ndarray:
-        def count(arrays, at):
-            out = arrays["small"][at].astype(np.int64)
-            if (big := out == 255).any():
-                places = np.nonzero(arrays["small"] == 255)[0]
-                out[big] = arrays["large"][np.searchsorted(places, at[big])]
-            return out
-
-        return self.find(f"pairs{level}", h, _shard(h, self.model.bits), [count])[0]
-
-    def words(self, h: np.ndarray, *names: str) -> list[np.ndarray]:
-        column = lambda name: lambda arrays, at: arrays[name][at]
-        return self.find("words", h, _shard(h << np.uint64(8), self.model.word_bits), [column(x) for x in names])
-
-    def score(self, texts: list) -> pd.DataFrame:
-        """n_tokens, n_known, base_score and score of each text."""
+    def find(self, key: np.ndarray, bits: int, **groups: int) -> list[np.ndarray]:
+        """Rows of numbers (n, wide) of keys in each of ``groups`` (name: wide); zero where it isn't stored."""
+        key, back = np.unique(key, return_inverse=True)
+        out, within = [np.zeros((len(key), wide), np.int64) for wide in groups.values()], _within(key, bits)
+        for s, a, b in _cut(_shard(key, bits)):
+            for x, (group, wide) in zip(out, groups.items()):
+                arrays = self.shard(group, s)
+                at, hit = _find(arrays, within[a:b])
+                if hit.any():
+                    x[a + np.nonzero(hit)[0]] = _row_at(arrays, at[hit], wide)
+        return [x[back] for x in out]
+
+    def score(self, texts: list, further: tuple[int, ...] = ()) -> pd.DataFrame:
+        """n_tokens, n_known, base_score and score of each text, and score_<k> for each k of ``further``, fewer words than the model's."""
         m = self.model
         order = len(m.discounts)
-        known, ids, sizes = {BEGIN: 0, END: 1}, [], []
+        known, ids, sizes = _numbers(), [], []
         for text in texts:
-            mine = [known.setdefault(w, len(known)) for w in tokens_of(text)]
-            ids.extend([0] * (order - 1)), ids.extend(mine), ids.append(1)
+            mine = tokens_of(text)
+            ids.extend([0] * (order - 1)), ids.extend(map(known.__getitem__, mine)), ids.append(1)
             sizes.append(len(mine) + 1)
-        ids = np.array(ids, np.int64)
-        hashes = np.fromiter(map(word_hash, known), np.uint64, len(known))
-        chain, word = contexts_of(hashes[ids], order)[:, ids > 0], ids[ids > 0]
-        by_hash = np.argsort(hashes)
-        before, n = (x[np.argsort(by_hash)] for x in self.words(hashes[by_hash], "before", "n"))
+        ids, hashes = np.array(ids, np.int64), _hashes(known)
+        words = windows(hashes[ids], order)
+        token = np.nonzero(ids > 0)[0]
+        _, place, back = np.unique(gram_hash(words[:, token]), return_index=True, return_inverse=True)
+        at = token[place]  # the distinct n-grams: at these tokens
+        (about,) = self.find(hashes << np.uint64(8), m.word_bits, words=5 if order == 2 else 9)
+        before, n = about[:, 0], about[:, 1]
+        total_of = n.copy()
+        total_of[0] = n[1]  # as many begin as end
         # word level: discounted predecessors, and the rest shared by all words and the unknown one
         cut = np.array([0, *m.discounts[0]])[np.minimum(before, 3)]
         low = (np.maximum(before - cut, 0) / max(1, m.types)) + m.unseen / (m.words + 1)
-        # each level works on its distinct n-grams, and is told the level below at one place of each
-        p, counts = low[word], n[word]
-        for level, d in enumerate(m.discounts[1:], 2):
-            h, place, at = np.unique(pair_hash(chain[order - level], hashes[word]), return_index=True, return_inverse=True)
-            own, of = np.unique(chain[order - level][place], return_inverse=True)
-            once, twice, more, total = self.words(own, "once", "twice", "more", "n" if order == 2 else "total")
-            if order == 2:
-                total[own == hashes[0]] = n[1]  # as many begin as end
-            kept, c, under = d[0] * once + d[1] * twice + d[2] * more, self.pairs(h, level), p[place]
-            cut, total = np.array([0, *d])[np.minimum(c, 3)], total[of]
-            p = np.where(total > 0, (np.maximum(c - cut, 0) + kept[of] * under) / np.maximum(total, 1), under)[at]
+        p, found = low[ids[at]], {}
+
+        def mixed(d, c, kinds, total, under):
+            kept, cut = kinds @ np.array(d), np.array([0, *d])[np.minimum(c, 3)]
+            return np.where(total > 0, (np.maximum(c - cut, 0) + kept * under) / np.maximum(total, 1), under)
+
+        for level in range(2, order + 1):
+            (c,) = self.find(gram_key(words[order - level :, at], m.bits), m.bits, **{f"grams{level}": 1 if level == order else 2})
+            if level == 2:
+                total, kinds = total_of[ids[at - 1]], about[ids[at - 1], 2:]
+            else:
+                own = {f"grams{level - 1}": 2, f"followers{level - 1}": 4 if level == order else 7}
+                context, kinds = self.find(gram_key(words[order - level + 1 :, at - 1], m.bits), m.bits, **own)
+                total = context[:, 1]
+                if level == order:
+                    kinds[:, 0] += total - kinds[:, 3]  # those that no shard has told of
+                    kinds = kinds[:, :3]
+            if level == order or level in further:
+                d = m.discounts[-1] if level == order else m.beside[level - 2]
+                found[level] = mixed(d, c[:, -1], kinds[:, -3:], total, p)
+            if level < order:
+                p = mixed(m.discounts[level - 1], c[:, 0], kinds[:, :3], kinds[:, 3], p)
+        counts = n[ids[token]]
         base = np.log10((counts + 1) / (m.tokens + 1 * (m.words + 1)))
         first = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
         add = lambda x: np.add.reduceat(x, first)
-        return pd.DataFrame({"n_tokens": np.array(sizes, np.int64), "n_known": add((counts > 0).astype(np.int64)), "base_score": add(base), "score": add(np.log10(p))})
+        sums = {level: add(np.log10(x)[back]) for level, x in found.items()}
+        return pd.DataFrame(
+            {"n_tokens": np.array(sizes, np.int64), "n_known": add((counts > 0).astype(np.int64)), "base_score": add(base), "score": sums[order]} | {f"score_{k}": sums[k] for k in further}
+        )
 
 
 def train(docs: DataFrame, shards: int | None = None, go: int = GO, order: int = ORDER) -> Model:
     """Counts the n-grams of ``order`` words (two at least) of ``docs`` (text) and stores the arrays in the shared folder.
 
     There are ``SHARDS_EACH`` shards for each partition of ``docs``, at any size, so that a shard stays as large as it is. More
-    than 2 ** ``go`` of them are dealt to in two goes: by the first bits of the hash, then by all. Above order two, a level's
-    output is stored before the level below reads it. An empty table gives an empty model.
+    than 2 ** ``go`` of them are dealt to in two goes: by the first bits of the hash, then by all. The n-grams go through one
+    shuffle, whatever the order, and what is owed through another. An empty table gives an empty model.
     """
     if order < 2:
         raise ValueError("an order of two at least")
@@ -457,56 +601,52 @@ def train(docs: DataFrame, shards: int | None = None, go: int = GO, order: int =
     store.create_dir(root)
     bits = max(0, ((shards or max(1, SHARDS_EACH * docs.rdd.getNumPartitions())) - 1).bit_length())
     word_bits = max(0, bits - 1)
-    blobs, owed = docs.select("text").mapInPandas(_count(order, min(bits, go)), BLOBS), None
-    for level in range(order, 1, -1):
-        if bits > go:
-            blobs = blobs.repartition("shard").sortWithinPartitions("shard").mapInPandas(_deal(level - 1, bits, FLUSH), BLOBS)
-        add = _add_pairs(where, level, order, min(bits, go), min(word_bits, go))
-        sent = blobs.groupBy("shard").applyInPandas(add, OWED if level == 2 else BOTH)
-        if level > 2:
-            sent = stash(sent, "levels")
-            blobs = sent.where("shard is not null").select("shard", F.col("chain").alias("context"), "times", F.col("next").alias("word"), F.col("times2").alias("n"))
-            sent = sent.where("slot is not null").select(*_names(OWED))
-        owed = sent if owed is None else owed.unionByName(sent)
-    if word_bits > go:
-        owed = owed.repartition("slot").sortWithinPartitions("slot").mapInPandas(_deal_words(word_bits, FLUSH), OWED)
-    sums = owed.groupBy("slot").applyInPandas(_add_words(where, order), "slot int, tokens long, words long, types long, n1 long, n2 long, n3 long, n4 long")
-    rows = sums.groupBy(F.least("slot", F.lit(0)).alias("slot")).agg(*[F.sum(c).alias(c) for c in _SUMS[1:]]).collect()  # one a level
-    by = {r["slot"]: r for r in rows}
-    counts = [[by[s][c] if s in by else 0 for c in ("n1", "n2", "n3", "n4")] for s in (0, *range(-2, -order - 1, -1))]
-    cuts = tuple(discounts(*c) for c in counts)
-    tokens, vocabulary, types = (by[0][c] for c in ("tokens", "words", "types")) if 0 in by else (0, 0, 0)
-    d, (n1, n2, *_) = cuts[0], counts[0]
+    blobs = docs.select("text").mapInPandas(_count(order, min(bits, go)), BLOBS)
+    if bits > go:
+        blobs = blobs.repartition("shard").sortWithinPartitions("shard").mapInPandas(_deal(bits, FLUSH), BLOBS)
+    owed = blobs.groupBy("shard").applyInPandas(_add_grams(where, order, bits, word_bits, go), OWED)
+    if bits > go:
+        owed = owed.repartition("part", "slot").sortWithinPartitions("part", "slot").mapInPandas(_deal_owed(bits, word_bits, go, FLUSH), OWED)
+    sums = owed.groupBy("part", "slot").applyInPandas(_add_owed(where), "part long, tokens long, words long, types long, n1 long, n2 long, n3 long, n4 long")
+    by = {r["part"]: r for r in sums.groupBy("part").agg(*[F.sum(c).alias(c) for c in _SUMS[1:]]).collect()}  # two a level
+    counts = lambda part: [by[part][c] if part in by else 0 for c in ("n1", "n2", "n3", "n4")]
+    cuts = tuple(discounts(*counts(part)) for part in (1, *range(-2, -order - 1, -1)))
+    beside = tuple(discounts(*counts(-level - MARK)) for level in range(2, order))
+    tokens, vocabulary, types = (by[1][c] for c in ("tokens", "words", "types")) if 1 in by else (0, 0, 0)
+    d, (n1, n2, *_) = cuts[0], counts(1)
     unseen = (d[0] * n1 + d[1] * n2 + d[2] * max(0, vocabulary - n1 - n2)) / types if types else 1.0
-    return Model(where, bits, word_bits, tokens, vocabulary, types, cuts, unseen)
+    return Model(where, bits, word_bits, tokens, vocabulary, types, cuts, beside, unseen)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", further: tuple[Model, ...] = ()) -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", further: tuple[int, ...] = ()) -> DataFrame:
     """Per row of ``docs``: ``id_col``, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
-    Models of ``further`` orders add their scores as ``score_<order>``; a text is read once for all of them. Null and empty texts have the end alone. Repeated rows each get their row; other columns are not read.
+    Each of ``further``, fewer words than the model's order, adds its score as ``score_<words>``; a text is read once for all of
+    them. Null and empty texts have the end alone. Repeated rows each get their row; other columns are not read.
     """
+    if not all(2 <= k < len(model.discounts) for k in further):
+        raise ValueError("fewer words than the model's, two at least")
     cols = docs.select(as_key(id_col), "text")
-    others = {f"score_{len(m.discounts)}": m for m in further}
+    names = [f"score_{k}" for k in further]
 
     def run(batches):
-        lookup, beside = Lookup(model), {name: Lookup(m) for name, m in others.items()}
+        lookup = Lookup(model)
         for pdf in batches:
             size = pdf["text"].str.len().fillna(0).cumsum().to_numpy(float)
             for _, part in pdf.groupby(size // (AT_ONCE * 6), sort=False):
-                out = lookup.score(list(part["text"]))
+                out = lookup.score(list(part["text"]), further)
                 out.insert(0, "key", part["key"].to_numpy())
-                more = {name: x.score(list(part["text"]))["score"] for name, x in beside.items()}
-                yield out.assign(train_tokens=model.tokens, perplexity=10 ** np.minimum(300, -out["score"] / out["n_tokens"]), **more)
+                yield out.assign(train_tokens=model.tokens, perplexity=10 ** np.minimum(300, -out["score"] / out["n_tokens"]))
 
-    kinds = ["key string, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double", *[f"{name} double" for name in others]]
+    kinds = ["key string, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double", *[f"{name} double" for name in names]]
     out = cols.mapInPandas(run, ", ".join(kinds))
     return from_key(out, docs, id_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``score`` is that of two words, ``score_3`` that of three; one model gives both."""
     docs = table(spark, sf_dir, "documents")
     held_out = crc_remainder(F.col("doc_id"), 7) == 2
-    learned = docs.where(~held_out)
-    scored = score(docs, train(learned), further=tuple(train(learned, order=k) for k in FURTHER))
-    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", *[f"score_{k}" for k in FURTHER])
+    scored = score(docs, train(docs.where(~held_out), order=MOST), further=(ORDER,))
+    names = F.col(f"score_{ORDER}").alias("score"), F.col("score").alias(f"score_{MOST}")
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", *names)

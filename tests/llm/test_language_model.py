@@ -102,3 +102,26 @@ def test_the_query_scores_with_three_words_too(spark, sf):
     for r in got:
         assert r.score == pytest.approx(two(words[r.doc_id])) and r.score_3 == pytest.approx(three(words[r.doc_id]))
     assert sum(r.score_3 for r in got) > sum(r.score for r in got)
+
+
+def test_a_model_scores_with_fewer_words_than_its_own(spark, texts):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    model, asked = kneser_ney.train(docs, shards=16, order=4), texts[:100] + ["never seen before", "w1 w2 unseen w1 w1", None, ""]
+    out = kneser_ney.Lookup(model).score(asked, (2, 3))
+    for order, name in ((2, "score_2"), (3, "score_3"), (4, "score")):
+        score = plain([t.split() for t in texts], order)[0]
+        assert list(out[name]) == pytest.approx([score((t or "").split()) for t in asked])
+    with pytest.raises(ValueError):
+        kneser_ney.score(docs, model, further=(4,))
+
+
+def test_the_query_counts_once_and_stores_few_bytes(spark, sf, monkeypatch):
+    models, train = [], kneser_ney.train
+    monkeypatch.setattr(kneser_ney, "train", lambda *a, **k: models.append(train(*a, **k)) or models[-1])
+    assert "score_3" in kneser_ney.query(spark, sf).columns
+    (model,) = models
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    words = [["", "", *kneser_ney.tokens_of(r.text), "end"] for r in docs if zlib.crc32(str(r.doc_id).encode()) % 7 != 2]
+    grams = len({tuple(w[i : i + 3]) for w in words for i in range(len(w) - 2)})
+    where = model.where.removeprefix("file://")
+    assert sum(os.path.getsize(f"{where}/{f}") for f in os.listdir(where)) < 25 * grams
